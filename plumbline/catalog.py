@@ -1,7 +1,7 @@
 """Importing this module registers every query."""
 
-from plumbline.plans import profile  # noqa: F401
+from plumbline.plans import collapse, profile, scorecard, service  # noqa: F401
 
 
 def flagship(spark, sf_dir):
-    return profile.agg_01(spark, sf_dir)
+    return scorecard.line_item_scorecard(spark, sf_dir)

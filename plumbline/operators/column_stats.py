@@ -13,6 +13,7 @@ from plumbline.operators.longform import (
     numeric_columns,
     quantiles,
     running_counts,
+    scrub,
     to_long,
     value_counts,
 )
@@ -230,7 +231,7 @@ def correlations(df: DataFrame, cols: list[str], by: list[str] | None = None) ->
     """
     by = by or []
     if len(cols) > WIDE_LIMIT:
-        return _gram_correlations(df, cols, by)
+        return gram_correlations(df, cols, by)
     pairs = [(i, j) for i in range(len(cols)) for j in range(i + 1, len(cols))]
     clean = df.select(*by, *[scrub_null(c) for c in cols])
     aggs = []
@@ -245,8 +246,6 @@ def correlations(df: DataFrame, cols: list[str], by: list[str] | None = None) ->
 
 
 def scrub_null(c: str) -> Column:
-    from plumbline.operators.longform import scrub
-
     return scrub(F.col(c)).alias(c)
 
 
@@ -255,8 +254,11 @@ def pearson(cov: Column, sd_a: Column, sd_b: Column) -> Column:
     return F.coalesce(F.when(flat, 0.0).otherwise(F.try_divide(cov, sd_a * sd_b)), F.lit(0.0))
 
 
-def _gram_correlations(df: DataFrame, cols: list[str], by: list[str]) -> DataFrame:
-    """Every task sends one row of sums per pair; rows meet by pair. Cells are shifted by the column mean first."""
+def gram_sums(df: DataFrame, cols: list[str], by: list[str]) -> DataFrame:
+    """``(g, i, j, n, si, sj, sij)`` for i <= j: every task sends one row of sums per pair, rows meet by pair.
+
+    Cells are shifted by the column mean first, so that large means do not cost digits.
+    """
     import numpy as np
     import pandas as pd
 
@@ -279,11 +281,19 @@ def _gram_correlations(df: DataFrame, cols: list[str], by: list[str]) -> DataFra
             yield pd.DataFrame({"g": g, "i": upper[0], "j": upper[1], "n": n, "si": s[upper[0]], "sj": s[upper[1]], "sij": gram[upper]})
 
     sums = shifted.mapInPandas(partial, "g string, i int, j int, n long, si double, sj double, sij double")
-    total = sums.groupBy("g", "i", "j").agg(*[F.sum(c).alias(c) for c in ("n", "si", "sj", "sij")])
-    cov = total.withColumn("cov", F.try_divide(F.col("sij") - F.col("si") * F.col("sj") / F.col("n"), F.col("n") - 1))
+    return sums.groupBy("g", "i", "j").agg(*[F.sum(c).alias(c) for c in ("n", "si", "sj", "sij")])
+
+
+def gram_covariances(df: DataFrame, cols: list[str], by: list[str]) -> DataFrame:
+    total = gram_sums(df, cols, by)
+    return total.withColumn("cov", F.try_divide(F.col("sij") - F.col("si") * F.col("sj") / F.col("n"), F.col("n") - 1))
+
+
+def gram_correlations(df: DataFrame, cols: list[str], by: list[str]) -> DataFrame:
+    cov = gram_covariances(df, cols, by)
     var = cov.filter("i = j").select("g", F.col("i").alias("k"), F.sqrt(F.greatest(F.col("cov"), F.lit(0.0))).alias("sd"))
     names = F.array(*[F.lit(c) for c in cols])
-    out = (
+    return (
         cov.filter("i < j")
         .join(var.withColumnsRenamed({"k": "i", "sd": "sd_i"}), ["g", "i"])
         .join(var.withColumnsRenamed({"k": "j", "sd": "sd_j"}), ["g", "j"])
@@ -292,4 +302,3 @@ def _gram_correlations(df: DataFrame, cols: list[str], by: list[str]) -> DataFra
             names[F.col("i")].alias("col_i"), names[F.col("j")].alias("col_j"),
             pearson(F.col("cov"), F.col("sd_i"), F.col("sd_j")).alias("r"))
     )
-    return out

@@ -76,13 +76,13 @@ def with_bucket(df: DataFrame, edges: dict[str, list[float]], out: str = "bucket
         step = max(1, math.isqrt(len(e)))
         rows.append((c, e, e[step - 1 :: step], step))
     table = df.sparkSession.createDataFrame(
-        rows, "col string, edges array<double>, coarse array<double>, step int"
+        rows, "col string, _edges array<double>, _coarse array<double>, _step int"
     )
     below = lambda arr: F.size(F.filter(arr, lambda x: x < F.col("val")))
-    first = below(F.col("coarse")) * F.col("step")
+    first = below(F.col("_coarse")) * F.col("_step")
     joined = df.join(F.broadcast(table), "col").withColumn("_first", first)
-    return joined.withColumn(out, F.col("_first") + below(F.slice("edges", F.col("_first") + 1, F.col("step")))).drop(
-        "edges", "coarse", "step", "_first"
+    return joined.withColumn(out, F.col("_first") + below(F.slice("_edges", F.col("_first") + 1, F.col("_step")))).drop(
+        "_edges", "_coarse", "_step", "_first"
     )
 
 
@@ -133,23 +133,3 @@ def quantiles(ranked: DataFrame, shares: dict[str, float], name: str = "n") -> D
         part = F.max(h - lo)
         out.append((at(lo) + (at(hi) - at(lo)) * part).alias(alias))
     return ranked.groupBy("col").agg(*out)
-
-
-def ordered_index(df: DataFrame, key: str, by: list[str] | None = None, out: str = "pos", buckets: int | None = None) -> DataFrame:
-    """Dense 0-based position of each row in ``key`` order (per ``by`` group), taken bucket by bucket.
-
-    ``key`` must be a number or timestamp; ties inside it make the order of equal rows arbitrary.
-    """
-    by = by or []
-    kind = df.schema[key].dataType
-    number = F.col(key).cast("double") if isinstance(kind, T.NumericType) else F.unix_micros(F.col(key).cast("timestamp")).cast("double")
-    keyed = df.withColumn("_k", number)
-    edges = bucket_edges(keyed, ["_k"], buckets)
-    placed = with_bucket(keyed.withColumn("col", F.lit("_k")).withColumn("val", F.col("_k")), edges, "_b").drop("col", "val", "_k")
-    # at most groups x MAX_BUCKETS rows
-    sizes = placed.groupBy(*by, "_b").agg(F.count("*").alias("_n"))
-    ahead = Window.partitionBy(*by).orderBy("_b") if by else Window.partitionBy(F.lit(0)).orderBy("_b")
-    offsets = sizes.select(*by, "_b", (F.sum("_n").over(ahead) - F.col("_n")).alias("_off"))
-    inside = Window.partitionBy(*by, "_b").orderBy(key)
-    local = placed.withColumn("_rn", F.row_number().over(inside) - 1)
-    return local.join(offsets, [*by, "_b"]).withColumn(out, F.col("_rn") + F.col("_off")).drop("_b", "_rn", "_off")

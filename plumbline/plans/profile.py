@@ -117,7 +117,7 @@ def agg_11(spark, sf):
 
 @query("agg_12_mergeable_correlations", f"SELECT side, i, j, col_i, col_j, round(r, 6) AS r FROM ({corr_sql('lineitem', chr(39).join(['CASE WHEN l_linestatus = ', 'F', ' THEN ', 'original', ' ELSE ', 'synthetic', ' END']))})")
 def agg_12(spark, sf):
-    return rounded(cs._gram_correlations(roles.pair(spark, sf), FEATURES, ["side"]))
+    return rounded(cs.gram_correlations(roles.pair(spark, sf), FEATURES, ["side"]))
 
 
 @query("agg_13_sample_quality", with_(LONG, STATS) + """
