@@ -151,10 +151,10 @@ def cd_15(spark, sf):
 
 def curves(spark, sf):
     return roles.table(spark, sf, "orders").select(
-        F.col("o_custkey").alias("run"), F.col("o_orderkey").alias("step"), (F.col("o_totalprice") / 100000).alias("loss"))
+        F.col("o_custkey").alias("run"), F.col("o_orderkey").alias("step"), (F.col("o_totalprice") / 1000).alias("loss"))
 
 
-CURVES = "curves AS (SELECT o_custkey AS run, o_orderkey AS step, o_totalprice / 100000 AS loss FROM orders)"
+CURVES = "curves AS (SELECT o_custkey AS run, o_orderkey AS step, o_totalprice / 1000 AS loss FROM orders)"
 
 
 @query("cd_16_loss_landscape", with_(CURVES) + """
@@ -179,11 +179,11 @@ def win_02(spark, sf):
 
 
 @query("win_03_tail_frame", with_(CURVES) + """
-SELECT run, count(*) AS points, round(avg(loss), 6) AS tail_mean FROM (SELECT *, row_number() OVER (PARTITION BY run ORDER BY step DESC) AS back FROM curves) WHERE back <= 5 GROUP BY run""")
+SELECT run, count(*) AS points, round(avg(loss), 8) AS tail_mean FROM (SELECT *, row_number() OVER (PARTITION BY run ORDER BY step DESC) AS back FROM curves) WHERE back <= 5 GROUP BY run""")
 def win_03(spark, sf):
     c = curves(spark, sf)
     placed = positions(c, ["run"], ["step"]).join(c.groupBy("run").agg(F.count("*").alias("n")), "run").filter("pos >= n - 5")
-    return rounded(placed.groupBy("run").agg(F.count("*").alias("points"), F.avg("loss").alias("tail_mean")))
+    return placed.groupBy("run").agg(F.count("*").alias("points"), F.round(F.avg("loss"), 8).alias("tail_mean"))
 
 
 @query("win_06_running_distribution", with_(LONG, RANKS) + "SELECT col, val, CAST(cs AS BIGINT) AS cum_n_syn, CAST(co AS BIGINT) AS cum_n_orig, cs + co - t + (t + 1) / 2 AS midrank FROM ranks")
@@ -336,12 +336,12 @@ def prj_04(spark, sf):
 
 
 @query("prj_05_equal_rows", "WITH " + SERIES + """, placed AS (SELECT *, row_number() OVER (PARTITION BY side ORDER BY row_id) AS pos, count(*) OVER (PARTITION BY side) AS n FROM series)
-SELECT side, row_id, round(total, 6) AS total FROM placed WHERE pos <= (SELECT min(n) FROM placed)""")
+SELECT side, row_id, total FROM placed WHERE pos <= (SELECT min(n) FROM placed)""")
 def prj_05(spark, sf):
     s = roles.order_series(spark, sf)
     shorter = s.groupBy("side").agg(F.count("*").alias("n")).agg(F.min("n").alias("n")).withColumn("_k", F.lit(1))
     placed = positions(s.select("side", "row_id", "total"), ["side"], ["row_id"]).withColumn("_k", F.lit(1))
-    return rounded(placed.join(F.broadcast(shorter), "_k").filter("pos < n").select("side", "row_id", "total"))
+    return placed.join(F.broadcast(shorter), "_k").filter("pos < n").select("side", "row_id", "total")
 
 
 @query("cd_32_scorecard")

@@ -100,3 +100,29 @@ def with_dimensions(scored: DataFrame, key: str) -> DataFrame:
             F.least(F.lit(100.0), F.greatest(F.lit(0.0), F.col("collapse_score") + 6.0 * F.col("dim_no") - 4.0 * F.col("priority"))), 2
         ),
     )
+
+
+def signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Embeddings read as the library of failure patterns; their numbers give scores and history."""
+    from plumbline.operators.search import normalised
+
+    part = lambda i, scale, base: F.floor((F.lit(base) + F.lit(scale) * F.col("embedding")[i].cast("double")) * 100) / 100
+    clip = lambda c: F.greatest(F.lit(0.0), F.least(F.lit(100.0), c))
+    dims = F.array(*[F.struct(F.lit(d).alias("dim_name"), clip(part(i + 1, 200.0, 60.0)).alias("score")) for i, d in enumerate(DIMENSIONS)])
+    return table(spark, sf_dir, "embeddings").select(
+        F.col("vec_id").alias("signature_id"),
+        F.col("label").cast("bigint").alias("cluster_id"),
+        normalised(F.col("embedding")).alias("vector"),
+        clip(part(0, 150.0, 50.0)).alias("collapse_score"),
+        F.pmod(F.col("vec_id") * 7, F.lit(13)).alias("usage_count"),
+        (F.col("label") / 10).alias("accuracy"),
+        F.abs(F.col("embedding")[9].cast("double")).alias("anomaly_score"),
+        dims.alias("dims"),
+    )
+
+
+def rows_with_impact(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[str], str]:
+    """Orders read as a table of rows to localise in: price and season by order key."""
+    df = table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("row_id"), (F.col("o_totalprice") / 1000).alias("price"), F.dayofyear("o_orderdate").cast("double").alias("season"))
+    return df, ["price", "season"], "row_id"
