@@ -1,6 +1,6 @@
 """Importing this module registers every query."""
 
-from plumbline.plans import collapse, localize, profile, scorecard, service, signatures  # noqa: F401
+from plumbline.plans import collapse, localize, planning, profile, scorecard, service, signatures, streams  # noqa: F401
 
 
 def flagship(spark, sf_dir):

@@ -78,3 +78,130 @@ def patience(curves: DataFrame, wait: int = 3) -> DataFrame:
     kept = stop.join(first_stop, "run").filter(F.col("early_stop_epoch").isNull() | (F.col("pos") <= F.col("early_stop_epoch")))
     return kept.groupBy("run").agg(
         F.min("loss").alias("best_loss"), F.max("since").alias("convergence_epoch"), F.max("early_stop_epoch").alias("early_stop_epoch"))
+
+
+# ---------------------------------------------------------------- models of one cascade
+
+# Collapse is signalled by loss variance, output entropy or frequency concentration.
+LOSS_VARIANCE_LIMIT = 1.0
+ENTROPY_LIMIT = 2.0
+CONCENTRATION_LIMIT = 100.0
+
+
+def tail_variance(curves: DataFrame, points: int = 5) -> DataFrame:
+    """``(run, points, tail_variance)`` over the last points of each curve."""
+    sized = curves.groupBy("run").agg(F.count("*").alias("points"))
+    tail = carry(curves, ["run"], ["step"], index="pos").join(sized, "run").filter(F.col("pos") >= F.col("points") - points)
+    return tail.groupBy("run").agg(F.max("points").alias("points"), F.var_pop("loss").alias("tail_variance"))
+
+
+def collapse_signals(curves: DataFrame, spectra: DataFrame) -> DataFrame:
+    """Per run: which of the three signals fired. ``spectra`` is ``(run, spectral_entropy, frequency_concentration)``."""
+    both = tail_variance(curves).join(spectra, "run")
+    loss = (F.col("points") > 3) & (F.col("tail_variance") > LOSS_VARIANCE_LIMIT)
+    entropy, peak = F.col("spectral_entropy") < ENTROPY_LIMIT, F.col("frequency_concentration") > CONCENTRATION_LIMIT
+    return both.select("run", "tail_variance", (loss | entropy | peak).alias("collapsed"))
+
+
+def output_spectra(outputs: DataFrame) -> DataFrame:
+    """Per run from ``(run, output array)``: energy, softmax entropy, frequency concentration and variance.
+
+    Every row is reduced to a few sums on its own; runs of any size then meet in an ordinary aggregate.
+    """
+    import numpy as np
+    import pandas as pd
+
+    def peaks(batches):
+        for pdf in batches:
+            power = [np.abs(np.fft.rfft(np.asarray(v, dtype=float))) ** 2 for v in pdf["output"]]
+            yield pd.DataFrame({"run": pdf["run"], "output": pdf["output"], "peak": [p.max() for p in power], "power": [p.sum() for p in power], "bins": [len(p) for p in power]})
+
+    kind = outputs.schema["run"].dataType.simpleString()
+    rows = outputs.mapInPandas(peaks, f"run {kind}, output array<double>, peak double, power double, bins long")
+    total = lambda f: F.aggregate("output", F.lit(0.0), lambda s, x: s + f(x))
+    z = total(F.exp)
+    entropy = -F.aggregate(F.transform("output", lambda x: F.exp(x)), F.lit(0.0), lambda s, e: s + e / F.col("z") * F.ln(e / F.col("z") + 1e-10))
+    per_row = rows.withColumn("z", z).select(
+        "run", "peak", "power", "bins", entropy.alias("entropy"), total(lambda x: x).alias("s"), total(lambda x: x * x).alias("q"), F.size("output").alias("n"))
+    n, s, q = F.sum("n"), F.sum("s"), F.sum("q")
+    return per_row.groupBy("run").agg(
+        (q / n).alias("spectral_energy"), F.avg("entropy").alias("spectral_entropy"),
+        (F.max("peak") / (F.sum("power") / F.sum("bins"))).alias("frequency_concentration"),
+        F.try_divide(q - s * s / n, n - 1).alias("representation_variance"))
+
+
+def progress(models: DataFrame) -> DataFrame:
+    """Per validation from ``(validation_id, done, seconds)``: percent done and seconds left at the mean pace."""
+    one = models.groupBy("validation_id").agg(
+        F.count("*").alias("models"), F.count_if(F.col("done")).alias("finished"), F.avg(F.when(F.col("done"), F.col("seconds"))).alias("pace"))
+    return one.select(
+        "validation_id", "models", "finished", (F.col("finished") * 100.0 / F.col("models")).alias("percent"),
+        ((F.col("models") - F.col("finished")) * F.col("pace")).alias("seconds_left"))
+
+
+# Weight of a model's vote by its tier.
+TIER_WEIGHTS = {1: 1.0, 2: 2.0, 3: 3.0}
+
+
+def consensus(models: DataFrame) -> DataFrame:
+    """Weighted share of collapsed models per validation; above 70 percent is high risk, with bands at 20 and 50."""
+    weight = F.lit(1.0)
+    for tier, w in TIER_WEIGHTS.items():
+        weight = F.when(F.col("tier") == tier, w).otherwise(weight)
+    share = F.sum(F.when(F.col("collapsed"), weight).otherwise(0.0)) / F.sum(weight) * 100
+    one = models.groupBy("validation_id").agg(share.alias("consensus"))
+    return one.withColumn("high_risk", F.col("consensus") > 70).withColumn(
+        "band", F.when(F.col("consensus") < 20, "low").when(F.col("consensus") < 50, "medium").otherwise("high"))
+
+
+def scaling_law(points: DataFrame, by: str, floors: int = 10) -> DataFrame:
+    """Per group: A, B, C and fit of ``loss = A * size^B + C``.
+
+    Every point enters once per trial floor C (a share of the group's smallest loss); the floor with the best
+    log-log fit wins. Regressions are partial sums, so a group may have any size.
+    """
+    least = points.groupBy(by).agg(F.min("loss").alias("least"))
+    shares = F.explode(F.array(*[F.lit(i / floors) for i in range(floors)]))
+    y = F.ln(F.col("loss") - F.col("least") * F.col("share"))
+    x = F.ln("size")
+    fits = (
+        points.join(least, by).select("*", shares.alias("share")).filter(F.col("loss") > F.col("least") * F.col("share"))
+        .select(by, "share", "least", x.alias("x"), y.alias("y")).groupBy(by, "share")
+        .agg(F.max("least").alias("least"), F.regr_slope("y", "x").alias("b"), F.regr_intercept("y", "x").alias("ln_a"), F.regr_r2("y", "x").alias("r2"))
+    )
+    best = fits.filter("r2 IS NOT NULL").groupBy(by).agg(F.max_by(F.struct("share", "least", "b", "ln_a", "r2"), F.struct("r2", -F.col("share"))).alias("f"))
+    return best.select(by, F.exp("f.ln_a").alias("a"), F.col("f.b").alias("b"), (F.col("f.share") * F.col("f.least")).alias("c"), F.col("f.r2").alias("r2"))
+
+
+def extrapolate(laws: DataFrame, by: str, sizes: list[float]) -> DataFrame:
+    at = F.explode(F.array(*[F.lit(float(s)) for s in sizes]))
+    return laws.select("*", at.alias("size")).select(by, "size", (F.col("a") * F.pow("size", F.col("b")) + F.col("c")).alias("predicted"))
+
+
+def prediction_error(predicted: DataFrame, actual: DataFrame, key: str, by: str) -> DataFrame:
+    """Mean absolute error and bias of predictions against outcomes, per group."""
+    both = predicted.join(actual, key)
+    diff = F.col("predicted") - F.col("actual")
+    return both.groupBy(by).agg(F.count("*").alias("n"), F.avg(F.abs(diff)).alias("mae"), F.avg(diff).alias("bias"))
+
+
+def capacity_ladder(df: DataFrame, features: list[str], label: str, depths: list[int], variants: int, seed: int = 42) -> DataFrame:
+    """The same data, models of growing capacity, several subsamples each: one metrics row per model.
+
+    Subsamples are disjoint hash parts, so every row trains one variant and tests the others.
+    """
+    from pyspark.ml.evaluation import RegressionEvaluator
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.regression import DecisionTreeRegressor
+
+    part = F.pmod(F.xxhash64(F.lit(seed), *features, label), F.lit(variants))
+    rows = VectorAssembler(inputCols=features, outputCol="features").transform(df.select(*features, label, part.alias("part")))
+    score = RegressionEvaluator(labelCol=label, metricName="rmse")
+    out = []
+    for depth in depths:  # a grid of a few models, each fit a distributed job
+        for v in range(variants):
+            model = DecisionTreeRegressor(maxDepth=depth, labelCol=label, seed=seed).fit(rows.filter(F.col("part") == v))
+            train = score.evaluate(model.transform(rows.filter(F.col("part") == v)))
+            test = score.evaluate(model.transform(rows.filter(F.col("part") != v)))
+            out.append((depth, v, model.numNodes, float(train), float(test)))
+    return df.sparkSession.createDataFrame(out, "capacity int, variant int, nodes int, train_loss double, test_loss double")
