@@ -55,6 +55,11 @@ def read_arrow(spark: SparkSession, path: str, schema: T.StructType | str | None
         schema = from_arrow_schema(_open(pa.py_buffer(head)).schema)
     elif isinstance(schema, str):
         schema = T._parse_datatype_string(schema)
+    return decode_arrow(spark.read.format("binaryFile").load(path).select("content"), schema)
+
+
+def decode_arrow(contents: DataFrame, schema: T.StructType) -> DataFrame:
+    """Rows of Arrow files held in a ``content`` column, one record batch at a time."""
     names = schema.fieldNames()
 
     def decode(batches):
@@ -65,7 +70,7 @@ def read_arrow(spark: SparkSession, path: str, schema: T.StructType | str | None
                 for part in parts:
                     yield part.select(names)
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(decode, schema)
+    return contents.mapInArrow(decode, schema)
 
 
 def _open(buffer):
