@@ -253,6 +253,23 @@ def correlation_pairs(pair: DataFrame, cols: list[str]) -> DataFrame:
     return r.groupBy("i", "j").agg(F.max(F.when(is_syn(), F.col("r"))).alias("r_syn"), F.max(F.when(is_orig(), F.col("r"))).alias("r_orig"))
 
 
+def per_column(pair: DataFrame, cols: list[str], buckets: int | None = None) -> DataFrame:
+    """All measures that compare column with column, one row each.
+
+    Value counts are shuffled once and feed the ranks and all histograms of this plan.
+    """
+    counts = counted_cells(pair, cols)
+    ranked = running_counts(counts, ["n_syn", "n_orig"], bucket_edges(pair, cols, buckets))
+    joint = joint_bins(counts)
+    return (
+        rank_metrics(ranked)
+        .join(intersection_and_kl(fidelity_bins(joint)), "col")
+        .join(entropies(joint), "col")
+        .join(chi_square(joint), "col")
+        .join(moment_match(pair, cols), "col")
+    )
+
+
 def correlation_metrics(pairs: DataFrame, moments: DataFrame, n_cols: int) -> DataFrame:
     """One row: Frobenius similarity, correlation of correlations, top pairs kept."""
     n_pairs = n_cols * (n_cols - 1) // 2

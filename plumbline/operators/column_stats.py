@@ -36,8 +36,11 @@ def sample_kurtosis(g2: Column, n: Column) -> Column:
 
 
 def moments(long: DataFrame) -> DataFrame:
+    """One pass over the long form, nulls kept so that they can be counted."""
     n = F.count("val")
     return long.groupBy("col").agg(
+        F.count("*").alias("rows"),
+        (F.count("*") - n).alias("nulls"),
         n.alias("count"),
         F.avg("val").alias("mean"),
         F.coalesce(F.stddev_samp("val"), F.lit(0.0)).alias("std"),
@@ -57,15 +60,9 @@ def null_counts(df: DataFrame, cols: list[str]) -> DataFrame:
 def column_stats(df: DataFrame, cols: list[str] | None = None, buckets: int | None = None) -> DataFrame:
     """Exact statistics, one row per numeric column; quantiles and distinct counts by ranked value counts."""
     cols = cols or numeric_columns(df)
-    long = to_long(df, cols)
-    ranked = running_counts(value_counts(long), ["n"], bucket_edges(df, cols, buckets))
-    distinct = ranked.groupBy("col").agg(F.count("*").alias("distinct"))
-    return (
-        null_counts(df, cols)
-        .join(moments(long), "col", "left")
-        .join(quantiles(ranked, QUARTILES), "col", "left")
-        .join(distinct, "col", "left")
-    )
+    ranked = running_counts(value_counts(to_long(df, cols)), ["n"], bucket_edges(df, cols, buckets))
+    exact = quantiles(ranked, QUARTILES, "n", F.count("*").alias("distinct"))
+    return moments(to_long(df, cols, nulls=True)).join(exact, "col", "left")
 
 
 def mergeable_stats(df: DataFrame, cols: list[str] | None = None, accuracy: int = 10000) -> DataFrame:

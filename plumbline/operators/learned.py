@@ -42,12 +42,25 @@ def effective_dimension(cov: np.ndarray, share: float = 0.9, most: int = 50) ->
     return int(np.argmax(np.cumsum(values / whole)[:most] > share)) + 1
 
 
-def dimension_metrics(pair: DataFrame, cols: list[str]) -> dict[str, float]:
-    cov = covariances(pair, cols, "side")
+def dimension_metrics(cov: dict[str, np.ndarray]) -> dict[str, float]:
     ratio = effective_dimension(cov["synthetic"]) / (effective_dimension(cov["original"]) + 1e-10)
     return {"dimensionality_ratio": ratio, "dimensionality_preservation": 100 * float(np.exp(-abs(ratio - 1)))}
 
 
+def correlation_tables(spark, cov: dict[str, np.ndarray]) -> tuple[DataFrame, DataFrame]:
+    """Pair correlations and deviations of both sides from their covariance matrices; flat columns correlate with nothing."""
+    r, sd = {}, {}
+    for side, m in cov.items():
+        s = np.sqrt(np.clip(np.diag(m), 0, None))
+        live = s > 1e-12
+        scale = np.where(live, s, 1.0)
+        r[side], sd[side] = np.where(live[:, None] & live[None, :], m / np.outer(scale, scale), 0.0), s
+    d = len(sd["original"])
+    pairs = [(i, j, float(r["synthetic"][i, j]), float(r["original"][i, j])) for i in range(d) for j in range(i + 1, d)]
+    deviations = [(i, float(sd["synthetic"][i]), float(sd["original"][i])) for i in range(d)]
+    return (spark.createDataFrame(pairs, "i int, j int, r_syn double, r_orig double"), spark.createDataFrame(deviations, "i int, std_syn double, std_orig double"))
+
+
 def explained_variance(spark, cov: dict[str, np.ndarray]) -> DataFrame:
     """``(side, component, share, cumulative)``, one row per component."""
     rows = []

@@ -7,6 +7,7 @@ the totals of the buckets before, so no task sees a whole column.
 
 from __future__ import annotations
 
+import json
 import math
 
 from pyspark.sql import Column, DataFrame, Window
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 MAX_BUCKETS = 1024
+EVERY = "*"  # edges under this name serve every column
 
 
 def numeric_columns(df: DataFrame, exclude: tuple[str, ...] = ()) -> list[str]:
@@ -37,18 +39,21 @@ def scrub(c: Column) -> Column:
     )
 
 
-def to_long(df: DataFrame, cols: list[str], ids: list[str] | None = None, clean: bool = True) -> DataFrame:
-    """``(ids…, col, val)`` with one row per cell; nulls are dropped per column, not per row."""
+def to_long(df: DataFrame, cols: list[str], ids: list[str] | None = None, clean: bool = True, nulls: bool = False) -> DataFrame:
+    """``(ids…, col, val)`` with one row per cell; nulls are dropped per column, not per row, unless kept."""
     ids = ids or []
     cell = scrub if clean else (lambda c: c.cast("double"))
     wide = df.select(*ids, *[cell(F.col(c)).alias(c) for c in cols])
-    return wide.unpivot(ids, cols, "col", "val").filter(F.col("val").isNotNull())
+    # a generator rather than an unpivot: plans over it compare equal, so their shuffles are reused
+    cells = wide.select(*ids, F.inline(F.array(*[F.struct(F.lit(c).alias("col"), F.col(c).alias("val")) for c in cols])))
+    return cells if nulls else cells.filter(F.col("val").isNotNull())
 
 
 def value_counts(long: DataFrame, **weights: Column) -> DataFrame:
     """One row per (col, val); each keyword names a counter and the rows it counts."""
-    counters = weights or {"n": F.lit(True)}
-    return long.groupBy("col", "val").agg(*[F.count_if(w).alias(name) for name, w in counters.items()])
+    if not weights:
+        return long.groupBy("col", "val").agg(F.count("*").alias("n"))
+    return long.groupBy("col", "val").agg(*[F.sum(F.when(w, 1).otherwise(0).cast("bigint")).alias(name) for name, w in weights.items()])
 
 
 def default_buckets(df: DataFrame) -> int:
@@ -56,34 +61,35 @@ def default_buckets(df: DataFrame) -> int:
     return max(2, min(MAX_BUCKETS, wanted))
 
 
+EDGE_SHARE = 0.05
+
+
 def bucket_edges(df: DataFrame, cols: list[str], buckets: int | None = None) -> dict[str, list[float]]:
     """Split points per column from a mergeable quantile sketch: one small row on the driver.
 
-    The edges only balance the work; every result is the same for any edges.
+    Like the bounds of a range partitioning they come from a sample and only balance the work;
+    every row is placed and every result is the same for any edges.
     """
     buckets = buckets or default_buckets(df)
     shares = [i / buckets for i in range(1, buckets)]
-    row = df.agg(
-        *[F.percentile_approx(scrub(F.col(c)), shares, max(1000, 10 * buckets)).alias(f"e{i}") for i, c in enumerate(cols)]
-    ).first()
+    some = df.select(*[scrub(F.col(c)).alias(f"v{i}") for i, c in enumerate(cols)]).sample(EDGE_SHARE, 7)
+    row = some.agg(*[F.percentile_approx(f"v{i}", shares, max(100, 5 * buckets)).alias(f"e{i}") for i in range(len(cols))]).first()
     return {c: sorted(set(row[f"e{i}"] or [])) for i, c in enumerate(cols)}
 
 
 def with_bucket(df: DataFrame, edges: dict[str, list[float]], out: str = "bucket") -> DataFrame:
-    """Add the value bucket of each (col, val). The broadcast table has one row per column."""
-    rows = []
-    for c, e in edges.items():
-        step = max(1, math.isqrt(len(e)))
-        rows.append((c, e, e[step - 1 :: step], step))
-    table = df.sparkSession.createDataFrame(
-        rows, "col string, _edges array<double>, _coarse array<double>, _step int"
-    )
+    """Add the value bucket of each (col, val): first among every n-th edge, then among the n edges there."""
+    step = {c: max(1, math.isqrt(len(e))) for c, e in edges.items()}
+    table = {"edges": edges, "coarse": {c: e[step[c] - 1 :: step[c]] for c, e in edges.items()}, "step": step}
+    # one constant of at most columns x MAX_BUCKETS numbers, folded before the tasks start
+    held = F.from_json(F.lit(json.dumps(table)), "edges map<string,array<double>>, coarse map<string,array<double>>, step map<string,int>")
+    key = F.lit(EVERY) if set(edges) == {EVERY} else F.col("col")
+    of = lambda name: F.element_at(held[name], key)
     below = lambda arr: F.size(F.filter(arr, lambda x: x < F.col("val")))
-    first = below(F.col("_coarse")) * F.col("_step")
-    joined = df.join(F.broadcast(table), "col").withColumn("_first", first)
-    return joined.withColumn(out, F.col("_first") + below(F.slice("_edges", F.col("_first") + 1, F.col("_step")))).drop(
-        "_edges", "_coarse", "_step", "_first"
-    )
+    first = df.withColumn("_first", F.coalesce(below(of("coarse")) * of("step"), F.lit(0)))
+    fine = below(F.slice(of("edges"), F.col("_first") + 1, of("step")))
+    # never null, so that joins on it push no null test down to where rows are not yet counted
+    return first.withColumn(out, F.coalesce(F.col("_first") + fine, F.lit(0))).drop("_first")
 
 
 def running_counts(counts: DataFrame, names: list[str], edges: dict[str, list[float]]) -> DataFrame:
@@ -122,8 +128,8 @@ def running_counts(counts: DataFrame, names: list[str], edges: dict[str, list[fl
     )
 
 
-def quantiles(ranked: DataFrame, shares: dict[str, float], name: str = "n") -> DataFrame:
-    """Linear-interpolated quantiles per column from running counts, one row per column."""
+def quantiles(ranked: DataFrame, shares: dict[str, float], name: str = "n", *more: Column) -> DataFrame:
+    """Linear-interpolated quantiles per column from running counts, one row per column; ``more`` aggregates ride along."""
     cum, n, tot = F.col(f"cum_{name}"), F.col(name), F.col(f"tot_{name}")
     out = []
     for alias, q in shares.items():
@@ -132,4 +138,4 @@ def quantiles(ranked: DataFrame, shares: dict[str, float], name: str = "n") -> D
         at = lambda pos: F.max(F.when((cum - n <= pos) & (pos < cum), F.col("val")))
         part = F.max(h - lo)
         out.append((at(lo) + (at(hi) - at(lo)) * part).alias(alias))
-    return ranked.groupBy("col").agg(*out)
+    return ranked.groupBy("col").agg(*out, *more)

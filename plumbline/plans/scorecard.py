@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
+from typing import Any
+
+from pyspark import inheritable_thread_target
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline import roles
@@ -10,15 +15,7 @@ from plumbline.operators import collapse as cd
 from plumbline.operators import learned, runs, spectral
 
 
-def distribution_fidelity(pair: DataFrame, cols: list[str], ranked: DataFrame | None = None, joint: DataFrame | None = None) -> DataFrame:
-    """One row of metrics and the weighted score. Per-column tables of one row per column are joined by column."""
-    ranked = cd.rank_table(pair, cols) if ranked is None else ranked
-    joint = cd.joint_bins(cd.cells(pair, cols)) if joint is None else joint
-    per_col = (
-        cd.rank_metrics(ranked).select("col", "ks_similarity", "w1_similarity")
-        .join(cd.intersection_and_kl(cd.fidelity_bins(joint)), "col")
-        .join(cd.moment_match(pair, cols), "col")
-    )
+def distribution_of(per_col: DataFrame) -> DataFrame:
     one = per_col.agg(
         (F.avg("ks_similarity") * 100).alias("ks_similarity"),
         (F.avg("w1_similarity") * 100).alias("wasserstein_similarity"),
@@ -30,31 +27,44 @@ def distribution_fidelity(pair: DataFrame, cols: list[str], ranked: DataFrame |
     return one.withColumn("score", cd.weighted("distribution_fidelity"))
 
 
+def distribution_fidelity(pair: DataFrame, cols: list[str]) -> DataFrame:
+    """One row of metrics and the weighted score."""
+    return distribution_of(cd.per_column(pair, cols))
+
+
 def correlation_preservation(pair: DataFrame, cols: list[str]) -> DataFrame:
     m = cd.correlation_metrics(cd.correlation_pairs(pair, cols), cd.moment_match(pair, cols), len(cols))
     return m.withColumn("score", cd.weighted("correlation_preservation"))
 
 
-def entropy_stability(pair: DataFrame, cols: list[str], joint: DataFrame | None = None) -> DataFrame:
-    joint = cd.joint_bins(cd.cells(pair, cols)) if joint is None else joint
-    dims = learned.dimension_metrics(pair, cols)
-    ratio = cd.entropies(joint).agg(F.avg("ratio").alias("entropy_ratio")).withColumn("_k", F.lit(1))
-    info = cd.mutual_information(pair, cols).agg(F.coalesce(F.avg("mi_score"), F.lit(85.0)).alias("mutual_information")).withColumn("_k", F.lit(1))
-    one = ratio.join(F.broadcast(info), "_k").select(  # single rows
-        "entropy_ratio", (100 * F.exp(-F.abs(F.col("entropy_ratio") - 1))).alias("entropy_stability"), "mutual_information",
-        *[F.lit(v).alias(k) for k, v in dims.items()])
-    return one.withColumn("score", cd.weighted("entropy_stability"))
+def entropy_of(entropies: DataFrame, info: float, dims: dict[str, float]) -> DataFrame:
+    one = entropies.agg(F.avg("ratio").alias("entropy_ratio"))
+    return one.select(
+        "entropy_ratio", (100 * F.exp(-F.abs(F.col("entropy_ratio") - 1))).alias("entropy_stability"), F.lit(info).alias("mutual_information"),
+        *[F.lit(v).alias(k) for k, v in dims.items()]).withColumn("score", cd.weighted("entropy_stability"))
+
+
+def information_score(pair: DataFrame, cols: list[str]) -> float:
+    """Mean over the features; 85 if there is nothing to compare."""
+    mean = cd.mutual_information(pair, cols).agg(F.avg("mi_score").alias("m")).first()["m"] if len(cols) > 1 else None
+    return 85.0 if mean is None else mean
 
 
-def statistical_consistency(pair: DataFrame, cols: list[str], ranked: DataFrame | None = None, joint: DataFrame | None = None) -> DataFrame:
-    ranked = cd.rank_table(pair, cols) if ranked is None else ranked
-    joint = cd.joint_bins(cd.cells(pair, cols)) if joint is None else joint
-    ranks = cd.with_p_values(cd.rank_metrics(ranked).select("col", "ad_score", "z"))
-    chi = cd.with_chi_p(cd.chi_square(joint))
-    one = ranks.join(chi, "col").agg(
+def entropy_stability(pair: DataFrame, cols: list[str]) -> DataFrame:
+    ratios = cd.entropies(cd.joint_bins(cd.cells(pair, cols)))
+    return entropy_of(ratios, information_score(pair, cols), learned.dimension_metrics(learned.covariances(pair, cols, "side")))
+
+
+def consistency_of(per_col: DataFrame) -> DataFrame:
+    one = cd.with_p_values(cd.with_chi_p(per_col)).agg(
         (F.avg("chi_p") * 100).alias("chi2_consistency"), F.avg("ad_score").alias("anderson_darling_score"), (F.avg("mw_p") * 100).alias("mann_whitney_pvalue"))
-    score = F.greatest(F.lit(0.0), F.least(F.lit(100.0), cd.weighted("statistical_consistency")))
-    return one.withColumn("score", score)
+    return one.withColumn("score", F.greatest(F.lit(0.0), F.least(F.lit(100.0), cd.weighted("statistical_consistency"))))
+
+
+def statistical_consistency(pair: DataFrame, cols: list[str]) -> DataFrame:
+    counts = cd.counted_cells(pair, cols)
+    ranks = cd.rank_metrics(cd.rank_table(pair, cols)).select("col", "ad_score", "z")
+    return consistency_of(ranks.join(cd.chi_square(cd.joint_bins(counts)), "col"))
 
 
 def spectral_coherence(series: DataFrame, cols: list[str], row_id: str, block: int = spectral.BLOCK_ROWS) -> DataFrame:
@@ -75,11 +85,12 @@ def loss_dimension(curve: DataFrame) -> DataFrame:
     return runs.loss_landscape(curve.withColumn("run", F.lit(0))).drop("run")
 
 
-def as_row(name: str, one: DataFrame) -> DataFrame:
-    """``(dim_name, score, metrics)`` from a single row of named numbers."""
-    metrics = [c for c in one.columns if c != "score"]
-    pairs = [x for m in metrics for x in (F.lit(m), F.col(m).cast("double"))]
-    return one.select(F.lit(name).alias("dim_name"), F.col("score").cast("double").alias("score"), F.create_map(*pairs).alias("metrics"))
+DIMENSION_ROW = "dim_name string, score double, metrics map<string,double>"
+
+
+def as_row(name: str, one: Row) -> tuple[str, float, dict[str, float]]:
+    metrics = {k: None if v is None else float(v) for k, v in one.asDict().items() if k != "score"}
+    return name, float(one["score"]), metrics
 
 
 def scorecard(
@@ -91,28 +102,39 @@ def scorecard(
 ) -> DataFrame:
     """Eight dimension rows and an ``overall`` row.
 
-    Value counts and bins feed several dimensions; inside the one plan Spark reuses their shuffle.
-    ``series`` is a pair with a row order for the spectral dimension; without it, gradients or losses
-    the dimension is neutral.
+    The dimensions are independent Spark jobs, submitted together so that they share the cluster; each
+    brings one row of numbers back. ``series`` is a pair with a row order for the spectral dimension;
+    without it, gradients or losses the dimension is neutral.
     """
-    ranked = cd.rank_table(pair, cols)
-    joint = cd.joint_bins(cd.counted_cells(pair, cols))
-    rows = [
-        as_row("distribution_fidelity", distribution_fidelity(pair, cols, ranked, joint)),
-        as_row("correlation_preservation", correlation_preservation(pair, cols)),
-        as_row("entropy_stability", entropy_stability(pair, cols, joint)),
-        as_row("generalization_gap", generalization_gap(pair, cols)),
-        as_row("statistical_consistency", statistical_consistency(pair, cols, ranked, joint)),
-    ]
+    spark = pair.sparkSession
+
+    def columns() -> DataFrame:
+        table = cd.per_column(pair, cols)
+        return spark.createDataFrame(table.collect(), table.schema)  # one row per column
+
+    work: dict[str, Callable[[], Any]] = {
+        "columns": columns,
+        "covariances": lambda: learned.covariances(pair, cols, "side"),
+        "information": lambda: information_score(pair, cols),
+        "generalization_gap": lambda: generalization_gap(pair, cols).first(),
+    }
     if series is not None:
-        rows.append(as_row("spectral_coherence", spectral_coherence(*series)))
+        work["spectral_coherence"] = lambda: spectral_coherence(*series).first()
     if gradients is not None:
-        rows.append(as_row("gradient_health", gradient_dimension(gradients)))
+        work["gradient_health"] = lambda: gradient_dimension(gradients).first()
     if losses is not None:
-        rows.append(as_row("loss_landscape", loss_dimension(losses)))
-    found = rows[0]
-    for r in rows[1:]:
-        found = found.unionByName(r)
+        work["loss_landscape"] = lambda: loss_dimension(losses).first()
+    with ThreadPoolExecutor(len(work)) as pool:
+        running = {name: pool.submit(inheritable_thread_target(spark)(job)) for name, job in work.items()}
+        done = {name: job.result() for name, job in running.items()}
+
+    per_col, cov = done.pop("columns"), done.pop("covariances")
+    pairs, deviations = learned.correlation_tables(spark, cov)
+    done["distribution_fidelity"] = distribution_of(per_col).first()
+    done["statistical_consistency"] = consistency_of(per_col).first()
+    done["entropy_stability"] = entropy_of(per_col, done.pop("information"), learned.dimension_metrics(cov)).first()
+    done["correlation_preservation"] = cd.correlation_metrics(pairs, deviations, len(cols)).withColumn("score", cd.weighted("correlation_preservation")).first()
+    found = spark.createDataFrame([as_row(name, one) for name, one in done.items() if one is not None], DIMENSION_ROW)
     found = found.withColumn("validation_id", F.lit(0))
     dims = cd.judged(cd.with_neutral(found.select("validation_id", "dim_name", "score"), "validation_id"))
     dims = dims.join(found.select("dim_name", "metrics"), "dim_name", "left")
