@@ -218,7 +218,7 @@ def quality_report(df: DataFrame, stats: DataFrame, cols: list[str]) -> DataFram
 
 # ---------------------------------------------------------------- correlations
 
-WIDE_LIMIT = 24
+WIDE_LIMIT = 12
 
 
 def correlations(df: DataFrame, cols: list[str], by: list[str] | None = None) -> DataFrame:

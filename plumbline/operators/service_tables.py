@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from plumbline.operators.sequences import positions
+
 # Job states, coverage by warranty type, hours until completion by priority.
 JOB_STATES = ["pending", "queued", "processing", "completed", "failed", "cancelled"]
 COVERAGE = {"standard": 100000, "premium": 500000, "enterprise": 1000000}
@@ -135,6 +135,13 @@ def latest_per_owner(df: DataFrame, owner: str, order: list[Column], n: int) ->
     return df.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n)
 
 
+def queue_positions(jobs: DataFrame, owner: str) -> DataFrame:
+    """1-based place in the owner's queue by priority, then age; a long queue is numbered bucket by bucket."""
+    age = F.unix_seconds(F.col("created_at").cast("timestamp"))
+    keyed = jobs.withColumn("_order", age - F.col("priority") * F.lit(2**36))  # seconds stay below 2^36
+    return positions(keyed, [owner], ["_order", "created_at", "validation_id"], "_pos").withColumn("position", F.col("_pos") + 1).drop("_order", "_pos")
+
+
 def live_only(df: DataFrame) -> DataFrame:
     return df.filter(F.col("deleted_at").isNull())
 
@@ -266,7 +273,3 @@ def partial_update(base: DataFrame, delta: DataFrame, key: str, cols: list[str])
     return base.join(new, key, "left").select(
         *[F.coalesce(f"new_{c}", c).alias(c) if c in cols else F.col(c) for c in base.columns]
     )
-
-
-def plan_pages(total: int, size: int) -> int:
-    return math.ceil(total / size)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from plumbline import roles
@@ -293,8 +292,7 @@ def win_08(spark, sf):
 SELECT user_id, validation_id, row_number() OVER (PARTITION BY user_id ORDER BY priority DESC, created_at, validation_id) AS position
 FROM validations WHERE status = 'pending'""")
 def win_10(spark, sf):
-    w = Window.partitionBy("user_id").orderBy(F.col("priority").desc(), "created_at", "validation_id")
-    return st.of_owner(roles.validations(spark, sf), "pending").select("user_id", "validation_id", F.row_number().over(w).cast("bigint").alias("position"))
+    return st.queue_positions(st.of_owner(roles.validations(spark, sf), "pending"), "user_id").select("user_id", "validation_id", "position")
 
 
 @query("srt_01_newest_first", V + "SELECT validation_id, risk_score FROM validations ORDER BY risk_score DESC NULLS FIRST, validation_id LIMIT 100")

@@ -1,10 +1,8 @@
-"""Session settings for local runs, and lineage cutting for clusters."""
+"""Session settings for local runs."""
 
 from __future__ import annotations
 
-import tempfile
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
 
 def local_session(cores: int | str = 8, partitions: int = 8, memory: str = "12g") -> SparkSession:
@@ -20,21 +18,3 @@ def local_session(cores: int | str = 8, partitions: int = 8, memory: str = "12g"
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .getOrCreate()
     )
-
-
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Checkpoint into the shared folder the cluster names in ``spark.checkpoint.dir``.
-
-    A temporary folder stands in only for a local session that names none.
-    """
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    if not sc.getConf().get("spark.checkpoint.dir", "") and sc.getCheckpointDir() is None:
-        shared = spark.conf.get("spark.checkpoint.dir", "")
-        if shared:
-            sc.setCheckpointDir(shared)
-        elif sc.master.startswith("local"):
-            sc.setCheckpointDir(tempfile.mkdtemp(prefix="plumbline-checkpoint-"))
-        else:
-            raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-    return df.checkpoint()

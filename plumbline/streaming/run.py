@@ -27,8 +27,12 @@ def file_stream(spark: SparkSession, path: str, schema, files_per_batch: int | N
     return r.parquet(path)
 
 
+FILES_PER_BATCH = 64
+
+
 def table_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return file_stream(spark, f"{sf_dir}/{name}.parquet*", spark.read.parquet(f"{sf_dir}/{name}.parquet").schema)
+    """A whole table as a stream of bounded batches, which also bounds what one key brings to a stateful step."""
+    return file_stream(spark, f"{sf_dir}/{name}.parquet*", spark.read.parquet(f"{sf_dir}/{name}.parquet").schema, FILES_PER_BATCH)
 
 
 def run_to_table(stream: DataFrame, mode: str = "append") -> DataFrame:
