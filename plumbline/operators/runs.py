@@ -70,14 +70,13 @@ def patience(curves: DataFrame, wait: int = 3) -> DataFrame:
     Training would have stopped there, so later points do not count as best.
     """
     ran = carry(curves, ["run"], ["step"], mins={"best_so_far": "loss"}, index="pos")
-    new_best = carry(ran, ["run"], ["step"], lags={"best_before": "best_so_far"})
-    marked = new_best.withColumn("best_pos", F.when(F.col("best_before").isNull() | (F.col("loss") < F.col("best_before")), F.col("pos")))
-    waited = carry(marked, ["run"], ["step"], lasts={"since": "best_pos"})
-    stop = waited.withColumn("stale", F.col("pos") - F.col("since"))
-    first_stop = stop.groupBy("run").agg(F.min(F.when(F.col("stale") >= wait, F.col("pos"))).alias("early_stop_epoch"))
-    kept = stop.join(first_stop, "run").filter(F.col("early_stop_epoch").isNull() | (F.col("pos") <= F.col("early_stop_epoch")))
-    return kept.groupBy("run").agg(
-        F.min("loss").alias("best_loss"), F.max("since").alias("convergence_epoch"), F.max("early_stop_epoch").alias("early_stop_epoch"))
+    # a stretch is the time one value stayed the best; it starts where that value was reached
+    stretches = ran.groupBy("run", "best_so_far").agg(F.min("pos").alias("since"), F.max("pos").alias("until"))
+    stopped = F.min(F.when(F.col("until") - F.col("since") >= wait, F.col("since") + wait))
+    stops = stretches.groupBy("run").agg(stopped.alias("early_stop_epoch"))
+    seen = stretches.join(stops, "run").filter(F.col("early_stop_epoch").isNull() | (F.col("since") <= F.col("early_stop_epoch")))
+    return seen.groupBy("run").agg(
+        F.min("best_so_far").alias("best_loss"), F.max("since").alias("convergence_epoch"), F.max("early_stop_epoch").alias("early_stop_epoch"))
 
 
 # ---------------------------------------------------------------- models of one cascade
