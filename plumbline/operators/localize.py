@@ -23,10 +23,9 @@ def _clean(df: DataFrame, cols: list[str]) -> list[Column]:
 
 
 def divided_by_max(df: DataFrame, col: str) -> DataFrame:
-    """Divide by the largest value, found by an aggregate of one row."""
-    top = df.agg(F.max(col).alias("_max")).withColumn("_k", F.lit(1))
-    joined = df.withColumn("_k", F.lit(1)).join(F.broadcast(top), "_k").drop("_k")
-    return joined.withColumn(col, F.when(F.col("_max") > 0, F.col(col) / F.col("_max")).otherwise(F.col(col))).drop("_max")
+    """Divide by the largest value, a scalar subquery."""
+    scaled = df.withColumn("_max", df.agg(F.max(col)).scalar())
+    return scaled.withColumn(col, F.when(F.col("_max") > 0, F.col(col) / F.col("_max")).otherwise(F.col(col))).drop("_max")
 
 
 def mahalanobis(df: DataFrame, cols: list[str], row_id: str) -> DataFrame:
@@ -147,9 +146,8 @@ def feature_attribution(df: DataFrame, cols: list[str], dims: DataFrame, key: st
     var = to_long(df, cols).groupBy("col").agg(F.var_pop("val").alias("variance"))
     shares = divided_by_max(var, "variance").withColumnRenamed("variance", "attribution")
     table = F.collect_list(F.struct("col", "attribution"))
-    features = shares.agg(table.alias("features")).withColumn("_k", F.lit(1))  # one entry per feature
-    failing = dims.filter(F.col("score") < 65).select(key, "dim_name").withColumn("_k", F.lit(1))
-    return failing.join(F.broadcast(features), "_k").select(key, "dim_name", F.inline("features"))
+    features = shares.agg(table).scalar()  # one entry per feature
+    return dims.filter(F.col("score") < 65).select(key, "dim_name", features.alias("features")).select(key, "dim_name", F.inline("features"))
 
 
 def problem_regions(scored: DataFrame, row_id: str, threshold: float) -> DataFrame:

@@ -33,8 +33,8 @@ def repeated_entities(df: DataFrame, key: list[str]) -> DataFrame:
 def split_by_time(df: DataFrame, time: str) -> DataFrame:
     """Early half as original, late half as synthetic, at the middle of the covered days."""
     day = F.unix_date(F.col(time).cast("date"))
-    span = df.agg(((F.min(day) + F.max(day)) / 2).alias("_mid")).withColumn("_k", F.lit(1))
-    return df.withColumn("_k", F.lit(1)).join(F.broadcast(span), "_k").withColumn("side", F.when(day <= F.col("_mid"), "original").otherwise("synthetic")).drop("_k", "_mid")
+    middle = df.agg((F.min(day) + F.max(day)) / 2).scalar()
+    return df.withColumn("side", F.when(day <= middle, "original").otherwise("synthetic"))
 
 
 def drift(df: DataFrame, time: str, cols: list[str]) -> DataFrame:
@@ -107,10 +107,8 @@ def concentration(df: DataFrame, cols: list[str], top: int = 4) -> DataFrame:
 
 def rare_patterns(df: DataFrame, combo: list[str], limit: float = 0.01) -> DataFrame:
     """Combinations below a share of all rows."""
-    per = df.groupBy(*combo).agg(F.count("*").alias("n")).withColumn("_k", F.lit(1))
-    total = df.agg(F.count("*").alias("_rows")).withColumn("_k", F.lit(1))
-    both = per.join(F.broadcast(total), "_k")  # one row
-    return both.withColumn("share", F.col("n") / F.col("_rows")).filter(F.col("share") < limit).drop("_k", "_rows")
+    per = df.groupBy(*combo).agg(F.count("*").alias("n"))
+    return per.withColumn("share", F.col("n") / df.agg(F.count("*")).scalar()).filter(F.col("share") < limit)
 
 
 def rare_recall(pair: DataFrame, combo: list[str], limit: float = 0.01) -> DataFrame:
@@ -215,15 +213,14 @@ def collapse_types(dims: DataFrame, key: str) -> DataFrame:
 
 def root_causes(counts: DataFrame) -> DataFrame:
     """``(cause, n)`` to shares of all findings."""
-    total = counts.agg(F.sum("n").alias("_t")).withColumn("_k", F.lit(1))
-    return counts.withColumn("_k", F.lit(1)).join(F.broadcast(total), "_k").select("cause", "n", F.coalesce(F.try_divide(F.col("n") * 100.0, F.col("_t")), F.lit(0.0)).alias("percentage"))
+    total = counts.agg(F.sum("n")).scalar()
+    return counts.select("cause", "n", F.coalesce(F.try_divide(F.col("n") * 100.0, total), F.lit(0.0)).alias("percentage"))
 
 
 def ablation(scored: DataFrame, region: str, value: str) -> DataFrame:
     """Mean without each region against the mean of all, from one sum per region."""
-    per = scored.groupBy(region).agg(F.count(value).alias("n"), F.sum(value).alias("s")).withColumn("_k", F.lit(1))
-    whole = scored.agg(F.count(value).alias("tn"), F.sum(value).alias("ts")).withColumn("_k", F.lit(1))
-    both = per.join(F.broadcast(whole), "_k")  # one row
+    per = scored.groupBy(region).agg(F.count(value).alias("n"), F.sum(value).alias("s"))
+    both = per.select("*", scored.agg(F.count(value)).scalar().alias("tn"), scored.agg(F.sum(value)).scalar().alias("ts"))
     before, after = F.col("ts") / F.col("tn"), F.try_divide(F.col("ts") - F.col("s"), F.col("tn") - F.col("n"))
     return both.select(region, before.alias("before"), after.alias("after"), (before - after).alias("improvement"))
 

@@ -47,10 +47,8 @@ def stratified_sample(df: DataFrame, strata: list[str], row_id: str, target: int
 
 def sample_info(df: DataFrame, sample: DataFrame, strata: list[str]) -> DataFrame:
     """One row: sizes, share and number of strata."""
-    whole = df.agg(F.count("*").alias("original_size")).withColumn("_k", F.lit(1))
-    cut = sample.groupBy(*strata).agg(F.count("*").alias("n")).agg(F.sum("n").alias("sample_size"), F.count("*").alias("n_strata")).withColumn("_k", F.lit(1))
-    both = whole.join(F.broadcast(cut), "_k").drop("_k")  # single rows
-    return both.withColumn("sample_fraction", F.try_divide(F.col("sample_size"), F.col("original_size")))
+    cut = sample.groupBy(*strata).agg(F.count("*").alias("n")).agg(F.sum("n").alias("sample_size"), F.count("*").alias("n_strata"))
+    return cut.withColumn("original_size", df.agg(F.count("*")).scalar()).withColumn("sample_fraction", F.try_divide(F.col("sample_size"), F.col("original_size")))
 
 
 def adaptive_bins(df: DataFrame, cols: list[str], bins: int = 50) -> DataFrame:

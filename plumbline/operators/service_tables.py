@@ -113,10 +113,8 @@ def page(df: DataFrame, number: int, size: int, order: list[Column]) -> DataFram
     number = max(1, number)
     size = size if 1 <= size <= 100 else 20
     rows = df.orderBy(*order).offset((number - 1) * size).limit(size)
-    total = df.agg(F.count("*").alias("total")).withColumn("_k", F.lit(1))
     pages = F.ceil(F.col("total") / F.lit(float(size))).cast("bigint")
-    # the total is one row
-    return rows.withColumn("_k", F.lit(1)).join(F.broadcast(total), "_k").drop("_k").withColumn("total_pages", pages)
+    return rows.withColumn("total", df.agg(F.count("*")).scalar()).withColumn("total_pages", pages)
 
 
 def sort_listing(df: DataFrame, by: str, direction: str = "desc") -> list[Column]:

@@ -16,8 +16,8 @@ BLOCK_ROWS = 8192
 def blocks(pair: DataFrame, cols: list[str], row_id: str, block: int = BLOCK_ROWS) -> DataFrame:
     """``(col, block, side, t, val)``: both sides in row order, cut to the shorter side, in bounded blocks."""
     placed = positions(pair.select("side", row_id, *cols), ["side"], [row_id], "pos")
-    shorter = pair.groupBy("side").agg(F.count("*").alias("n")).agg(F.min("n").alias("shorter"), F.count("*").alias("sides")).withColumn("_k", F.lit(1))
-    kept = placed.withColumn("_k", F.lit(1)).join(F.broadcast(shorter), "_k").filter("pos < shorter AND sides = 2")
+    shorter = pair.groupBy("side").agg(F.count("*").alias("n")).agg(F.when(F.count("*") == 2, F.min("n"))).scalar()
+    kept = placed.filter(F.col("pos") < shorter)
     return to_long(kept, cols, ["side", "pos"]).select(
         "col", F.floor(F.col("pos") / block).alias("block"), "side", (F.col("pos") % block).alias("t"), "val")
 

@@ -339,9 +339,9 @@ def prj_04(spark, sf):
 SELECT side, row_id, total FROM placed WHERE pos <= (SELECT min(n) FROM placed)""")
 def prj_05(spark, sf):
     s = roles.order_series(spark, sf)
-    shorter = s.groupBy("side").agg(F.count("*").alias("n")).agg(F.min("n").alias("n")).withColumn("_k", F.lit(1))
-    placed = positions(s.select("side", "row_id", "total"), ["side"], ["row_id"]).withColumn("_k", F.lit(1))
-    return placed.join(F.broadcast(shorter), "_k").filter("pos < n").select("side", "row_id", "total")
+    shorter = s.groupBy("side").agg(F.count("*").alias("n")).agg(F.min("n")).scalar()
+    placed = positions(s.select("side", "row_id", "total"), ["side"], ["row_id"])
+    return placed.filter(F.col("pos") < shorter).select("side", "row_id", "total")
 
 
 @query("cd_32_scorecard")

@@ -115,10 +115,9 @@ def chunked(df: DataFrame, row_id: str, size: int, columns: list[str] | None = N
     if end is not None:
         placed = placed.filter(F.col("pos") < end)
     chunk: Column = F.floor((F.col("pos") - start) / size)
-    rows = df.agg(F.count("*").alias("_n")).withColumn("_k", F.lit(1))
+    rows = df.agg(F.count("*")).scalar()
     last = F.floor((F.least(F.col("_n"), F.lit(end)) - start - 1) / size) if end is not None else F.floor((F.col("_n") - start - 1) / size)
-    both = placed.withColumn("_k", F.lit(1)).join(F.broadcast(rows), "_k")  # one row
-    return both.select(*cols, "pos", chunk.alias("chunk_index"), (chunk == last).alias("is_last"))
+    return placed.withColumn("_n", rows).select(*cols, "pos", chunk.alias("chunk_index"), (chunk == last).alias("is_last"))
 
 
 def read_table(spark: SparkSession, url: str, name: str, key: str | None = None, bounds: tuple[int, int] | None = None, parts: int = 8, **options) -> DataFrame:
