@@ -275,21 +275,19 @@ def correlation_metrics(pairs: DataFrame, moments: DataFrame, n_cols: int) -> Da
     n_pairs = n_cols * (n_cols - 1) // 2
     a, b = F.col("r_syn"), F.col("r_orig")
     live = lambda s: F.when(F.col(s) > 1e-12, 1.0).otherwise(0.0)
-    diag = moments.agg(F.sum(F.pow(live("std_syn") - live("std_orig"), 2)).alias("d2"), F.sum(live("std_orig")).alias("o2")).withColumn("_k", F.lit(1))
+    diag = moments.agg(F.struct(F.sum(F.pow(live("std_syn") - live("std_orig"), 2)).alias("d2"), F.sum(live("std_orig")).alias("o2"))).scalar()
     flat = (F.stddev_pop(a) < 1e-9) | (F.stddev_pop(b) < 1e-9)
     r = F.coalesce(F.when(flat, 0.0).otherwise(F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))), F.lit(0.0))
-    whole = pairs.agg(F.coalesce(F.sum(F.pow(a - b, 2)), F.lit(0.0)).alias("p2"), F.coalesce(F.sum(b * b), F.lit(0.0)).alias("q2"), r.alias("r")).withColumn("_k", F.lit(1))
+    whole = pairs.agg(F.coalesce(F.sum(F.pow(a - b, 2)), F.lit(0.0)).alias("p2"), F.coalesce(F.sum(b * b), F.lit(0.0)).alias("q2"), r.alias("r"))
     k = min(n_pairs, max(10, n_pairs // 10))
-    kept = top_pairs_kept(pairs, k).withColumn("_k", F.lit(1)) if n_pairs > 10 else None
-    one = whole.join(F.broadcast(diag), "_k")  # single rows
-    if kept is not None:
-        one = one.join(F.broadcast(kept), "_k")
-    distance = F.sqrt(2 * F.col("p2") + F.col("d2"))
-    norm = F.sqrt(2 * F.col("q2") + F.col("o2"))
+    kept = top_pairs_kept(pairs, k).scalar() if n_pairs > 10 else None
+    one = whole.withColumn("diag", diag)
+    distance = F.sqrt(2 * F.col("p2") + F.col("diag.d2"))
+    norm = F.sqrt(2 * F.col("q2") + F.col("diag.o2"))
     return one.select(
         (100 * (1 - F.least(F.lit(1.0), distance / (norm + 1e-8)))).alias("frobenius_similarity"),
         (F.lit(100.0) if n_pairs <= 1 else (F.col("r") + 1) / 2 * 100).alias("correlation_of_correlations"),
-        (F.lit(100.0) if kept is None else F.col("kept") * 100.0 / k).alias("top_correlations_preserved"),
+        (F.lit(100.0) if kept is None else kept * 100.0 / k).alias("top_correlations_preserved"),
     )
 
 

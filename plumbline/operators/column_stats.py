@@ -202,9 +202,7 @@ def quality_report(df: DataFrame, stats: DataFrame, cols: list[str]) -> DataFram
     per_row = df.select(filled.alias("filled"), valid.alias("valid"), row[0].alias("h"), row[1].alias("s")).groupBy("h", "s").agg(
         F.count("*").alias("n"), F.sum("filled").alias("filled"), F.sum("valid").alias("valid"))
     whole = per_row.agg(F.sum("n").alias("rows"), F.count("*").alias("distinct_rows"), F.sum("filled").alias("filled"), F.sum("valid").alias("valid"))
-    out = outlier_percent(df, stats, cols).agg(F.sum("outliers").alias("outlier_count"))
-    # two one-row tables meet on a constant key
-    both = whole.withColumn("k", F.lit(1)).join(out.withColumn("k", F.lit(1)), "k").drop("k")
+    both = whole.withColumn("outlier_count", outlier_percent(df, stats, cols).agg(F.sum("outliers")).scalar())
     rows = F.col("rows")
     return both.select(
         rows,

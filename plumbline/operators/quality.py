@@ -237,10 +237,10 @@ def separability(vectors: DataFrame) -> DataFrame:
     cells = vectors.select("label", F.posexplode("vector").alias("i", "x"))
     sums = cells.groupBy("label", "i").agg(F.sum("x").alias("s"), F.sum(F.col("x") * F.col("x")).alias("q"), F.count("*").alias("n"))
     per = sums.groupBy("label").agg(F.sum(F.col("s") * F.col("s")).alias("all"), F.sum("q").alias("self"), F.max("n").alias("n"))
-    whole = sums.groupBy("i").agg(F.sum("s").alias("s")).agg(F.sum(F.col("s") * F.col("s")).alias("everything")).withColumn("_k", F.lit(1))
+    whole = sums.groupBy("i").agg(F.sum("s").alias("s")).agg(F.sum(F.col("s") * F.col("s"))).scalar()
     one = per.agg(F.sum(F.col("all") - F.col("self")).alias("inside"), F.sum(F.col("n") * (F.col("n") - 1)).alias("inside_pairs"),
-                  F.sum("all").alias("blocks"), F.sum("n").alias("rows"), F.sum(F.col("n") * F.col("n")).alias("block_pairs")).withColumn("_k", F.lit(1))
-    both = one.join(F.broadcast(whole), "_k")
+                  F.sum("all").alias("blocks"), F.sum("n").alias("rows"), F.sum(F.col("n") * F.col("n")).alias("block_pairs"))
+    both = one.withColumn("everything", whole)
     return both.select(F.try_divide(F.col("inside"), F.col("inside_pairs")).alias("within"),
                        F.try_divide(F.col("everything") - F.col("blocks"), F.col("rows") * F.col("rows") - F.col("block_pairs")).alias("across")).withColumn(
         "separation", F.col("within") - F.col("across"))

@@ -137,8 +137,9 @@ def library_statistics(library: DataFrame) -> DataFrame:
     one = library.agg(
         F.count("*").alias("signatures"), F.avg(s).alias("mean"), F.stddev_pop(s).alias("std"), F.min(s).alias("min"), F.max(s).alias("max"),
         F.avg(F.when(s < FAILING, 1.0).otherwise(0.0)).alias("collapse_rate"))
-    per = library.groupBy("cluster_id").agg(F.count("*").alias("n")).agg(F.count("*").alias("clusters"), F.avg("n").alias("mean_cluster_size")).withColumn("_k", F.lit(1))
-    return one.withColumn("_k", F.lit(1)).join(F.broadcast(per), "_k").drop("_k")
+    per = library.groupBy("cluster_id").agg(F.count("*").alias("n")).agg(F.count("*").alias("clusters"), F.avg("n").alias("mean_cluster_size"))
+    both = one.withColumn("per", per.select(F.struct("clusters", "mean_cluster_size")).scalar())
+    return both.select(*one.columns, "per.clusters", "per.mean_cluster_size")
 
 
 def prescreen(matches: DataFrame, datasets: DataFrame) -> DataFrame:
