@@ -1,3 +1,3 @@
 """Importing this module registers every query of this subpackage."""
 
-from plumbline.llm import lines, minhash, sentencepieces, token_counts, topk, url_filters, warc  # noqa: F401
+from plumbline.llm import lines, minhash, sentencepieces, suffixes, token_counts, topk, url_filters, warc  # noqa: F401
