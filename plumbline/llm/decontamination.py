@@ -177,13 +177,13 @@ class Items:
         return [[(self.ids[x], start, end, edits) for x, (edits, start, end) in sorted(b.items())] for b in best]
 
 
-def find_items(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """Rows (doc_id, text, found) for every input row; ``found`` lists the items in it by place."""
+def find_items(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", block_chars: int = BLOCK_CHARS, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Rows (doc_id, text, found) and the columns ``keep`` for every input row; ``found`` lists the items in it."""
     spark = docs.sparkSession
     items = benchmark.select(F.col(item_id).cast("long").alias("item_id"), F.col(item_text).alias("text"))
     size = items.agg(F.sum(F.char_length("text") + 64)).first()[0] or 0
     blocks = max(1, math.ceil(1.5 * size / block_chars)) if size > block_chars else 1
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.array().cast(FOUND).alias("found"))
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.array().cast(FOUND).alias("found"), *keep)
     schema = ", ".join(f"{n} {t}" for n, t in rows.dtypes)
     for block in range(blocks):
         own = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block)

@@ -23,14 +23,14 @@ def line_key(line: Column) -> Column:
     return ascii_lower(F.btrim(line, F.lit(BLANKS)))
 
 
-def drop_repeated_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_chars: int = 20, min_docs: int = 3) -> DataFrame:
-    """Rows (doc_id, ref, n_lines, n_dropped, text): every input row with its repeated lines taken out.
+def drop_repeated_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_chars: int = 20, min_docs: int = 3, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Rows (doc_id, ref, n_lines, n_dropped, text) and the columns ``keep``: every input row without its repeated lines.
 
     Keys of at least ``min_chars`` code points found in at least ``min_docs`` documents keep their lines only in the
     largest document id. ``ref`` is a hash of id and text, which tells apart rows that share an id.
     """
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    rows = rows.select("doc_id", F.xxhash64("doc_id", "text").alias("ref"), F.split("text", "\n").alias("lines"))
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"), *keep)
+    rows = rows.select("doc_id", F.xxhash64("doc_id", "text").alias("ref"), F.split("text", "\n").alias("lines"), *keep)
     lines = rows.select("doc_id", "ref", F.posexplode("lines").alias("pos", "line")).withColumn("key", line_key(F.col("line")))
     # two hashes of other seeds make one of 128 bits
     lines = lines.where(F.char_length("key") >= min_chars).select(
@@ -43,7 +43,7 @@ def drop_repeated_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "te
     # the join makes "lines" a plain column, so the lambda looks lines up instead of splitting again
     kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("drops")), lambda p: F.get("lines", p))
     return both.select(
-        "doc_id", "ref", F.size("lines").alias("n_lines"), F.coalesce(F.size("drops"), F.lit(0)).alias("n_dropped"),
+        "doc_id", "ref", *keep, F.size("lines").alias("n_lines"), F.coalesce(F.size("drops"), F.lit(0)).alias("n_dropped"),
         F.array_join(F.when(F.col("drops").isNull(), F.col("lines")).otherwise(kept), "\n").alias("text"))
 
 

@@ -169,10 +169,10 @@ def transducer(path: str) -> PieceTransducer:
     return PieceTransducer(path)
 
 
-def encode_documents(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Rows (doc_id, ids, n_byte_pieces, decoded). ``path`` is the model file, at the same place on all workers."""
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    kind = dict(rows.dtypes)["doc_id"]
+def encode_documents(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """Rows (doc_id, ids, n_byte_pieces, decoded) and the columns ``keep``. ``path`` is the model file, at the same place on all workers."""
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"), *keep)
+    kept = [(n, t) for n, t in rows.dtypes if n != "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = transducer(path)
@@ -181,10 +181,10 @@ def encode_documents(docs: DataFrame, path: str, doc_id: str = "doc_id", text: s
             counts = [sum(machine.first_byte <= i <= machine.last_byte for i in x) for x in ids]
             decoded = [machine.decode(x) for x in ids]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(ids, pa.list_(pa.int32())), pa.array(counts, pa.int64()), pa.array(decoded, pa.string())],
-                ["doc_id", "ids", "n_byte_pieces", "decoded"])
+                [*(batch.column(n) for n, _ in kept), pa.array(ids, pa.list_(pa.int32())), pa.array(counts, pa.int64()), pa.array(decoded, pa.string())],
+                [*(n for n, _ in kept), "ids", "n_byte_pieces", "decoded"])
 
-    return rows.mapInArrow(run, f"doc_id {kind}, ids array<int>, n_byte_pieces long, decoded string")
+    return rows.mapInArrow(run, ", ".join(f"{n} {t}" for n, t in kept) + ", ids array<int>, n_byte_pieces long, decoded string")
 
 
 @query("op8_sentencepiece")

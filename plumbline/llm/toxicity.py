@@ -13,8 +13,8 @@ only the top words and a table of evidence counts reach the driver. All texts ar
 
 Defined cases: null and empty texts have evidence 0; labels that are null or lack a text are not used; rows that repeat
 an id are scored each by its own text, and contradicting labels count as toxic; without a toxic or an ordinary label, or
-without words that tell them apart, all scores are the share of toxic labels, below the threshold if there are none; words
-longer than 64 bytes enter no dictionary; an empty table gives an empty table. Other columns of the input are ignored.
+without words that tell them apart, all scores are the share of toxic labels, kept below the threshold; words longer than
+64 bytes enter no dictionary; an empty table gives an empty table. Other columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -78,14 +78,17 @@ class Scorer:
 
 
 def non_decreasing(toxic: np.ndarray, total: np.ndarray) -> list[float]:
-    """Shares by evidence, pooled where they would fall; empty evidences take the share below."""
+    """Shares by evidence, pooled where they would fall; evidences that were not seen lie between their neighbours."""
+    seen = np.flatnonzero(total)
+    if not len(seen):
+        return [0.0] * len(total)
     pools: list[list[float]] = []
-    for t, n in zip(toxic, total, strict=True):
+    for t, n in zip(toxic[seen], total[seen], strict=True):
         pools.append([t, n, 1])
         while len(pools) > 1 and pools[-2][0] * pools[-1][1] >= pools[-1][0] * pools[-2][1]:
             t2, n2, k2 = pools.pop()
             pools[-1] = [pools[-1][0] + t2, pools[-1][1] + n2, pools[-1][2] + k2]
-    return [t / n if n else 0.0 for t, n, k in pools for _ in range(k)]
+    return np.interp(np.arange(len(total)), seen, [t / n for t, n, k in pools for _ in range(k)]).tolist()
 
 
 def scored(rows: DataFrame, ordinary: bytes, toxic: bytes) -> DataFrame:
@@ -130,15 +133,19 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     for r in table_of:
         total[r["evidence"]] += r["count"]
         hits[r["evidence"]] += r["count"] * r["toxic"]
-    return Model(ordinary, toxic, tuple(non_decreasing(hits, total)))
+    chances = non_decreasing(hits, total)
+    # no evidence is never a reason to reject
+    return Model(ordinary, toxic, (min(chances[0], THRESHOLD - 0.01), *chances[1:]))
 
 
-def score_toxicity(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """Rows (doc_id, text, score, predicted) for every input row."""
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.col(text).alias("whole"))
+def score_toxicity(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Rows (doc_id, score, predicted) for every input row; with ``keep`` also these columns and the text."""
+    kept = [*keep, *(["whole"] if keep else [])]
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), *keep, *([F.col(text).alias("whole")] if keep else []))
     out = scored(rows, model.ordinary, model.toxic)
     score = F.get(F.array(*[F.lit(float(c)) for c in model.chances]), F.col("evidence"))
-    return out.select("doc_id", F.col("whole").alias("text"), score.alias("score")).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    out = out.select("doc_id", *kept, score.alias("score")).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    return out.withColumnRenamed("whole", "text")
 
 
 @query("op5_toxicity")
