@@ -21,7 +21,6 @@ EPS = 1e-10
 FIDELITY_BINS = 50
 CHI_BINS = 20
 MI_BINS = 20
-MI_COLUMNS = 20
 
 
 def align(synthetic: DataFrame, original: DataFrame, cap: int | None = None) -> tuple[DataFrame, list[str]]:
@@ -56,19 +55,24 @@ def rank_table(pair: DataFrame, cols: list[str], buckets: int | None = None) ->
 # ---------------------------------------------------------------- rank statistics
 
 
+SHIFT = 10  # terms taken one by one before the series, which then is good to 12 digits
+
+
 def harmonic(n: Column) -> Column:
-    """Sum of 1/i for i below n: exact for short sums, asymptotic beyond."""
-    exact = F.aggregate(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1)).cast("int")), F.lit(0.0), lambda a, i: a + 1.0 / i)
-    return F.when(n <= 1000, exact).otherwise(F.ln(n - 1) + 0.5772156649015329)
+    """Sum of 1/i for i below n, by the series of the digamma function at n + SHIFT."""
+    m = n - 1.0
+    x = m + float(SHIFT)
+    series = F.ln(x) + 0.5772156649015329 + 1 / (2 * x) - 1 / (12 * x**2) + 1 / (120 * x**4) - 1 / (252 * x**6)
+    return series - sum((1 / (m + float(i)) for i in range(1, SHIFT + 1)), F.lit(0.0))
 
 
 def harmonic_pairs(n: Column) -> Column:
-    """The double sum of 1/((n-i) j) over 1 <= i < j < n: exact for short sums, its limit beyond."""
-    zero = F.struct(F.lit(0.0).alias("g"), F.lit(0.0).alias("h"))
-    last = F.greatest(n - 1, F.lit(1)).cast("int")
-    # j runs upwards; h is the sum of 1/(n-i) over i < j
-    step = lambda a, j: F.struct((a["g"] + a["h"] / j).alias("g"), (a["h"] + 1.0 / (n - j)).alias("h"))
-    return F.when(n <= 1000, F.aggregate(F.sequence(F.lit(1), last), zero, step, lambda a: a["g"])).otherwise(math.pi**2 / 6)
+    """The double sum of 1/((n-i) j) over 1 <= i < j < n, which is the sum of 1/i^2 less 2/n times the sum of 1/i, i < n."""
+    m = n - 1.0
+    x = m + float(SHIFT + 1)
+    trigamma = 1 / x + 1 / (2 * x**2) + 1 / (6 * x**3) - 1 / (30 * x**5) + 1 / (42 * x**7) - 1 / (30 * x**9)
+    squares = math.pi**2 / 6 - trigamma - sum((1 / (m + float(i)) ** 2 for i in range(1, SHIFT + 1)), F.lit(0.0))
+    return squares - 2 * harmonic(n) / n
 
 
 def rank_metrics(ranked: DataFrame) -> DataFrame:
@@ -307,9 +311,8 @@ def mutual_information(pair: DataFrame, cols: list[str], bins: int = MI_BINS) ->
 
     The pair counts are one aggregate of at most columns x bins squared rows per side.
     """
-    n = min(len(cols), MI_COLUMNS)
-    used = cols[:n]
-    clean = pair.select("side", *[F.coalesce(scrub(F.col(c)), F.lit(0.0)).alias(f"x{i}") for i, c in enumerate(used)])
+    n = len(cols)
+    clean = pair.select("side", *[F.coalesce(scrub(F.col(c)), F.lit(0.0)).alias(f"x{i}") for i, c in enumerate(cols)])
     lim = clean.groupBy("side").agg(*[f(f"x{i}").alias(f"{t}{i}") for i in range(n) for t, f in (("lo", F.min), ("hi", F.max))])
     placed = clean.join(F.broadcast(lim), "side").select(  # two rows
         "side", *[bin_index(F.col(f"x{i}"), F.col(f"lo{i}"), F.col(f"hi{i}"), bins).alias(f"b{i}") for i in range(n)])
@@ -369,10 +372,10 @@ def weighted(dimension: str) -> Column:
     return total
 
 
-def with_neutral(dims: DataFrame, key: str) -> DataFrame:
-    """Every key gets all eight dimensions; a missing one scores exactly its threshold."""
-    spark = dims.sparkSession
-    names = F.array(*[F.struct(F.lit(d).alias("dim_name"), F.lit(t).alias("threshold")) for d, t in THRESHOLDS.items()])
+def with_neutral(dims: DataFrame, key: str, more: dict[str, float] | None = None) -> DataFrame:
+    """Every key gets all eight dimensions and those of ``more``; a missing one scores exactly its threshold."""
+    marks = THRESHOLDS | (more or {})
+    names = F.array(*[F.struct(F.lit(d).alias("dim_name"), F.lit(float(t)).alias("threshold")) for d, t in marks.items()])
     full = dims.select(key).distinct().select(key, F.inline(names))
     return full.join(dims.select(key, "dim_name", "score"), [key, "dim_name"], "left").withColumn("neutral", F.col("score").isNull()).withColumn(
         "score", F.coalesce("score", "threshold"))

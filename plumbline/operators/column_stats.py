@@ -222,7 +222,8 @@ WIDE_LIMIT = 12
 def correlations(df: DataFrame, cols: list[str], by: list[str] | None = None) -> DataFrame:
     """Pearson r of every column pair: ``(by…, i, j, col_i, col_j, r)``, i < j, constant columns give 0.
 
-    Few columns: one aggregate with a built-in per pair. Many: partial cross-product sums per task.
+    A pair uses the rows in which both cells are filled. Few columns: one aggregate with a built-in per pair. Many:
+    partial cross-product sums per task. Both follow the same rule.
     """
     by = by or []
     if len(cols) > WIDE_LIMIT:
@@ -250,9 +251,10 @@ def pearson(cov: Column, sd_a: Column, sd_b: Column) -> Column:
 
 
 def gram_sums(df: DataFrame, cols: list[str], by: list[str]) -> DataFrame:
-    """``(g, i, j, n, si, sj, sij)`` for i <= j: every task sends one row of sums per pair, rows meet by pair.
+    """``(g, i, j, n, si, sj, sii, sjj, sij)`` for i <= j over the rows in which both cells are filled.
 
-    Cells are shifted by the column mean first, so that large means do not cost digits.
+    Every task sends one row of sums per pair, rows meet by pair. Cells are shifted by the column mean first, so that
+    large means do not cost digits.
     """
     import numpy as np
     import pandas as pd
@@ -260,7 +262,7 @@ def gram_sums(df: DataFrame, cols: list[str], by: list[str]) -> DataFrame:
     means = df.agg(*[F.avg(scrub_null(c)).alias(c) for c in cols]).first()  # one value per column
     shifted = df.select(
         F.concat_ws("\u0001", *by).alias("g") if by else F.lit("").alias("g"),
-        *[F.coalesce(scrub_null(c) - F.lit(means[c] or 0.0), F.lit(0.0)).alias(f"c{i}") for i, c in enumerate(cols)],
+        *[(scrub_null(c) - F.lit(means[c] or 0.0)).alias(f"c{i}") for i, c in enumerate(cols)],
     )
     upper = np.triu_indices(len(cols))
 
@@ -268,32 +270,34 @@ def gram_sums(df: DataFrame, cols: list[str], by: list[str]) -> DataFrame:
         sums: dict[str, list] = {}
         for pdf in batches:
             for g, part in pdf.groupby("g"):
-                x = part.drop(columns="g").to_numpy()
-                new = [len(x), x.sum(0), x.T @ x]
+                raw = part.drop(columns="g").to_numpy(dtype=float)
+                there = (~np.isnan(raw)).astype(float)
+                x = np.nan_to_num(raw)
+                square = (x * x).T @ there
+                own = x.T @ there
+                new = [there.T @ there, own, own.T, square, square.T, x.T @ x]
                 old = sums.get(g)
                 sums[g] = new if old is None else [a + b for a, b in zip(old, new)]
-        for g, (n, s, gram) in sums.items():
-            yield pd.DataFrame({"g": g, "i": upper[0], "j": upper[1], "n": n, "si": s[upper[0]], "sj": s[upper[1]], "sij": gram[upper]})
+        for g, parts in sums.items():
+            yield pd.DataFrame({"g": g, "i": upper[0], "j": upper[1], **{k: m[upper] for k, m in zip(PAIR_SUMS, parts)}})
 
-    sums = shifted.mapInPandas(partial, "g string, i int, j int, n long, si double, sj double, sij double")
-    return sums.groupBy("g", "i", "j").agg(*[F.sum(c).alias(c) for c in ("n", "si", "sj", "sij")])
+    sums = shifted.mapInPandas(partial, "g string, i int, j int, " + ", ".join(f"{c} double" for c in PAIR_SUMS))
+    return sums.groupBy("g", "i", "j").agg(*[F.sum(c).alias(c) for c in PAIR_SUMS])
+
+
+PAIR_SUMS = ["n", "si", "sj", "sii", "sjj", "sij"]
 
 
 def gram_covariances(df: DataFrame, cols: list[str], by: list[str]) -> DataFrame:
+    """``(g, i, j, n, cov, sd_i, sd_j)``: all three over the rows in which both cells are filled."""
     total = gram_sums(df, cols, by)
-    return total.withColumn("cov", F.try_divide(F.col("sij") - F.col("si") * F.col("sj") / F.col("n"), F.col("n") - 1))
+    spread = lambda a, b, ab: F.try_divide(F.col(ab) - F.try_divide(F.col(a) * F.col(b), F.col("n")), F.col("n") - 1)
+    sd = lambda a, aa: F.sqrt(F.greatest(spread(a, a, aa), F.lit(0.0)))
+    return total.select("g", "i", "j", "n", spread("si", "sj", "sij").alias("cov"), sd("si", "sii").alias("sd_i"), sd("sj", "sjj").alias("sd_j"))
 
 
 def gram_correlations(df: DataFrame, cols: list[str], by: list[str]) -> DataFrame:
-    cov = gram_covariances(df, cols, by)
-    var = cov.filter("i = j").select("g", F.col("i").alias("k"), F.sqrt(F.greatest(F.col("cov"), F.lit(0.0))).alias("sd"))
     names = F.array(*[F.lit(c) for c in cols])
-    return (
-        cov.filter("i < j")
-        .join(var.withColumnsRenamed({"k": "i", "sd": "sd_i"}), ["g", "i"])
-        .join(var.withColumnsRenamed({"k": "j", "sd": "sd_j"}), ["g", "j"])
-        .select(
-            *[F.split("g", "\u0001")[n].alias(b) for n, b in enumerate(by)], "i", "j",
-            names[F.col("i")].alias("col_i"), names[F.col("j")].alias("col_j"),
-            pearson(F.col("cov"), F.col("sd_i"), F.col("sd_j")).alias("r"))
-    )
+    return gram_covariances(df, cols, by).filter("i < j").select(
+        *[F.split("g", "\u0001")[n].alias(b) for n, b in enumerate(by)], "i", "j",
+        names[F.col("i")].alias("col_i"), names[F.col("j")].alias("col_j"), pearson(F.col("cov"), F.col("sd_i"), F.col("sd_j")).alias("r"))

@@ -13,7 +13,10 @@ from plumbline.operators.longform import scrub
 
 
 def covariances(df: DataFrame, cols: list[str], by: str | None = None) -> dict[str, np.ndarray]:
-    """Covariance matrix per group from one aggregate; only columns squared numbers reach the driver."""
+    """Covariance matrix per group from one aggregate; only columns squared numbers reach the driver.
+
+    A pair uses the rows in which both cells are filled, whatever the number of columns.
+    """
     d = len(cols)
     if d > WIDE_LIMIT:
         out = {}
@@ -21,7 +24,7 @@ def covariances(df: DataFrame, cols: list[str], by: str | None = None) -> dict[s
             m = out.setdefault(r["g"], np.zeros((d, d)))
             m[r["i"], r["j"]] = m[r["j"], r["i"]] = r["cov"] or 0.0
         return out
-    clean = df.select(*([by] if by else []), *[F.coalesce(scrub(F.col(c)), F.lit(0.0)).alias(c) for c in cols])
+    clean = df.select(*([by] if by else []), *[scrub(F.col(c)).alias(c) for c in cols])
     aggs = [F.covar_samp(cols[i], cols[j]).alias(f"c{i}_{j}") for i in range(d) for j in range(i, d)]
     out = {}
     for row in (clean.groupBy(by) if by else clean.groupBy()).agg(*aggs).collect():
@@ -33,13 +36,13 @@ def covariances(df: DataFrame, cols: list[str], by: str | None = None) -> dict[s
     return out
 
 
-def effective_dimension(cov: np.ndarray, share: float = 0.9, most: int = 50) -> int:
-    """Components needed to exceed the share of variance; 1 if none does, as an all-false search gives."""
+def effective_dimension(cov: np.ndarray, share: float = 0.9) -> int:
+    """Components needed to exceed the share of variance; 1 if there is no variance."""
     values = np.clip(np.linalg.eigvalsh(cov)[::-1], 0, None)
     whole = values.sum()
     if whole <= 0:
         return 1
-    return int(np.argmax(np.cumsum(values / whole)[:most] > share)) + 1
+    return int(np.argmax(np.cumsum(values / whole) > share)) + 1
 
 
 def dimension_metrics(cov: dict[str, np.ndarray]) -> dict[str, float]:
@@ -47,20 +50,6 @@ def dimension_metrics(cov: dict[str, np.ndarray]) -> dict[str, float]:
     return {"dimensionality_ratio": ratio, "dimensionality_preservation": 100 * float(np.exp(-abs(ratio - 1)))}
 
 
-def correlation_tables(spark, cov: dict[str, np.ndarray]) -> tuple[DataFrame, DataFrame]:
-    """Pair correlations and deviations of both sides from their covariance matrices; flat columns correlate with nothing."""
-    r, sd = {}, {}
-    for side, m in cov.items():
-        s = np.sqrt(np.clip(np.diag(m), 0, None))
-        live = s > 1e-12
-        scale = np.where(live, s, 1.0)
-        r[side], sd[side] = np.where(live[:, None] & live[None, :], m / np.outer(scale, scale), 0.0), s
-    d = len(sd["original"])
-    pairs = [(i, j, float(r["synthetic"][i, j]), float(r["original"][i, j])) for i in range(d) for j in range(i + 1, d)]
-    deviations = [(i, float(sd["synthetic"][i]), float(sd["original"][i])) for i in range(d)]
-    return (spark.createDataFrame(pairs, "i int, j int, r_syn double, r_orig double"), spark.createDataFrame(deviations, "i int, std_syn double, std_orig double"))
-
-
 def explained_variance(spark, cov: dict[str, np.ndarray]) -> DataFrame:
     """``(side, component, share, cumulative)``, one row per component."""
     rows = []

@@ -3,59 +3,77 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.operators.learned import covariances
 from plumbline.operators.longform import scrub, to_long
 from plumbline.operators.sequences import islands, positions
 
-SAMPLE_ROWS = 1000
 NEIGHBOURS = 20
 THRESHOLD = 0.8
 
 
-def _clean(df: DataFrame, cols: list[str]) -> list[Column]:
-    return [F.coalesce(scrub(F.col(c)), F.lit(0.0)) for c in cols]
+@dataclass(frozen=True)
+class Shape:
+    """Rows, means, deviations and the precision matrix of the features: columns squared numbers from one aggregate."""
 
+    rows: int
+    mean: np.ndarray
+    deviation: np.ndarray
+    precision: np.ndarray
 
-def divided_by_max(df: DataFrame, col: str) -> DataFrame:
-    """Divide by the largest value, a scalar subquery."""
-    scaled = df.withColumn("_max", df.agg(F.max(col)).scalar())
-    return scaled.withColumn(col, F.when(F.col("_max") > 0, F.col(col) / F.col("_max")).otherwise(F.col(col))).drop("_max")
 
-
-def mahalanobis(df: DataFrame, cols: list[str], row_id: str) -> DataFrame:
-    """``(row_id, outlier)``. One aggregate gives means and covariances; the precision matrix enters as constants."""
+def shape(df: DataFrame, cols: list[str]) -> Shape:
+    """Pairs use the rows in which both cells are filled, means those of their column."""
     d = len(cols)
-    cov = covariances(df, cols).get("", np.zeros((d, d))) + 1e-6 * np.eye(d)
+    x = [scrub(F.col(c)) for c in cols]
+    one = df.agg(
+        F.count("*").alias("n"), *[F.avg(v).alias(f"m{i}") for i, v in enumerate(x)],
+        *[F.covar_samp(x[i], x[j]).alias(f"c{i}_{j}") for i in range(d) for j in range(i, d)]).first()
+    cov = np.zeros((d, d))
+    for i in range(d):
+        for j in range(i, d):
+            cov[i, j] = cov[j, i] = one[f"c{i}_{j}"] or 0.0
     try:
-        precision = np.linalg.inv(cov)
+        precision = np.linalg.inv(cov + 1e-6 * np.eye(d))
     except np.linalg.LinAlgError:
         precision = np.eye(d)
-    mean = df.agg(*[F.avg(c).alias(f"m{i}") for i, c in enumerate(_clean(df, cols))]).first()
-    mu = np.array([mean[f"m{i}"] or 0.0 for i in range(d)])
-    if d <= 16:
-        x = [c - F.lit(float(mu[i])) for i, c in enumerate(_clean(df, cols))]
-        square = F.lit(0.0)
-        for i in range(d):
-            square = square + x[i] * x[i] * float(precision[i, i])
-            for j in range(i + 1, d):
-                square = square + x[i] * x[j] * float(2 * precision[i, j])
-        raw = df.select(row_id, F.sqrt(F.greatest(square, F.lit(0.0))).alias("outlier"))
-    else:
-
-        def kernel(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for pdf in batches:
-                z = pdf[[f"x{i}" for i in range(d)]].to_numpy() - mu
-                yield pd.DataFrame({row_id: pdf[row_id], "outlier": np.sqrt(np.clip(np.einsum("ni,ij,nj->n", z, precision, z), 0, None))})
-
-        wide = df.select(row_id, *[c.alias(f"x{i}") for i, c in enumerate(_clean(df, cols))])
-        raw = wide.mapInPandas(kernel, f"{row_id} {df.schema[row_id].dataType.simpleString()}, outlier double")
-    return divided_by_max(raw, "outlier")
+    return Shape(one["n"], np.array([one[f"m{i}"] or 0.0 for i in range(d)]), np.sqrt(np.clip(np.diag(cov), 0, None)), precision)
+
+
+def _filled(cols: list[str], form: Shape) -> list[Column]:
+    """The features; a null cell takes its column's mean, and so counts as neither near nor far."""
+    return [F.coalesce(scrub(F.col(c)), F.lit(float(m))) for c, m in zip(cols, form.mean)]
+
+
+def divided_by_max(df: DataFrame, *cols: str) -> DataFrame:
+    """Divide columns by their largest values: one aggregate for all of them, a scalar subquery."""
+    most = df.agg(F.struct(*[F.max(c).alias(c) for c in cols]).alias("most")).scalar()
+    scaled = df.withColumn("_max", most)
+    return scaled.withColumns({c: F.when(F.col("_max")[c] > 0, F.col(c) / F.col("_max")[c]).otherwise(F.col(c)) for c in cols}).drop("_max")
+
+
+def raw_outlier(cols: list[str], form: Shape) -> Column:
+    """Distance from the mean in the metric of the covariances."""
+    z = F.array(*[c - F.lit(float(m)) for c, m in zip(_filled(cols, form), form.mean)])
+    rows = [F.aggregate(F.zip_with(z, F.array(*[F.lit(float(p)) for p in line]), lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x) for line in form.precision]
+    square = F.aggregate(F.zip_with(z, F.array(*rows), lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
+    return F.sqrt(F.greatest(square, F.lit(0.0)))
+
+
+def raw_anomaly(cols: list[str], form: Shape) -> Column:
+    """The largest absolute z-score over the features."""
+    z = [F.abs((x - F.lit(float(m))) / F.lit(float(s) + 1e-6)) for x, m, s in zip(_filled(cols, form), form.mean, form.deviation)]
+    return F.greatest(*z) if len(z) > 1 else z[0]
+
+
+def mahalanobis(df: DataFrame, cols: list[str], row_id: str) -> DataFrame:
+    """``(row_id, outlier)``."""
+    return divided_by_max(df.select(row_id, raw_outlier(cols, shape(df, cols)).alias("outlier")), "outlier")
 
 
 def hashed_order(row_id: str) -> list[Column]:
@@ -63,56 +81,67 @@ def hashed_order(row_id: str) -> list[Column]:
     return [F.sha2(F.col(row_id).cast("string"), 256), F.col(row_id)]
 
 
-def reference_sample(df: DataFrame, cols: list[str], row_id: str, size: int = SAMPLE_ROWS) -> np.ndarray:
+def reference_sample(df: DataFrame, cols: list[str], row_id: str, size: int, form: Shape | None = None) -> np.ndarray:
     """At most ``size`` rows in hash order: a top-k plan, ``size`` rows on the driver."""
-    rows = df.select(row_id, *[c.alias(f"x{i}") for i, c in enumerate(_clean(df, cols))]).orderBy(*hashed_order(row_id)).limit(size)
+    form = form or shape(df, cols)
+    rows = df.select(row_id, *[c.alias(f"x{i}") for i, c in enumerate(_filled(cols, form))]).orderBy(*hashed_order(row_id)).limit(size)
     return rows.drop(row_id).toPandas().to_numpy(dtype=float)
 
 
-def neighbour_distance(df: DataFrame, cols: list[str], row_id: str, sample: np.ndarray, k: int) -> DataFrame:
-    """``(row_id, distance)``: mean distance to the k nearest sample rows; the sample has a fixed size, so rows cost the same."""
-    d = len(cols)
-    norms = (sample * sample).sum(1)
+def neighbour_distance(df: DataFrame, cols: list[str], row_id: str, sample: np.ndarray, k: int, form: Shape | None = None, keep: dict[str, Column] | None = None) -> DataFrame:
+    """``(row_id, distance)`` and the doubles of ``keep``: mean distance to the k nearest sample rows.
+
+    The sample has a fixed size, so rows cost the same.
+    """
+    form = form or shape(df, cols)
+    norms, kept = (sample * sample).sum(1), list(keep or {})
 
     def kernel(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            x = pdf[[f"x{i}" for i in range(d)]].to_numpy(dtype=float)
+            x = pdf[[f"x{i}" for i in range(len(cols))]].to_numpy(dtype=float)
             out = np.empty(len(x))
             for start in range(0, len(x), 2048):
                 part = x[start : start + 2048]
-                if d <= 8:
-                    sq = sum((part[:, i, None] - sample[None, :, i]) ** 2 for i in range(d))
-                else:
-                    sq = np.clip((part * part).sum(1)[:, None] + norms[None, :] - 2 * part @ sample.T, 0, None)
-                near = np.partition(sq, k - 1, axis=1)[:, :k]
-                out[start : start + 2048] = np.sqrt(near).mean(1)
-            yield pd.DataFrame({row_id: pdf[row_id], "distance": out})
-
-    wide = df.select(row_id, *[c.alias(f"x{i}") for i, c in enumerate(_clean(df, cols))])
-    return wide.mapInPandas(kernel, f"{row_id} {df.schema[row_id].dataType.simpleString()}, distance double")
-
-
-def density(df: DataFrame, cols: list[str], row_id: str) -> DataFrame:
-    """``(row_id, density)``: sparse surroundings score high."""
-    n = df.count()
-    sample = reference_sample(df, cols, row_id)
-    k = max(1, min(NEIGHBOURS, n // 10, len(sample)))
-    near = neighbour_distance(df, cols, row_id, sample, k)
+                sq = np.clip((part * part).sum(1)[:, None] + norms[None, :] - 2 * part @ sample.T, 0, None)
+                near = np.argpartition(sq, k - 1, axis=1)[:, :k]
+                # the k nearest again by differences, which loses no digits
+                out[start : start + 2048] = np.sqrt(((part[:, None, :] - sample[near]) ** 2).sum(2)).mean(1)
+            yield pdf[[row_id]].assign(distance=out, **{c: pdf[c] for c in kept})
+
+    wide = df.select(row_id, *[c.alias(f"x{i}") for i, c in enumerate(_filled(cols, form))], *[c.alias(n) for n, c in (keep or {}).items()])
+    extra = "".join(f", {c} double" for c in kept)
+    return wide.mapInPandas(kernel, f"{row_id} {df.schema[row_id].dataType.simpleString()}, distance double{extra}")
+
+
+def sparseness() -> Column:
+    """Sparse surroundings score high."""
     local = 1 / (F.col("distance") + 1e-6)
-    return divided_by_max(near.select(row_id, (1 / (local + 1e-6)).alias("density")), "density")
+    return 1 / (local + 1e-6)
+
+
+def neighbours_of(df: DataFrame, cols: list[str], row_id: str, sample_rows: int, keep: bool) -> DataFrame:
+    form = shape(df, cols)
+    sample = reference_sample(df, cols, row_id, sample_rows, form)
+    k = max(1, min(NEIGHBOURS, form.rows // 10, len(sample)))
+    more = {"outlier": raw_outlier(cols, form), "anomaly": raw_anomaly(cols, form)} if keep else None
+    return neighbour_distance(df, cols, row_id, sample, k, form, more)
+
+
+def density(df: DataFrame, cols: list[str], row_id: str, sample_rows: int) -> DataFrame:
+    """``(row_id, density)`` of all rows, judged against ``sample_rows`` rows in hash order."""
+    near = neighbours_of(df, cols, row_id, sample_rows, keep=False)
+    return divided_by_max(near.select(row_id, sparseness().alias("density")), "density")
 
 
 def feature_anomaly(df: DataFrame, cols: list[str], row_id: str) -> DataFrame:
-    """``(row_id, anomaly)``: the largest absolute z-score over the features."""
-    xs = _clean(df, cols)
-    s = df.agg(*[f(x).alias(f"{n}{i}") for i, x in enumerate(xs) for n, f in (("m", F.avg), ("s", F.stddev_samp))]).first()
-    z = [F.abs((x - F.lit(float(s[f"m{i}"] or 0.0))) / F.lit(float(s[f"s{i}"] or 0.0) + 1e-6)) for i, x in enumerate(xs)]
-    return divided_by_max(df.select(row_id, (F.greatest(*z) if len(z) > 1 else z[0]).alias("anomaly")), "anomaly")
+    """``(row_id, anomaly)``."""
+    return divided_by_max(df.select(row_id, raw_anomaly(cols, shape(df, cols)).alias("anomaly")), "anomaly")
 
 
-def impact(df: DataFrame, cols: list[str], row_id: str) -> DataFrame:
-    """``(row_id, outlier, density, anomaly, impact)``, all rows; a sample only on request (``df.sample``)."""
-    parts = mahalanobis(df, cols, row_id).join(density(df, cols, row_id), row_id).join(feature_anomaly(df, cols, row_id), row_id)
+def impact(df: DataFrame, cols: list[str], row_id: str, sample_rows: int) -> DataFrame:
+    """``(row_id, outlier, density, anomaly, impact)`` of all rows: one projection and one aggregate for the three maxima."""
+    raw = neighbours_of(df, cols, row_id, sample_rows, keep=True).select(row_id, "outlier", sparseness().alias("density"), "anomaly")
+    parts = divided_by_max(raw, "outlier", "density", "anomaly")
     return parts.withColumn("impact", F.col("outlier") * 0.4 + F.col("density") * 0.3 + F.col("anomaly") * 0.3)
 
 
@@ -121,14 +150,6 @@ def gradient_impact(norms: DataFrame) -> DataFrame:
     return divided_by_max(norms.withColumnRenamed("grad_norm", "impact"), "impact")
 
 
-def capped(df: DataFrame, rows: int | None = None, seed: int = 42) -> DataFrame:
-    """Optional random cut; by default every row is scored."""
-    if rows is None:
-        return df
-    n = df.count()
-    return df if n <= rows else df.sample(fraction=rows / n, seed=seed)
-
-
 def top_rows(scored: DataFrame, row_id: str, k: int) -> DataFrame:
     return scored.orderBy(F.col("impact").desc(), row_id).limit(k)
 

@@ -30,6 +30,11 @@ def hash_number(row_id: str) -> Column:
     return F.conv(F.substring(F.md5(F.col(row_id).cast("string")), 1, 13), 16, 10).cast("bigint")
 
 
+def random_share(df: DataFrame, row_id: str, share: float) -> DataFrame:
+    """About this share of the rows, chosen by a hash of their key; it grows with the input."""
+    return df.filter(hash_number(row_id) < share * 2**52)
+
+
 def stratified_sample(df: DataFrame, strata: list[str], row_id: str, target: int, total: int | None = None) -> DataFrame:
     """The same share of every stratum, exact to a row, in hash order; lone rows stay; cut to the target.
 

@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 
 QUERY_BLOCK = 2048
 LIBRARY_BLOCK = 8192
-MAX_LISTS = 1024
 
 
 def normalised(vector: Column) -> Column:
@@ -27,7 +26,7 @@ def normalised(vector: Column) -> Column:
 
 def _split(df: DataFrame, sizes: DataFrame, mine: str, other: str, key: str) -> DataFrame:
     """Own sub-block by hash, one copy for every sub-block of the other side."""
-    joined = df.join(F.broadcast(sizes), "list")  # one row per list, at most MAX_LISTS
+    joined = df.join(F.broadcast(sizes), "list")  # one row per list
     return joined.withColumn(f"{mine}_sub", F.pmod(F.xxhash64(key), F.col(f"{mine}_subs"))).withColumn(
         f"{other}_sub", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(f"{other}_subs") - 1))).drop("q_subs", "l_subs")
 
@@ -79,8 +78,8 @@ def exact_search(queries: DataFrame, library: DataFrame, k: int) -> DataFrame:
 
 
 def train_lists(library: DataFrame, lists: int, seed: int = 42, iterations: int = 20) -> np.ndarray:
-    """Cluster centres of the library: at most MAX_LISTS rows on the driver."""
-    lists = max(1, min(lists, MAX_LISTS))
+    """Cluster centres of the library: one row per list on the driver, the root of the library's size by default."""
+    lists = max(1, lists)
     vectors = library.select(array_to_vector("vector").alias("features"))
     model = KMeans(k=lists, maxIter=iterations, seed=seed).fit(vectors)
     return np.vstack(model.clusterCenters())
@@ -122,15 +121,8 @@ def hybrid_search(queries: DataFrame, library: DataFrame, k: int, probes: int =
     return top_matches(scored, k)
 
 
-def strategy(size: int) -> str:
-    """By library size: small ones exactly, middling ones both ways, large ones by lists."""
-    if size < 1000:
-        return "exact"
-    return "hybrid" if size < 10000 else "approximate"
-
-
-def search(queries: DataFrame, library: DataFrame, k: int, threshold: float = 0.0, how: str = "auto") -> DataFrame:
-    how = strategy(library.count()) if how == "auto" else how
+def search(queries: DataFrame, library: DataFrame, k: int, how: str, threshold: float = 0.0) -> DataFrame:
+    """``how`` is exact, approximate or hybrid; it is the caller's choice and never follows from the size."""
     run = {"exact": exact_search, "hybrid": hybrid_search, "approximate": approximate_search}[how]
     return run(queries, library, k).filter(F.col("similarity") >= threshold)
 

@@ -1,4 +1,4 @@
-"""Spectra of row-ordered numeric columns, block by block."""
+"""Spectra of row-ordered numeric columns, averaged over blocks of a fixed length."""
 
 from __future__ import annotations
 
@@ -10,48 +10,40 @@ from pyspark.sql import functions as F
 from plumbline.operators.longform import to_long
 from plumbline.operators.sequences import positions
 
-BLOCK_ROWS = 8192
 
-
-def blocks(pair: DataFrame, cols: list[str], row_id: str, block: int = BLOCK_ROWS) -> DataFrame:
-    """``(col, block, side, t, val)``: both sides in row order, cut to the shorter side, in bounded blocks."""
+def blocks(pair: DataFrame, cols: list[str], row_id: str, block: int) -> DataFrame:
+    """``(col, block, side, t, val)``: each side in row order in blocks of ``block`` rows. Null cells keep their place as 0."""
     placed = positions(pair.select("side", row_id, *cols), ["side"], [row_id], "pos")
-    shorter = pair.groupBy("side").agg(F.count("*").alias("n")).agg(F.when(F.count("*") == 2, F.min("n"))).scalar()
-    kept = placed.filter(F.col("pos") < shorter)
-    return to_long(kept, cols, ["side", "pos"]).select(
-        "col", F.floor(F.col("pos") / block).alias("block"), "side", (F.col("pos") % block).alias("t"), "val")
-
-
-def power(values: np.ndarray) -> np.ndarray:
-    return np.abs(np.fft.rfft(values)) ** 2
+    return to_long(placed, cols, ["side", "pos"], nulls=True).select(
+        "col", F.floor(F.col("pos") / block).alias("block"), "side", (F.col("pos") % block).cast("int").alias("t"), F.coalesce("val", F.lit(0.0)).alias("val"))
 
 
-def power_bins(blocked: DataFrame) -> DataFrame:
-    """Power per (col, block, side, frequency); one group holds at most one block of one side."""
+def power_bins(blocked: DataFrame, block: int) -> DataFrame:
+    """Power per (col, block, side, frequency) and the rows of the block; a short last block is filled up with zeros."""
 
     def kernel(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        psd = power(pdf.sort_values("t")["val"].to_numpy())
-        return pd.DataFrame({"col": key[0], "block": key[1], "side": key[2], "k": np.arange(len(psd)), "psd": psd})
-
-    return blocked.groupBy("col", "block", "side").applyInPandas(kernel, "col string, block long, side string, k long, psd double")
-
-
-def compare_blocks(blocked: DataFrame) -> DataFrame:
-    """Per (col, block): summed power difference, bins, matching peak and both entropies."""
-
-    def kernel(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        by = {s: power(g.sort_values("t")["val"].to_numpy()) for s, g in pdf.groupby("side")}
-        if len(by) < 2:
-            return pd.DataFrame()
-        s, o = by["synthetic"], by["original"]
-        share = lambda p: p / max(p.sum(), 1e-12)
-        ent = lambda p: float(-(p * np.log(p + 1e-8)).sum())
-        return pd.DataFrame({
-            "col": [key[0]], "block": [key[1]], "bins": [len(s)], "distance": [float(np.abs(s - o).sum())],
-            "peak_match": [bool(s.argmax() == o.argmax())], "h_syn": [ent(share(s))], "h_orig": [ent(share(o))]})
-
-    return blocked.groupBy("col", "block").applyInPandas(
-        kernel, "col string, block long, bins long, distance double, peak_match boolean, h_syn double, h_orig double")
+        values = np.zeros(block)
+        values[pdf["t"].to_numpy()] = pdf["val"].to_numpy()
+        psd = np.abs(np.fft.rfft(values)) ** 2
+        return pd.DataFrame({"col": key[0], "block": key[1], "side": key[2], "k": np.arange(len(psd)), "psd": psd, "rows": len(pdf)})
+
+    return blocked.groupBy("col", "block", "side").applyInPandas(kernel, "col string, block long, side string, k long, psd double, rows long")
+
+
+def compare_spectra(bins: DataFrame) -> DataFrame:
+    """Per column: summed difference of the mean spectra, bins, matching peak and both entropies.
+
+    A side's mean weights its blocks by their rows, so both sides may have any length.
+    """
+    mean = lambda side: F.sum(F.when(F.col("side") == side, F.col("psd") * F.col("rows"))) / F.sum(F.when(F.col("side") == side, F.col("rows")))
+    s, o = F.col("s"), F.col("o")
+    both = bins.groupBy("col", "k").agg(mean("synthetic").alias("s"), mean("original").alias("o")).filter(s.isNotNull() & o.isNotNull())
+    whole = both.groupBy("col").agg(F.sum("s").alias("all_s"), F.sum("o").alias("all_o"))  # one row per column
+    entropy = lambda x, total: -F.sum(x / F.greatest(total, F.lit(1e-12)) * F.ln(x / F.greatest(total, F.lit(1e-12)) + 1e-8))
+    peak = lambda x: F.max_by(F.col("k"), F.struct(x, -F.col("k")))
+    return both.join(whole, "col").groupBy("col").agg(
+        F.count("*").alias("bins"), F.sum(F.abs(s - o)).alias("distance"), (peak(s) == peak(o)).alias("peak_match"),
+        entropy(s, F.col("all_s")).alias("h_syn"), entropy(o, F.col("all_o")).alias("h_orig"))
 
 
 def spectral_metrics(compared: DataFrame) -> DataFrame:

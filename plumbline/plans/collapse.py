@@ -193,37 +193,42 @@ def win_06(spark, sf):
     return r.select("col", "val", "cum_n_syn", "cum_n_orig", (F.col("cum_n_syn") + F.col("cum_n_orig") - t + (t + 1) / 2).alias("midrank"))
 
 
-SPECTRUM = """, placed AS (SELECT *, row_number() OVER (PARTITION BY side ORDER BY row_id) - 1 AS pos, count(*) OVER (PARTITION BY side) AS n FROM series),
-kept AS (SELECT * FROM placed WHERE pos < (SELECT min(n) FROM placed)),
-cells AS (SELECT 'total' AS col, side, pos // 256 AS block, pos % 256 AS t, total AS val FROM kept UNION ALL SELECT 'season', side, pos // 256, pos % 256, season FROM kept),
-sized AS (SELECT *, count(*) OVER (PARTITION BY col, side, block) AS size FROM cells),
-psd AS (SELECT col, block, side, k, sum(val * cos(2 * pi() * k * t / size)) ** 2 + sum(val * sin(2 * pi() * k * t / size)) ** 2 AS psd
-  FROM sized, (SELECT unnest(range(129)) AS k) WHERE k <= size // 2 GROUP BY col, block, side, k)"""
+SPECTRUM = """, placed AS (SELECT *, row_number() OVER (PARTITION BY side ORDER BY row_id) - 1 AS pos FROM series),
+cells AS (SELECT 'total' AS col, side, pos // 256 AS block, pos % 256 AS t, total AS val FROM placed UNION ALL SELECT 'season', side, pos // 256, pos % 256, season FROM placed),
+psd AS (SELECT col, block, side, k, count(*) AS rows, sum(val * cos(2 * pi() * k * t / 256)) ** 2 + sum(val * sin(2 * pi() * k * t / 256)) ** 2 AS psd
+  FROM cells, (SELECT unnest(range(129)) AS k) GROUP BY col, block, side, k)"""
+COMPARED = SPECTRUM + """,
+sides AS (SELECT col, k, sum(psd * rows) FILTER (side = 'synthetic') / sum(rows) FILTER (side = 'synthetic') AS s,
+  sum(psd * rows) FILTER (side = 'original') / sum(rows) FILTER (side = 'original') AS o FROM psd GROUP BY col, k),
+shares AS (SELECT *, s / sum(s) OVER (PARTITION BY col) AS ps, o / sum(o) OVER (PARTITION BY col) AS po FROM sides),
+compared AS (SELECT col, count(*) AS bins, sum(abs(s - o)) AS distance, arg_max(k, s) = arg_max(k, o) AS peak_match,
+  -sum(ps * ln(ps + 1e-8)) AS h_syn, -sum(po * ln(po + 1e-8)) AS h_orig FROM shares GROUP BY col)"""
+BLOCK = 256
 
 
-def spectral_blocks(spark, sf):
-    return spectral.blocks(roles.order_series(spark, sf), ["total", "season"], "row_id", 256)
+def spectral_bins(spark, sf):
+    return spectral.power_bins(spectral.blocks(roles.order_series(spark, sf), ["total", "season"], "row_id", BLOCK), BLOCK)
 
 
-@query("cd_17_power_spectrum", "WITH " + SERIES + SPECTRUM + "SELECT col, CAST(block AS BIGINT) AS block, side, k, round(psd, 4) AS psd FROM psd")
+@query("cd_17_power_spectrum", "WITH " + SERIES + SPECTRUM + "SELECT col, CAST(block AS BIGINT) AS block, side, k, round(psd, 4) AS psd, rows FROM psd")
 def cd_17(spark, sf):
-    return spectral.power_bins(spectral_blocks(spark, sf)).withColumn("psd", F.round("psd", 4))
+    return spectral_bins(spark, sf).withColumn("psd", F.round("psd", 4))
 
 
-@query("cd_18_spectral_blocks", "WITH " + SERIES + SPECTRUM + """
-, sides AS (SELECT col, block, k, max(psd) FILTER (side = 'synthetic') AS s, max(psd) FILTER (side = 'original') AS o FROM psd GROUP BY col, block, k),
-shares AS (SELECT *, s / sum(s) OVER (PARTITION BY col, block) AS ps, o / sum(o) OVER (PARTITION BY col, block) AS po FROM sides)
-SELECT col, CAST(block AS BIGINT) AS block, count(*) AS bins, round(sum(abs(s - o)), 4) AS distance, arg_max(k, s) = arg_max(k, o) AS peak_match,
-  round(-sum(ps * ln(ps + 1e-8)), 6) AS h_syn, round(-sum(po * ln(po + 1e-8)), 6) AS h_orig FROM shares GROUP BY col, block""")
+@query("cd_18_spectral_blocks", "WITH " + SERIES + COMPARED + "SELECT col, bins, round(distance, 4) AS distance, peak_match, round(h_syn, 6) AS h_syn, round(h_orig, 6) AS h_orig FROM compared")
 def cd_18(spark, sf):
-    b = spectral.compare_blocks(spectral_blocks(spark, sf))
+    b = spectral.compare_spectra(spectral_bins(spark, sf))
     return b.withColumns({"distance": F.round("distance", 4), "h_syn": F.round("h_syn", 6), "h_orig": F.round("h_orig", 6)})
 
 
-@query("cd_20_spectral_coherence")
+@query("cd_20_spectral_coherence", "WITH " + SERIES + COMPARED + """,
+one AS (SELECT sum(distance) / sum(bins) AS d, avg(CAST(peak_match AS INTEGER)) * 100 AS p, avg(h_syn) / (avg(h_orig) + 1e-10) AS r FROM compared),
+m AS (SELECT d, 100 * exp(-d / 1000) AS si, p, r, 100 * exp(-abs(r - 1)) AS e FROM one)
+SELECT round(d, 5) AS spectral_distance, round(si, 6) AS spectral_similarity, round(p, 6) AS dominant_frequency_match, round(r, 6) AS spectral_entropy_ratio,
+  round(e, 6) AS spectral_entropy_score, round(si * 0.4 + p * 0.3 + e * 0.3, 6) AS score FROM m""")
 def cd_20(spark, sf):
-    m = spectral.spectral_metrics(spectral.compare_blocks(spectral_blocks(spark, sf)))
-    return m.withColumn("score", cd.weighted("spectral_coherence"))
+    m = spectral.spectral_metrics(spectral.compare_spectra(spectral_bins(spark, sf))).withColumn("score", cd.weighted("spectral_coherence"))
+    return m.select(F.round("spectral_distance", 5).alias("spectral_distance"), *[F.round(c, 6).alias(c) for c in m.columns if c != "spectral_distance"])
 
 
 @query("cd_21_classifier_test")
@@ -329,19 +334,12 @@ def flt_01(spark, sf):
     return cd.input_gate(roles.table(spark, sf, "orders").select(dirty.alias("a"), "o_totalprice"), ["a", "o_totalprice"])
 
 
-@query("prj_04_aligned_columns")
+@query("prj_04_aligned_columns", """
+SELECT 'synthetic' AS side, count(*) AS rows, round(avg(o_orderkey), 6) AS l_orderkey, round(avg(o_custkey), 6) AS l_partkey, round(avg(o_totalprice), 6) AS l_suppkey FROM orders
+UNION ALL SELECT 'original', count(*), round(avg(l_orderkey), 6), round(avg(l_partkey), 6), round(avg(l_suppkey), 6) FROM lineitem""")
 def prj_04(spark, sf):
     both, cols = cd.align(roles.table(spark, sf, "orders"), roles.table(spark, sf, "lineitem"))
-    return both.groupBy("side").agg(F.count("*").alias("rows"), *[F.avg(c).alias(c) for c in cols])
-
-
-@query("prj_05_equal_rows", "WITH " + SERIES + """, placed AS (SELECT *, row_number() OVER (PARTITION BY side ORDER BY row_id) AS pos, count(*) OVER (PARTITION BY side) AS n FROM series)
-SELECT side, row_id, total FROM placed WHERE pos <= (SELECT min(n) FROM placed)""")
-def prj_05(spark, sf):
-    s = roles.order_series(spark, sf)
-    shorter = s.groupBy("side").agg(F.count("*").alias("n")).agg(F.min("n")).scalar()
-    placed = positions(s.select("side", "row_id", "total"), ["side"], ["row_id"])
-    return placed.filter(F.col("pos") < shorter).select("side", "row_id", "total")
+    return both.groupBy("side").agg(F.count("*").alias("rows"), *[F.round(F.avg(c), 6).alias(c) for c in cols])
 
 
 @query("cd_32_scorecard")

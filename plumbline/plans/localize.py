@@ -12,6 +12,7 @@ from plumbline.plans.oracle_parts import DIMS, with_
 from plumbline.plans.profile import rounded
 from plumbline.registry import query
 
+SAMPLE_ROWS = 1000
 ROWS = "r AS (SELECT o_orderkey AS row_id, o_totalprice / 1000 AS price, CAST(dayofyear(o_orderdate) AS DOUBLE) AS season FROM orders)"
 OUTLIER = ROWS + """, s AS (SELECT avg(price) AS mp, avg(season) AS ms, var_samp(price) + 1e-6 AS a, var_samp(season) + 1e-6 AS b, covar_samp(price, season) AS c FROM r),
 d AS (SELECT row_id, sqrt(((price - mp) ** 2 * b - 2 * (price - mp) * (season - ms) * c + (season - ms) ** 2 * a) / (a * b - c * c)) AS x FROM r, s),
@@ -35,12 +36,12 @@ def lcz_01(spark, sf):
 @query("jon_11_sample_neighbours", with_(ROWS + DENSITY) + "SELECT row_id, round(distance, 6) AS distance FROM near")
 def jon_11(spark, sf):
     df, cols, key = roles.rows_with_impact(spark, sf)
-    return rounded(lz.neighbour_distance(df, cols, key, lz.reference_sample(df, cols, key), 20))
+    return rounded(lz.neighbour_distance(df, cols, key, lz.reference_sample(df, cols, key, SAMPLE_ROWS), 20))
 
 
 @query("lcz_02_density", with_(ROWS + DENSITY) + "SELECT row_id, round(density, 6) AS density FROM density")
 def lcz_02(spark, sf):
-    return rounded(lz.density(*roles.rows_with_impact(spark, sf)))
+    return rounded(lz.density(*roles.rows_with_impact(spark, sf), SAMPLE_ROWS))
 
 
 @query("lcz_03_feature_anomaly", with_(ROWS + ANOMALY) + "SELECT row_id, round(anomaly, 6) AS anomaly FROM anomaly")
@@ -50,7 +51,7 @@ def lcz_03(spark, sf):
 
 @query("lcz_04_impact", with_(IMPACT) + "SELECT row_id, round(outlier, 6) AS outlier, round(density, 6) AS density, round(anomaly, 6) AS anomaly, round(impact, 6) AS impact FROM scored")
 def lcz_04(spark, sf):
-    return rounded(lz.impact(*roles.rows_with_impact(spark, sf)))
+    return rounded(lz.impact(*roles.rows_with_impact(spark, sf), SAMPLE_ROWS))
 
 
 @query("lcz_05_gradient_impact", "SELECT event_id AS row_id, round(value / (SELECT max(value) FROM events), 6) AS impact FROM events")
@@ -59,22 +60,22 @@ def lcz_05(spark, sf):
     return rounded(lz.gradient_impact(n))
 
 
-@query("lcz_06_random_cap")
+@query("lcz_06_random_share", with_(ROWS) + "SELECT row_id, price, season FROM r WHERE CAST('0x' || substr(md5(CAST(row_id AS VARCHAR)), 1, 13) AS BIGINT) < 0.1 * 4503599627370496")
 def lcz_06(spark, sf):
-    df, _, _ = roles.rows_with_impact(spark, sf)
-    return lz.capped(df, rows=100_000)
+    df, _, key = roles.rows_with_impact(spark, sf)
+    return sm.random_share(df, key, 0.1)
 
 
 @query("lcz_07_top_rows", with_(IMPACT) + "SELECT row_id, round(impact, 6) AS impact FROM scored ORDER BY scored.impact DESC, row_id LIMIT 100")
 def lcz_07(spark, sf):
-    return rounded(lz.top_rows(lz.impact(*roles.rows_with_impact(spark, sf)), "row_id", 100).select("row_id", "impact"))
+    return rounded(lz.top_rows(lz.impact(*roles.rows_with_impact(spark, sf), SAMPLE_ROWS), "row_id", 100).select("row_id", "impact"))
 
 
 @query("lcz_08_problem_summary", with_(IMPACT) + """
 SELECT rows, problems, round(problems * 100.0 / rows, 6) AS percent, CASE WHEN problems * 100.0 / rows > 20 THEN 'critical' WHEN problems * 100.0 / rows > 10 THEN 'warning'
   WHEN problems * 100.0 / rows > 5 THEN 'caution' ELSE 'acceptable' END AS advice FROM (SELECT count(*) AS rows, count(*) FILTER (impact > 0.6) AS problems FROM scored)""")
 def lcz_08(spark, sf):
-    return rounded(lz.problem_summary(lz.impact(*roles.rows_with_impact(spark, sf)), 0.6))
+    return rounded(lz.problem_summary(lz.impact(*roles.rows_with_impact(spark, sf), SAMPLE_ROWS), 0.6))
 
 
 @query("flt_04_impact_threshold", "SELECT event_id AS row_id FROM events WHERE value / (SELECT max(value) FROM events) > 0.3")
@@ -123,12 +124,14 @@ quota AS (SELECT * FROM placed WHERE pos < CASE WHEN n > 1 THEN floor(n * least(
 sample AS (SELECT * FROM quota QUALIFY row_number() OVER (ORDER BY h, o_orderkey) <= 3000)"""
 
 
-@query("smp_01_auto_strata", """
-SELECT col, unique_count, abs(unique_count - 10) AS distance FROM (
-  SELECT 'l_linenumber' AS col, count(DISTINCT l_linenumber) AS unique_count FROM lineitem UNION ALL SELECT 'l_quantity', count(DISTINCT l_quantity) FROM lineitem
-  UNION ALL SELECT 'l_discount', count(DISTINCT l_discount) FROM lineitem UNION ALL SELECT 'l_tax', count(DISTINCT l_tax) FROM lineitem
-  UNION ALL SELECT 'l_returnflag', count(DISTINCT l_returnflag) FROM lineitem UNION ALL SELECT 'l_linestatus', count(DISTINCT l_linestatus) FROM lineitem)
-WHERE unique_count <= 50 ORDER BY distance, col LIMIT 3""")
+NUMBERS = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+TEXTS = ["l_returnflag", "l_linestatus"]
+UNIQUES = " UNION ALL ".join(f"SELECT '{c}' AS col, count(DISTINCT {c}) AS unique_count, {kind} AS number FROM lineitem" for kind, cs in (("true", NUMBERS), ("false", TEXTS)) for c in cs)
+
+
+@query("smp_01_auto_strata", f"""
+SELECT col, unique_count, abs(unique_count - 10) AS distance FROM ({UNIQUES})
+WHERE CASE WHEN number THEN unique_count <= 50 ELSE unique_count BETWEEN 2 AND 100 END ORDER BY distance, col LIMIT 3""")
 def smp_01(spark, sf):
     return sm.auto_strata(roles.table(spark, sf, "lineitem"))
 

@@ -276,7 +276,7 @@ def src_08(spark, sf):
 
 @query("src_09_row_estimate")
 def src_09(spark, sf):
-    return readers.row_estimate(roles.table(spark, sf, "orders"))
+    return readers.row_estimate(roles.table(spark, sf, "orders"), 0.01)
 
 
 @query("src_11_incremental_scan", "SELECT o_orderkey, o_totalprice FROM orders")

@@ -67,8 +67,8 @@ def statistical_consistency(pair: DataFrame, cols: list[str]) -> DataFrame:
     return consistency_of(ranks.join(cd.chi_square(cd.joint_bins(counts)), "col"))
 
 
-def spectral_coherence(series: DataFrame, cols: list[str], row_id: str, block: int = spectral.BLOCK_ROWS) -> DataFrame:
-    m = spectral.spectral_metrics(spectral.compare_blocks(spectral.blocks(series, cols, row_id, block)))
+def spectral_coherence(series: DataFrame, cols: list[str], row_id: str, block: int) -> DataFrame:
+    m = spectral.spectral_metrics(spectral.compare_spectra(spectral.power_bins(spectral.blocks(series, cols, row_id, block), block)))
     return m.withColumn("score", cd.weighted("spectral_coherence"))
 
 
@@ -89,22 +89,26 @@ DIMENSION_ROW = "dim_name string, score double, metrics map<string,double>"
 
 
 def as_row(name: str, one: Row) -> tuple[str, float, dict[str, float]]:
+    """Metrics stay as they are; a dimension's score is kept within 0 and 100, so that one cannot swamp the mean."""
     metrics = {k: None if v is None else float(v) for k, v in one.asDict().items() if k != "score"}
-    return name, float(one["score"]), metrics
+    return name, min(100.0, max(0.0, float(one["score"]))), metrics
 
 
 def scorecard(
     pair: DataFrame,
     cols: list[str],
-    series: tuple[DataFrame, list[str], str] | None = None,
+    series: tuple[DataFrame, list[str], str, int] | None = None,
     gradients: DataFrame | None = None,
     losses: DataFrame | None = None,
+    extra: dict[str, tuple[float, Callable[[DataFrame, list[str]], DataFrame]]] | None = None,
 ) -> DataFrame:
-    """Eight dimension rows and an ``overall`` row.
+    """Eight dimension rows, those of ``extra``, and an ``overall`` row.
+
+    ``extra`` names further dimensions: a pass mark and a function from the pair to one row of metrics with a ``score``.
 
     The dimensions are independent Spark jobs, submitted together so that they share the cluster; each
-    brings one row of numbers back. ``series`` is a pair with a row order for the spectral dimension;
-    without it, gradients or losses the dimension is neutral.
+    brings one row of numbers back. ``series`` is a pair with its columns, row order and block length for the spectral
+    dimension; without it, gradients or losses the dimension is neutral.
     """
     spark = pair.sparkSession
 
@@ -115,6 +119,7 @@ def scorecard(
     work: dict[str, Callable[[], Any]] = {
         "columns": columns,
         "covariances": lambda: learned.covariances(pair, cols, "side"),
+        "pairs": lambda: cd.correlation_pairs(pair, cols).collect(),  # one row per column pair
         "information": lambda: information_score(pair, cols),
         "generalization_gap": lambda: generalization_gap(pair, cols).first(),
     }
@@ -124,19 +129,22 @@ def scorecard(
         work["gradient_health"] = lambda: gradient_dimension(gradients).first()
     if losses is not None:
         work["loss_landscape"] = lambda: loss_dimension(losses).first()
+    for name, (_, measure) in (extra or {}).items():
+        work[name] = lambda measure=measure: measure(pair, cols).first()
     with ThreadPoolExecutor(len(work)) as pool:
         running = {name: pool.submit(inheritable_thread_target(spark)(job)) for name, job in work.items()}
         done = {name: job.result() for name, job in running.items()}
 
     per_col, cov = done.pop("columns"), done.pop("covariances")
-    pairs, deviations = learned.correlation_tables(spark, cov)
+    pairs = spark.createDataFrame([tuple(r) for r in done.pop("pairs")], "i int, j int, r_syn double, r_orig double")
     done["distribution_fidelity"] = distribution_of(per_col).first()
     done["statistical_consistency"] = consistency_of(per_col).first()
     done["entropy_stability"] = entropy_of(per_col, done.pop("information"), learned.dimension_metrics(cov)).first()
-    done["correlation_preservation"] = cd.correlation_metrics(pairs, deviations, len(cols)).withColumn("score", cd.weighted("correlation_preservation")).first()
+    done["correlation_preservation"] = cd.correlation_metrics(pairs, per_col, len(cols)).withColumn("score", cd.weighted("correlation_preservation")).first()
     found = spark.createDataFrame([as_row(name, one) for name, one in done.items() if one is not None], DIMENSION_ROW)
     found = found.withColumn("validation_id", F.lit(0))
-    dims = cd.judged(cd.with_neutral(found.select("validation_id", "dim_name", "score"), "validation_id"))
+    marks = {name: mark for name, (mark, _) in (extra or {}).items()}
+    dims = cd.judged(cd.with_neutral(found.select("validation_id", "dim_name", "score"), "validation_id", marks))
     dims = dims.join(found.select("dim_name", "metrics"), "dim_name", "left")
     out = dims.select("dim_name", "score", "threshold", "passed", "severity", F.coalesce("metrics", F.create_map().cast("map<string,double>")).alias("metrics"))
     # the mean of eight rows
@@ -149,7 +157,9 @@ def scorecard(
 
 def line_item_scorecard(spark: SparkSession, sf_dir: str) -> DataFrame:
     pair = roles.pair(spark, sf_dir)
-    series = (roles.order_series(spark, sf_dir), ["total", "season"], "row_id")
+    series = (roles.order_series(spark, sf_dir), ["total", "season"], "row_id", 256)
     gradients = roles.table(spark, sf_dir, "lineitem").select((F.col("l_quantity") * 4).alias("norm"))
-    losses = roles.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("step"), (F.col("o_totalprice") / 100000).alias("loss"))
+    # the monthly mean price stands for a loss curve: one point a month, as steady as a loss after its first epochs
+    losses = roles.table(spark, sf_dir, "orders").groupBy(F.date_format("o_orderdate", "yyyyMM").cast("long").alias("step")).agg(
+        (F.avg("o_totalprice") / 100000).alias("loss"))
     return scorecard(pair, roles.FEATURES, series, gradients, losses)

@@ -125,14 +125,6 @@ def flt_10(spark, sf, unread_only: bool = True):
     return e.select("user_id", "event_id")
 
 
-@query("flt_11_first_rows", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_orderkey LIMIT 5000")
-def flt_11(spark, sf, n: int = 5000):
-    return roles.table(spark, sf, "orders").select("o_orderkey", "o_totalprice").orderBy("o_orderkey").limit(n)
-
-
-# ---------------------------------------------------------------- joins
-
-
 @query("jon_01_validation_dataset", VD + """
 SELECT validation_id, coalesce(filename, 'Unknown') AS filename FROM validations LEFT JOIN (SELECT * FROM datasets WHERE row_count > 0) USING (dataset_id)""")
 def jon_01(spark, sf):

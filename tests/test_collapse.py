@@ -1,7 +1,5 @@
 """Two-sample measures against numpy, and the behaviour expected of healthy and collapsed data."""
 
-import math
-
 import numpy as np
 import pandas as pd
 import pytest
@@ -80,14 +78,80 @@ def test_anderson_darling_level(spark):
     assert abs(ad.mean()) < 0.6 and 0.5 < ad.std() < 1.7
 
 
-def test_exact_and_limit_forms_of_the_harmonic_sums_meet(spark):
+def test_harmonic_sums_at_every_size(spark):
     from pyspark.sql import functions as F
 
-    r = spark.range(1).select(cd.harmonic(F.lit(1000.0)).alias("h"), cd.harmonic(F.lit(1001.0)).alias("h2"), cd.harmonic_pairs(F.lit(1000.0)).alias("g"), cd.harmonic_pairs(F.lit(6.0)).alias("g6")).first()
-    assert r["h"] == pytest.approx(sum(1 / i for i in range(1, 1000)))
-    assert r["h2"] == pytest.approx(r["h"], abs=0.002)
-    assert r["g"] == pytest.approx(math.pi**2 / 6, abs=0.02)
-    assert r["g6"] == pytest.approx(sum(1 / ((6 - i) * j) for i in range(1, 5) for j in range(i + 1, 6)))
+    sizes = [2, 3, 6, 50, 1000, 1001, 3000]
+    rows = spark.createDataFrame([(float(n),) for n in sizes], "n double").select("n", cd.harmonic(F.col("n")).alias("h"), cd.harmonic_pairs(F.col("n")).alias("g")).collect()
+    for r in rows:
+        n = int(r["n"])
+        assert r["h"] == pytest.approx(sum(1 / i for i in range(1, n)), abs=1e-9)
+        below = np.concatenate([[0], np.cumsum([1 / (n - i) for i in range(1, n)])])
+        assert r["g"] == pytest.approx(sum(below[j - 1] / j for j in range(1, n)), abs=1e-9)
+
+
+def holey(seed, n, d, side=None):
+    x = np.random.default_rng(seed).normal(size=(n, d)).cumsum(axis=1)
+    x[np.random.default_rng(seed + 1).random((n, d)) < 0.2] = np.nan
+    return x
+
+
+def with_nulls(spark, x, side):
+    rows = [tuple(None if np.isnan(v) else float(v) for v in r) + (side,) for r in x]
+    return spark.createDataFrame(rows, ", ".join(f"f{i} double" for i in range(x.shape[1])) + ", side string")
+
+
+@pytest.mark.parametrize("d", [12, 13])
+def test_nulls_follow_one_rule_at_every_width(spark, d):
+    x = holey(3, 200, d)
+    df, cols = with_nulls(spark, x, "original"), [f"f{i}" for i in range(d)]
+    want = pd.DataFrame(x)
+    got = {(r["i"], r["j"]): r["r"] for r in cs.correlations(df, cols).collect()}
+    cov = learned.covariances(df, cols)[""]
+    for i in range(d):
+        for j in range(i + 1, d):
+            assert got[(i, j)] == pytest.approx(want.corr()[i][j])
+            assert cov[i, j] == pytest.approx(want.cov()[i][j])
+        assert cov[i, i] == pytest.approx(want[i].var())
+
+
+def test_two_sample_measures_take_nulls(spark):
+    p = with_nulls(spark, holey(5, 150, 3), "synthetic").unionByName(with_nulls(spark, holey(6, 170, 3), "original"))
+    cols = ["f0", "f1", "f2"]
+    assert cd.per_column(p, cols).count() == 3 and cd.mutual_information(p, cols).count() == 3
+    series = p.selectExpr("*", "monotonically_increasing_id() AS row_id")
+    rows = {r["dim_name"]: r["score"] for r in scorecard(p, cols, (series, cols, "row_id", 64)).collect()}
+    assert len(rows) == 9 and all(0 <= v <= 100 for v in rows.values())
+
+
+def test_spectra_keep_the_place_of_nulls(spark):
+    from plumbline.operators import spectral
+
+    x = np.sin(np.arange(150) * 0.7)
+    rows = [(s, i, None if i == 40 else float(x[i])) for s, n in (("synthetic", 150), ("original", 100)) for i in range(n)]
+    bins = spectral.power_bins(spectral.blocks(spark.createDataFrame(rows, "side string, row_id long, v double"), ["v"], "row_id", 64), 64)
+    got = {(r["side"], r["block"], r["k"]): r["psd"] for r in bins.collect()}
+    x[40] = 0.0
+    for side, n in (("synthetic", 150), ("original", 100)):
+        for b in range(-(-n // 64)):
+            part = np.zeros(64)
+            part[: len(x[b * 64 : min(n, b * 64 + 64)])] = x[b * 64 : min(n, b * 64 + 64)]
+            assert np.allclose([got[(side, b, k)] for k in range(33)], np.abs(np.fft.rfft(part)) ** 2)
+    assert spectral.compare_spectra(bins).count() == 1
+
+
+def test_information_of_every_column(spark):
+    x = np.random.default_rng(1).normal(size=(60, 25))
+    assert cd.mutual_information(pair(spark, x, x + 1), [f"f{i}" for i in range(25)]).count() == 25
+
+
+def test_own_dimensions_count(spark):
+    x = np.random.default_rng(8).normal(size=(80, 4))
+    extra = {"same_rows": (90.0, lambda p, cols: p.selectExpr("count(*) AS rows").selectExpr("rows", "50.0D AS score"))}
+    rows = {r["dim_name"]: r for r in scorecard(pair(spark, x, x), COLS, extra=extra).collect()}
+    assert rows["same_rows"]["score"] == 50.0 and not rows["same_rows"]["passed"] and rows["same_rows"]["metrics"]["rows"] == 160
+    eight = [r["score"] for n, r in rows.items() if n != "overall"]
+    assert len(eight) == 9 and rows["overall"]["score"] == pytest.approx(sum(eight) / 9)
 
 
 def test_tails():
@@ -152,6 +216,7 @@ def test_wide_correlations_equal_narrow_ones(spark):
 def test_effective_dimension():
     assert learned.effective_dimension(np.diag([9.5, 0.3, 0.2])) == 1
     assert learned.effective_dimension(np.eye(4)) == 4
+    assert learned.effective_dimension(np.eye(65)) == 59
 
 
 def test_stats_of_odd_columns(spark):

@@ -133,11 +133,11 @@ def test_exact_search_over_many_blocks(spark, monkeypatch):
 def test_density_against_numpy(spark):
     x = np.random.default_rng(1).normal(size=(200, 3))
     df = spark.createDataFrame([(i, *map(float, v)) for i, v in enumerate(x)], "id long, a double, b double, c double")
-    got = lz.density(df, ["a", "b", "c"], "id").toPandas().sort_values("id")["density"].to_numpy()
+    got = lz.density(df, ["a", "b", "c"], "id", 1000).toPandas().sort_values("id")["density"].to_numpy()
     d = np.sort(np.linalg.norm(x[:, None] - x[None], axis=2), axis=1)[:, :20].mean(1)
     want = 1 / (1 / (d + 1e-6) + 1e-6)
     assert np.allclose(got, want / want.max())
-    top = lz.top_rows(lz.impact(df, ["a", "b", "c"], "id"), "id", 5).toPandas()["impact"]
+    top = lz.top_rows(lz.impact(df, ["a", "b", "c"], "id", 1000), "id", 5).toPandas()["impact"]
     assert top.is_monotonic_decreasing and len(top) == 5
 
 
@@ -218,7 +218,7 @@ def test_row_estimate_rejects_empty(spark, tmp_path):
     path = str(tmp_path / "none")
     spark.createDataFrame([], "a int").write.parquet(path)
     with pytest.raises(ValueError):
-        readers.row_estimate(spark.read.parquet(path))
+        readers.row_estimate(spark.read.parquet(path), 0.5)
 
 
 def test_chunks(spark):
