@@ -18,10 +18,12 @@ repeated rows are encoded alike; an empty table gives an empty table. Other colu
 from __future__ import annotations
 
 import functools
+import itertools
 import re
 import struct
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
@@ -32,6 +34,9 @@ from plumbline.registry import query
 
 MARK = "▁"
 KNOWN_WORDS, KNOWN_PAIRS, WORD_CHARS = 300_000, 600_000, 40
+BATCH_CHARS = 1_000_000
+#: piece ids stay below PIECES, and those of single characters outside the lexicon below PAIR
+PIECES, PAIR = 1 << 20, 1 << 22
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
 MERGES = 2
 
@@ -92,11 +97,18 @@ class PieceTransducer:
             elif kind != CONTROL:
                 raise ValueError(f"kind {kind} of piece {text!r} is not handled")
             self.spelling.append(spelling)
-        self.longest = max(map(len, self.ids))
+        self.names = {k: text for text, k in self.ids.items()}
+        # the lexicon read backwards from each position; under "" the piece that is complete
+        self.lexicon: dict = {}
+        for text, k in self.ids.items():
+            node = self.lexicon
+            for c in reversed(text):
+                node = node.setdefault(c, {})
+            node[""] = k
         self.first_byte, self.last_byte = min(self.byte_ids), max(self.byte_ids)
         self.words = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
         self.known: dict[str, tuple[int, ...]] = {}
-        self.pairs: dict[tuple[str, str], bool] = {}
+        self.pairs: dict[int, bool] = {}
 
     def merged(self, text: str) -> list[str]:
         """Merging by definition: the adjacent pair of highest score, leftmost first, until none is a piece."""
@@ -111,51 +123,69 @@ class PieceTransducer:
                 return parts
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
 
-    def neighbours(self, left: str, right: str) -> bool:
-        """Whether the weight of the two as neighbours is 0."""
-        pair = (left, right)
-        free = self.pairs.get(pair)
-        if free is None:
-            if len(self.pairs) >= KNOWN_PAIRS:
-                self.pairs.clear()
-            free = self.pairs[pair] = self.merged(left + right) == [left, right]
+    def neighbours(self, pair: int) -> bool:
+        """Whether the weight of two neighbours (left * PAIR + right) is 0. Others than pieces are PIECES + character."""
+        if len(self.pairs) >= KNOWN_PAIRS:
+            self.pairs.clear()
+        left, right = (self.names.get(k) or chr(k - PIECES) for k in divmod(pair, PAIR))
+        free = self.pairs[pair] = self.merged(left + right) == [left, right]
         return free
 
-    def path(self, word: str) -> tuple[int, ...]:
-        """The ids along the shortest path of one word."""
-        ids, last = self.ids, [""] * (len(word) + 1)
-        for end in range(1, len(word) + 1):
-            for start in range(max(0, end - self.longest), end):
-                piece = word[start:end]
-                if (piece in ids or end - start == 1) and (start == 0 or self.neighbours(last[start], piece)):
-                    last[end] = piece
+    def paths(self, words: list[str]) -> Iterator[tuple[int, ...]]:
+        """The ids along the shortest path of each word. Words in order share the states of common beginnings."""
+        pairs, before = self.pairs, ""
+        last, size = [0], [0]
+        for word in words:
+            same = 0
+            for same, (a, b) in enumerate(zip(before, word)):  # noqa: B007
+                if a != b:
                     break
-        out: list[int] = []
-        end = len(word)
-        while end:
-            piece = last[end]
-            if piece in ids:
-                out.append(ids[piece])
             else:
-                out += [self.byte_ids[b] for b in reversed(piece.encode())]
-            end -= len(piece)
-        return tuple(reversed(out))
-
-    def encode(self, text: str) -> list[int]:
-        out: list[int] = []
-        if not text:
-            return out
+                same = min(len(before), len(word))
+            del last[same + 1 :], size[same + 1 :]
+            for end in range(same + 1, len(word) + 1):
+                node, start, state = self.lexicon, end, -1
+                while start:
+                    start -= 1
+                    node = node.get(word[start])
+                    if node is None:
+                        break
+                    piece = node.get("")
+                    if piece is not None:
+                        if start:
+                            pair = last[start] * PAIR + piece
+                            free = pairs.get(pair)
+                            if free is None:
+                                free = self.neighbours(pair)
+                            if not free:
+                                continue
+                        state = piece
+                        break
+                if state < 0:
+                    state, start = PIECES + ord(word[end - 1]), end - 1
+                last.append(state)
+                size.append(end - start)
+            before, end = word, len(word)
+            out: list[int] = []
+            while end:
+                state = last[end]
+                if state < PIECES:
+                    out.append(state)
+                else:
+                    out += [self.byte_ids[b] for b in reversed(chr(state - PIECES).encode())]
+                end -= size[end]
+            yield tuple(reversed(out))
+
+    def encode(self, texts: list[str | None]) -> list[list[int]]:
         known = self.known
-        for word in self.words.findall(self.prefix + text.replace(" ", MARK)):
-            ids = known.get(word)
-            if ids is None:
-                ids = self.path(word)
-                if len(word) <= WORD_CHARS:
-                    if len(known) >= KNOWN_WORDS:
-                        known.clear()
-                    known[word] = ids
-            out += ids
-        return out
+        words = [self.words.findall(self.prefix + t.replace(" ", MARK)) if t else [] for t in texts]
+        if len(known) > KNOWN_WORDS:
+            known.clear()
+        new = sorted({w for own in words for w in own if w not in known})
+        found = dict(zip(new, self.paths(new), strict=True))
+        known.update((w, ids) for w, ids in found.items() if len(w) <= WORD_CHARS)
+        found = {w: ids for w, ids in found.items() if len(w) > WORD_CHARS}
+        return [[i for w in own for i in (known.get(w) or found[w])] for own in words]
 
     def decode(self, ids: list[int]) -> str:
         raw = b"".join([self.spelling[i] for i in ids])
@@ -177,12 +207,20 @@ def encode_documents(docs: DataFrame, path: str, doc_id: str = "doc_id", text: s
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = transducer(path)
         for batch in batches:
-            ids = [machine.encode(t) for t in batch.column("text").to_pylist()]
-            counts = [sum(machine.first_byte <= i <= machine.last_byte for i in x) for x in ids]
-            decoded = [machine.decode(x) for x in ids]
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(n) for n, _ in kept), pa.array(ids, pa.list_(pa.int32())), pa.array(counts, pa.int64()), pa.array(decoded, pa.string())],
-                [*(n for n, _ in kept), "ids", "n_byte_pieces", "decoded"])
+            texts = batch.column("text").to_pylist()
+            ends = np.cumsum([len(t) for t in texts]) // BATCH_CHARS
+            for part in np.split(np.arange(len(texts)), np.flatnonzero(np.diff(ends)) + 1):
+                if not len(part):
+                    continue
+                ids = machine.encode([texts[k] for k in part])
+                at = np.cumsum([0] + [len(x) for x in ids])
+                flat = np.fromiter(itertools.chain.from_iterable(ids), np.int32, at[-1])
+                bytewise = np.r_[0, np.cumsum((flat >= machine.first_byte) & (flat <= machine.last_byte))]
+                decoded = [machine.decode(x) for x in ids]
+                yield pa.RecordBatch.from_arrays(
+                    [*(batch.column(n).slice(int(part[0]), len(part)) for n, _ in kept), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(flat)),
+                     pa.array(bytewise[at[1:]] - bytewise[at[:-1]], pa.int64()), pa.array(decoded, pa.string())],
+                    [*(n for n, _ in kept), "ids", "n_byte_pieces", "decoded"])
 
     return rows.mapInArrow(run, ", ".join(f"{n} {t}" for n, t in kept) + ", ids array<int>, n_byte_pieces long, decoded string")
 
