@@ -132,14 +132,15 @@ def window_means(series: DataFrame, key: str, order: list[str], value: str, widt
 
 
 def library_statistics(library: DataFrame) -> DataFrame:
-    """One row over the whole library; the median comes from a mergeable sketch."""
+    """One row over the whole library. Scores are counted by value first, so the exact median sees one row a value."""
     s = F.col("collapse_score")
     one = library.agg(
         F.count("*").alias("signatures"), F.avg(s).alias("mean"), F.stddev_pop(s).alias("std"), F.min(s).alias("min"), F.max(s).alias("max"),
         F.avg(F.when(s < FAILING, 1.0).otherwise(0.0)).alias("collapse_rate"))
     per = library.groupBy("cluster_id").agg(F.count("*").alias("n")).agg(F.count("*").alias("clusters"), F.avg("n").alias("mean_cluster_size"))
-    both = one.withColumn("per", per.select(F.struct("clusters", "mean_cluster_size")).scalar())
-    return both.select(*one.columns, "per.clusters", "per.mean_cluster_size")
+    median = library.groupBy(s.alias("s")).agg(F.count("*").alias("n")).agg(F.percentile("s", F.lit(0.5), F.col("n")))
+    both = one.withColumn("per", per.select(F.struct("clusters", "mean_cluster_size")).scalar()).withColumn("median", median.scalar())
+    return both.select(*one.columns, "median", "per.clusters", "per.mean_cluster_size")
 
 
 def prescreen(matches: DataFrame, datasets: DataFrame) -> DataFrame:

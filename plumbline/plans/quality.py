@@ -212,7 +212,27 @@ def doc_29(spark, sf):
     return q.null_patterns(d, ["quality", "toxic", "lang"])
 
 
-@query("smp_07_sample_check")
+SAMPLED = """rows_ AS (SELECT *, CAST(dayofyear(o_orderdate) AS DOUBLE) AS season, CAST('0x' || substr(md5(CAST(o_orderkey AS VARCHAR)), 1, 13) AS BIGINT) AS h,
+  count(*) OVER (PARTITION BY o_orderpriority) AS n, count(*) OVER () AS total FROM orders),
+target AS (SELECT greatest(1, count(*) // 5) AS t FROM orders),
+ordered AS (SELECT *, row_number() OVER (PARTITION BY o_orderpriority ORDER BY h, o_orderkey) - 1 AS pos FROM rows_, target),
+kept AS (SELECT * FROM ordered WHERE pos < CASE WHEN n > 1 THEN floor(n * least(1.0, t / total) + 0.5) ELSE 1 END QUALIFY row_number() OVER (ORDER BY h, o_orderkey) <= t),
+long AS (SELECT 'o_totalprice' AS col, o_totalprice AS val, 1 AS s, 0 AS o FROM kept UNION ALL SELECT 'season', season, 1, 0 FROM kept
+  UNION ALL SELECT 'o_totalprice', o_totalprice, 0, 1 FROM rows_ UNION ALL SELECT 'season', season, 0, 1 FROM rows_),
+cum AS (SELECT col, val, sum(sum(s)) OVER (PARTITION BY col ORDER BY val) / sum(sum(s)) OVER (PARTITION BY col) AS fs,
+  sum(sum(o)) OVER (PARTITION BY col ORDER BY val) / sum(sum(o)) OVER (PARTITION BY col) AS fo FROM long GROUP BY col, val),
+ks AS (SELECT col, max(abs(fs - fo)) AS ks FROM cum GROUP BY col),
+side AS (SELECT col, val, s = 1 AS syn FROM long),
+bins AS (SELECT col, syn, least(CAST(floor((val - min(val) OVER w) / (max(val) OVER w - min(val) OVER w) * 50) AS INTEGER), 49) AS bin FROM side WINDOW w AS (PARTITION BY col, syn)),
+mass AS (SELECT g.col, g.syn, g.bin, coalesce(n, 0) + 1e-10 AS m FROM (SELECT DISTINCT b.col, b.syn, i AS bin FROM bins b, (SELECT unnest(range(50)) AS i)) g
+  LEFT JOIN (SELECT col, syn, bin, count(*) AS n FROM bins GROUP BY ALL) c USING (col, syn, bin)),
+ent AS (SELECT col, syn, -sum(p * ln(p)) AS h FROM (SELECT col, syn, m / sum(m) OVER (PARTITION BY col, syn) AS p FROM mass) GROUP BY col, syn),
+ratio AS (SELECT col, max(h) FILTER (syn) / (max(h) FILTER (NOT syn) + 1e-10) AS ratio FROM ent GROUP BY col)"""
+
+
+@query("smp_07_sample_check", "WITH " + SAMPLED + """
+SELECT col, round(ks, 6) AS ks, round(ratio, 6) AS ratio, (SELECT round(abs((SELECT corr(o_totalprice, season) FROM kept) - (SELECT corr(o_totalprice, season) FROM rows_)), 6)) AS correlation_gap
+FROM ks JOIN ratio USING (col)""")
 def smp_07(spark, sf):
     """KS, entropy ratio and correlation distance of a stratified sample against its table."""
     o = roles.table(spark, sf, "orders").select("o_orderkey", "o_orderpriority", "o_totalprice", F.dayofyear("o_orderdate").cast("double").alias("season"))
@@ -221,7 +241,8 @@ def smp_07(spark, sf):
     both, _ = cd.align(s.select(*cols), o.select(*cols))
     ks = cd.rank_metrics(cd.rank_table(both, cols)).select("col", "ks")
     ent = cd.entropies(cd.joint_bins(cd.cells(both, cols))).select("col", "ratio")
-    return ks.join(ent, "col")
+    gap = cd.correlation_pairs(both, cols).agg(F.max(F.abs(F.col("r_syn") - F.col("r_orig"))))  # one pair of columns
+    return rounded(ks.join(ent, "col").withColumn("correlation_gap", gap.scalar()))
 
 
 # ---------------------------------------------------------------- formats

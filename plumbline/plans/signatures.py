@@ -213,6 +213,6 @@ def sig_16(spark, sf):
 
 @query("agg_21_library_statistics", with_(SIGS) + """
 SELECT count(*) AS signatures, round(avg(collapse_score), 6) AS mean, round(stddev_pop(collapse_score), 6) AS std, min(collapse_score) AS min, max(collapse_score) AS max,
-  round(avg(CASE WHEN collapse_score < 65 THEN 1.0 ELSE 0.0 END), 6) AS collapse_rate, count(DISTINCT cluster_id) AS clusters, count(*) / count(DISTINCT cluster_id) AS mean_cluster_size FROM sigs""")
+  round(median(collapse_score), 6) AS median, round(avg(CASE WHEN collapse_score < 65 THEN 1.0 ELSE 0.0 END), 6) AS collapse_rate, count(DISTINCT cluster_id) AS clusters, count(*) / count(DISTINCT cluster_id) AS mean_cluster_size FROM sigs""")
 def agg_21(spark, sf):
     return rounded(sg.library_statistics(roles.signatures(spark, sf)))

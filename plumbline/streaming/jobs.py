@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from plumbline.operators.longform import to_long
-from plumbline.operators.sequences import carry
+from plumbline.operators.sequences import place
 
+# Requests per window, failures until the lock and its length, weight of the newest feedback.
 RATE_LIMIT = 100
 RATE_WINDOW_SECONDS = 60
 MAX_FAILURES = 5
@@ -78,52 +80,78 @@ def first_tokens_stream(events: DataFrame, keep: str = "60 days") -> DataFrame:
 # ---------------------------------------------------------------- sequences
 
 
+def _inside() -> Window:
+    """Rows of one user in one bucket of times, in order."""
+    return Window.partitionBy("user_id", "_b").orderBy("ts", "event_id")
+
+
+def _ahead() -> Window:
+    """The buckets of a user before this one: a row for each, however many events they hold."""
+    return Window.partitionBy("user_id").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+
+
 def failure_streaks(events: DataFrame, limit: int = MAX_FAILURES, minutes: int = LOCK_MINUTES) -> DataFrame:
     """Table form of the lockout: failures since the last success, and the lock a full streak brings.
 
-    Running counts are taken bucket by bucket, so one busy user is spread over many tasks.
+    Events are placed in buckets of time once. Each bucket counts its failures and how many of them came before its last
+    success; from the buckets before it comes the streak it starts with. So one busy user is spread over many tasks.
     """
     tries = events.select("user_id", "event_id", "ts", (F.col("event_type") == "error").alias("failed"), F.col("event_type").isin("signup", "purchase").alias("ok")).filter("failed OR ok")
-    counted = carry(tries.withColumn("one", F.col("failed").cast("bigint")), ["user_id"], ["ts", "event_id"], sums={"fails": "one"})
-    marked = counted.withColumn("at_success", F.when(F.col("ok"), F.col("fails")))
-    known = carry(marked, ["user_id"], ["ts", "event_id"], lasts={"base": "at_success"})
-    streak = F.when(F.col("ok"), F.lit(0)).otherwise(F.col("fails") - F.coalesce("base", F.lit(0)))
+    upto = _inside().rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    counted = place(tries, "ts").withColumn("fails", F.sum(F.col("failed").cast("bigint")).over(upto))
+    known = counted.withColumn("base", F.last(F.when(F.col("ok"), F.col("fails")), ignorenulls=True).over(upto))
+    ends = known.groupBy("user_id", "_b").agg(F.max("fails").alias("all"), F.max("base").alias("settled"))
+    before = F.coalesce(F.sum("all").over(_ahead()), F.lit(0))
+    ends = ends.withColumn("before", before).withColumn("settled", F.col("before") + F.col("settled"))
+    ends = ends.select("user_id", "_b", (F.col("before") - F.coalesce(F.last("settled", ignorenulls=True).over(_ahead()), F.lit(0))).alias("start"))
+    joined = known.join(ends, ["user_id", "_b"])
+    streak = F.when(F.col("base").isNull(), F.col("start") + F.col("fails")).otherwise(F.col("fails") - F.col("base"))
     lock = F.when(F.col("failed") & (F.col("streak") >= limit), F.col("ts") + F.make_dt_interval(mins=F.lit(minutes)))
-    return known.withColumn("streak", streak.cast("bigint")).select("user_id", "event_id", "streak", lock.alias("locked_until"))
+    return joined.withColumn("streak", streak.cast("bigint")).select("user_id", "event_id", "streak", lock.alias("locked_until"))
 
 
 def rate_limited(events: DataFrame, limit: int = RATE_LIMIT, seconds: int = RATE_WINDOW_SECONDS) -> DataFrame:
     """Table form of the exact rate limit: ``(user_id, event_id, allowed)``.
 
-    A pause of a whole window clears the limiter, so runs between pauses are independent and spread over
-    tasks. Inside a run rows stream through in time order with at most ``limit`` timestamps in memory.
+    A pause of a whole window clears the limiter, so runs between pauses are independent and spread over tasks; a run is
+    named by the time it starts. Events are placed in buckets of time once: starts inside a bucket need only the row
+    before, the run a bucket begins in comes from the buckets before it. Inside a run rows stream through in time order
+    with at most ``limit`` timestamps in memory.
     """
     e = events.select("user_id", "event_id", "ts", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
-    before = carry(e, ["user_id"], ["ts", "event_id"], lags={"prev": "us"})
-    fresh = F.col("prev").isNull() | (F.col("us") - F.col("prev") >= seconds * 1_000_000)
-    runs = carry(before.withColumn("fresh", fresh.cast("bigint")), ["user_id"], ["ts", "event_id"], sums={"run": "fresh"})
+    pause = seconds * 1_000_000
+    upto = _inside().rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = place(e, "ts").withColumn("gap", F.col("us") - F.lag("us").over(_inside()))
+    rows = rows.withColumn("run", F.last(F.when(F.col("gap") >= pause, F.col("us")), ignorenulls=True).over(upto))
+    ends = rows.groupBy("user_id", "_b").agg(F.min("us").alias("lo"), F.max("us").alias("hi"), F.max("run").alias("inner"))
+    prev = F.lag("hi").over(Window.partitionBy("user_id").orderBy("_b"))
+    ends = ends.withColumn("fresh", F.when(prev.isNull() | (F.col("lo") - prev >= pause), F.col("lo")))
+    ends = ends.withColumn("latest", F.coalesce("inner", "fresh"))
+    ends = ends.select("user_id", "_b", F.coalesce("fresh", F.last("latest", ignorenulls=True).over(_ahead())).alias("entry"))
+    runs = rows.join(ends, ["user_id", "_b"]).withColumn("run", F.coalesce("run", "entry"))
     ordered = runs.select("user_id", "run", "event_id", "us").repartition("user_id", "run").sortWithinPartitions("user_id", "run", "us", "event_id")
 
     def limiter(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, accepted = None, []
+        key, accepted = None, deque()
         for pdf in batches:
             allowed = []
             for user, run, us in zip(pdf["user_id"], pdf["run"], pdf["us"]):
                 if (user, run) != key:
-                    key, accepted = (user, run), []
-                accepted, ok = admit(accepted, us, limit, seconds)
-                allowed.append(ok)
+                    key, accepted = (user, run), deque()
+                allowed.append(admit(accepted, us, limit, seconds))
             yield pd.DataFrame({"user_id": pdf["user_id"], "event_id": pdf["event_id"], "allowed": allowed})
 
     return ordered.mapInPandas(limiter, "user_id long, event_id long, allowed boolean")
 
 
-def admit(accepted: list[int], now: int, limit: int, seconds: int) -> tuple[list[int], bool]:
-    """Refused requests leave no trace."""
-    live = [t for t in accepted if now - t < seconds * 1_000_000]
-    if len(live) >= limit:
-        return live, False
-    return [*live, now], True
+def admit(accepted: deque, now: int, limit: int, seconds: int) -> bool:
+    """Whether a request is let through; ``accepted`` holds the times of the last window. Refused requests leave no trace."""
+    while accepted and now - accepted[0] >= seconds * 1_000_000:
+        accepted.popleft()
+    if len(accepted) >= limit:
+        return False
+    accepted.append(now)
+    return True
 
 
 def rate_limited_stream(events: DataFrame, limit: int = RATE_LIMIT, seconds: int = RATE_WINDOW_SECONDS, delay: str = "10 minutes") -> DataFrame:
@@ -133,13 +161,12 @@ def rate_limited_stream(events: DataFrame, limit: int = RATE_LIMIT, seconds: int
         if state.hasTimedOut:
             state.remove()
             return
-        accepted = list(state.get[0]) if state.exists else []
+        accepted = deque(state.get[0]) if state.exists else deque()
         new = pd.concat(list(batches)).sort_values(["us", "event_id"])  # one key's share of one micro-batch
         allowed = []
         for us in new["us"]:
-            accepted, ok = admit(accepted, int(us), limit, seconds)
-            allowed.append(ok)
-        state.update((accepted,))
+            allowed.append(admit(accepted, int(us), limit, seconds))
+        state.update((list(accepted),))
         latest = max(int(new["us"].max()) // 1000, state.getCurrentWatermarkMs()) + seconds * 1000
         state.setTimeoutTimestamp(latest + 1)
         yield pd.DataFrame({"user_id": new["user_id"], "event_id": new["event_id"], "allowed": allowed})
