@@ -23,8 +23,17 @@ def live(spark, sf):
     return table_stream(spark, sf, "events")
 
 
-def both_forms(name: str, sql: str | None, job, mode: str = "complete", finish=lambda df: df):
-    """Register a job as a table query and as a stream."""
+def plain_times(df):
+    """Event-time columns as the given tables have them, without a zone."""
+    return df.select(*[F.col(c).cast("timestamp_ntz").alias(c) if t == "timestamp" else F.col(c) for c, t in df.dtypes])
+
+
+def both_forms(name: str, sql: str | None, job, keys: list[str] | None, finish=lambda df: df):
+    """Register a job as a table query and as a stream.
+
+    With ``keys`` the stream carries a watermark, sends only rows that changed and forgets closed windows; the newest row
+    of every key is the result. Without, its state is one row per column or session and is sent whole.
+    """
 
     @query(name, sql)
     def table_form(spark, sf):
@@ -32,31 +41,34 @@ def both_forms(name: str, sql: str | None, job, mode: str = "complete", finish=l
 
     @query(f"{name}_stream", sql)
     def stream_form(spark, sf):
-        return finish(run_to_table(job(live(spark, sf)), mode))
+        if keys is None:
+            return finish(run_to_table(job(live(spark, sf)), "complete"))
+        return finish(plain_times(latest_updates(run_to_table(job(jobs.timed(live(spark, sf))), "update"), keys)))
 
     return table_form
 
 
-both_forms("str_01_column_statistics", STATS, lambda e: jobs.column_statistics(e, ["value", "user_id"]), finish=lambda d: rounded(jobs.finished_statistics(d)))
+both_forms("str_01_column_statistics", STATS, lambda e: jobs.column_statistics(e, ["value", "user_id"]), ["col"], finish=lambda d: rounded(jobs.finished_statistics(d)))
 
-both_forms("str_03_request_counters", "SELECT user_id, event_type, date_trunc('minute', ts) AS window_start, count(*) AS request_count FROM events GROUP BY ALL", jobs.request_counters)
+both_forms("str_03_request_counters", "SELECT user_id, event_type, date_trunc('minute', ts) AS window_start, count(*) AS request_count FROM events GROUP BY ALL", jobs.request_counters,
+           ["user_id", "event_type", "window_start"])
 
 both_forms("str_04_sliding_rates", """
 SELECT window_start, round(count(*) / 300.0, 6) AS request_rate, round(count(*) FILTER (event_type = 'error') / 300.0, 6) AS error_rate
 FROM (SELECT event_type, date_trunc('minute', ts) - to_minutes(CAST(i AS INTEGER)) AS window_start FROM events, (SELECT unnest(range(5)) AS i)) GROUP BY window_start""",
-           jobs.sliding_rates, finish=rounded)
+           jobs.sliding_rates, ["window_start"], finish=rounded)
 
 both_forms("str_06_sessions", """
 WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS fresh FROM events),
 s AS (SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts) AS n FROM g)
-SELECT user_id, min(ts) AS started_at, max(ts) + INTERVAL 30 MINUTE AS expires_at, count(*) AS events FROM s GROUP BY user_id, n""", jobs.sessions)
+SELECT user_id, min(ts) AS started_at, max(ts) + INTERVAL 30 MINUTE AS expires_at, count(*) AS events FROM s GROUP BY user_id, n""", jobs.sessions, None)
 
 both_forms("str_08_throttled_reports", """
 SELECT user_id, window_start, event_id, value FROM (SELECT *, time_bucket(INTERVAL 10 SECOND, ts) AS window_start,
-  row_number() OVER (PARTITION BY user_id, time_bucket(INTERVAL 10 SECOND, ts) ORDER BY ts DESC, event_id DESC) AS rn FROM events) WHERE rn = 1""", jobs.throttled)
+  row_number() OVER (PARTITION BY user_id, time_bucket(INTERVAL 10 SECOND, ts) ORDER BY ts DESC, event_id DESC) AS rn FROM events) WHERE rn = 1""", jobs.throttled, ["user_id", "window_start"])
 
 both_forms("str_11_stage_status", """
-SELECT user_id, event_type, min(ts) AS started_at, max(ts) AS completed_at, arg_max(event_id, (ts, event_id)) AS last_event FROM events GROUP BY user_id, event_type""", jobs.stage_status)
+SELECT user_id, event_type, min(ts) AS started_at, max(ts) AS completed_at, arg_max(event_id, (ts, event_id)) AS last_event FROM events GROUP BY user_id, event_type""", jobs.stage_status, ["user_id", "event_type"])
 
 
 LIMITED = """
@@ -128,6 +140,15 @@ def str_10_stream(spark, sf):
     return rounded(latest_updates(out, ["user_id"]))
 
 
-@query("str_12_windowed_counts", "SELECT time_bucket(INTERVAL 5 MINUTE, ts) AS window_start, count(*) AS n FROM events GROUP BY 1")
+WINDOWS = "SELECT time_bucket(INTERVAL 5 MINUTE, ts) AS window_start, count(*) AS n FROM events GROUP BY 1"
+
+
+@query("str_12_windowed_counts_stream", WINDOWS)
+def str_12_stream(spark, sf):
+    """With a watermark: late events change their window until it is closed, closed windows are forgotten."""
+    return plain_times(latest_updates(run_to_table(jobs.windowed_counts(live(spark, sf)), "update"), ["window_start"]))
+
+
+@query("str_12_windowed_counts", WINDOWS)
 def str_12(spark, sf):
     return jobs.windowed_counts(events(spark, sf)).withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
