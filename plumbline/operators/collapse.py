@@ -435,3 +435,22 @@ def require_valid(df: DataFrame, cols: list[str], **limits) -> None:
     verdict = input_gate(df, cols, **limits).first()["verdict"]
     if verdict != "ok":
         raise ValueError(f"input rejected: {verdict}")
+
+
+# ---------------------------------------------------------------- stability over bins
+
+
+def side_histograms(pair: DataFrame, cols: list[str], bins: int) -> DataFrame:
+    """``(col, expected, actual)``: counts per bin on the original's range, values outside in the end bins.
+
+    Counted per bin before the arrays are built, so an array is made of ``bins`` rows at most.
+    """
+    cell = cells(pair, cols)
+    limits = cell.groupBy("col").agg(F.min(F.when(F.col("n_orig") > 0, F.col("val"))).alias("lo"), F.max(F.when(F.col("n_orig") > 0, F.col("val"))).alias("hi"))
+    width = F.when(F.col("hi") > F.col("lo"), F.col("hi") - F.col("lo")).otherwise(F.lit(1.0))
+    place = F.greatest(F.lit(0), F.least(F.lit(bins - 1), F.floor((F.col("val") - F.col("lo")) / width * bins).cast("int")))
+    counts = cell.join(F.broadcast(limits), "col").groupBy("col", place.alias("bin")).agg(F.sum("n_orig").alias("o"), F.sum("n_syn").alias("s"))  # one row per column
+    table = F.map_from_entries(F.collect_list(F.struct("bin", F.struct("o", "s").alias("n"))))
+    slots = F.sequence(F.lit(0), F.lit(bins - 1))
+    read = lambda name: F.transform(slots, lambda i: F.coalesce(F.col("t")[i][name], F.lit(0)).cast("bigint"))
+    return counts.groupBy("col").agg(table.alias("t")).select("col", read("o").alias("expected"), read("s").alias("actual"))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from plumbline import roles
 from plumbline.operators import collapse as cd
+from plumbline.functions import sql_names
 from plumbline.operators import learned, runs, spectral
 from plumbline.operators import longform as lf
 from plumbline.operators.sequences import positions
@@ -347,3 +348,16 @@ def cd_32(spark, sf):
     from plumbline.plans.scorecard import line_item_scorecard
 
     return line_item_scorecard(spark, sf)
+
+
+@query("udf_03_stability_index", with_(LONG) + """, lim AS (SELECT col, min(val) FILTER (side = 'original') AS lo, max(val) FILTER (side = 'original') AS hi FROM long GROUP BY col),
+b AS (SELECT col, greatest(0, least(9, CAST(floor((val - lo) / (hi - lo) * 10) AS INTEGER))) AS bin, count(*) FILTER (side = 'original') AS o, count(*) FILTER (side = 'synthetic') AS s FROM long JOIN lim USING (col) GROUP BY ALL),
+g AS (SELECT l.col, i, coalesce(o, 0) AS o, coalesce(s, 0) AS s FROM lim l CROSS JOIN (SELECT unnest(range(10)) AS i) LEFT JOIN b ON b.col = l.col AND b.bin = i),
+p AS (SELECT col, i, greatest(o / sum(o) OVER (PARTITION BY col), 1e-6) AS q, greatest(s / sum(s) OVER (PARTITION BY col), 1e-6) AS p,
+  abs(sum(o) OVER (PARTITION BY col ORDER BY i) / sum(o) OVER (PARTITION BY col) - sum(s) OVER (PARTITION BY col ORDER BY i) / sum(s) OVER (PARTITION BY col)) AS gap FROM g)
+SELECT col, round(sum((p - q) * ln(p / q)), 8) AS psi, round(max(gap), 8) AS binned_ks FROM p GROUP BY col""")
+def udf_03(spark, sf):
+    """Through the SQL names, as a user of a SQL session would call them."""
+    sql_names.register(spark)
+    h = cd.side_histograms(roles.pair(spark, sf), FEATURES, 10)
+    return h.select("col", F.expr("round(psi(expected, actual), 8)").alias("psi"), F.expr("round(ks_of_counts(expected, actual), 8)").alias("binned_ks"))

@@ -225,3 +225,11 @@ def test_stats_of_odd_columns(spark):
     assert s["c"]["distinct"] == 1 and s["c"]["skew"] == 0 and s["c"]["std"] == 0
     assert s["n"]["nulls"] == 3 and s["n"]["count"] == 0 and s["n"]["median"] is None
     assert s["x"]["max"] == 1e10 and s["x"]["min"] == 0
+
+
+def test_sql_names(spark):
+    from plumbline.functions import sql_names
+
+    sql_names.register(spark)
+    r = spark.sql("SELECT bin_counts(array(0D, 0.5D, 9D, NULL, -3D, 99D), 0D, 10D, 5) AS h, psi(array(1L, 1L), array(1L, 1L)) AS p, ks_of_counts(array(4L, 0L), array(0L, 4L)) AS k").first()
+    assert r["h"] == [3, 0, 0, 0, 2] and r["p"] == 0 and r["k"] == 1
