@@ -182,11 +182,12 @@ def profile(df: DataFrame, approx: bool = False) -> DataFrame:
         base = cells.groupBy("col", "data_type").agg(
             F.count("*").alias("rows"), F.count_if(F.col("txt").isNull()).alias("null_count"), distinct("txt").alias("unique_count"), *numbers)
     else:
-        # count values first, so that one hot value is one row before distinct values are counted
+        # values meet by a 128-bit hash, so long texts are not shuffled and a hot value is one row before the count
         n = F.count("*")
-        per_value = cells.groupBy("col", "data_type", "txt", "val").agg(n.alias("n"))
-        uniques = per_value.groupBy("col").agg(F.count("txt").alias("unique_count"))
-        base = cells.groupBy("col", "data_type").agg(n.alias("rows"), F.count_if(F.col("txt").isNull()).alias("null_count"), *numbers).join(uniques, "col")
+        named = cells.filter(F.col("txt").isNotNull()).select("col", F.xxhash64("txt").alias("h1"), F.xxhash64(F.lit(1), F.col("txt")).alias("h2"))
+        uniques = named.distinct().groupBy("col").agg(n.alias("unique_count"))
+        base = cells.groupBy("col", "data_type").agg(n.alias("rows"), F.count_if(F.col("txt").isNull()).alias("null_count"), *numbers)
+        base = base.join(uniques, "col", "left").na.fill(0, ["unique_count"])
     return base.withColumn("null_rate", F.try_divide(F.col("null_count"), F.col("rows"))).withColumn(
         "unique_rate", F.try_divide(F.col("unique_count"), F.col("rows"))
     )

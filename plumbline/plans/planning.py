@@ -49,7 +49,9 @@ def jon_13(spark, sf):
     return d.join(F.broadcast(pl.template_table(spark)), "dim_name").select("validation_id", "dim_name", "title")
 
 
-@query("jon_14_open_dependencies")
+@query("jon_14_open_dependencies", with_(RUNS) + """
+SELECT validation_id, 'div_001' AS wants, name AS rec_id FROM plan_runs, (SELECT unnest(['dist_001', 'ent_001']) AS name)
+WHERE diversity_score < 60 AND (validation_id, name) NOT IN (SELECT (validation_id, rec_id) FROM ranked)""")
 def jon_14(spark, sf):
     chosen = pl.ranked(candidates(spark, sf), 3).select("validation_id", "rec_id")
     needs = candidates(spark, sf).select("validation_id", F.col("rec_id").alias("wants"), F.explode(F.map_keys("synergies")).alias("rec_id"))
