@@ -55,7 +55,11 @@ def z_outliers(df: DataFrame, cols: list[str], row_id: str, limit: float = 3.0)
 
 def outlier_regions(df: DataFrame, cols: list[str], row_id: str, size: int, limit: float = 3.0) -> DataFrame:
     """Share of rows with an outlying value per region of neighbouring rows, flagged above ten percent."""
-    odd = z_scores(df, cols, [row_id]).groupBy(row_id).agg(F.max(F.abs("z")).alias("z"))
+    x = {c: scrub(F.col(c)) for c in cols}
+    whole = df.agg(F.struct(*[F.struct(F.avg(v).alias("m"), F.stddev_samp(v).alias("s")).alias(c) for c, v in x.items()])).scalar()
+    z = [F.coalesce(F.abs(F.try_divide(v - F.col("_s")[c]["m"], F.col("_s")[c]["s"])), F.lit(0.0)) for c, v in x.items()]
+    # every row keeps its place, also one whose cells are all null
+    odd = df.withColumn("_s", whole).select(row_id, (F.greatest(*z) if len(z) > 1 else z[0]).alias("z"))
     placed = positions(odd, [], [row_id], "pos")
     per = placed.groupBy(F.floor(F.col("pos") / size).alias("region")).agg(
         F.count("*").alias("rows"), F.count_if(F.col("z") > limit).alias("outliers"))

@@ -41,45 +41,48 @@ def read(spark: SparkSession, path: str, fmt: str | None = None, schema: T.Struc
 
 
 def read_arrow(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> DataFrame:
-    """Many Arrow IPC files, one task per file or more; only names travel, each task opens its own files.
+    """Many Arrow IPC files: only their names travel, each task opens its own files and reads batch by batch.
 
-    Without a schema the first file in name order is opened for its header.
+    Files are opened through Arrow's file systems, so their size does not matter. Without a schema the first file in
+    name order is opened for its header.
     """
-    import pyarrow as pa
-
-    files = list_objects(spark, path).select("path")
+    files = list_objects(spark, path, glob="*.{arrow,feather}").select("path")
     if schema is None:
         from pyspark.sql.pandas.types import from_arrow_schema
 
-        head = spark.read.format("binaryFile").load(files.orderBy("path").first()["path"]).select("content").first()["content"]
-        schema = from_arrow_schema(_open(pa.py_buffer(head)).schema)
+        with _source(files.orderBy("path").first()["path"]) as head:
+            schema = from_arrow_schema(_open(head).schema)
     elif isinstance(schema, str):
         schema = T._parse_datatype_string(schema)
-    return decode_arrow(spark.read.format("binaryFile").load(path).select("content"), schema)
-
-
-def decode_arrow(contents: DataFrame, schema: T.StructType) -> DataFrame:
-    """Rows of Arrow files held in a ``content`` column, one record batch at a time."""
     names = schema.fieldNames()
 
     def decode(batches):
         for batch in batches:
-            for content in batch.column("content"):
-                source = _open(content.as_buffer())
-                parts = (source.get_batch(i) for i in range(source.num_record_batches)) if hasattr(source, "num_record_batches") else source
-                for part in parts:
-                    yield part.select(names)
+            for name in batch.column("path").to_pylist():
+                with _source(name) as source:
+                    opened = _open(source)
+                    parts = (opened.get_batch(i) for i in range(opened.num_record_batches)) if hasattr(opened, "num_record_batches") else opened
+                    for part in parts:
+                        yield part.select(names)
+
+    return files.repartition(max(1, spark.sparkContext.defaultParallelism), "path").mapInArrow(decode, schema)
+
+
+def _source(path: str):
+    from pyarrow import fs
 
-    return contents.mapInArrow(decode, schema)
+    files, name = fs.FileSystem.from_uri(path)
+    return files.open_input_file(name)
 
 
-def _open(buffer):
+def _open(source):
     import pyarrow as pa
 
     try:
-        return pa.ipc.open_file(buffer)
+        return pa.ipc.open_file(source)
     except pa.ArrowInvalid:
-        return pa.ipc.open_stream(buffer)
+        source.seek(0)
+        return pa.ipc.open_stream(source)
 
 
 def list_objects(spark: SparkSession, path: str, most: int | None = None, glob: str | None = None) -> DataFrame:

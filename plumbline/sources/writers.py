@@ -5,6 +5,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyarrow import fs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -50,14 +52,22 @@ def load_signatures(spark: SparkSession, path: str, nested: dict[str, str]) -> D
     return df.select(*[F.from_json(c, nested[c]).alias(c) if c in nested else F.col(c) for c in df.columns])
 
 
-def encode_arrow(df: DataFrame) -> DataFrame:
-    """Every batch of rows as the bytes of one Arrow file."""
-
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sink = pa.BufferOutputStream()
-            with pa.ipc.new_file(sink, batch.schema) as w:
-                w.write_batch(batch)
-            yield pa.RecordBatch.from_pydict({"content": [sink.getvalue().to_pybytes()]}, schema=pa.schema([("content", pa.binary())]))
-
-    return df.mapInArrow(pack, "content binary")
+def write_arrow(df: DataFrame, path: str) -> None:
+    """One Arrow IPC file per task. A file appears under its task's name when it is complete, so a repeated task replaces it."""
+
+    def save(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = TaskContext.get().partitionId()
+        files, root = fs.FileSystem.from_uri(path)
+        files.create_dir(root, recursive=True)
+        first = next(batches, None)
+        if first is not None:
+            name = f"{root}/part-{part:05d}.arrow"
+            unfinished = f"{root}/_{part:05d}-{TaskContext.get().taskAttemptId()}"
+            with files.open_output_stream(unfinished) as out, pa.ipc.new_file(out, first.schema) as w:
+                w.write_batch(first)
+                for batch in batches:
+                    w.write_batch(batch)
+            files.move(unfinished, name)
+        yield pa.RecordBatch.from_pydict({"part": [part]}, schema=pa.schema([("part", pa.int32())]))
+
+    df.mapInArrow(save, "part int").write.format("noop").mode("overwrite").save()
