@@ -6,7 +6,11 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -58,6 +62,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def portions(batches: Iterator[pa.RecordBatch], size: int = 2_000_000, column: str = "text") -> Iterator[pa.RecordBatch]:
+    """The batches in parts of about ``size`` bytes of text, so that what a worker holds does not follow the batch."""
+    for batch in batches:
+        total = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        cuts = np.flatnonzero(np.diff(total // size)) + 1
+        for start, end in zip(np.r_[0, cuts], np.r_[cuts, batch.num_rows], strict=True):
+            if end > start:
+                yield batch.slice(int(start), int(end - start))
+
+
 def ascii_lower(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 

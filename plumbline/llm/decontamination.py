@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import table
+from plumbline.llm.common import portions, table
 from plumbline.llm.minhash import mixed
 from plumbline.registry import query
 
@@ -191,7 +191,7 @@ def find_items(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", te
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             index = Items(shared.value)
-            for batch in batches:
+            for batch in portions(batches):
                 texts = batch.column("text").to_pylist()
                 old = batch.column("found").to_pylist()
                 new = [[dict(zip(("item_id", "start", "end", "edits"), f, strict=True)) for f in found] for found in index.search(texts)]

@@ -29,12 +29,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import table
+from plumbline.llm.common import portions, table
 from plumbline.registry import query
 
 MARK = "▁"
 KNOWN_WORDS, KNOWN_PAIRS, WORD_CHARS = 300_000, 600_000, 40
-BATCH_CHARS = 1_000_000
+BATCH_BYTES = 1_000_000
 #: piece ids stay below PIECES, and those of single characters outside the lexicon below PAIR
 PIECES, PAIR = 1 << 20, 1 << 22
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
@@ -206,21 +206,16 @@ def encode_documents(docs: DataFrame, path: str, doc_id: str = "doc_id", text: s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = transducer(path)
-        for batch in batches:
-            texts = batch.column("text").to_pylist()
-            ends = np.cumsum([len(t) for t in texts]) // BATCH_CHARS
-            for part in np.split(np.arange(len(texts)), np.flatnonzero(np.diff(ends)) + 1):
-                if not len(part):
-                    continue
-                ids = machine.encode([texts[k] for k in part])
-                at = np.cumsum([0] + [len(x) for x in ids])
-                flat = np.fromiter(itertools.chain.from_iterable(ids), np.int32, at[-1])
-                bytewise = np.r_[0, np.cumsum((flat >= machine.first_byte) & (flat <= machine.last_byte))]
-                decoded = [machine.decode(x) for x in ids]
-                yield pa.RecordBatch.from_arrays(
-                    [*(batch.column(n).slice(int(part[0]), len(part)) for n, _ in kept), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(flat)),
-                     pa.array(bytewise[at[1:]] - bytewise[at[:-1]], pa.int64()), pa.array(decoded, pa.string())],
-                    [*(n for n, _ in kept), "ids", "n_byte_pieces", "decoded"])
+        for batch in portions(batches, BATCH_BYTES):
+            ids = machine.encode(batch.column("text").to_pylist())
+            at = np.cumsum([0] + [len(x) for x in ids])
+            flat = np.fromiter(itertools.chain.from_iterable(ids), np.int32, at[-1])
+            bytewise = np.r_[0, np.cumsum((flat >= machine.first_byte) & (flat <= machine.last_byte))]
+            decoded = [machine.decode(x) for x in ids]
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(n) for n, _ in kept), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(flat)),
+                 pa.array(bytewise[at[1:]] - bytewise[at[:-1]], pa.int64()), pa.array(decoded, pa.string())],
+                [*(n for n, _ in kept), "ids", "n_byte_pieces", "decoded"])
 
     return rows.mapInArrow(run, ", ".join(f"{n} {t}" for n, t in kept) + ", ids array<int>, n_byte_pieces long, decoded string")
 

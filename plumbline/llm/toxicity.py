@@ -29,7 +29,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import ascii_lower, table
+from plumbline.llm.common import ascii_lower, portions, table
 from plumbline.registry import query
 
 THRESHOLD = 0.3
@@ -97,7 +97,7 @@ def scored(rows: DataFrame, ordinary: bytes, toxic: bytes) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(ordinary, toxic)
-        for batch in batches:
+        for batch in portions(batches):
             evidence = pa.array([scorer.evidence(t) for t in batch.column("text").to_pylist()], pa.int32())
             yield pa.RecordBatch.from_arrays([*(batch.column(n) for n, _ in kept), evidence], [*(n for n, _ in kept), "evidence"])
 
