@@ -66,13 +66,13 @@ def harmonic(n: Column) -> Column:
     return series - sum((1 / (m + float(i)) for i in range(1, SHIFT + 1)), F.lit(0.0))
 
 
-def harmonic_pairs(n: Column) -> Column:
+def harmonic_pairs(n: Column, h: Column | None = None) -> Column:
     """The double sum of 1/((n-i) j) over 1 <= i < j < n, which is the sum of 1/i^2 less 2/n times the sum of 1/i, i < n."""
     m = n - 1.0
     x = m + float(SHIFT + 1)
     trigamma = 1 / x + 1 / (2 * x**2) + 1 / (6 * x**3) - 1 / (30 * x**5) + 1 / (42 * x**7) - 1 / (30 * x**9)
     squares = math.pi**2 / 6 - trigamma - sum((1 / (m + float(i)) ** 2 for i in range(1, SHIFT + 1)), F.lit(0.0))
-    return squares - 2 * harmonic(n) / n
+    return squares - 2 * (harmonic(n) if h is None else h) / n
 
 
 def rank_metrics(ranked: DataFrame) -> DataFrame:
@@ -99,6 +99,8 @@ def rank_metrics(ranked: DataFrame) -> DataFrame:
         F.sum(F.when(denom > 0, term(c("cum_n_orig").cast("double"), c("n_orig"), n2))).alias("a_orig"),
     )
     n1, n2, total = c("n1"), c("n2"), c("n1") + c("n2")
+    # columns of their own, since the deviation uses both sums many times
+    raw = raw.withColumn("_h", harmonic(total)).withColumn("_g", harmonic_pairs(total, c("_h")))
     u1 = c("rank_sum") - n1 * (n1 + 1) / 2
     u = F.greatest(u1, n1 * n2 - u1)
     spread = F.sqrt(n1 * n2 / 12 * ((total + 1) - c("ties") / (total * (total - 1))))
@@ -112,15 +114,15 @@ def rank_metrics(ranked: DataFrame) -> DataFrame:
         .withColumn("ad", F.when(c("values") > 1, F.try_divide(c("a2") - 1, ad_sigma(total))))
         .withColumn("ad_score", F.coalesce(100 * F.exp(-c("ad") / 10), F.lit(50.0)))
         .withColumn("ks_similarity", 1 - c("ks"))
-        .drop("a_syn", "a_orig", "rank_sum")
+        .drop("a_syn", "a_orig", "rank_sum", "_h", "_g")
     )
 
 
 def ad_sigma(total: Column) -> Column:
-    """Standard deviation of the two-sample statistic (Scholz and Stephens, 1987) as a function of both sizes."""
+    """Standard deviation of the two-sample statistic (Scholz and Stephens, 1987) from both sizes and their harmonic sums ``_h`` and ``_g``."""
     n1, n2 = F.col("n1"), F.col("n2")
     inv = 1 / n1 + 1 / n2
-    h, g = harmonic(total), harmonic_pairs(total)
+    h, g = F.col("_h"), F.col("_g")
     k = 2.0
     a = (4 * g - 6) * (k - 1) + (10 - 6 * g) * inv
     b = (2 * g - 4) * k * k + 8 * h * k + (2 * g - 14 * h - 4) * inv - 8 * h + 4 * g - 6
