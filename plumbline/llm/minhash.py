@@ -5,10 +5,10 @@
 3. Rows of a band key shared by several documents are kept. A band key holds at most its band's share of all rows
    (one 64th), so no key is large next to a task's share, however large a group of copies is.
 4. Each document is paired with the smallest one under its key instead of with all. Pairs are sifted by set sizes and by
-   128 one-byte minima (six standard deviations below the bound), and the most similar one of each document is confirmed
-   on full sets.
-5. What these links leave apart is made up for exactly: every pair under a common key that still lies in two components
-   is sifted and confirmed as well. A large group is one component by then, so only its few outsiders meet it.
+   128 one-byte minima (six standard deviations below the bound), and what is left is confirmed on full sets.
+5. What these links leave apart is made up for exactly: under every key that still holds several components, those outside
+   the largest one are compared with all others on full sets, in tiles of bounded size that only let links out. A large
+   group of copies is one component by then, so it meets no more than its outsiders.
 6. Components by alternating large-star and small-star.
 
 Defined cases: null or blank texts have no shingles and are linked with nothing; texts with fewer words than a shingle
@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import spread_join, table, written
+from plumbline.llm.common import portions, spread_join, table, written
 from plumbline.llm.components import components
 from plumbline.registry import query
 
@@ -35,6 +35,8 @@ WORDS = 5
 BANDS, ROWS = 64, 6
 BRIEF = 128
 CHUNK = 1 << 16
+#: documents on either side of a tile, and the tile's coordinates
+TILE, AXIS = 256, {"rows": "i", "cols": "j"}
 M1, M2, M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -92,7 +94,7 @@ def described(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         family = Minima()
-        for batch in batches:
+        for batch in portions(batches):
             sets = [shingle_set(t) for t in batch.column("text").to_pylist()]
             full = [k for k, s in enumerate(sets) if len(s)]
             names = np.zeros((len(sets), 2), np.int64)
@@ -128,14 +130,24 @@ def sifted(pairs: DataFrame, briefs: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "b", "brief_a", "brief_b").mapInArrow(compare, "a long, b long, same long")
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets have the similarity; written."""
+def sets_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """Written rows (id, s) with the full sets of the documents whose ids are listed.
 
-    def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+    The join is asked to shuffle: how many documents are listed grows with the input, so they are never broadcast.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in portions(batches):
             sets = [shingle_set(t).tobytes() for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sets, pa.binary())], ["id", "s"])
 
+    listed = ids.select(F.col("id").alias("doc_id")).hint("merge")
+    return written(docs.join(listed, "doc_id", "left_semi").mapInArrow(run, "id long, s binary"), "sets")
+
+
+def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose full sets have the similarity; written."""
+
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
@@ -147,13 +159,62 @@ def confirmed(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
                 keep.append(both > 0 and 100 * both >= percent * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    sets = written(docs.join(ids, "doc_id", "left_semi").mapInArrow(sets_of, "id long, s binary"), "sets")
     both = spread_join(pairs.select("a", "b"), sets.select(F.col("id").alias("a"), F.col("s").alias("s_a")), ["a"])
     both = spread_join(both, sets.select(F.col("id").alias("b"), F.col("s").alias("s_b")), ["b"])
     return written(both.select("a", "b", "s_a", "s_b").mapInArrow(compare, "a long, b long").distinct(), "links")
 
 
+def across(placed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between an outsider of a key's main component and any other member of keys with that main component.
+
+    Outsiders and members of a main component are dealt into tiles of bounded size, compared there on full sets by
+    counting common shingles of all of them at once; only links leave a tile. Written.
+    """
+    members = placed.select(F.col("main").alias("g"), "id", "c").distinct()
+    outsiders = members.where("c <> g")
+    sizes = members.groupBy("g").agg(F.ceil(F.count_if(F.col("c") != F.col("g")) / TILE).alias("rows"), F.ceil(F.count(F.lit(1)) / TILE).alias("cols"))
+
+    def dealt(rows: DataFrame, own: str, other: str) -> DataFrame:
+        rows = spread_join(rows.select("g", "id", "c"), sizes, ["g"]).withColumn(AXIS[own], F.pmod(F.xxhash64("id"), F.col(own)))
+        rows = spread_join(rows, sets, ["id"])
+        return rows.select("g", "id", "c", "s", AXIS[own], F.explode(F.sequence(F.lit(0).cast("long"), F.col(other) - 1)).alias(AXIS[other]))
+
+    def compare(left: pa.Table, right: pa.Table) -> pa.Table:
+        a, b = [], []
+        if left.num_rows and right.num_rows:
+            ids, comps, sizes, flat = zip(*(unpacked(t) for t in (left, right)), strict=True)
+            owner = [np.repeat(np.arange(len(n)), n) for n in sizes]
+            order = np.argsort(flat[0], kind="stable")
+            hashes, owner[0] = flat[0][order], owner[0][order]
+            low, high = np.searchsorted(hashes, flat[1], "left"), np.searchsorted(hashes, flat[1], "right")
+            common = np.zeros((len(ids[0]), len(ids[1])), np.int32)
+            for start in range(0, len(flat[1]), CHUNK):
+                n = (high - low)[start : start + CHUNK]
+                at = np.repeat(low[start : start + CHUNK] - np.cumsum(n) + n, n) + np.arange(n.sum())
+                cell = owner[0][at] * len(ids[1]) + np.repeat(owner[1][start : start + CHUNK], n)
+                common += np.bincount(cell, minlength=common.size).reshape(common.shape).astype(np.int32)
+            union = sizes[0][:, None] + sizes[1][None, :] - common
+            linked = (common > 0) & (100 * common >= percent * union) & (comps[0][:, None] != comps[1][None, :])
+            rows, cols = np.nonzero(linked)
+            a, b = ids[0][rows], ids[1][cols]
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    def side(rows: DataFrame, tag: str) -> DataFrame:
+        # names of their own, since both sides come from one table
+        return rows.select(*[F.col(c).alias(f"{tag}_{c}") for c in ("g", "i", "j", "id", "c", "s")])
+
+    left, right = side(dealt(outsiders, "rows", "cols"), "l"), side(dealt(members, "cols", "rows"), "r")
+    tiles = left.groupBy("l_g", "l_i", "l_j").cogroup(right.groupBy("r_g", "r_i", "r_j"))
+    return written(tiles.applyInArrow(compare, "a long, b long").distinct(), "across")
+
+
+def unpacked(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(ids, components, set sizes, all sets end to end) of a tile."""
+    ids, comps, raw = rows.columns[3:]
+    sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in raw]
+    return ids.to_numpy(), comps.to_numpy(), np.array([len(x) for x in sets]), np.concatenate(sets)
+
+
 def in_component(rows: DataFrame, found: DataFrame, key: str, name: str) -> DataFrame:
     """The rows with the component of ``key`` as ``name``; a node without links is its own."""
     named = found.select(F.col("id").alias(key), F.col("component").alias(name))
@@ -177,21 +238,15 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     sizes = briefs.select(F.col("id").alias("b"), F.col("n").alias("n_b"))
     hubs = spread_join(hubs, sizes, ["b"]).where(alike("n", "n_b")).select("a", "b")
     hubs = written(sifted(hubs, briefs, percent), "pairs")
-    best = hubs.groupBy("a").agg(F.max_by("b", F.struct("same", -F.col("b"))).alias("b"))
-    links = confirmed(best, docs, percent)
+    sets = sets_of(docs, briefs)
+    links = confirmed(hubs, sets, percent)
     found = components(links)
 
-    apart = in_component(in_component(hubs.select("a", "b"), found, "a", "ca"), found, "b", "cb").where("ca <> cb").select("a", "b")
-    placed = in_component(shared.select("key", "id", "n"), found, "id", "c").distinct()
+    placed = in_component(shared.select("key", "id"), found, "id", "c").distinct()
     main = placed.groupBy("key", "c").agg(F.count(F.lit(1)).alias("m")).groupBy("key").agg(
-        F.max_by("c", "m").alias("main"), F.count(F.lit(1)).alias("k")).where("k > 1").drop("k")
+        F.max_by("c", F.struct("m", -F.col("c"))).alias("main"), F.count(F.lit(1)).alias("k")).where("k > 1").drop("k")
     placed = written(spread_join(placed, main, ["key"]), "placed")
-    outside = placed.where("c <> main").select("key", F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("c").alias("ca"))
-    inside = placed.select("key", F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("c").alias("cb"), (F.col("c") == F.col("main")).alias("at_main"))
-    cross = outside.join(inside, "key").where((F.col("ca") != F.col("cb")) & (F.col("at_main") | (F.col("a") > F.col("b"))) & alike("n_a", "n_b"))
-    cross = sifted(cross.select("a", "b").distinct(), briefs, percent).select("a", "b")
-    more = confirmed(written(apart.unionByName(cross).distinct(), "apart"), docs, percent)
-    found = components(links.unionByName(more))
+    found = components(links.unionByName(across(placed, sets, percent)))
 
     heads_of = told.select("doc_id", "n", F.when(F.col("doc_id").isNotNull() & (F.col("n") > 0), F.col("c1")).alias("c1"), "c2")
     out = spread_join(heads_of, classes, ["c1", "c2"], "left").withColumn("id", F.coalesce("id", "doc_id"))
