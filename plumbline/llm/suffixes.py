@@ -11,8 +11,10 @@ Comparing all windows would shuffle each byte many times over. So only these are
    Equal windows have equal anchors at equal places. The windows of one anchor follow each other; together they are a
    span. One row for each 77 bytes or so is shuffled; anchors that occur once are done with.
 2. Equal spans: all their windows recur, no window is looked at.
-3. Only where spans of one anchor differ (at the borders of a repeat), one occurrence of each different span is opened
-   and its windows are counted by fingerprint.
+3. Only where spans of one anchor differ (at the borders of a repeat), one occurrence of each different span is opened.
+   Its windows are taken eight by eight, at fixed places from the anchor. The bytes all eight share are the anchor of
+   such a class, and the bytes they cover are its span, so steps 1 and 2 settle most classes.
+4. Where classes still differ, their windows are counted by fingerprint.
 
 Anchors and windows that occur in a third of all documents are counted in each task first, and the joins that bring the
 verdict back to the rows can be split.
@@ -34,14 +36,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import spread_join, table, written
+from plumbline.llm.common import portions, spread_join, table, written
 from plumbline.llm.minhash import mixed
 from plumbline.registry import query
 
 PIECE = 1 << 20
 INDEX_BITS = np.uint64((1 << 21) - 1)
 ANCHOR = 48
-ANCHORS = "doc_id long, ref long, anchor long, span long, start long, windows int"
+CLASS = 8
+SPANS = "doc_id long, ref long, anchor long, span long, start long, windows int, lead int"
 WINDOWS = "doc_id long, ref long, anchor long, window long, start long"
 
 
@@ -81,11 +84,11 @@ def window_minima(values: np.ndarray, width: int) -> np.ndarray:
 
 
 def spans_of(raw: np.ndarray, ends: np.ndarray, size: int) -> tuple[np.ndarray, ...]:
-    """(first window, number of windows, anchor hash, span hash) of all spans of texts laid end to end.
+    """(first window, number of windows, anchor hash, span hash, way to the anchor) of all spans of texts laid end to end.
 
     ``ends`` gives for each byte the end of its text.
     """
-    none = (np.array([], np.int64),) * 4
+    none = (np.array([], np.int64),) * 5
     if len(raw) < size:
         return none
     one, two = powers()
@@ -105,7 +108,7 @@ def spans_of(raw: np.ndarray, ends: np.ndarray, size: int) -> tuple[np.ndarray,
     place = place[begin]
     shape = (place - begin).astype(np.uint64) * np.uint64(1 << 32) + (last - begin).astype(np.uint64)
     span = mixed(two.of(second, begin, last + size) ^ mixed(shape))
-    return begin, last - begin + 1, grams[place].view(np.int64), span.view(np.int64)
+    return begin, last - begin + 1, grams[place].view(np.int64), span.view(np.int64), place - begin
 
 
 def pieces(texts: list[bytes], size: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -135,16 +138,45 @@ def pieces(texts: list[bytes], size: int) -> Iterator[tuple[np.ndarray, np.ndarr
 
 def anchor_rows(docs: DataFrame, size: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in portions(batches):
             ids, refs = batch.column("doc_id"), batch.column("ref")
             for raw, ends, owner, offset in pieces([t.encode() for t in batch.column("text").to_pylist()], size):
-                begin, count, anchor, span = spans_of(raw, ends, size)
+                begin, count, anchor, span, lead = spans_of(raw, ends, size)
                 own = pa.array(owner[begin])
                 yield pa.RecordBatch.from_arrays(
-                    [ids.take(own), refs.take(own), pa.array(anchor), pa.array(span), pa.array(offset[begin]), pa.array(count, pa.int32())],
-                    ["doc_id", "ref", "anchor", "span", "start", "windows"])
+                    [ids.take(own), refs.take(own), pa.array(anchor), pa.array(span), pa.array(offset[begin]), pa.array(count, pa.int32()), pa.array(lead, pa.int32())],
+                    ["doc_id", "ref", "anchor", "span", "start", "windows", "lead"])
 
-    return docs.mapInArrow(run, ANCHORS)
+    return docs.mapInArrow(run, SPANS)
+
+
+def class_rows(docs: DataFrame, size: int) -> DataFrame:
+    """The classes of the spans that ``docs`` lists in the column ``spans`` (start, windows, anchor, lead)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        two = powers()[1]
+        for batch in portions(batches):
+            for doc_id, ref, text, spans in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "ref", "text", "spans")), strict=True):
+                raw = np.frombuffer(text.encode(), np.uint8)
+                out: list[tuple[np.ndarray, ...]] = []
+                for s in spans:
+                    sums = two.sums(raw[s["start"] : s["start"] + s["windows"] - 1 + size])
+                    # windows by their way to the anchor: a class holds those of q * CLASS to q * CLASS + CLASS - 1
+                    q = np.arange((s["lead"] - s["windows"] + 1) // CLASS, s["lead"] // CLASS + 1)
+                    first = np.maximum(s["lead"] - q * CLASS - CLASS + 1, 0)
+                    last = np.minimum(s["lead"] - q * CLASS, s["windows"] - 1)
+                    core = s["lead"] - q * CLASS
+                    inner = two.of(sums, core, core - CLASS + 1 + size)
+                    shape = ((s["lead"] - first) % CLASS * CLASS + (s["lead"] - last) % CLASS).astype(np.uint64)
+                    anchor = mixed(mixed(inner) ^ mixed(np.array(s["anchor"], np.int64).view(np.uint64) + q.astype(np.uint64)))
+                    out.append((anchor.view(np.int64), mixed(two.of(sums, first, last + size) ^ mixed(shape)).view(np.int64), first + s["start"], last - first + 1))
+                anchor, span, start, count = (np.concatenate(c) for c in zip(*out, strict=True))
+                n = len(start)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([doc_id] * n, pa.int64()), pa.array([ref] * n, pa.int64()), pa.array(anchor), pa.array(span), pa.array(start),
+                     pa.array(count, pa.int32()), pa.array(np.zeros(n), pa.int32())], ["doc_id", "ref", "anchor", "span", "start", "windows", "lead"])
+
+    return docs.select("doc_id", "ref", "text", "spans").mapInArrow(run, SPANS)
 
 
 def window_rows(docs: DataFrame, size: int) -> DataFrame:
@@ -152,7 +184,7 @@ def window_rows(docs: DataFrame, size: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         two = powers()[1]
-        for batch in batches:
+        for batch in portions(batches):
             for doc_id, ref, text, spans in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "ref", "text", "spans")), strict=True):
                 raw = np.frombuffer(text.encode(), np.uint8)
                 spans.sort(key=lambda s: s["start"])
@@ -173,30 +205,43 @@ def window_rows(docs: DataFrame, size: int) -> DataFrame:
     return docs.select("doc_id", "ref", "text", "spans").mapInArrow(run, WINDOWS)
 
 
-def repeated_ranges(rows: DataFrame, size: int, keep_first: bool) -> DataFrame:
-    """Written ranges (doc_id, ref, start, end) of documents (doc_id, ref, text), each made of windows that recur."""
-    anchors = anchor_rows(rows, size)
-    often = anchors.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor")
-    shared = written(spread_join(anchors, often, ["anchor"]), "anchors")
-    place = F.struct("doc_id", "ref", "start")
-    kinds = shared.groupBy("anchor", "span").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first"), F.max("windows").alias("windows"))
+PLACE = ("doc_id", "ref", "start")
+
+
+def settled(rows: DataFrame, size: int, keep_first: bool) -> tuple[DataFrame, DataFrame]:
+    """Ranges (doc_id, ref, start, end) of equal spans, and one occurrence of each span of anchors with different spans."""
+    place = F.struct(*PLACE)
+    often = rows.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor")
+    shared = written(spread_join(rows, often, ["anchor"]), "shared")
+    kinds = shared.groupBy("anchor", "span").agg(
+        F.count(F.lit(1)).alias("n"), F.min(place).alias("first"), F.max("windows").alias("windows"), F.max("lead").alias("lead"))
     kinds = written(kinds, "kinds")
     again = spread_join(shared, kinds.where("n > 1").select("anchor", "span", "first"), ["anchor", "span"])
     if keep_first:
         again = again.where(place != F.col("first"))
-    again = again.select("doc_id", "ref", "start", (F.col("start") + F.col("windows") - 1 + size).alias("end"))
+    again = again.select(*PLACE, (F.col("start") + F.col("windows") - 1 + size).alias("end"))
+    different = kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1").select("anchor")
+    return again, spread_join(kinds, different, ["anchor"]).select("first.*", "windows", "anchor", "lead")
+
 
-    mixed_anchors = kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1").select("anchor")
-    opened = spread_join(kinds, mixed_anchors, ["anchor"]).select("first.*", "windows", "anchor")
-    opened = opened.groupBy(F.col("doc_id").alias("own_id"), F.col("ref").alias("own_ref")).agg(F.collect_list(F.struct("start", "windows", "anchor")).alias("spans"))
-    opened = rows.join(opened, (F.col("ref") == F.col("own_ref")) & F.col("doc_id").eqNullSafe(F.col("own_id")))
-    windows = written(window_rows(opened, size), "windows")
+def with_spans(docs: DataFrame, opened: DataFrame) -> DataFrame:
+    """The documents of the opened spans, each with its list."""
+    lists = opened.groupBy(F.col("doc_id").alias("own_id"), F.col("ref").alias("own_ref")).agg(F.collect_list(F.struct("start", "windows", "anchor", "lead")).alias("spans"))
+    return docs.join(lists.hint("merge"), (F.col("ref") == F.col("own_ref")) & F.col("doc_id").eqNullSafe(F.col("own_id")))
+
+
+def repeated_ranges(rows: DataFrame, size: int, keep_first: bool) -> DataFrame:
+    """Written ranges (doc_id, ref, start, end) of documents (doc_id, ref, text), each made of windows that recur."""
+    place = F.struct(*PLACE)
+    spans, opened = settled(anchor_rows(rows, size), size, keep_first)
+    classes, opened = settled(written(class_rows(with_spans(rows, opened), size), "classes"), size, keep_first)
+    windows = written(window_rows(with_spans(rows, opened), size), "windows")
     known = windows.groupBy("anchor", "window").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first")).where("n > 1").drop("n")
     found = spread_join(windows, known, ["anchor", "window"])
     if keep_first:
         found = found.where(place != F.col("first"))
-    found = found.select("doc_id", "ref", "start", (F.col("start") + size).alias("end"))
-    return written(again.unionByName(found), "ranges")
+    found = found.select(*PLACE, (F.col("start") + size).alias("end"))
+    return written(spans.unionByName(classes).unionByName(found), "ranges")
 
 
 def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_bytes: int = 200, keep_first: bool = True) -> DataFrame:
@@ -205,6 +250,8 @@ def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     Bytes covered by a string of ``min_bytes`` that occurs elsewhere are removed: with ``keep_first`` from all but the
     first occurrence (by document id, then place), else from all.
     """
+    if min_bytes < CLASS:
+        raise ValueError(f"min_bytes must be at least {CLASS}")
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     rows = rows.select("doc_id", F.xxhash64("doc_id", "text").alias("ref"), "text")
     ranges = repeated_ranges(rows, min_bytes, keep_first)
@@ -212,7 +259,7 @@ def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     both = rows.join(ranges, (F.col("ref") == F.col("own_ref")) & F.col("doc_id").eqNullSafe(F.col("own_id")), "left").select("doc_id", "text", "ranges")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in portions(batches):
             out = []
             for text, ranges in zip(batch.column("text").to_pylist(), batch.column("ranges").to_pylist(), strict=True):
                 raw, kept, spans, at, gone = text.encode(), [], 0, 0, 0
