@@ -19,7 +19,7 @@ from plumbline.llm.minhash import near_duplicates
 from plumbline.llm.sentencepieces import PieceTransducer, encode_documents
 from plumbline.llm.suffixes import without_repeats
 from plumbline.llm.token_counts import RankMerger, count_tokens
-from plumbline.llm.toxicity import fit, score_toxicity
+from plumbline.llm.toxicity import HELD_OUT, fit, fold, score_toxicity
 from tests.llm.cases import DOCS, NUMBERED, docs, empty_docs, frame
 
 WORD_BPE, PIECE_BPE = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("piece_bpe_32k.model")
@@ -292,6 +292,36 @@ def test_toxicity_held_out_accuracy(spark, sf):
     assert score_toxicity(empty_docs(spark), model).count() == 0
 
 
+def test_toxicity_learns_from_few_labels(spark):
+    """Which words are telling follows their rates, not how many labels there are."""
+    rnd = random.Random(4)
+    words = [f"{a}{b}" for a in ("ba", "ro", "ti", "mel", "su") for b in ("ran", "dol", "ki", "ment", "sa", "vor", "lin", "tu")]
+    rows = []
+    for i in range(120):
+        t = [rnd.choice(words) for _ in range(40)]
+        for w in ["nastyword", "vileinsult", "awfulslur"] if i % 8 == 0 else []:
+            t.insert(rnd.randrange(len(t)), w)
+        rows.append((i, " ".join(t), int(i % 8 == 0)))
+    frame_ = docs(spark, [(i, t) for i, t, _ in rows])
+    model = fit(frame_, frame(spark, [(i, y) for i, _, y in rows], "doc_id long, toxic int"))
+    got = {r["doc_id"]: r["predicted"] for r in score_toxicity(frame_, model).collect()}
+    assert all(got[i] for i, _, y in rows if y) and sum(got[i] for i, _, y in rows if not y) <= 5
+
+
+@pytest.mark.parametrize(("size", "least"), [("sf0.001", {"en": 0.8}), ("sf0.01", {"en": 0.8}), ("sf0.1", {"en": 0.8, "de": 0.8, "fr": 0.8})])
+def test_toxicity_held_out_recall_by_language(spark, size, least):
+    """Each language has toxic words of its own; few labels suffice for the ten plain insults of English."""
+    given = f"/root/testdata/{size}"
+    documents, labels = table(spark, given, "documents"), table(spark, given, "labels")
+    held = documents.join(labels, "doc_id").where(fold() == HELD_OUT)
+    rows = score_toxicity(held, fit(documents, labels), keep=("lang", "toxic")).collect()
+    for lang, share in least.items():
+        found = [r["predicted"] for r in rows if r["lang"] == lang and r["toxic"]]
+        assert found and sum(found) >= share * len(found), lang
+    clean = [r["predicted"] for r in rows if not r["toxic"]]
+    assert sum(clean) <= 0.05 * len(clean)
+
+
 def test_toxicity_without_labels(spark):
     model = fit(docs(spark), frame(spark, [], "doc_id long, toxic int"))
     assert {r["predicted"] for r in score_toxicity(docs(spark), model).collect()} == {0}
