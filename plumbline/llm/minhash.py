@@ -221,6 +221,13 @@ def in_component(rows: DataFrame, found: DataFrame, key: str, name: str) -> Data
     return spread_join(rows, named, [key], "left").withColumn(name, F.coalesce(name, key))
 
 
+def one_document(named: DataFrame) -> DataFrame:
+    """Links (a, b) from an id whose texts are in classes of several heads to each of these heads; written."""
+    places = named.where("doc_id IS NOT NULL").select("doc_id", "id").distinct()
+    several = places.groupBy("doc_id").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low <> high").select("doc_id")
+    return written(spread_join(places, several, ["doc_id"]).where("doc_id <> id").select(F.col("doc_id").alias("a"), F.col("id").alias("b")), "one-document")
+
+
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = 75) -> DataFrame:
     """Rows (doc_id, n_shingles, component_id, kept) for every input row."""
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
@@ -239,7 +246,9 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     hubs = spread_join(hubs, sizes, ["b"]).where(alike("n", "n_b")).select("a", "b")
     hubs = written(sifted(hubs, briefs, percent), "pairs")
     sets = sets_of(docs, briefs)
-    links = confirmed(hubs, sets, percent)
+    heads_of = told.select("doc_id", "n", F.when(F.col("doc_id").isNotNull() & (F.col("n") > 0), F.col("c1")).alias("c1"), "c2")
+    named = written(spread_join(heads_of, classes, ["c1", "c2"], "left").select("doc_id", "n", F.coalesce("id", "doc_id").alias("id")), "named")
+    links = confirmed(hubs, sets, percent).unionByName(one_document(named))
     found = components(links)
 
     placed = in_component(shared.select("key", "id"), found, "id", "c").distinct()
@@ -248,9 +257,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     placed = written(spread_join(placed, main, ["key"]), "placed")
     found = components(links.unionByName(across(placed, sets, percent)))
 
-    heads_of = told.select("doc_id", "n", F.when(F.col("doc_id").isNotNull() & (F.col("n") > 0), F.col("c1")).alias("c1"), "c2")
-    out = spread_join(heads_of, classes, ["c1", "c2"], "left").withColumn("id", F.coalesce("id", "doc_id"))
-    out = in_component(out, found, "id", "component_id")
+    out = in_component(named, found, "id", "component_id")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"),
                       F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 

@@ -271,6 +271,14 @@ def test_op1_query(spark, sf):
         assert {i for i, x in items if x in texts[r["doc_id"]]} <= set(r["item_ids"])
 
 
+def test_near_duplicates_of_an_id_with_two_texts(spark):
+    """All rows of an id get one component, also blank ones and those whose text no other document has."""
+    other = " ".join(f"other{k}" for k in range(60))
+    rows = [(1, NUMBERED), (2, other), (2, NUMBERED), (3, other + " more"), (4, "all by itself here"), (5, NUMBERED), (5, "")]
+    got = sorted((r["doc_id"], r["component_id"], r["kept"]) for r in near_duplicates(docs(spark, rows)).collect())
+    assert got == [(1, 1, True), (2, 1, False), (2, 1, False), (3, 1, False), (4, 4, True), (5, 1, False), (5, 1, False)]
+
+
 def test_toxicity_held_out_accuracy(spark, sf):
     """Texts with planted words are told from others by their held-out labels."""
     rnd = random.Random(9)
