@@ -131,7 +131,7 @@ class ContextTrees:
         chance = np.stack(chances)
         chance[:, :, -1] /= max(256 - len(seen), 1)
         bits = -np.log2(np.maximum(chance, 2.0**-40))
-        self.costs = np.round(bits * UNIT).astype(np.int32).transpose(0, 2, 1).reshape(-1, len(langs)).copy()
+        self.costs = np.round(bits * UNIT).astype(np.int32).transpose(0, 2, 1).reshape(len(chances) * width, len(langs)).copy()
 
     @staticmethod
     def _frequent(grams: np.ndarray, counts: np.ndarray, order: int, min_count: int, max_contexts: int) -> list[set[int]]:
