@@ -16,7 +16,7 @@ written once, and only the top terms and a table of evidence counts reach the dr
 Defined cases: null and empty texts have evidence 0; labels that are null or lack a text are not used; rows that repeat
 an id are scored each by its own text, and contradicting labels count as toxic; without a toxic or an ordinary label, or
 without terms that tell them apart, all scores are the share of toxic labels, kept below the threshold; words longer than
-64 bytes enter no dictionary; an empty table gives an empty table. Other columns of the input are ignored.
+64 bytes enter no dictionary; without calibrating labels (fold 3) all scores are 0; a null id is not held out; an empty table gives an empty table. Other columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -198,4 +198,4 @@ def score_toxicity(docs: DataFrame, model: Model, doc_id: str = "doc_id", text:
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     out = score_toxicity(docs, fit(docs, table(spark, sf_dir, "labels")))
-    return out.select("doc_id", (fold() == HELD_OUT).alias("held_out"), "score", "predicted")
+    return out.select("doc_id", F.coalesce(fold() == HELD_OUT, F.lit(False)).alias("held_out"), "score", "predicted")
