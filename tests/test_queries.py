@@ -1,5 +1,10 @@
 """Every registered query runs; those with SQL agree with it on whole tables."""
 
+import pathlib
+import shutil
+import subprocess
+import sys
+
 import pytest
 
 from __spark_entry__ import entry, oracle_sql, queries
@@ -27,3 +32,14 @@ def test_entry(spark):
 
 def test_every_oracle_has_a_query():
     assert set(ORACLES) <= set(QUERIES)
+
+
+@pytest.mark.parametrize("left_out", [("plumbline/llm", "tests/llm"), ("plumbline/llm", "tests/llm", "corpus_pipeline.py")])
+def test_imports_without_the_optional_parts(tmp_path, left_out):
+    """The training-data folders can be deleted, with or without the pipeline; all other queries stay."""
+    root = pathlib.Path(__file__).parent.parent
+    copy = tmp_path / "copy"
+    shutil.copytree(root, copy, ignore=lambda folder, names: [n for n in names if n == ".git" or str((pathlib.Path(folder) / n).relative_to(root)) in left_out])
+    code = "import __spark_entry__ as e; print(len(e.queries()))"
+    out = subprocess.run([sys.executable, "-c", code], cwd=copy, capture_output=True, text=True, timeout=300, check=True).stdout
+    assert int(out) == sum(not (n.startswith("op") and n[2].isdigit()) and n != "pipeline" for n in QUERIES)
