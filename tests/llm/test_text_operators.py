@@ -19,7 +19,7 @@ from plumbline.llm.minhash import near_duplicates
 from plumbline.llm.sentencepieces import PieceTransducer, encode_documents
 from plumbline.llm.suffixes import without_repeats
 from plumbline.llm.token_counts import RankMerger, count_tokens
-from plumbline.llm.toxicity import HELD_OUT, fit, fold, score_toxicity
+from plumbline.llm.toxicity import HELD_OUT, Scorer, fit, fold, score_toxicity
 from tests.llm.cases import DOCS, NUMBERED, docs, empty_docs, frame
 
 WORD_BPE, PIECE_BPE = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("piece_bpe_32k.model")
@@ -337,16 +337,90 @@ def test_toxicity_without_labels(spark):
     assert {r["predicted"] for r in score_toxicity(docs(spark), only_toxic).collect()} == {0}
 
 
+def without_lines(rows):
+    """{id: text} less the lines that a larger id keeps, by definition."""
+    key = lambda x: "".join(c.lower() if "A" <= c <= "Z" else c for c in x.strip(" \t\n\x0b\x0c\r"))
+    low = lambda i: -1 if i is None else i
+    held = collections.defaultdict(set)
+    for i, t in rows:
+        for x in (t or "").split("\n"):
+            held[key(x)].add(low(i))
+    return [(i, "\n".join(x for x in (t or "").split("\n") if not (len(key(x)) >= 20 and len(held[key(x)]) >= 3 and low(i) != max(held[key(x)])))) for i, t in rows]
+
+
+def near_groups(rows):
+    """Sets of ids that are linked by near copies, by definition."""
+    groups = []
+    for i, t in rows:
+        mine = shingles(t)
+        near = [g for g in groups if i is not None and any(j == i or mine and s and 100 * len(mine & s) >= 75 * len(mine | s) for j, s in g)]
+        if i is not None:
+            groups = [g for g in groups if g not in near] + [sum(near, []) + [(i, mine)]]
+    return [{j for j, _ in g} for g in groups]
+
+
 def test_pipeline_stages(spark, sf):
+    """Every stage against a plain version on its own input, row by row: toxic texts, lines, near copies, passages, null ids."""
     import corpus_pipeline
 
-    given = table(spark, sf, "documents")
-    rows = docs(spark).select("doc_id", "text", F.lit("en").alias("lang"), F.lit(None).cast("string").alias("source"), F.lit(1).cast("long").alias("n_chars"))
+    given = table(spark, sf, "documents").collect()
+    toxic = {r["doc_id"] for r in table(spark, sf, "labels").collect() if r["toxic"]}
+    item = table(spark, sf, "benchmark").first()["text"]
+    line = "a line of some length that many documents hold"
+    rows = [(r["doc_id"], r["text"]) for r in given] + [(i + 10_000 if i is not None else None, t) for i, t in DOCS]
+    rows += [(20_000 + k, f"{NUMBERED[: 40 + k]} {k}\n{line}\n" + " ".join(f"own{k}_{j}" for j in range(40))) for k in range(4)]
+    # near copies around a line that also stands elsewhere
+    rows += [(20_010, NUMBERED + " x1\n" + line), (20_011, " ".join(f"left{k}" for k in range(30)) + " before " + item + " after")]
+    now = spark.createDataFrame([(i, t, "en", None, 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    order = lambda out: sorted(out, key=repr)
     for name, stage in corpus_pipeline.STAGES:
-        now = stage(spark, rows, sf)
-        assert now.count() > 0 and stage(spark, rows.limit(0), sf).count() == 0
-        if name != corpus_pipeline.STAGES[-1][0]:
-            assert now.dtypes == given.select(*corpus_pipeline.COLUMNS).dtypes
-            rows = spark.createDataFrame(now.collect(), now.schema)
-    kept = {r["doc_id"] for r in rows.collect()}
-    assert {1, 4, 6, 9, None} <= kept and not {2, 5, 10, 13} & kept
+        before = [(r["doc_id"], r["text"]) for r in now.collect()]
+        out = stage(spark, now, sf)
+        assert stage(spark, now.limit(0), sf).count() == 0
+        after = out.collect()
+        if name == "sentencepiece":
+            library = sentencepiece.SentencePieceProcessor(model_file=PIECE_BPE)
+            assert order((r["doc_id"], r["ids"], r["n_tokens"], r["decoded"]) for r in after) == order(
+                (i, library.encode(t or ""), len(library.encode(t or "")), library.decode(library.encode(t or ""))) for i, t in before)
+            break
+        assert out.dtypes == now.dtypes
+        if name == "toxicity":
+            model = fit(now, table(spark, sf, "labels"))
+            scorer = Scorer(model.ordinary, model.toxic)
+            want = [(i, t) for i, t in before if model.chances[scorer.evidence(t)] < 0.3]
+            assert {i for i, _ in before} - {i for i, _ in want} & toxic
+        elif name == "line dedup":
+            want = without_lines(before)
+            assert want != before
+        elif name == "near dedup":
+            groups = near_groups(before)
+            want = [(i, t) for i, t in before if i is None or any(i == max(g) for g in groups)]
+            assert len(want) < len(before)
+        else:
+            want = [(i, t) for i, t in before if i != 20_011 and not any(plain(r["text"]) in plain(t) for r in table(spark, sf, "benchmark").collect())]
+            assert 20_011 in {i for i, _ in before}
+            # edited passages may go as well, nothing else
+            assert all(i in {r["doc_id"] for r in given} for i, _ in set(want) - {(r["doc_id"], r["text"]) for r in after})
+            want = [x for x in want if x in {(r["doc_id"], r["text"]) for r in after}]
+        assert order((r["doc_id"], r["text"]) for r in after) == order(want), name
+        assert name != "line dedup" or all(r["n_chars"] == len(r["text"]) for r in after)
+        now = spark.createDataFrame(after, now.schema)
+
+
+def test_no_line_is_lost_between_the_stages(spark, sf):
+    """Of near copies and strangers that share lines, every shared line stays somewhere."""
+    import corpus_pipeline
+
+    rnd = random.Random(8)
+    shared = [f"shared line number {k} of enough characters" for k in range(6)]
+    rows = []
+    for g in range(8):
+        base = " ".join(f"g{g}w{k}" for k in range(80))
+        lines = rnd.sample(shared, 2)
+        rows += [(rnd.randrange(10**6), "\n".join([base + f" end{c}", *lines])) for c in range(rnd.randint(1, 4))]
+    rows += [(7, shared[0])]
+    now = spark.createDataFrame([(i, t, "en", None, 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    for stage in (corpus_pipeline.line_dedup, corpus_pipeline.near_dedup):
+        now = stage(spark, now, sf)
+    left = {x for r in now.collect() for x in r["text"].split("\n")}
+    assert {x for _, t in rows for x in t.split("\n")} & set(shared) <= left
