@@ -1,6 +1,6 @@
 """Importing this module registers every query."""
 
-from plumbline.plans import collapse, fixes, localize, planning, profile, quality, scorecard, service, signatures, streams  # noqa: F401
+from plumbline.plans import collapse, designs, fixes, localize, planning, profile, quality, scorecard, service, signatures, streams  # noqa: F401
 
 
 def flagship(spark, sf_dir):
