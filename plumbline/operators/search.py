@@ -1,4 +1,4 @@
-"""Vector search: exact by blocks, approximate by inverted lists, and both together.
+"""Vector search by blocks, and what the exact and the approximate search share.
 
 Queries and library meet in blocks of bounded size. Lists that are large on either side are cut
 into several blocks, so one list may hold any share of the rows. Only k rows per query leave a block.
@@ -6,10 +6,10 @@ into several blocks, so one list may hold any share of the rows. Only k rows per
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,38 +31,53 @@ def _split(df: DataFrame, sizes: DataFrame, mine: str, other: str, key: str) ->
         f"{other}_sub", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(f"{other}_subs") - 1))).drop("q_subs", "l_subs")
 
 
-def grid_search(queries: DataFrame, library: DataFrame, k: int) -> DataFrame:
-    """``(query_id, match_id, similarity, rank)`` from ``(list, query_id, vector)`` and ``(list, match_id, vector)``.
+def meet_in_blocks(queries: DataFrame, library: DataFrame, q_col: str, l_col: str, kernel: Callable[[tuple, pd.DataFrame, pd.DataFrame], pd.DataFrame]) -> DataFrame:
+    """``(query_id, match_id, similarity)`` as the kernel finds them in each block of queries and library rows of one list.
 
-    A library row with the query's own id is no match for it.
+    The kernel gets the key (list first), the queries with ``q_<q_col>`` and the library rows with ``l_<l_col>``; neither is empty.
     """
     q_sizes = queries.groupBy("list").agg(F.ceil(F.count("*") / F.lit(QUERY_BLOCK)).cast("bigint").alias("q_subs"))
     l_sizes = library.groupBy("list").agg(F.ceil(F.count("*") / F.lit(LIBRARY_BLOCK)).cast("bigint").alias("l_subs"))
     sizes = q_sizes.join(l_sizes, "list")
     # new column names, so that a table can search itself
-    q = _split(queries.select("list", "query_id", F.col("vector").alias("q_vector")), sizes, "q", "l", "query_id")
-    lib = _split(library.select("list", "match_id", F.col("vector").alias("l_vector")), sizes, "l", "q", "match_id")
+    q = _split(queries.select("list", "query_id", F.col(q_col).alias(f"q_{q_col}")), sizes, "q", "l", "query_id")
+    lib = _split(library.select("list", "match_id", F.col(l_col).alias(f"l_{l_col}")), sizes, "l", "q", "match_id")
 
-    def kernel(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+    def both(key: tuple, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if a.empty or b.empty:
             return pd.DataFrame({"query_id": pd.Series(dtype="int64"), "match_id": pd.Series(dtype="int64"), "similarity": pd.Series(dtype="float64")})
+        return kernel(key, a, b)
+
+    keys = ["list", "q_sub", "l_sub"]
+    return q.groupBy(*keys).cogroup(lib.groupBy(*keys)).applyInPandas(both, "query_id long, match_id long, similarity double")
+
+
+def best_of(sim: np.ndarray, own: np.ndarray, ids: np.ndarray, k: int) -> pd.DataFrame:
+    """The k best library rows of each query by similarity; ``ids`` ascend, and a row with the query's own id is no match."""
+    sim[own[:, None] == ids[None, :]] = -np.inf
+    take = min(k, len(ids))
+    edge = np.partition(sim, len(ids) - take, axis=1)[:, len(ids) - take]
+    out_q, out_m, out_s = [], [], []
+    for row in range(len(own)):
+        hit = np.flatnonzero(sim[row] >= edge[row])
+        hit = hit[np.argsort(-sim[row][hit], kind="stable")][:take]
+        hit = hit[np.isfinite(sim[row][hit])]
+        out_q.append(np.full(len(hit), own[row])), out_m.append(ids[hit]), out_s.append(sim[row][hit])
+    return pd.DataFrame({"query_id": np.concatenate(out_q), "match_id": np.concatenate(out_m), "similarity": np.concatenate(out_s)})
+
+
+def grid_search(queries: DataFrame, library: DataFrame, k: int) -> DataFrame:
+    """``(query_id, match_id, similarity, rank)`` from ``(list, query_id, vector)`` and ``(list, match_id, vector)``.
+
+    A library row with the query's own id is no match for it.
+    """
+
+    def kernel(key: tuple, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         b = b.sort_values("match_id")
-        ids, own = b["match_id"].to_numpy(), a["query_id"].to_numpy()
         sim = np.vstack(a["q_vector"].to_list()) @ np.vstack(b["l_vector"].to_list()).T
-        sim[own[:, None] == ids[None, :]] = -np.inf
-        take = min(k, len(ids))
-        edge = np.partition(sim, len(ids) - take, axis=1)[:, len(ids) - take]
-        out_q, out_m, out_s = [], [], []
-        for row in range(len(own)):
-            hit = np.flatnonzero(sim[row] >= edge[row])
-            hit = hit[np.argsort(-sim[row][hit], kind="stable")][:take]
-            hit = hit[np.isfinite(sim[row][hit])]
-            out_q.append(np.full(len(hit), own[row])), out_m.append(ids[hit]), out_s.append(sim[row][hit])
-        return pd.DataFrame({"query_id": np.concatenate(out_q), "match_id": np.concatenate(out_m), "similarity": np.concatenate(out_s)})
+        return best_of(sim, a["query_id"].to_numpy(), b["match_id"].to_numpy(), k)
 
-    keys = ["list", "q_sub", "l_sub"]
-    found = q.groupBy(*keys).cogroup(lib.groupBy(*keys)).applyInPandas(kernel, "query_id long, match_id long, similarity double")
-    return top_matches(found, k)
+    return top_matches(meet_in_blocks(queries, library, "vector", "vector", kernel), k)
 
 
 def top_matches(found: DataFrame, k: int) -> DataFrame:
@@ -77,53 +92,15 @@ def exact_search(queries: DataFrame, library: DataFrame, k: int) -> DataFrame:
         queries.select(one.alias("list"), "query_id", "vector"), library.select(one.alias("list"), "match_id", "vector"), k)
 
 
-def train_lists(library: DataFrame, lists: int, seed: int = 42, iterations: int = 20) -> np.ndarray:
-    """Cluster centres of the library: one row per list on the driver, the root of the library's size by default."""
-    lists = max(1, lists)
-    vectors = library.select(array_to_vector("vector").alias("features"))
-    model = KMeans(k=lists, maxIter=iterations, seed=seed).fit(vectors)
-    return np.vstack(model.clusterCenters())
-
-
-def nearest_lists(df: DataFrame, centres: np.ndarray, probes: int) -> DataFrame:
-    """One row per vector and probed list."""
-    probes = min(probes, len(centres))
-    norms = (centres * centres).sum(1)
-
-    def pick(vectors: pd.Series) -> pd.Series:
-        x = np.vstack(vectors.to_list())
-        distance = norms[None, :] - 2 * x @ centres.T
-        return pd.Series(list(np.argsort(distance, axis=1, kind="stable")[:, :probes].astype(np.int32)))
-
-    udf = F.pandas_udf(pick, "array<int>", F.PandasUDFType.SCALAR)
-    return df.withColumn("list", F.explode(udf("vector")))
-
-
-def approximate_search(queries: DataFrame, library: DataFrame, k: int, probes: int = 8, centres: np.ndarray | None = None) -> DataFrame:
-    """Only the lists nearest to a query are compared with it."""
-    if centres is None:
-        centres = train_lists(library, int(max(1, library.count() ** 0.5)))
-    return grid_search(
-        nearest_lists(queries.select("query_id", "vector"), centres, probes),
-        nearest_lists(library.select("match_id", "vector"), centres, 1), k)
-
-
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 
 
-def hybrid_search(queries: DataFrame, library: DataFrame, k: int, probes: int = 8) -> DataFrame:
-    """Three times k approximate candidates, scored again exactly and cut to k."""
-    near = approximate_search(queries, library, 3 * k, probes).select("query_id", "match_id")
-    q = queries.select("query_id", F.col("vector").alias("qv"))
-    lib = library.select("match_id", F.col("vector").alias("lv"))
-    scored = near.join(q, "query_id").join(lib, "match_id").select("query_id", "match_id", dot(F.col("qv"), F.col("lv")).alias("similarity"))
-    return top_matches(scored, k)
-
-
 def search(queries: DataFrame, library: DataFrame, k: int, how: str, threshold: float = 0.0) -> DataFrame:
     """``how`` is exact, approximate or hybrid; it is the caller's choice and never follows from the size."""
-    run = {"exact": exact_search, "hybrid": hybrid_search, "approximate": approximate_search}[how]
+    from plumbline.operators.quantised import quantised_search, reranked_search
+
+    run = {"exact": exact_search, "hybrid": reranked_search, "approximate": quantised_search}[how]
     return run(queries, library, k).filter(F.col("similarity") >= threshold)
 
 

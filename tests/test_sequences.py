@@ -13,6 +13,7 @@ from plumbline.operators import planning as pl
 from plumbline.operators import quality as q
 from plumbline.operators import runs
 from plumbline.operators import sampling as sm
+from plumbline.operators import quantised as qs
 from plumbline.operators import search as vs
 from plumbline.operators.sequences import carry, islands, positions
 from plumbline.sources import readers, writers
@@ -126,8 +127,27 @@ def test_exact_search_over_many_blocks(spark, monkeypatch):
     np.fill_diagonal(sim, -9)
     want = {(i, int(j)) for i in range(150) for j in np.argsort(-sim[i])[:4]}
     assert {(r["query_id"], r["match_id"]) for r in got.collect()} == want
-    near = vs.approximate_search(df.withColumnRenamed("id", "query_id"), df.withColumnRenamed("id", "match_id"), 4, probes=12)
-    assert vs.recall(near, got).first()["recall"] == 1.0  # all lists probed
+
+
+def test_quantised_search(spark, monkeypatch):
+    """Recall against exact search on clustered vectors with few of the lists probed, over several blocks."""
+    monkeypatch.setattr(vs, "QUERY_BLOCK", 64)
+    monkeypatch.setattr(vs, "LIBRARY_BLOCK", 32)
+    rng = np.random.default_rng(2)
+    x = np.repeat(rng.normal(size=(16, 24)), 50, 0) + 0.15 * rng.normal(size=(800, 24))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, vector array<double>")
+    q, lib = df.withColumnRenamed("id", "query_id"), df.withColumnRenamed("id", "match_id")
+    truth = vs.exact_search(q, lib, 5)
+    index = qs.fit_index(lib)
+    assert index.lists == 25
+    for run in (qs.quantised_search, qs.reranked_search):
+        assert vs.recall(run(q, lib, 5, 0.25, index), truth).first()["recall"] >= 0.9
+    # every row is indexed, though a part of them fits the index
+    assert qs.quantised_search(q, lib, 5, 1.0, qs.fit_index(lib, fit_rows=100)).count() == 5 * len(x)
+    assert qs.quantised_search(q, lib.limit(0), 5).count() == 0
+    few = qs.quantised_search(q.limit(3), lib.where("match_id < 3"), 5, 1.0)
+    assert few.groupBy("query_id").count().collect() and few.where("query_id = match_id").count() == 0
 
 
 def test_density_against_numpy(spark):
