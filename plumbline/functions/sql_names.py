@@ -1,8 +1,11 @@
-"""SQL names for two-sample measures over arrays: ``bin_counts``, ``psi`` and ``ks_of_counts``."""
+"""SQL names for two-sample measures over arrays: ``bin_counts``, ``psi``, ``ks_of_counts`` and the table function ``expand_bins``."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
 # The tiny share that keeps an empty bin finite.
 EPS = "1e-6D"
@@ -22,7 +25,18 @@ FUNCTIONS = {
 }
 
 
+@F.udtf(returnType="bin bigint, low double, high double, n bigint")
+class ExpandBins:
+    """Table function: a row for each bin of packed counts between two limits; null or empty counts give no row."""
+
+    def eval(self, counts: list[int], lo: float, hi: float) -> Iterator[tuple]:
+        width = len(counts or [])
+        for i in range(width):
+            yield i, lo + (hi - lo) * i / width, lo + (hi - lo) * (i + 1) / width, counts[i]
+
+
 def register(spark: SparkSession) -> None:
-    """Make the functions known to a session. They are SQL expressions, so the optimizer sees through them."""
+    """Make the functions known to a session. All but the table function are SQL expressions, so the optimizer sees through them."""
+    spark.udtf.register("expand_bins", ExpandBins)
     for name, body in FUNCTIONS.items():
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}{body}")

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from plumbline.functions.tails import chi_square_p, normal_two_sided
 from plumbline.operators.column_stats import correlations
 from plumbline.operators.longform import bucket_edges, numeric_columns, running_counts, scrub, to_long, value_counts
+from plumbline.operators.sequences import positions
 
 EPS = 1e-10
 # Bins of the histograms.
@@ -298,10 +299,14 @@ def correlation_metrics(pairs: DataFrame, moments: DataFrame, n_cols: int) -> Da
 
 
 def top_pairs(pairs: DataFrame, k: int) -> DataFrame:
-    """Position of every pair by strength on each side; ties go to the lower pair."""
-    rank = lambda c: F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.abs(c).desc(), "i", "j"))
-    # one row per column pair
-    return pairs.select("i", "j", "r_syn", "r_orig", (rank("r_syn") <= k).alias("in_syn"), (rank("r_orig") <= k).alias("in_orig"))
+    """Whether a pair is among the k strongest on each side; ties go to the lower pair.
+
+    Places are counted in buckets of strength, so the pairs of a wide table stay spread over tasks.
+    """
+    out = pairs.select("i", "j", "r_syn", "r_orig", (-F.abs("r_syn")).alias("_syn"), (-F.abs("r_orig")).alias("_orig"))
+    for side in ("syn", "orig"):
+        out = positions(out, [], [f"_{side}", "i", "j"], f"_at_{side}")
+    return out.select("i", "j", "r_syn", "r_orig", *[(F.col(f"_at_{side}") < k).alias(f"in_{side}") for side in ("syn", "orig")])
 
 
 def top_pairs_kept(pairs: DataFrame, k: int) -> DataFrame:

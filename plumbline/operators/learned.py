@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
+import pandas as pd
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame
@@ -39,17 +42,90 @@ def covariances(df: DataFrame, cols: list[str], by: str | None = None) -> dict[s
 def effective_dimension(cov: np.ndarray, share: float = 0.9) -> int:
     """Components needed to exceed the share of variance; 1 if there is no variance."""
     values = np.clip(np.linalg.eigvalsh(cov)[::-1], 0, None)
-    whole = values.sum()
+    return components_needed(values, values.sum(), share)
+
+
+def components_needed(values: np.ndarray, whole: float, share: float = 0.9) -> int:
+    """How many of the falling variances exceed the share of the whole; all of them if they do not reach it, 1 without variance."""
     if whole <= 0:
         return 1
-    return int(np.argmax(np.cumsum(values / whole) > share)) + 1
+    over = np.flatnonzero(np.cumsum(values) / whole > share)
+    return int(over[0]) + 1 if len(over) else max(1, len(values))
+
+
+def spectra(df: DataFrame, cols: list[str], by: str, components: int = 64, rounds: int = 2, seed: int = 42) -> dict[str, tuple[np.ndarray, float]]:
+    """Largest variances along principal components per side, falling, and the total variance.
+
+    Up to ``components`` columns they are all and exact. Beyond, a randomised range finder: ``rounds`` passes multiply the
+    centred rows with a thin matrix and their transpose with the result, one more takes the variances inside the range
+    found. Tasks send ``columns`` x ``components`` sums, which are added up by Spark; no matrix of columns squared is
+    ever formed. A null cell stands at its column's mean.
+    """
+    d = len(cols)
+    thin = min(d, components)
+    # one array column: a plan of thousands of columns costs more than the rows
+    cells = F.transform(F.array(*[F.col(c).cast("double") for c in cols]), scrub)
+    clean = df.select(F.col(by).alias("g"), cells.alias("x"))
+
+    def summed(product: Callable[[str, np.ndarray], np.ndarray], rows: int, width: int) -> dict[str, np.ndarray]:
+        """Per side the sum over tasks of a matrix of ``rows`` x ``width``, a product of its cells."""
+
+        def partial(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            sums: dict[str, np.ndarray] = {}
+            for f in frames:
+                for g, part in f.groupby("g"):
+                    new = product(g, np.vstack(part["x"].to_list()).astype(float))
+                    sums[g] = new if g not in sums else sums[g] + new
+            for g, m in sums.items():
+                at = np.indices(m.shape).reshape(2, -1)
+                yield pd.DataFrame({"g": g, "i": at[0], "j": at[1], "v": m.ravel()})
+
+        out: dict[str, np.ndarray] = {}
+        for r in clean.mapInPandas(partial, "g string, i int, j int, v double").groupBy("g", "i", "j").agg(F.sum("v").alias("v")).toLocalIterator():
+            out.setdefault(r["g"], np.zeros((rows, width)))[r["i"], r["j"]] = r["v"]
+        return out
+
+    counted = summed(lambda g, x: np.stack([np.nansum(x, 0), (~np.isnan(x)).sum(0), np.full(d, len(x))], 1), d, 3)
+    size = {g: int(m[0, 2]) for g, m in counted.items()}
+    mean = {g: m[:, 0] / np.maximum(m[:, 1], 1) for g, m in counted.items()}
+    start = np.eye(d) if thin == d else np.linalg.qr(np.random.default_rng(seed).normal(size=(d, thin)))[0]
+    base = {g: start for g in size}
+
+    def centred(g: str, x: np.ndarray) -> np.ndarray:
+        return np.nan_to_num(x - mean[g])
 
+    for _ in range(rounds if thin < d else 0):
+        base = {g: np.linalg.qr(m)[0] for g, m in summed(lambda g, x: centred(g, x).T @ (centred(g, x) @ base[g]), d, thin).items()}
 
-def dimension_metrics(cov: dict[str, np.ndarray]) -> dict[str, float]:
-    ratio = effective_dimension(cov["synthetic"]) / (effective_dimension(cov["original"]) + 1e-10)
+    def inside(g: str, x: np.ndarray) -> np.ndarray:
+        x = centred(g, x)
+        y = x @ base[g]
+        last = np.zeros((thin, 1))
+        last[0] = (x * x).sum()
+        return np.hstack([y.T @ y, last])
+
+    out = {}
+    for g, m in summed(inside, thin, thin + 1).items():
+        free = max(size[g] - 1, 1)
+        out[g] = np.clip(np.linalg.eigvalsh(m[:, :thin] / free)[::-1], 0, None), float(m[0, thin] / free)
+    return out
+
+
+def dimension_metrics(found: dict[str, tuple[np.ndarray, float]]) -> dict[str, float]:
+    ratio = components_needed(*found["synthetic"]) / (components_needed(*found["original"]) + 1e-10)
     return {"dimensionality_ratio": ratio, "dimensionality_preservation": 100 * float(np.exp(-abs(ratio - 1)))}
 
 
+def dimension_rows(spark, found: dict[str, tuple[np.ndarray, float]]) -> DataFrame:
+    """``(side, dimension, share, ratio, score)``: components needed per side, the variance they hold, and how the sides compare."""
+    m = dimension_metrics(found)
+    rows = []
+    for side, (values, whole) in sorted(found.items()):
+        n = components_needed(values, whole)
+        rows.append((side, n, float(values[:n].sum() / whole) if whole > 0 else 0.0, m["dimensionality_ratio"], m["dimensionality_preservation"]))
+    return spark.createDataFrame(rows, "side string, dimension int, share double, ratio double, score double")
+
+
 def explained_variance(spark, cov: dict[str, np.ndarray]) -> DataFrame:
     """``(side, component, share, cumulative)``, one row per component."""
     rows = []

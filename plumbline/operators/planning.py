@@ -47,6 +47,64 @@ def _links(df: DataFrame, rec_id: str | None = None) -> DataFrame:
     return df.select("*", none.alias("dependencies"), none.alias("incompatible"), F.create_map(*pairs).cast("map<string,double>").alias("synergies")).select(*FIELDS)
 
 
+LINK_KINDS = ("dependency", "exclusion", "synergy")
+
+
+def link_table(spark: SparkSession, links: list[tuple]) -> DataFrame:
+    """Links between fixes as rows ``(rec_id, other, kind, factor)``; the factor counts for synergies only."""
+    for link in links:
+        if link[2] not in LINK_KINDS:
+            raise ValueError(f"unknown kind of link {link[2]}")
+    return spark.createDataFrame(links, "rec_id string, other string, kind string, factor double")
+
+
+def with_links(df: DataFrame, links: DataFrame) -> DataFrame:
+    """Candidates with the dependencies, exclusions and synergies of the link table; repeated links count once, the largest factor."""
+    once = links.groupBy("rec_id", "other", "kind").agg(F.max("factor").alias("factor"))
+    of = lambda kind, value: F.collect_list(F.when(F.col("kind") == kind, value))
+    packed = once.groupBy("rec_id").agg(
+        F.array_sort(of("dependency", F.col("other"))).alias("dependencies"), F.array_sort(of("exclusion", F.col("other"))).alias("incompatible"),
+        F.map_from_entries(of("synergy", F.struct("other", "factor"))).alias("synergies"))
+    none = F.array().cast("array<string>")
+    joined = df.drop("dependencies", "incompatible", "synergies").join(packed, "rec_id", "left")
+    return joined.withColumns({
+        "dependencies": F.coalesce("dependencies", none), "incompatible": F.coalesce("incompatible", none),
+        "synergies": F.coalesce("synergies", F.create_map().cast("map<string,double>"))}).select(*df.columns)
+
+
+def link_states(df: DataFrame, chosen: DataFrame) -> DataFrame:
+    """``(validation_id, rec_id, open, satisfied, excluded)`` of every candidate against the chosen ones of its validation."""
+    ids = chosen.groupBy("validation_id").agg(F.collect_set("rec_id").alias("ids"))  # as many as are chosen, a handful
+    held = df.join(ids, "validation_id", "left").withColumn("ids", F.coalesce("ids", F.array().cast("array<string>")))
+    missing = F.array_except("dependencies", "ids")
+    return held.select("validation_id", "rec_id", missing.alias("open"), (F.size(missing) == 0).alias("satisfied"), F.arrays_overlap("incompatible", "ids").alias("excluded"))
+
+
+def open_dependencies(df: DataFrame, chosen: DataFrame) -> DataFrame:
+    """``(validation_id, wants, rec_id)``: what a candidate needs and its validation did not choose."""
+    return link_states(df, chosen).select("validation_id", F.col("rec_id").alias("wants"), F.explode("open").alias("rec_id"))
+
+
+def execution_layers(plans: DataFrame) -> DataFrame:
+    """``(validation_id, rec_id, layer)``: fixes of layer 0 need no other of the plan, those of layer n one of layer n - 1.
+
+    Dependencies outside the plan do not count. What is on a cycle or needs something on one has no layer. The rounds
+    are steps over a plan's own array, as many as it has fixes.
+    """
+    sel = F.col("selected")
+    ids = F.transform(sel, lambda x: x["rec_id"])
+
+    def step(done: Column, n: Column) -> Column:
+        known = F.transform(done, lambda d: d["rec_id"])
+        ready = F.filter(sel, lambda x: ~F.array_contains(known, x["rec_id"]) & (F.size(F.array_except(F.array_intersect(x["dependencies"], ids), known)) == 0))
+        return F.concat(done, F.transform(ready, lambda x: F.struct(x["rec_id"].alias("rec_id"), n.alias("layer"))))
+
+    rounds = F.when(F.size(sel) > 0, F.sequence(F.lit(0), F.size(sel) - 1)).otherwise(F.array().cast("array<int>"))
+    start = F.array().cast("array<struct<rec_id:string,layer:int>>")
+    layered = plans.withColumn("_done", F.aggregate(rounds, start, step)).withColumn("_id", F.explode(ids))
+    return layered.select("validation_id", F.col("_id").alias("rec_id"), F.element_at(F.map_from_entries("_done"), F.col("_id")).alias("layer"))
+
+
 def template_candidates(dims: DataFrame, templates: DataFrame) -> DataFrame:
     """One candidate per failing dimension and template; the worse the score, the larger the gain."""
     hit = dims.filter(F.col("score") < FAILING).join(F.broadcast(templates), "dim_name")  # the template table is small by nature

@@ -17,13 +17,14 @@ SORTABLE = ("created_at", "collapse_score", "validation_id", "risk_score")
 # ---------------------------------------------------------------- scalar projections
 
 
-def risk_projection(score: Column) -> list[Column]:
-    """Risk score, level, warranty flag and recommendation from a collapse score."""
+def risk_projection(score: Column, approved: Column) -> list[Column]:
+    """Risk score, level and warranty flag from a collapse score, and the recommendation the approval stands for."""
     risk = (100 - score).cast("bigint")
     return [
         risk.alias("risk_score"),
         F.when(risk < 25, "low").when(risk < 60, "medium").otherwise("high").alias("risk_level"),
         (risk < 25).alias("warranty_eligible"),
+        F.when(approved, "approved").otherwise("rejected").alias("recommendation"),
     ]
 
 

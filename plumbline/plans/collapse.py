@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from plumbline import roles
-from plumbline.operators import collapse as cd
 from plumbline.functions import sql_names
+from plumbline.operators import collapse as cd
 from plumbline.operators import learned, runs, spectral
 from plumbline.operators import longform as lf
+from plumbline.operators.longform import to_long
 from plumbline.operators.sequences import positions
 from plumbline.plans.oracle_parts import DIMS, FEATURES, LONG, SERIES, with_
 from plumbline.plans.profile import corr_sql, rounded
@@ -135,12 +136,24 @@ def cd_12(spark, sf):
     return rounded(cd.mutual_information(roles.pair(spark, sf), FEATURES))
 
 
-@query("cd_13_effective_dimension")
-def cd_13(spark, sf):
+@query("cd_13_explained_variance")
+def cd_13_variance(spark, sf):
     cov = learned.covariances(roles.pair(spark, sf), FEATURES, "side")
     return learned.explained_variance(spark, cov)
 
 
+@query("cd_13_effective_dimension")
+def cd_13(spark, sf):
+    return learned.dimension_rows(spark, learned.spectra(roles.pair(spark, sf), FEATURES, "side"))
+
+
+@query("cd_14_entropy_stability")
+def cd_14(spark, sf):
+    from plumbline.plans.scorecard import entropy_stability
+
+    return entropy_stability(roles.pair(spark, sf), FEATURES)
+
+
 @query("cd_15_gradient_health", """
 SELECT run, round(m, 6) AS mean_gradient_norm, round(s, 6) AS std_gradient_norm, CASE WHEN m > 1e-5 THEN 100.0 ELSE 50.0 END::DOUBLE AS vanishing_check,
   CASE WHEN m < 100 THEN 100.0 ELSE 50.0 END::DOUBLE AS exploding_check, ((CASE WHEN m > 1e-5 THEN 100.0 ELSE 50.0 END + CASE WHEN m < 100 THEN 100.0 ELSE 50.0 END) / 2)::DOUBLE AS score
@@ -343,6 +356,24 @@ def prj_04(spark, sf):
     return both.groupBy("side").agg(F.count("*").alias("rows"), *[F.round(F.avg(c), 6).alias(c) for c in cols])
 
 
+@query("udf_03_expanded_bins", with_(LONG) + """, lim AS (SELECT col, min(val) AS lo, max(val) AS hi FROM long GROUP BY col),
+b AS (SELECT col, lo, hi, least(9, CAST(floor((val - lo) / (hi - lo) * 10) AS INTEGER)) AS bin, count(*) AS n FROM long JOIN lim USING (col) GROUP BY ALL)
+SELECT l.col, i AS bin, round(l.lo + (l.hi - l.lo) * i / 10, 6) AS low, round(l.lo + (l.hi - l.lo) * (i + 1) / 10, 6) AS high, coalesce(n, 0) AS n
+FROM lim l CROSS JOIN (SELECT unnest(range(10)) AS i) LEFT JOIN b ON b.col = l.col AND b.bin = i""")
+def udf_03_bins(spark, sf):
+    """One row per bin from a column's packed counts, through the table function as a SQL user calls it."""
+    sql_names.register(spark)
+    long = to_long(roles.pair(spark, sf), FEATURES)
+    limits = long.groupBy("col").agg(F.min("val").alias("lo"), F.max("val").alias("hi"))
+    bins = long.join(limits, "col").select("col", "lo", "hi", cd.bin_index(F.col("val"), F.col("lo"), F.col("hi"), 10).alias("bin"))
+    counts = F.array(*[F.count_if(F.col("bin") == i) for i in range(10)])
+    packed = bins.groupBy("col", "lo", "hi").agg(counts.alias("counts"))
+    packed.createOrReplaceTempView("packed_bins")
+    return spark.sql("""
+        SELECT col, e.bin, round(e.low, 6) AS low, round(e.high, 6) AS high, e.n
+        FROM packed_bins, LATERAL expand_bins(counts, lo, hi) e""")
+
+
 @query("cd_32_scorecard")
 def cd_32(spark, sf):
     from plumbline.plans.scorecard import line_item_scorecard

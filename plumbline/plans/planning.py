@@ -49,13 +49,32 @@ def jon_13(spark, sf):
     return d.join(F.broadcast(pl.template_table(spark)), "dim_name").select("validation_id", "dim_name", "title")
 
 
-@query("jon_14_open_dependencies", with_(RUNS) + """
-SELECT validation_id, 'div_001' AS wants, name AS rec_id FROM plan_runs, (SELECT unnest(['dist_001', 'ent_001']) AS name)
-WHERE diversity_score < 60 AND (validation_id, name) NOT IN (SELECT (validation_id, rec_id) FROM ranked)""")
+# The links between fixes that the queries plan with: met and unmet needs, a cycle of two, exclusions and synergies.
+LINKS = [
+    ("corr_Copu", "dist_Adva", "dependency", None), ("loc_001", "dist_Adva", "dependency", None),
+    ("crit_001", "div_001", "dependency", None), ("div_001", "crit_001", "dependency", None),
+    ("dist_Adva", "crit_001", "exclusion", None), ("corr_Copu", "loc_001", "exclusion", None),
+    ("corr_Copu", "dist_Adva", "synergy", 1.1), ("dist_Adva", "div_001", "synergy", 1.2), ("dist_Adva", "loc_001", "synergy", 1.15),
+]
+LINKED = RUNS + ", links(rec_id, other, kind, factor) AS (VALUES " + ", ".join(f"('{a}', '{b}', '{k}', {'NULL' if f is None else f}::DOUBLE)" for a, b, k, f in LINKS) + ")"
+
+
+def linked(spark, sf):
+    return pl.with_links(candidates(spark, sf), pl.link_table(spark, LINKS))
+
+
+@query("jon_14_open_dependencies", with_(LINKED) + """
+SELECT validation_id, c.rec_id AS wants, other AS rec_id FROM cand c JOIN links l ON l.rec_id = c.rec_id AND kind = 'dependency'
+WHERE (validation_id, other) NOT IN (SELECT (validation_id, rec_id) FROM ranked)""")
 def jon_14(spark, sf):
-    chosen = pl.ranked(candidates(spark, sf), 3).select("validation_id", "rec_id")
-    needs = candidates(spark, sf).select("validation_id", F.col("rec_id").alias("wants"), F.explode(F.map_keys("synergies")).alias("rec_id"))
-    return needs.join(chosen, ["validation_id", "rec_id"], "left_anti")
+    return pl.open_dependencies(linked(spark, sf), pl.ranked(linked(spark, sf), 3))
+
+
+@query("jon_14_link_states", with_(LINKED) + """
+SELECT c.validation_id, c.rec_id, count(*) FILTER (kind = 'dependency' AND r.rec_id IS NULL) = 0 AS satisfied, count(*) FILTER (kind = 'exclusion' AND r.rec_id IS NOT NULL) > 0 AS excluded
+FROM cand c LEFT JOIN links l ON l.rec_id = c.rec_id LEFT JOIN ranked r ON r.validation_id = c.validation_id AND r.rec_id = l.other GROUP BY c.validation_id, c.rec_id""")
+def jon_14_states(spark, sf):
+    return pl.link_states(linked(spark, sf), pl.ranked(linked(spark, sf), 3)).drop("open")
 
 
 @query("rec_05_costs_and_returns", with_(RUNS) + "SELECT validation_id, rec_id, cost_usd, round(roi, 6) AS roi, round(risk_adjusted, 6) AS risk_adjusted, round(variance, 6) AS variance FROM cand")
@@ -81,27 +100,59 @@ def rec_07(spark, sf):
     return pl.ranked(candidates(spark, sf), 3).select("validation_id", "rec_id", F.col("place").cast("bigint").alias("place"))
 
 
-@query("rec_08_greedy_plan")
+NEEDS = """, needs AS (SELECT c.*, coalesce(list(l.other) FILTER (kind = 'dependency'), []) AS deps, coalesce(list(l.other) FILTER (kind = 'exclusion'), []) AS excl
+  FROM cand c LEFT JOIN links l ON l.rec_id = c.rec_id GROUP BY ALL)"""
+
+
+@query("rec_08_greedy_plan", with_(LINKED + NEEDS).replace("WITH ", "WITH RECURSIVE ", 1) + """, queue AS (SELECT *, row_number() OVER (PARTITION BY validation_id ORDER BY roi DESC, rec_id) AS n FROM needs),
+walk AS (
+  SELECT DISTINCT validation_id, CAST(0 AS BIGINT) AS n, CAST([] AS VARCHAR[]) AS taken, 0.0::DOUBLE AS cost, 0.0::DOUBLE AS spent FROM queue
+  UNION ALL
+  SELECT validation_id, n, CASE WHEN fits THEN list_append(taken, rec_id) ELSE taken END, CASE WHEN fits THEN cost + cost_usd ELSE cost END, CASE WHEN fits THEN spent + days ELSE spent END
+  FROM (SELECT q.validation_id, q.n, taken, cost, spent, q.rec_id, q.cost_usd, q.days,
+      len(taken) < 3 AND list_has_all(taken, deps) AND NOT list_has_any(excl, taken) AND cost + cost_usd <= 3000 AND spent + days <= 6 AS fits
+    FROM walk w JOIN queue q ON q.validation_id = w.validation_id AND q.n = w.n + 1))
+SELECT validation_id, array_to_string(arg_max(taken, n), ',') AS selected FROM walk GROUP BY validation_id""")
 def rec_08(spark, sf):
-    g = pl.greedy(candidates(spark, sf), "balanced", budget=3000.0, days=6.0, most=3)
+    g = pl.greedy(linked(spark, sf), "balanced", budget=3000.0, days=6.0, most=3)
     return g.select("validation_id", F.array_join(F.transform("selected", lambda x: x["rec_id"]), ",").alias("selected"))
 
 
 @query("rec_09_execution_order")
 def rec_09(spark, sf):
-    g = pl.execution_order(pl.greedy(candidates(spark, sf), "max_impact", most=5))
+    g = pl.execution_order(pl.as_plans(pl.ranked(linked(spark, sf), 5)))
     return g.select("validation_id", F.array_join("execution_order", ",").alias("execution_order"))
 
 
+@query("rec_09_execution_layers", with_(LINKED).replace("WITH ", "WITH RECURSIVE ", 1) + """, wants AS (
+  SELECT c.validation_id, c.rec_id, l.other FROM cand c JOIN links l ON l.rec_id = c.rec_id AND kind = 'dependency' JOIN cand o ON o.validation_id = c.validation_id AND o.rec_id = l.other),
+chain AS (
+  SELECT validation_id, rec_id, rec_id AS top, 0 AS depth FROM cand WHERE (validation_id, rec_id) NOT IN (SELECT (validation_id, rec_id) FROM wants)
+  UNION ALL SELECT w.validation_id, w.rec_id, top, depth + 1 FROM chain c JOIN wants w ON w.validation_id = c.validation_id AND w.other = c.rec_id WHERE depth < 9),
+stuck AS (
+  SELECT validation_id, rec_id, other AS reach FROM wants UNION SELECT s.validation_id, s.rec_id, w.other FROM stuck s JOIN wants w ON w.validation_id = s.validation_id AND w.rec_id = s.reach),
+cyclic AS (SELECT validation_id, rec_id FROM stuck WHERE rec_id = reach),
+out AS (SELECT validation_id, rec_id FROM cyclic UNION SELECT s.validation_id, s.rec_id FROM stuck s JOIN cyclic c ON c.validation_id = s.validation_id AND c.rec_id = s.reach)
+SELECT validation_id, rec_id, CASE WHEN (validation_id, rec_id) IN (SELECT (validation_id, rec_id) FROM out) THEN NULL ELSE (
+  SELECT max(depth) FROM chain h WHERE h.validation_id = cand.validation_id AND h.rec_id = cand.rec_id) END AS layer FROM cand""")
+def rec_09_layers(spark, sf):
+    return pl.execution_layers(pl.as_plans(pl.ranked(linked(spark, sf), 5)))
+
+
 TOTALS = """, totals AS (SELECT validation_id, sum(impact) AS total_impact, sqrt(sum(variance)) AS sd, product(success) AS success, sum(cost_usd) AS cost_usd, sum(effort_hours) AS effort_hours, sum(days) * 0.7 AS days
   FROM ranked GROUP BY validation_id)"""
 
 
-@query("rec_10_plan_totals", with_(RUNS + TOTALS) + """
-SELECT validation_id, round(total_impact, 6) AS total_impact, round(greatest(0.0, total_impact - 1.96 * sd), 6) AS impact_low, round(least(100.0, total_impact + 1.96 * sd), 6) AS impact_high,
-  round(success, 6) AS success, cost_usd, effort_hours, round(days, 6) AS days FROM totals""")
+BOOSTED = """, boosted AS (SELECT r.validation_id, r.rec_id, any_value(r.impact) * coalesce(product(l.factor), 1) AS impact FROM ranked r
+  LEFT JOIN ranked e ON e.validation_id = r.validation_id AND e.place < r.place LEFT JOIN links l ON l.rec_id = r.rec_id AND l.other = e.rec_id AND kind = 'synergy' GROUP BY ALL),
+gains AS (SELECT validation_id, sum(impact) AS total_impact FROM boosted GROUP BY validation_id)"""
+
+
+@query("rec_10_plan_totals", with_(LINKED + TOTALS + BOOSTED) + """
+SELECT validation_id, round(g.total_impact, 6) AS total_impact, round(greatest(0.0, g.total_impact - 1.96 * sd), 6) AS impact_low, round(least(100.0, g.total_impact + 1.96 * sd), 6) AS impact_high,
+  round(success, 6) AS success, cost_usd, effort_hours, round(days, 6) AS days FROM totals JOIN gains g USING (validation_id)""")
 def rec_10(spark, sf):
-    return rounded(pl.plan_totals(pl.as_plans(pl.ranked(candidates(spark, sf), 3))).drop("selected"))
+    return rounded(pl.plan_totals(pl.as_plans(pl.ranked(linked(spark, sf), 3))).drop("selected"))
 
 
 @query("rec_11_quick_wins", with_(RUNS) + "SELECT validation_id, rec_id FROM ranked WHERE days < 2 AND impact > 10 AND feasibility > 0.8")

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import functions as F
 
 from plumbline import roles
+from plumbline.operators import carried as ca
 from plumbline.operators import column_stats as cs
 from plumbline.operators import longform as lf
 from plumbline.plans.oracle_parts import FEATURES, LONG, with_
 from plumbline.registry import query
+from plumbline.streaming.run import file_stream, run_batches, shared_folder
 
 
 def rounded(df, *ints):
@@ -53,6 +57,42 @@ def agg_02_quantiles(spark, sf):
     return cs.mergeable_stats(roles.pair(spark, sf), FEATURES).select("col", "q25", "median", "q75")
 
 
+CARRIED = """SELECT col, count(val) AS count, round(avg(val), 4) AS mean, round(stddev_pop(val), 4) AS std, min(val) AS min, max(val) AS max,
+  true AS quantiles_close, true AS distinct_close FROM long GROUP BY col"""
+
+
+def carried_result(spark, sf, states):
+    """What merged states say, and whether their estimates hold: ranks within 3 %, distinct counts within 6 %."""
+    done = ca.finished(ca.merged_states(states))
+    rows = lf.to_long(roles.pair(spark, sf), FEATURES)
+    val = F.col("val")
+    ranks = rows.join(F.broadcast(done.select("col", *ca.QUANTILES)), "col").groupBy("col").agg(  # one row per column
+        F.count_distinct("val").alias("exact"), F.count("*").alias("rows"),
+        *[F.count_if(val < F.col(q)).alias(f"below_{q}") for q in ca.QUANTILES], *[F.count_if(val <= F.col(q)).alias(f"upto_{q}") for q in ca.QUANTILES])
+    worst = F.greatest(*[ca.rank_error(F.col(f"below_{q}"), F.col(f"upto_{q}"), F.col("rows"), share) for q, share in ca.QUANTILES.items()])
+    return done.join(ranks, "col").select(
+        "col", "count", F.round("mean", 4).alias("mean"), F.round("std", 4).alias("std"), "min", "max", (worst <= 0.03).alias("quantiles_close"), (F.abs(F.col("distinct") / F.col("exact") - 1) <= 0.06).alias("distinct_close"))
+
+
+@query("agg_02_carried_states", with_(LONG) + CARRIED)
+def agg_02_carried(spark, sf):
+    """A state per chunk of lines, stored; the statistics come from the stored states alone."""
+    path = os.path.join(shared_folder(spark), "states")
+    pair = roles.pair(spark, sf).withColumn("chunk", F.pmod(F.xxhash64(*FEATURES), F.lit(7)))
+    ca.chunk_states(pair, FEATURES, ["chunk"]).write.parquet(path)
+    return carried_result(spark, sf, spark.read.parquet(path))
+
+
+@query("src_11_carried_scan", with_(LONG) + CARRIED)
+def src_11_carried(spark, sf):
+    """The lines arrive as files; every micro-batch leaves its states behind, and only these are merged."""
+    folder = shared_folder(spark)
+    pair = roles.pair(spark, sf)
+    pair.repartition(4, *FEATURES).write.parquet(os.path.join(folder, "arriving"))
+    arriving = file_stream(spark, os.path.join(folder, "arriving"), pair.schema, files_per_batch=1)
+    return carried_result(spark, sf, run_batches(arriving, lambda batch: ca.chunk_states(batch, FEATURES)))
+
+
 PROFILE_SQL = " UNION ALL ".join(
     f"""SELECT '{c}' AS col, '{t}' AS data_type, count(*) AS rows, CAST(count(*) - count({c}) AS BIGINT) AS null_count,
     count(DISTINCT {c}) AS unique_count, {num[0]} AS min_value, {num[1]} AS max_value, {num[2]} AS mean_value, {num[3]} AS std_dev,

@@ -52,7 +52,7 @@ def information_score(pair: DataFrame, cols: list[str]) -> float:
 
 def entropy_stability(pair: DataFrame, cols: list[str]) -> DataFrame:
     ratios = cd.entropies(cd.joint_bins(cd.cells(pair, cols)))
-    return entropy_of(ratios, information_score(pair, cols), learned.dimension_metrics(learned.covariances(pair, cols, "side")))
+    return entropy_of(ratios, information_score(pair, cols), learned.dimension_metrics(learned.spectra(pair, cols, "side")))
 
 
 def consistency_of(per_col: DataFrame) -> DataFrame:
@@ -85,6 +85,8 @@ def loss_dimension(curve: DataFrame) -> DataFrame:
     return runs.loss_landscape(curve.withColumn("run", F.lit(0))).drop("run")
 
 
+#: Up to so many column pairs come to the driver as one small table; more stay distributed.
+MOST_PAIRS = 4096
 DIMENSION_ROW = "dim_name string, score double, metrics map<string,double>"
 
 
@@ -116,10 +118,16 @@ def scorecard(
         table = cd.per_column(pair, cols)
         return spark.createDataFrame(table.collect(), table.schema)  # one row per column
 
+    def pairs_of_columns() -> DataFrame:
+        found = cd.correlation_pairs(pair, cols)
+        if len(cols) * (len(cols) - 1) // 2 > MOST_PAIRS:
+            return found.persist()  # stays on the executors; a lost part is computed again
+        return spark.createDataFrame([tuple(r) for r in found.collect()], "i int, j int, r_syn double, r_orig double")
+
     work: dict[str, Callable[[], Any]] = {
         "columns": columns,
-        "covariances": lambda: learned.covariances(pair, cols, "side"),
-        "pairs": lambda: cd.correlation_pairs(pair, cols).collect(),  # one row per column pair
+        "spectra": lambda: learned.spectra(pair, cols, "side"),
+        "pairs": pairs_of_columns,
         "information": lambda: information_score(pair, cols),
         "generalization_gap": lambda: generalization_gap(pair, cols).first(),
     }
@@ -135,12 +143,13 @@ def scorecard(
         running = {name: pool.submit(inheritable_thread_target(spark)(job)) for name, job in work.items()}
         done = {name: job.result() for name, job in running.items()}
 
-    per_col, cov = done.pop("columns"), done.pop("covariances")
-    pairs = spark.createDataFrame([tuple(r) for r in done.pop("pairs")], "i int, j int, r_syn double, r_orig double")
+    per_col, found_spectra = done.pop("columns"), done.pop("spectra")
+    pairs = done.pop("pairs")
     done["distribution_fidelity"] = distribution_of(per_col).first()
     done["statistical_consistency"] = consistency_of(per_col).first()
-    done["entropy_stability"] = entropy_of(per_col, done.pop("information"), learned.dimension_metrics(cov)).first()
+    done["entropy_stability"] = entropy_of(per_col, done.pop("information"), learned.dimension_metrics(found_spectra)).first()
     done["correlation_preservation"] = cd.correlation_metrics(pairs, per_col, len(cols)).withColumn("score", cd.weighted("correlation_preservation")).first()
+    pairs.unpersist()
     found = spark.createDataFrame([as_row(name, one) for name, one in done.items() if one is not None], DIMENSION_ROW)
     found = found.withColumn("validation_id", F.lit(0))
     marks = {name: mark for name, (mark, _) in (extra or {}).items()}

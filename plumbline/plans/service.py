@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from plumbline import roles
 from plumbline.operators import longform as lf
 from plumbline.operators import service_tables as st
+from plumbline.operators.collapse import OVERALL_THRESHOLD
 from plumbline.plans.oracle_parts import DATASETS, DIMS, LONG, VALIDATIONS, with_
 from plumbline.plans.profile import rounded
 from plumbline.registry import query
@@ -20,10 +21,12 @@ VD = with_(VALIDATIONS, DATASETS)
 
 @query("prj_07_risk_projection", V + """
 SELECT validation_id, risk AS risk_score, CASE WHEN risk < 25 THEN 'low' WHEN risk < 60 THEN 'medium' ELSE 'high' END AS risk_level,
-       risk < 25 AS warranty_eligible
-FROM (SELECT validation_id, CAST(trunc(100 - collapse_score) AS BIGINT) AS risk FROM validations)""")
+       risk < 25 AS warranty_eligible, CASE WHEN status = 'completed' AND collapse_score >= 65 THEN 'approved' ELSE 'rejected' END AS recommendation
+FROM (SELECT validation_id, status, collapse_score, CAST(trunc(100 - collapse_score) AS BIGINT) AS risk FROM validations)""")
 def prj_07(spark, sf):
-    return roles.validations(spark, sf).select("validation_id", *st.risk_projection(F.col("collapse_score")))
+    # a finished run whose score passes is approved for training
+    approved = (F.col("status") == "completed") & (F.col("collapse_score") >= OVERALL_THRESHOLD)
+    return roles.validations(spark, sf).select("validation_id", *st.risk_projection(F.col("collapse_score"), approved))
 
 
 @query("prj_08_predicted_performance", V + """

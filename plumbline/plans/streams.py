@@ -9,7 +9,7 @@ from plumbline.operators.signatures import feedback_average
 from plumbline.plans.profile import rounded
 from plumbline.registry import query
 from plumbline.streaming import jobs
-from plumbline.streaming.run import latest_updates, run_to_table, table_stream
+from plumbline.streaming.run import latest_updates, run_to_table, table_stream, timer_store
 
 STATS = """SELECT col, count(*) AS count, round(avg(val), 6) AS mean, round(stddev_pop(val), 6) AS std, min(val) AS min, max(val) AS max
 FROM (SELECT 'value' AS col, value AS val FROM events UNION ALL SELECT 'user_id', CAST(user_id AS DOUBLE) FROM events) GROUP BY col"""
@@ -32,7 +32,7 @@ def both_forms(name: str, sql: str | None, job, keys: list[str] | None, finish=l
     """Register a job as a table query and as a stream.
 
     With ``keys`` the stream carries a watermark, sends only rows that changed and forgets closed windows; the newest row
-    of every key is the result. Without, its state is one row per column or session and is sent whole.
+    of every key is the result. Without, its state is one row per column and is sent whole.
     """
 
     @query(name, sql)
@@ -58,10 +58,35 @@ SELECT window_start, round(count(*) / 300.0, 6) AS request_rate, round(count(*)
 FROM (SELECT event_type, date_trunc('minute', ts) - to_minutes(CAST(i AS INTEGER)) AS window_start FROM events, (SELECT unnest(range(5)) AS i)) GROUP BY window_start""",
            jobs.sliding_rates, ["window_start"], finish=rounded)
 
-both_forms("str_06_sessions", """
+SESSIONS = """
 WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS fresh FROM events),
-s AS (SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts) AS n FROM g)
-SELECT user_id, min(ts) AS started_at, max(ts) + INTERVAL 30 MINUTE AS expires_at, count(*) AS events FROM s GROUP BY user_id, n""", jobs.sessions, None)
+s AS (SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts) AS n FROM g),
+sessions AS (SELECT user_id, min(ts) AS started_at, max(ts) + INTERVAL 30 MINUTE AS expires_at, count(*) AS events FROM s GROUP BY user_id, n)
+SELECT * FROM sessions"""
+
+
+@query("str_06_sessions", SESSIONS)
+def str_06(spark, sf):
+    return jobs.sessions(events(spark, sf))
+
+
+@query("str_06_sessions_stream", SESSIONS + " WHERE expires_at <= (SELECT date_trunc('millisecond', max(ts)) - INTERVAL 10 MINUTE FROM events)")
+def str_06_stream(spark, sf):
+    """Sessions that had expired when the events ended; the others are still open."""
+    return plain_times(run_to_table(jobs.sessions_stream(live(spark, sf))))
+
+
+@query("str_09_expired_entries", """
+WITH g AS (SELECT user_id, ts, CASE WHEN epoch_ms(ts) - epoch_ms(lag(ts) OVER (PARTITION BY user_id ORDER BY ts)) < 3600000 THEN 0 ELSE 1 END AS fresh FROM events),
+s AS (SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS n FROM g),
+entries AS (SELECT user_id, n, min(ts) AS first_used, max(ts) AS last_used, count(*) AS uses, max(n) OVER (PARTITION BY user_id) AS latest FROM s GROUP BY user_id, n)
+SELECT user_id, first_used, last_used, date_trunc('millisecond', last_used) + INTERVAL 1 HOUR AS expired_at, uses FROM entries
+WHERE n < latest OR epoch_ms(last_used) + 3600000 < (SELECT epoch_ms(max(ts)) - 600000 FROM events)""")
+def str_09(spark, sf):
+    """Keys silent for an hour, reported by a timer in event time and removed from the state."""
+    with timer_store(spark):
+        return run_to_table(jobs.expired_entries(live(spark, sf), 3600))
+
 
 both_forms("str_08_throttled_reports", """
 SELECT user_id, window_start, event_id, value FROM (SELECT *, time_bucket(INTERVAL 10 SECOND, ts) AS window_start,

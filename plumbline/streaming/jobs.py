@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections import deque
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from plumbline.operators.longform import to_long
@@ -55,6 +57,11 @@ def sessions(events: DataFrame, gap: str = "30 minutes") -> DataFrame:
         "user_id", F.col("w.start").alias("started_at"), F.col("w.end").alias("expires_at"), "events")
 
 
+def sessions_stream(events: DataFrame, gap: str = "30 minutes", delay: str = "10 minutes") -> DataFrame:
+    """Stream form: late rows merge into their session until the watermark passes its expiry; then it is sent once and forgotten."""
+    return sessions(timed(events, delay), gap)
+
+
 def throttled(events: DataFrame, width: str = "10 seconds") -> DataFrame:
     """The last report of every run in every window."""
     return events.groupBy("user_id", F.window("ts", width).alias("w")).agg(F.max_by(F.struct("event_id", "value"), F.struct("ts", "event_id")).alias("r")).select(
@@ -176,6 +183,55 @@ def rate_limited_stream(events: DataFrame, limit: int = RATE_LIMIT, seconds: int
         step, "user_id long, event_id long, allowed boolean", "accepted array<long>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
+class Expiry(StatefulProcessor):
+    """One entry per key: first and last use and the number of uses; a timer at its expiry reports and removes it."""
+
+    def __init__(self, seconds: int):
+        self.keep = seconds * 1000
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.entry = handle.getValueState("entry", "first_us long, last_us long, uses long")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        first, last, uses = self.entry.get() if self.entry.exists() else (None, None, 0)
+        expired = []
+        for us in np.sort(np.concatenate([f["us"].to_numpy() for f in rows])).tolist():
+            if last is not None and us // 1000 >= last // 1000 + self.keep:
+                expired.append((key[0], first, last, uses))
+                first, last, uses = None, None, 0
+            # a late row belongs to the entry that is there
+            first, last, uses = us if first is None else min(first, us), us if last is None else max(last, us), uses + 1
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        self.entry.update((first, last, uses))
+        self.handle.registerTimer(last // 1000 + self.keep)
+        yield self.frame(expired)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        gone = [(key[0], *self.entry.get())] if self.entry.exists() else []
+        self.entry.clear()
+        yield self.frame(gone)
+
+    def frame(self, rows: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame([(k, f, x, (x // 1000 + self.keep) * 1000, n) for k, f, x, n in rows], columns=["user_id", "first_us", "last_us", "gone_us", "uses"])
+
+    def close(self) -> None:
+        pass
+
+
+def expired_entries(events: DataFrame, seconds: int = RATE_WINDOW_SECONDS, delay: str = "10 minutes") -> DataFrame:
+    """Stream: entries of keys that were silent for ``seconds``, reported once when event time passes their expiry.
+
+    Needs the RocksDB state store (``run.timer_store``). What is left in the state are the keys used within the horizon.
+    """
+    e = timed(events, delay).select("user_id", "ts", F.unix_micros("ts").alias("us"))
+    out = e.groupBy("user_id").transformWithStateInPandas(
+        Expiry(seconds), "user_id long, first_us long, last_us long, gone_us long, uses long", "append", "EventTime")
+    time = lambda c: F.timestamp_micros(c).cast("timestamp_ntz")
+    return out.select("user_id", time("first_us").alias("first_used"), time("last_us").alias("last_used"), time("gone_us").alias("expired_at"), "uses")
+
+
 def lockout_stream(events: DataFrame, limit: int = MAX_FAILURES, minutes: int = LOCK_MINUTES) -> DataFrame:
     """Stream form of the lockout: the streak is the state of a user."""
 
