@@ -42,7 +42,7 @@ LEAST_RATIO, BOUNDS = 3.0, (1.3, 1.64, 2.0, 2.5, 3.0, 4.0)
 #: characters of the word beginnings
 BEGINNINGS = (4, 5, 6, 7, 8)
 WINDOW_WORDS = 8
-LEVEL = 3
+LEVEL = 10
 TOP_WINDOWS = 3
 MOST_EVIDENCE = 60
 HELD_OUT = 2
