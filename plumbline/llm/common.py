@@ -62,6 +62,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def removed(df: DataFrame) -> None:
+    """Removes the files of a table made by ``written``, once nothing will read it again."""
+    spark = df.sparkSession
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        path = spark._jvm.org.apache.hadoop.fs.Path(spark._jvm.java.net.URI(folder))
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def portions(batches: Iterator[pa.RecordBatch], size: int = 2_000_000, column: str = "text") -> Iterator[pa.RecordBatch]:
     """The batches in parts of about ``size`` bytes of text, so that what a worker holds does not follow the batch."""
     for batch in batches:

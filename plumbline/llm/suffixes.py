@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import portions, spread_join, table, written
+from plumbline.llm.common import portions, removed, spread_join, table, written
 from plumbline.llm.minhash import mixed
 from plumbline.registry import query
 
@@ -209,10 +209,14 @@ PLACE = ("doc_id", "ref", "start")
 
 
 def settled(rows: DataFrame, size: int, keep_first: bool) -> tuple[DataFrame, DataFrame]:
-    """Ranges (doc_id, ref, start, end) of equal spans, and one occurrence of each span of anchors with different spans."""
+    """Ranges (doc_id, ref, start, end) of equal spans, and one occurrence of each span of anchors with different spans.
+
+    ``rows`` is a written table; it is removed once the rows of shared anchors are written.
+    """
     place = F.struct(*PLACE)
     often = rows.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor")
     shared = written(spread_join(rows, often, ["anchor"]), "shared")
+    removed(rows)
     kinds = shared.groupBy("anchor", "span").agg(
         F.count(F.lit(1)).alias("n"), F.min(place).alias("first"), F.max("windows").alias("windows"), F.max("lead").alias("lead"))
     kinds = written(kinds, "kinds")
@@ -233,7 +237,7 @@ def with_spans(docs: DataFrame, opened: DataFrame) -> DataFrame:
 def repeated_ranges(rows: DataFrame, size: int, keep_first: bool) -> DataFrame:
     """Written ranges (doc_id, ref, start, end) of documents (doc_id, ref, text), each made of windows that recur."""
     place = F.struct(*PLACE)
-    spans, opened = settled(anchor_rows(rows, size), size, keep_first)
+    spans, opened = settled(written(anchor_rows(rows, size), "anchors"), size, keep_first)
     classes, opened = settled(written(class_rows(with_spans(rows, opened), size), "classes"), size, keep_first)
     windows = written(window_rows(with_spans(rows, opened), size), "windows")
     known = windows.groupBy("anchor", "window").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first")).where("n > 1").drop("n")
