@@ -6,8 +6,9 @@ in overlapping diagonal bands, bands that reach the bound are kept, and each is
 once as numpy rows.
 
 Items are compared after lower-casing and joining words by single blanks; e is 8 % of the item's length, or less if the
-bound would not be positive. Items travel to the tasks in blocks of at most ``block_chars`` characters, one pass of the
-same scan for each block, so what is broadcast is bounded whatever the size of the benchmark. Nothing is shuffled.
+bound would not be positive. Items travel to the tasks in blocks of at most ``block_chars`` characters. With one block nothing is
+shuffled. With more, each is a scan of its own whose hits are written before the next block is collected, so a driver or worker
+holds one block at a time whatever the size of the benchmark; the hits are then joined to the texts.
 
 Defined cases: null or empty texts hold no item; items that are null or shorter than q characters are never found; equal
 items are all reported, as are several items of one document; an item found in several places is reported at its best
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import portions, table
+from plumbline.llm.common import portions, table, written
 from plumbline.llm.minhash import mixed
 from plumbline.registry import query
 
@@ -34,6 +35,9 @@ EDIT_RATE = 0.08
 BLOCK_CHARS = 1_000_000
 PIECE = 1 << 19
 MAP_BITS = 22
+ENTRIES = 1 << 20
+CELLS = 1 << 19
+SHIFT = 1 << 32
 BORDER = np.uint32(0xFFFFFFFE)
 FOUND = "array<struct<item_id:long,start:long,end:long,edits:int>>"
 FOUND_ARROW = pa.list_(pa.struct([("item_id", pa.int64()), ("start", pa.int64()), ("end", pa.int64()), ("edits", pa.int32())]))
@@ -81,12 +85,39 @@ class Items:
         self.map[self.grams >> np.uint64(64 - MAP_BITS)] = True
 
     def bands(self, chars: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(item, first diagonal) of the bands that share enough q-grams with the text."""
+        """(item, first diagonal) of the bands that share enough q-grams with the text.
+
+        Shared q-grams are counted in runs of about ``ENTRIES``, and a band is settled once the text is past it, so what is held
+        follows the items, not how often the text repeats their q-grams.
+        """
         hashes = grams(chars)
         at = np.flatnonzero(self.map[hashes >> np.uint64(64 - MAP_BITS)])
         known = np.minimum(np.searchsorted(self.grams, hashes[at]), len(self.grams) - 1)
         same = self.grams[known] == hashes[at]
         at, known = at[same], known[same]
+        entries = np.cumsum(self.count[known])
+        keys, n = np.array([], np.int64), np.array([], np.int64)
+        ready: list[np.ndarray] = []
+        first = 0
+        while first < len(at):
+            done = entries[first - 1] if first else 0
+            last = max(first + 1, int(np.searchsorted(entries, done + ENTRIES, "right")))
+            more, hits = self.band_hits(at[first:last], known[first:last])
+            keys, where = np.unique(np.r_[keys, more], return_inverse=True)
+            n = np.bincount(where, np.r_[n, hits]).astype(np.int64)
+            first = last
+            # the bands that a later place of the text can still reach stay open
+            item, band = keys // SHIFT, keys % SHIFT - (SHIFT >> 1)
+            reached = (band + 1) * self.width[item] + self.edits[item] + self.sizes[item]
+            closed = reached < (at[first] if first < len(at) else np.iinfo(np.int64).max)
+            ready.append(keys[closed & (n >= self.bound[item])])
+            keys, n = keys[~closed], n[~closed]
+        found = np.concatenate(ready) if ready else keys
+        item = found // SHIFT
+        return item, (found % SHIFT - (SHIFT >> 1)) * self.width[item]
+
+    def band_hits(self, at: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(key, number of shared q-grams) of the bands met by the q-grams ``known`` at the places ``at``."""
         count = self.count[known]
         entry = np.repeat(self.first[known] - np.cumsum(count) + count, count) + np.arange(count.sum())
         item, diagonal = self.owner[entry], np.repeat(at, count) - self.place[entry]
@@ -94,19 +125,19 @@ class Items:
         band = diagonal // width
         low = diagonal - band * width <= self.edits[item]
         item, band = np.r_[item, item[low]], np.r_[band, band[low] - 1]
-        shift = np.int64(1) << np.int64(32)
-        keys, n = np.unique(item * shift + band + (shift >> np.int64(1)), return_counts=True)
-        item = keys // shift
-        enough = n >= self.bound[item]
-        item = item[enough]
-        return item, (keys[enough] % shift - (shift >> np.int64(1))) * self.width[item]
+        return np.unique(item * SHIFT + band + (SHIFT >> 1), return_counts=True)
 
     def aligned(self, chars: np.ndarray, item: np.ndarray, diagonal: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
         """(item, start, end, edits) of the bands whose best alignment keeps within the item's edits."""
         order = np.argsort(self.sizes[item], kind="stable")
-        for k in range(0, len(item), 256):
-            own = item[order[k : k + 256]]
-            low = diagonal[order[k : k + 256]] - self.edits[own]
+        k = 0
+        while k < len(item):
+            # long items go fewer at once
+            longest = self.sizes[item[order[min(k + 256, len(item)) - 1]]]
+            batch = order[k : k + max(1, min(256, CELLS // int(longest)))]
+            k += len(batch)
+            own = item[batch]
+            low = diagonal[batch] - self.edits[own]
             wide = int((self.width[own] + 3 * self.edits[own] + 2).max())
             rows = int(self.sizes[own].max())
             source = np.full((rows, len(own), 1), BORDER + np.uint32(1), np.uint32)
@@ -179,26 +210,38 @@ class Items:
 
 def find_items(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", block_chars: int = BLOCK_CHARS, keep: tuple[str, ...] = ()) -> DataFrame:
     """Rows (doc_id, text, found) and the columns ``keep`` for every input row; ``found`` lists the items in it."""
-    spark = docs.sparkSession
     items = benchmark.select(F.col(item_id).cast("long").alias("item_id"), F.col(item_text).alias("text"))
     size = items.agg(F.sum(F.char_length("text") + 64)).first()[0] or 0
     blocks = max(1, math.ceil(1.5 * size / block_chars)) if size > block_chars else 1
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.array().cast(FOUND).alias("found"), *keep)
-    schema = ", ".join(f"{n} {t}" for n, t in rows.dtypes)
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), *keep)
+    if blocks == 1:
+        return found_in(rows, items)
+    rows = rows.withColumn("_ref", F.xxhash64("doc_id", "text"))
+    hits = None
     for block in range(blocks):
         own = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block)
-        shared = spark.sparkContext.broadcast([tuple(r) for r in own.collect()])
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            index = Items(shared.value)
-            for batch in portions(batches):
-                texts = batch.column("text").to_pylist()
-                old = batch.column("found").to_pylist()
-                new = [[dict(zip(("item_id", "start", "end", "edits"), f, strict=True)) for f in found] for found in index.search(texts)]
-                yield batch.set_column(2, "found", pa.array([a + b for a, b in zip(old, new, strict=True)], FOUND_ARROW))
-
-        rows = rows.mapInArrow(run, schema)
-    return rows
+        some = written(found_in(rows.select("doc_id", "text", "_ref"), own).where("size(found) > 0").select("doc_id", "_ref", "found"), "items-found")
+        # rows that repeat an id and its text hold the same items
+        some = some.dropDuplicates(["doc_id", "_ref"])
+        hits = some if hits is None else hits.unionByName(some)
+    hits = hits.select(F.col("doc_id").alias("_id"), F.col("_ref").alias("_own"), F.explode("found").alias("hit"))
+    hits = hits.groupBy("_id", "_own").agg(F.array_sort(F.collect_list("hit")).alias("found"))
+    both = rows.join(hits, (F.col("_ref") == F.col("_own")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left")
+    return both.select("doc_id", "text", *keep, F.coalesce("found", F.array().cast(FOUND)).alias("found"))
+
+
+def found_in(rows: DataFrame, items: DataFrame) -> DataFrame:
+    """``rows`` with the column ``found``: the items, a block of bounded size, that each text holds."""
+    spark = rows.sparkSession
+    shared = spark.sparkContext.broadcast([tuple(r) for r in items.collect()])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = Items(shared.value)
+        for batch in portions(batches):
+            found = [[dict(zip(("item_id", "start", "end", "edits"), f, strict=True)) for f in found] for found in index.search(batch.column("text").to_pylist())]
+            yield batch.append_column("found", pa.array(found, FOUND_ARROW))
+
+    return rows.mapInArrow(run, ", ".join(f"`{n}` {t}" for n, t in [*rows.dtypes, ("found", FOUND)]))
 
 
 @query("op1_decontamination")

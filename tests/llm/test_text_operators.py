@@ -4,13 +4,16 @@ import collections
 import hashlib
 import random
 import re
+import tracemalloc
 
+import numpy as np
 import public_tokenizers
 import pytest
 import sentencepiece
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from plumbline.llm import decontamination
 from plumbline.llm.common import table
 from plumbline.llm.components import components
 from plumbline.llm.decontamination import Items, find_items, plain
@@ -264,11 +267,51 @@ def test_op1_query(spark, sf):
     from plumbline.llm.decontamination import op1_decontamination
 
     items = [(r["item_id"], plain(r["text"])) for r in table(spark, sf, "benchmark").collect()]
-    texts = {r["doc_id"]: plain(r["text"]) for r in table(spark, sf, "documents").collect()}
-    rows = op1_decontamination(spark, sf).collect()
-    assert len(rows) == len(texts)
-    for r in rows:
-        assert {i for i, x in items if x in texts[r["doc_id"]]} <= set(r["item_ids"])
+    texts = [(r["doc_id"], plain(r["text"])) for r in table(spark, sf, "documents").orderBy("doc_id").collect()]
+    # all texts in one row of the edit-distance table, with more borders between them than edits are allowed
+    lens = np.array([len(t) + 200 for _, t in texts])
+    begins = np.cumsum(lens) - lens
+    joined = np.array([ord(c) for _, t in texts for c in t + "\0" * 200], np.int32)
+    want = {i: {} for i, _ in texts}
+    for item, text in items:
+        if len(text) < 10:
+            continue
+        most = min(int(len(text) * 0.08), (len(text) - 10) // 10)
+        row, step = np.zeros(len(joined) + 1, np.int32), np.arange(len(joined) + 1, dtype=np.int32)
+        for i, c in enumerate(text, 1):
+            now = row + 1
+            np.minimum(now[1:], row[:-1] + (joined != ord(c)), out=now[1:])
+            row = np.minimum.accumulate(now - step) + step
+        for (doc, _), edits in zip(texts, np.minimum.reduceat(row[1:], begins), strict=True):
+            if edits <= most:
+                want[doc][item] = int(edits)
+    got = {r["doc_id"]: r for r in op1_decontamination(spark, sf).collect()}
+    assert len(got) == len(texts) and any(want.values())
+    for doc, found in want.items():
+        r = got[doc]
+        assert (r["contaminated"], r["item_ids"], r["least_edits"]) == (bool(found), sorted(found), min(found.values(), default=None)), doc
+
+
+def test_repetitive_text_in_bounded_memory():
+    """What is held follows neither how often a text repeats an item's q-grams nor where the runs of counting end."""
+    index = Items([(1, "a" * 1000), (2, "a" * 990 + "bcd" * 10), (3, "abc" * 60)])
+    text = "a" * 20_000 + "abc" * 200
+    tracemalloc.start()
+    found = index.search([text])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 300_000_000
+    assert found[0][0] == (1, 0, 1000, 0) and [f[0] for f in found[0]] == [1, 2, 3]
+
+
+def test_counting_in_short_runs(monkeypatch):
+    rnd = random.Random(12)
+    items = [(i, "".join(rnd.choice("ab ") for _ in range(rnd.randint(12, 90)))) for i in range(12)]
+    texts = ["".join(rnd.choice("ab ") for _ in range(400)) + items[k % 12][1] + "b" * k for k in range(20)]
+    whole = Items(items).search(texts)
+    monkeypatch.setattr(decontamination, "ENTRIES", 40)
+    monkeypatch.setattr(decontamination, "CELLS", 100)
+    assert Items(items).search(texts) == whole and all(whole)
 
 
 def test_near_duplicates_of_an_id_with_two_texts(spark):
