@@ -278,6 +278,19 @@ through_file("src_05_json_lines_scan", (".jsonl", lambda w, p: w.json(p), ORDER_
 through_file("src_06_parquet_scan", (".parquet", lambda w, p: w.parquet(p), None))
 
 
+@query("src_01_format_dispatch", ORDERS)
+def src_01(spark, sf):
+    """One folder with files of four formats, by priority of the order."""
+    path = os.path.join(shared_folder(spark), "mixed")
+    o, first = orders(spark, sf), F.coalesce(F.substring("o_orderpriority", 1, 1), F.lit(""))
+    text = {"csv": ",", "tsv": "\t"}
+    for own, (ending, sep) in zip(("1", "2"), text.items(), strict=True):
+        o.filter(first == own).write.options(header=True, sep=sep, extension=ending).csv(os.path.join(path, ending))
+    o.filter(first == "3").write.parquet(os.path.join(path, "parquet"))
+    writers.write_arrow(o.filter(~first.isin("1", "2", "3")), os.path.join(path, "arrow"))
+    return readers.read_folder(spark, path, ORDER_TYPES)
+
+
 @query("src_04_json_array_scan", ORDERS)
 def src_04(spark, sf):
     """Array documents: each holds the rows of one slice of the table."""

@@ -24,12 +24,40 @@ def detect_format(path: str) -> str:
     return FORMATS[ext]
 
 
-def read(spark: SparkSession, path: str, fmt: str | None = None, schema: T.StructType | str | None = None) -> DataFrame:
-    """Any supported format, split by Spark; a given schema saves the inference pass over text files."""
+def format_column(path: Column) -> Column:
+    """``detect_format`` for a column of file names; null where the extension means nothing."""
+    known = F.create_map(*[F.lit(x) for pair in FORMATS.items() for x in pair])
+    return F.try_element_at(known, F.lower(F.regexp_extract(path, r"(\.[^./]*)$", 1)))
+
+
+def read_folder(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
+    """All files below a folder, each by the format its extension stands for; a file of another kind raises.
+
+    Only one row for each format comes to the driver. Each format is one scan of its own files; an empty folder is an empty table.
+    """
+    found = list_objects(spark, path).groupBy(format_column(F.col("path")).alias("fmt")).agg(F.min("path").alias("one")).orderBy("fmt").collect()
+    for r in found:
+        detect_format(r["one"])
+    out = spark.createDataFrame([], schema)
+    for r in found:
+        # glob patterns tell upper from lower case, extensions do not
+        endings = ["".join(f"[{c}{c.upper()}]" for c in ext[1:]) for ext, fmt in FORMATS.items() if fmt == r["fmt"]]
+        part = read(spark, path, r["fmt"], schema, files=f"*.{{{','.join(endings)}}}")
+        out = out.unionByName(part.select(*[F.col(f.name).cast(f.dataType) for f in out.schema]))
+    return out
+
+
+def read(spark: SparkSession, path: str, fmt: str | None = None, schema: T.StructType | str | None = None, files: str | None = None) -> DataFrame:
+    """Any supported format, split by Spark; a given schema saves the inference pass over text files.
+
+    ``files`` is a pattern of names: then all files below the path that fit it are read.
+    """
     fmt = fmt or detect_format(path)
     if fmt in ("arrow", "feather"):
-        return read_arrow(spark, path, schema)
+        return read_arrow(spark, path, schema, *([files] if files else []))
     r = spark.read if schema is None else spark.read.schema(schema)
+    if files:
+        r = r.option("recursiveFileLookup", True).option("pathGlobFilter", files)
     if fmt in ("csv", "tsv"):
         r = r.option("header", True).option("sep", "\t" if fmt == "tsv" else ",")
         return (r.option("inferSchema", True) if schema is None else r).csv(path)
@@ -40,17 +68,17 @@ def read(spark: SparkSession, path: str, fmt: str | None = None, schema: T.Struc
     return r.parquet(path)
 
 
-def read_arrow(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> DataFrame:
+def read_arrow(spark: SparkSession, path: str, schema: T.StructType | str | None = None, files: str = "*.{arrow,feather}") -> DataFrame:
     """Many Arrow IPC files: only their names travel, each task opens its own files and reads batch by batch.
 
     Files are opened through Arrow's file systems, so their size does not matter. Without a schema the first file in
     name order is opened for its header.
     """
-    files = list_objects(spark, path, glob="*.{arrow,feather}").select("path")
+    names_of_files = list_objects(spark, path, glob=files).select("path")
     if schema is None:
         from pyspark.sql.pandas.types import from_arrow_schema
 
-        with _source(files.orderBy("path").first()["path"]) as head:
+        with _source(names_of_files.orderBy("path").first()["path"]) as head:
             schema = from_arrow_schema(_open(head).schema)
     elif isinstance(schema, str):
         schema = T._parse_datatype_string(schema)
@@ -65,7 +93,7 @@ def read_arrow(spark: SparkSession, path: str, schema: T.StructType | str | None
                     for part in parts:
                         yield part.select(names)
 
-    return files.repartition(max(1, spark.sparkContext.defaultParallelism), "path").mapInArrow(decode, schema)
+    return names_of_files.repartition(max(1, spark.sparkContext.defaultParallelism), "path").mapInArrow(decode, schema)
 
 
 def _source(path: str):
