@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from plumbline.operators.longform import scrub, to_long
 from plumbline.operators.sequences import islands, positions
+from plumbline.streaming.run import shared_folder
 
 NEIGHBOURS = 20
 THRESHOLD = 0.8
@@ -139,8 +140,15 @@ def feature_anomaly(df: DataFrame, cols: list[str], row_id: str) -> DataFrame:
 
 
 def impact(df: DataFrame, cols: list[str], row_id: str, sample_rows: int) -> DataFrame:
-    """``(row_id, outlier, density, anomaly, impact)`` of all rows: one projection and one aggregate for the three maxima."""
+    """``(row_id, outlier, density, anomaly, impact)`` of all rows: one projection and one aggregate for the three maxima.
+
+    The neighbours are the dear part and both the maxima and the rows need them, so the four columns are written once, to the shared
+    folder.
+    """
     raw = neighbours_of(df, cols, row_id, sample_rows, keep=True).select(row_id, "outlier", sparseness().alias("density"), "anomaly")
+    path = shared_folder(df.sparkSession)
+    raw.write.parquet(path)
+    raw = df.sparkSession.read.schema(raw.schema).parquet(path)
     parts = divided_by_max(raw, "outlier", "density", "anomaly")
     return parts.withColumn("impact", F.col("outlier") * 0.4 + F.col("density") * 0.3 + F.col("anomaly") * 0.3)
 
