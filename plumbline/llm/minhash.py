@@ -2,13 +2,15 @@
 
 1. Texts become sets of hashed word shingles. Equal sets form a class; only its smallest document goes on.
 2. 384 minima in 64 bands of 6: two documents with a similarity of 0.75 miss each other with probability 4e-6.
-3. Rows of a band key shared by several documents are kept. A band key holds at most its band's share of all rows
-   (one 64th), so no key is large next to a task's share, however large a group of copies is.
+3. Rows of a band key shared by several documents are kept. The smallest and largest document of a key are taken per
+   task first and handed back by a join that can be split, so a key that a third of all documents share is no hot task.
 4. Each document is paired with the smallest one under its key instead of with all. Pairs are sifted by set sizes and by
    128 one-byte minima (six standard deviations below the bound), and what is left is confirmed on full sets.
 5. What these links leave apart is made up for exactly: under every key that still holds several components, those outside
-   the largest one are compared with all others on full sets, in tiles of bounded size that only let links out. A large
-   group of copies is one component by then, so it meets no more than its outsiders.
+   the largest one are compared with all others in tiles of bounded size that only let links out. Set sizes and the
+   128 one-byte minima, 136 bytes a document, decide first which documents of a tile have a possible partner in it;
+   only their full sets are brought to the tile. A large group of copies is one component by then, so it meets no more
+   than its outsiders, and unlike documents that share a template cost tiles of minima, not of sets.
 6. Components by alternating large-star and small-star.
 
 Defined cases: null or blank texts have no shingles and are linked with nothing; texts with fewer words than a shingle
@@ -27,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import portions, spread_join, table, written
+from plumbline.llm.common import portions, removed, spread_join, table, written
 from plumbline.llm.components import components
 from plumbline.registry import query
 
@@ -37,6 +39,8 @@ BRIEF = 128
 CHUNK = 1 << 16
 #: documents on either side of a tile, and the tile's coordinates
 TILE, AXIS = 256, {"rows": "i", "cols": "j"}
+PLACE = ("g", "i", "j", "id", "c")
+NOBODY = pa.table({c: pa.array([], pa.int64()) for c in PLACE} | {"outside": pa.array([], pa.bool_())})
 M1, M2, M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -113,10 +117,15 @@ def described(docs: DataFrame) -> DataFrame:
     return written(docs.mapInArrow(run, "doc_id long, n long, c1 long, c2 long, brief binary, keys array<long>"), "described")
 
 
+def least_equal(percent: int) -> int:
+    """Six standard deviations below the number of equal minima expected at the similarity."""
+    j = percent / 100
+    return int(BRIEF * j - 6 * (BRIEF * j * (1 - j)) ** 0.5)
+
+
 def sifted(pairs: DataFrame, briefs: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b, same) whose one-byte minima do not rule out the similarity."""
-    j = percent / 100
-    bound = int(BRIEF * j - 6 * (BRIEF * j * (1 - j)) ** 0.5)
+    bound = least_equal(percent)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -164,20 +173,52 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return written(both.select("a", "b", "s_a", "s_b").mapInArrow(compare, "a long, b long").distinct(), "links")
 
 
-def across(placed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) between an outsider of a key's main component and any other member of keys with that main component.
+def possible(placed: DataFrame, briefs: DataFrame, percent: int) -> DataFrame:
+    """Written rows (g, i, j, id, c, outside): the documents of each tile that may have a partner across it.
 
-    Outsiders and members of a main component are dealt into tiles of bounded size, compared there on full sets by
-    counting common shingles of all of them at once; only links leave a tile. Written.
+    Outsiders of a key's main component are dealt into rows of tiles, all members of keys with that main component into
+    columns. A document stays in a tile if sizes and one-byte minima leave it a partner there of another component.
     """
     members = placed.select(F.col("main").alias("g"), "id", "c").distinct()
     outsiders = members.where("c <> g")
     sizes = members.groupBy("g").agg(F.ceil(F.count_if(F.col("c") != F.col("g")) / TILE).alias("rows"), F.ceil(F.count(F.lit(1)) / TILE).alias("cols"))
+    bound = least_equal(percent)
 
     def dealt(rows: DataFrame, own: str, other: str) -> DataFrame:
-        rows = spread_join(rows.select("g", "id", "c"), sizes, ["g"]).withColumn(AXIS[own], F.pmod(F.xxhash64("id"), F.col(own)))
-        rows = spread_join(rows, sets, ["id"])
-        return rows.select("g", "id", "c", "s", AXIS[own], F.explode(F.sequence(F.lit(0).cast("long"), F.col(other) - 1)).alias(AXIS[other]))
+        rows = spread_join(rows, sizes, ["g"]).withColumn(AXIS[own], F.pmod(F.xxhash64("id"), F.col(own)))
+        rows = spread_join(rows, briefs, ["id"])
+        return rows.select("g", "id", "c", "n", "brief", AXIS[own], F.explode(F.sequence(F.lit(0).cast("long"), F.col(other) - 1)).alias(AXIS[other]))
+
+    def compare(left: pa.Table, right: pa.Table) -> pa.Table:
+        parts = []
+        if left.num_rows and right.num_rows:
+            (c, n, raw), (c2, n2, raw2) = (
+                (t.column(4).to_numpy(), t.column(5).to_numpy(), np.frombuffer(b"".join(t.column(6).to_pylist()), np.uint8).reshape(-1, BRIEF))
+                for t in (left, right))
+            near = np.zeros((len(c), len(c2)), bool)
+            for k in range(len(c)):
+                at = np.flatnonzero((100 * n[k] >= percent * n2) & (100 * n2 >= percent * n[k]) & (c2 != c[k]))
+                near[k, at] = np.count_nonzero(raw2[at] == raw[k], axis=1) >= bound
+            for rows, stay, outside in ((left, near.any(axis=1), True), (right, near.any(axis=0), False)):
+                rows = rows.select(range(5)).rename_columns(PLACE).filter(pa.array(stay))
+                parts.append(rows.append_column("outside", pa.array(np.full(rows.num_rows, outside))))
+        return pa.concat_tables(parts) if parts else NOBODY
+
+    left, right = side(dealt(outsiders, "rows", "cols"), "l", "n", "brief"), side(dealt(members, "cols", "rows"), "r", "n", "brief")
+    tiles = left.groupBy("l_g", "l_i", "l_j").cogroup(right.groupBy("r_g", "r_i", "r_j"))
+    return written(tiles.applyInArrow(compare, "g long, i long, j long, id long, c long, outside boolean").distinct(), "possible")
+
+
+def side(rows: DataFrame, tag: str, *values: str) -> DataFrame:
+    """One side of the tiles, with column names of its own, since both sides come from one table."""
+    return rows.select(*[F.col(c).alias(f"{tag}_{c}") for c in (*PLACE, *values)])
+
+
+def across(tiles: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between outsiders and members of the same tile (``possible``), confirmed on full sets. Written.
+
+    Common shingles of all documents of a tile are counted at once; only links leave it.
+    """
 
     def compare(left: pa.Table, right: pa.Table) -> pa.Table:
         a, b = [], []
@@ -199,13 +240,10 @@ def across(placed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             a, b = ids[0][rows], ids[1][cols]
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    def side(rows: DataFrame, tag: str) -> DataFrame:
-        # names of their own, since both sides come from one table
-        return rows.select(*[F.col(c).alias(f"{tag}_{c}") for c in ("g", "i", "j", "id", "c", "s")])
-
-    left, right = side(dealt(outsiders, "rows", "cols"), "l"), side(dealt(members, "cols", "rows"), "r")
-    tiles = left.groupBy("l_g", "l_i", "l_j").cogroup(right.groupBy("r_g", "r_i", "r_j"))
-    return written(tiles.applyInArrow(compare, "a long, b long").distinct(), "across")
+    full = spread_join(tiles, sets, ["id"])
+    left, right = side(full.where("outside"), "l", "s"), side(full.where("NOT outside"), "r", "s")
+    met = left.groupBy("l_g", "l_i", "l_j").cogroup(right.groupBy("r_g", "r_i", "r_j"))
+    return written(met.applyInArrow(compare, "a long, b long").distinct(), "across")
 
 
 def unpacked(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -234,20 +272,24 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     told = described(docs)
     usable = told.where("n > 0 AND doc_id IS NOT NULL")
     classes = written(usable.groupBy("c1", "c2").agg(F.min("doc_id").alias("id")), "classes")
-    heads = spread_join(usable, classes, ["c1", "c2"]).where("doc_id = id")
+    # an id that heads several classes keeps the sizes and minima of each
+    heads = written(spread_join(usable, classes, ["c1", "c2"]).where("doc_id = id").select("id", "n", "brief", "keys"), "heads")
+    heads_of = told.select("doc_id", "n", F.when(F.col("doc_id").isNotNull() & (F.col("n") > 0), F.col("c1")).alias("c1"), "c2")
+    named = written(spread_join(heads_of, classes, ["c1", "c2"], "left").select("doc_id", "n", F.coalesce("id", "doc_id").alias("id")), "named")
+    removed(told)
+    removed(classes)
     bands = heads.select("id", "n", F.explode("keys").alias("key"))
-    shared = bands.select("key", "id", "n", F.expr("min(id) OVER (PARTITION BY key)").alias("hub"), F.expr("max(id) OVER (PARTITION BY key)").alias("far"))
-    shared = written(shared.where("hub <> far").drop("far"), "bands")
-    briefs = written(heads.join(shared.select("id").distinct(), "id", "left_semi").select("id", "n", "brief").dropDuplicates(["id"]), "briefs")
+    ends = bands.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("far")).where("hub <> far").select("key", "hub")
+    shared = written(spread_join(bands, written(ends, "hubs"), ["key"]), "bands")
+    briefs = written(heads.join(shared.select("id").distinct(), "id", "left_semi").select("id", "n", "brief").distinct(), "briefs")
+    removed(heads)
     alike = lambda x, y: (F.col(x) * 100 >= F.col(y) * percent) & (F.col(y) * 100 >= F.col(x) * percent)
 
     hubs = shared.where("id <> hub").select(F.col("id").alias("a"), F.col("hub").alias("b"), "n").distinct()
-    sizes = briefs.select(F.col("id").alias("b"), F.col("n").alias("n_b"))
-    hubs = spread_join(hubs, sizes, ["b"]).where(alike("n", "n_b")).select("a", "b")
+    sizes = briefs.select(F.col("id").alias("b"), F.col("n").alias("n_b")).distinct()
+    hubs = spread_join(hubs, sizes, ["b"]).where(alike("n", "n_b")).select("a", "b").distinct()
     hubs = written(sifted(hubs, briefs, percent), "pairs")
-    sets = sets_of(docs, briefs)
-    heads_of = told.select("doc_id", "n", F.when(F.col("doc_id").isNotNull() & (F.col("n") > 0), F.col("c1")).alias("c1"), "c2")
-    named = written(spread_join(heads_of, classes, ["c1", "c2"], "left").select("doc_id", "n", F.coalesce("id", "doc_id").alias("id")), "named")
+    sets = sets_of(docs, briefs.select("id").distinct())
     links = confirmed(hubs, sets, percent).unionByName(one_document(named))
     found = components(links)
 
@@ -255,7 +297,11 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     main = placed.groupBy("key", "c").agg(F.count(F.lit(1)).alias("m")).groupBy("key").agg(
         F.max_by("c", F.struct("m", -F.col("c"))).alias("main"), F.count(F.lit(1)).alias("k")).where("k > 1").drop("k")
     placed = written(spread_join(placed, main, ["key"]), "placed")
-    found = components(links.unionByName(across(placed, sets, percent)))
+    tiles = possible(placed, briefs, percent)
+    more = across(tiles, sets, percent)
+    for done in (placed, briefs, tiles, sets):
+        removed(done)
+    found = components(links.unionByName(more))
 
     out = in_component(named, found, "id", "component_id")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"),

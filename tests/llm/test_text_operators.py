@@ -18,7 +18,7 @@ from plumbline.llm.common import table
 from plumbline.llm.components import components
 from plumbline.llm.decontamination import Items, find_items, plain
 from plumbline.llm.lines import drop_repeated_lines
-from plumbline.llm.minhash import near_duplicates
+from plumbline.llm.minhash import TILE, across, described, near_duplicates, possible, sets_of
 from plumbline.llm.sentencepieces import PieceTransducer, encode_documents
 from plumbline.llm.suffixes import without_repeats
 from plumbline.llm.token_counts import RankMerger, count_tokens
@@ -322,6 +322,45 @@ def test_near_duplicates_of_an_id_with_two_texts(spark):
     assert got == [(1, 1, True), (2, 1, False), (2, 1, False), (3, 1, False), (4, 4, True), (5, 1, False), (5, 1, False)]
 
 
+def test_near_duplicates_of_an_id_that_heads_two_classes(spark):
+    """Either text of the smallest id links, whichever of its rows is met first."""
+    one, two = (" ".join(f"{c}{k}" for k in range(60)) for c in "xy")
+    rows = [(1, one), (1, two), (1, one), (2, one + " more"), (3, two + " more"), (4, two + " more words")]
+    got = near_duplicates(docs(spark, rows)).collect()
+    assert sorted((r["doc_id"], r["component_id"]) for r in got) == [(1, 1), (1, 1), (1, 1), (2, 1), (3, 1), (4, 1)]
+
+
+def test_tiles_hold_only_possible_partners(spark):
+    """Unlike documents that share a template under one key bring their sets to no tile, and no link between them is lost."""
+    template = [f"t{k}" for k in range(60)]
+    own = [[f"d{i}_{k}" for k in range(90)] for i in range(1000)]
+    rows = [(i, " ".join(template + w)) for i, w in enumerate(own)]
+    near = [(7, 700), (8, 800), (512, 999)]
+    rows = [(i, rows[dict((b, a) for a, b in near)[i]][1] + " end" if i in [b for _, b in near] else t) for i, t in rows]
+    frame = docs(spark, rows)
+    told = described(frame)
+    briefs = told.select(F.col("doc_id").alias("id"), "n", "brief")
+    placed = told.select(F.lit(1).cast("long").alias("key"), F.col("doc_id").alias("id"), F.col("doc_id").alias("c"), F.lit(0).cast("long").alias("main"))
+    tiles = possible(placed, briefs, 75)
+    linked = {i for pair in near for i in pair}
+    assert {r["id"] for r in tiles.collect()} == linked
+    # every document was in four tiles on either side before; now the six stand once on each side
+    assert tiles.count() == 2 * len(linked) and 2 * len(rows) * -(-len(rows) // TILE) == 8000
+    found = across(tiles, sets_of(frame, briefs.select("id")), 75).collect()
+    assert {tuple(sorted(r)) for r in found} == set(near)
+
+
+def test_near_duplicates_hot_group_with_outsiders(spark):
+    """A large group of near copies, and documents that share bands with it but only link with each other."""
+    base = [f"w{k}" for k in range(200)]
+    rows = [(i, " ".join(base + [f"tail{i}"])) for i in range(400)]
+    for g in range(20):
+        half = base[:140] + [f"o{g}_{k}" for k in range(60)]
+        rows += [(1000 + 10 * g + k, " ".join(half + [f"x{k}"])) for k in range(3)]
+    got = {r["doc_id"]: r["component_id"] for r in near_duplicates(docs(spark, rows)).collect()}
+    assert got == {i: 0 if i < 1000 else i - i % 10 for i, _ in rows}
+
+
 def test_toxicity_held_out_accuracy(spark, sf):
     """Texts with planted words are told from others by their held-out labels."""
     rnd = random.Random(9)
