@@ -1,7 +1,11 @@
 """SentencePiece encoding and decoding as a shortest path through weighted transducers.
 
-Three machines are composed lazily with each input: the normaliser (blank to the word mark, a mark in front), the
-lexicon (every piece, and characters outside it by their bytes), and an acceptor of neighbouring pieces. For a merge
+Three machines are composed lazily with each input: the normaliser (the model's own map of longest matches, blanks to the
+word mark, a mark in front, surplus blanks away), the lexicon (every piece, and characters outside it by their bytes),
+and the weights. A unigram vocabulary weighs a piece by its negative score and a character outside the lexicon by 10
+more than the dearest piece; the path is summed in single precision as in the library, so that near ties fall alike.
+
+A merge vocabulary has no such sums, so its third machine is an acceptor of neighbouring pieces. For a merge
 vocabulary the weight of two neighbours is 0 if merging their joined text gives just these two, and infinite if not; a
 sequence of pieces is the library's encoding exactly if all neighbours have weight 0, because the first merge across a
 border of the sequence would also happen in the joined text of the two pieces beside it. So the tropical shortest path
@@ -11,7 +15,8 @@ No piece has a word mark after another character, so words are paths of their ow
 tables, which only save work.
 
 Defined cases: a null or empty text has no pieces and decodes to the empty text; characters outside the lexicon
-become byte pieces; the word mark itself decodes to a blank, as in the library; long words are handled like others;
+become byte pieces, or without byte pieces one unknown piece for each run of them (unigram vocabularies; a merge
+vocabulary without byte pieces is refused); the word mark itself decodes to a blank, as in the library; long words are handled like others;
 repeated rows are encoded alike; an empty table gives an empty table. Other columns of the input are ignored.
 """
 
@@ -38,7 +43,8 @@ BATCH_BYTES = 1_000_000
 #: piece ids stay below PIECES, and those of single characters outside the lexicon below PAIR
 PIECES, PAIR = 1 << 20, 1 << 22
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
-MERGES = 2
+UNIGRAM, MERGES = 1, 2
+UNKNOWN_COST = np.float32(10)
 
 
 def fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -67,15 +73,83 @@ def fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
         at += size
 
 
+class Normaliser:
+    """The model's map of longest matches, its rule for surplus blanks, and word marks for blanks."""
+
+    def __init__(self, rules: dict[int, int | bytes]):
+        if not rules.get(5, 1):
+            raise ValueError("a normaliser that keeps blanks as they are is not handled")
+        self.prefix = MARK if rules.get(3, 1) else ""
+        self.squeeze = bool(rules.get(4, 1))
+        self.arcs = self.compiled(rules.get(2) or b"")
+        self.longest = max(map(len, self.arcs), default=0)
+        firsts = "".join(sorted({k[0] for k in self.arcs}))
+        self.first = re.compile(f"[{re.escape(firsts)}]") if firsts else None
+
+    @staticmethod
+    def compiled(blob: bytes) -> dict[str, str]:
+        """The map's entries, read level by level from its double array; a unit holds label, leaf flag and offset."""
+        if not blob:
+            return {}
+        size = int.from_bytes(blob[:4], "little")
+        units = np.frombuffer(blob[4 : 4 + size], "<u4").astype(np.int64)
+        pool = blob[4 + size :]
+
+        def below(at: np.ndarray) -> np.ndarray:
+            unit = units[at]
+            return at ^ ((unit >> 10) << ((unit >> 6) & 8))
+
+        arcs, names, base = {}, [b""], below(np.array([0]))
+        labels = np.arange(1, 256)
+        while len(base):
+            child = base[:, None] ^ labels
+            inside = child < len(units)
+            row, col = np.nonzero(inside & ((units[np.where(inside, child, 0)] & 0x800000FF) == labels))
+            at = child[row, col]
+            names = [names[r] + bytes([c + 1]) for r, c in zip(row, col, strict=True)]
+            base = below(at)
+            for k in np.flatnonzero((units[at] >> 8) & 1):
+                start = int(units[base[k]] & 0x7FFFFFFF)
+                arcs[names[k].decode()] = pool[start : pool.index(0, start)].decode()
+        return arcs
+
+    def mapped(self, text: str) -> Iterator[str]:
+        """The text in parts, each the replacement of a longest match or text without one."""
+        plain = at = 0
+        while found := self.first.search(text, at):
+            at = found.start()
+            for size in range(min(self.longest, len(text) - at), 0, -1):
+                if (other := self.arcs.get(text[at : at + size])) is not None:
+                    yield from (text[plain:at], other)
+                    plain = at = at + size
+                    break
+            else:
+                at += 1
+        yield text[plain:]
+
+    def __call__(self, text: str) -> str:
+        if self.first:
+            text = "".join(self.mapped(text))
+        if self.squeeze:
+            text = re.sub("  +", " ", text.strip(" "))
+        text = self.prefix + text.replace(" ", MARK) if text else ""
+        return text.rstrip(MARK) if self.squeeze else text
+
+
 class PieceTransducer:
     def __init__(self, path: str):
         with open(path, "rb") as f:
             parts = list(fields(f.read()))
         trainer = dict(fields(next(v for k, v in parts if k == 2)))
         rules = dict(fields(next(v for k, v in parts if k == 3)))
-        if trainer.get(3, 1) != MERGES or rules.get(2) or rules.get(4, 1):
-            raise ValueError("expected a merge vocabulary with the identity normaliser that keeps blanks")
-        self.prefix = MARK if rules.get(3, 1) else ""
+        self.kind = trainer.get(3, UNIGRAM)
+        if self.kind not in (UNIGRAM, MERGES) or trainer.get(24):
+            raise ValueError("expected a unigram or merge vocabulary with word marks in front")
+        self.normal = Normaliser(rules)
+        self.bytewise = bool(trainer.get(35))
+        if self.kind == MERGES and not self.bytewise:
+            raise ValueError("expected byte pieces in a merge vocabulary")
+        self.unknown = 0
         self.ids: dict[str, int] = {}
         self.scores: dict[str, float] = {}
         self.byte_ids = [0] * 256
@@ -84,7 +158,7 @@ class PieceTransducer:
             text, kind = piece[1].decode(), piece.get(3, NORMAL)
             spelling = b""
             if kind == NORMAL:
-                if MARK in text.lstrip(MARK):
+                if self.kind == MERGES and MARK in text.lstrip(MARK):
                     raise ValueError("a piece has a word mark inside")
                 self.ids[text] = k
                 self.scores[text] = struct.unpack("<f", piece.get(2, bytes(4)))[0]
@@ -93,6 +167,7 @@ class PieceTransducer:
                 self.byte_ids[int(text[3:5], 16)] = k
                 spelling = bytes([int(text[3:5], 16)])
             elif kind == UNKNOWN:
+                self.unknown = k
                 spelling = " ⁇ ".encode()
             elif kind != CONTROL:
                 raise ValueError(f"kind {kind} of piece {text!r} is not handled")
@@ -105,6 +180,15 @@ class PieceTransducer:
             for c in reversed(text):
                 node = node.setdefault(c, {})
             node[""] = k
+        if self.kind == UNIGRAM:
+            # the lexicon read forwards, with the weight beside the complete piece
+            self.lexicon = {}
+            for text, k in self.ids.items():
+                node = self.lexicon
+                for c in text:
+                    node = node.setdefault(c, {})
+                node[""] = (np.float32(self.scores[text]), k)
+            self.outside = np.float32(min(self.scores.values(), default=0)) - UNKNOWN_COST
         self.first_byte, self.last_byte = min(self.byte_ids), max(self.byte_ids)
         self.words = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
         self.known: dict[str, tuple[int, ...]] = {}
@@ -176,9 +260,47 @@ class PieceTransducer:
                 end -= size[end]
             yield tuple(reversed(out))
 
+    def shortest(self, text: str) -> list[int]:
+        """The ids along the shortest path of a whole normalised text under the weights of a unigram vocabulary.
+
+        A position keeps the best arc that ends there: of equal ones that which starts first.
+        """
+        best: list[np.float32 | None] = [np.float32(0)] + [None] * len(text)
+        arc = [(0, -1)] * (len(text) + 1)
+        for start in range(len(text)):
+            here, node, single = best[start], self.lexicon, False
+            for end in range(start, len(text)):
+                node = node.get(text[end])
+                if node is None:
+                    break
+                piece = node.get("")
+                if piece is not None:
+                    single = single or end == start
+                    total = here + piece[0]
+                    if best[end + 1] is None or total > best[end + 1]:
+                        best[end + 1], arc[end + 1] = total, (start, piece[1])
+            if not single:
+                total = here + self.outside
+                if best[start + 1] is None or total > best[start + 1]:
+                    best[start + 1], arc[start + 1] = total, (start, -1)
+        out: list[int] = []
+        end, before = len(text), False
+        while end:
+            start, piece = arc[end]
+            if piece >= 0:
+                out.append(piece)
+            elif self.bytewise:
+                out += [self.byte_ids[b] for b in reversed(text[start:end].encode())]
+            elif not before:
+                out.append(self.unknown)
+            before, end = piece < 0, start
+        return out[::-1]
+
     def encode(self, texts: list[str | None]) -> list[list[int]]:
+        if self.kind == UNIGRAM:
+            return [self.shortest(self.normal(t or "")) for t in texts]
         known = self.known
-        words = [self.words.findall(self.prefix + t.replace(" ", MARK)) if t else [] for t in texts]
+        words = [self.words.findall(self.normal(t)) if t else [] for t in texts]
         if len(known) > KNOWN_WORDS:
             known.clear()
         new = sorted({w for own in words for w in own if w not in known})
@@ -188,10 +310,15 @@ class PieceTransducer:
         return [[i for w in own for i in (known.get(w) or found[w])] for own in words]
 
     def decode(self, ids: list[int]) -> str:
-        raw = b"".join([self.spelling[i] for i in ids])
-        if self.prefix and raw[:1] == b" ":
-            raw = raw[1:]
-        return raw.decode("utf-8", "replace")
+        raw = [self.spelling[i] for i in ids]
+        if self.normal.prefix or self.normal.squeeze:
+            # pieces lose the mark in front, up to the first that shows if blanks are squeezed, else the first alone
+            for k, i in enumerate(ids):
+                if raw[k][:1] == b" " and i in self.names:
+                    raw[k] = raw[k][1:]
+                if raw[k] or not self.normal.squeeze:
+                    break
+        return b"".join(raw).decode("utf-8", "replace")
 
 
 @functools.lru_cache(maxsize=2)
@@ -210,7 +337,7 @@ def encode_documents(docs: DataFrame, path: str, doc_id: str = "doc_id", text: s
             ids = machine.encode(batch.column("text").to_pylist())
             at = np.cumsum([0] + [len(x) for x in ids])
             flat = np.fromiter(itertools.chain.from_iterable(ids), np.int32, at[-1])
-            bytewise = np.r_[0, np.cumsum((flat >= machine.first_byte) & (flat <= machine.last_byte))]
+            bytewise = np.r_[0, np.cumsum(machine.bytewise & (flat >= machine.first_byte) & (flat <= machine.last_byte))]
             decoded = [machine.decode(x) for x in ids]
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(n) for n, _ in kept), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(flat)),

@@ -4,6 +4,7 @@ import collections
 import hashlib
 import random
 import re
+import struct
 import tracemalloc
 
 import numpy as np
@@ -19,7 +20,7 @@ from plumbline.llm.components import components
 from plumbline.llm.decontamination import Items, find_items, plain
 from plumbline.llm.lines import drop_repeated_lines
 from plumbline.llm.minhash import TILE, across, described, near_duplicates, possible, sets_of
-from plumbline.llm.sentencepieces import PieceTransducer, encode_documents
+from plumbline.llm.sentencepieces import PieceTransducer, encode_documents, fields
 from plumbline.llm.suffixes import without_repeats
 from plumbline.llm.token_counts import RankMerger, count_tokens
 from plumbline.llm.toxicity import HELD_OUT, Scorer, fit, fold, score_toxicity
@@ -66,6 +67,78 @@ def test_pieces_are_the_librarys():
     assert all(ours.decode(x) == t.replace("▁", " ") for t, x in zip(texts, ids, strict=True))
 
 
+def message(*parts):
+    """A protocol-buffer message from (number, value) parts."""
+
+    def number(n):
+        out = b""
+        while n > 127:
+            out, n = out + bytes([n & 127 | 128]), n >> 7
+        return out + bytes([n])
+
+    out = b""
+    for key, value in parts:
+        if isinstance(value, float):
+            out += number(key << 3 | 5) + struct.pack("<f", value)
+        elif isinstance(value, int):
+            out += number(key << 3) + number(value)
+        else:
+            out += number(key << 3 | 2) + number(len(value)) + value
+    return out
+
+
+def character_map(entries):
+    """The model file's form of a map: a double array, here with one block of 256 units a node, and the replacements."""
+    pool, starts = b"", {}
+    for source, target in entries.items():
+        starts[source.encode()] = len(pool)
+        pool += target.encode() + b"\0"
+    nodes = sorted({k[:n] for k in starts for n in range(len(k) + 1)})
+    block = {name: 256 * (1 + k) for k, name in enumerate(nodes)}
+    units = [1 << 31] * (256 * (1 + len(nodes)))  # a label no byte has
+    for name in nodes:
+        at = block[name[:-1]] ^ name[-1] if name else 0
+        units[at] = (at ^ block[name]) << 10 | (name in starts) << 8 | (name[-1] if name else 0)
+        if name in starts:
+            units[block[name]] = 1 << 31 | starts[name]
+    raw = struct.pack(f"<{len(units)}I", *units)
+    return struct.pack("<I", len(raw)) + raw + pool
+
+
+CHARACTERS = {"½": "1/2", "²": "2", "İ": "i", "\t": " ", "\n": " ", "é": "e", "e\u0301": "e", "ab": "ba", "abt": "T", "\x7f": "", "¨": " x", "한": "글글"}
+
+
+def piece_model(path, kind, characters, squeeze, prefix=1, bytewise=True):
+    """A vocabulary file: the given merge vocabulary, or unigram pieces with scores of which many are equal."""
+    rules = message((1, b"own"), (2, character_map(CHARACTERS) if characters else b""), (3, prefix), (4, int(squeeze)), (5, 1))
+    if kind == 2:
+        with open(PIECE_BPE, "rb") as f:
+            parts = [(n, rules if n == 3 else v) for n, v in fields(f.read())]
+    else:
+        rnd = random.Random(3)
+        units = ["▁", "▁the", "in▁a", "th", "er", "a", "b", "e", "t", "h", "r", "i", "n", "▁a", "▁▁", "1", "2", "/", "12", "aaa", "日本", "x" * 7, "T"]
+        units = list(dict.fromkeys(units + ["".join(rnd.choice("abtherin▁") for _ in range(rnd.randint(2, 4))) for _ in range(300)]))
+        parts = [(1, message((1, b"<unk>"), (2, 0.0), (3, 2))), (1, message((1, b"<s>"), (2, 0.0), (3, 3)))]
+        parts += [(1, message((1, b"<0x%02X>" % k), (2, 0.0), (3, 6))) for k in range(256) if bytewise]
+        parts += [(1, message((1, u.encode()), (2, -float(rnd.choice([1, 2, 3, 4]) * len(u) + rnd.choice([0, 0.25, rnd.random()]))), (3, 1))) for u in units]
+        parts += [(2, message((3, 1), (35, int(bytewise)))), (3, rules)]
+    with open(path, "wb") as f:
+        f.write(message(*parts))
+    return str(path)
+
+
+@pytest.mark.parametrize("case", [
+    (1, False, False), (1, True, True), (1, True, False, 0), (1, False, True, 0, False), (1, True, True, 1, False), (2, True, False), (2, True, True), (2, False, True, 0)])
+def test_vocabularies_of_all_kinds_are_the_librarys(tmp_path, case):
+    path = piece_model(tmp_path / "own.model", *case)
+    library, ours = sentencepiece.SentencePieceProcessor(model_file=path), PieceTransducer(path)
+    texts = odd_texts() + ["abtab ab", "¨ ¨a", " ▁ ", "ab" * 300 + " the in a" * 400, "zz日本zz zz"]
+    ids = ours.encode([*texts, None])
+    assert ids.pop() == []
+    assert ids == library.encode(texts)
+    assert [ours.decode(x) for x in ids] == [library.decode(x) for x in ids]
+
+
 def test_op8_query(spark, sf):
     from plumbline.llm.sentencepieces import op8_sentencepiece
 
