@@ -11,19 +11,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from plumbline.operators.collapse import OVERALL_THRESHOLD
 from plumbline.operators.service_tables import performance_projection, public_dimensions, risk_projection
 
 
 def report(runs: DataFrame, dims: DataFrame) -> DataFrame:
     """One nested report per validation: results for readers, all dimension scores inside."""
     score = F.col("collapse_score")
+    # a finished run whose score passes is approved for training
+    approved = (F.col("status") == "completed") & (score >= OVERALL_THRESHOLD)
     public = public_dimensions(dims, "validation_id", F.col("collapse_score"))
     inner = dims.groupBy("validation_id").agg(F.map_from_entries(F.collect_list(F.struct("dim_name", "score"))).alias("scores"))  # eight entries
     both = runs.join(public, "validation_id").join(inner, "validation_id")
     names = [c for c in public.columns if c != "validation_id"]
     return both.select(
         "validation_id", "dataset_id", "status", "created_at",
-        F.struct(*risk_projection(score), F.struct(*performance_projection(score)).alias("predicted_performance"), F.struct(*names).alias("dimensions")).alias("results"),
+        F.struct(*risk_projection(score, approved), F.struct(*performance_projection(score)).alias("predicted_performance"), F.struct(*names).alias("dimensions")).alias("results"),
         F.struct(score.alias("collapse_score"), F.col("scores").alias("dimension_scores")).alias("internal"))
 
 
