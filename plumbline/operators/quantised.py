@@ -4,9 +4,10 @@ The index is fitted on a bounded sample: ``root`` coarse centres, each with ``ro
 while a vector is compared with 2 root centres only; with root near N^(1/4) there are sqrt(N) lists. What is left of a vector
 beside its list's centre is cut into short parts, each named by the nearest of 256 codewords. Every row is indexed.
 
-Lists meet in blocks of bounded size, as in the exact search, but a library row is its list and one byte for each part.
-A row's similarity to a query is the sum of the query's products with the codewords its bytes name; a block looks its codewords
-up once and multiplies them with all its queries, which in numpy is faster than a table of products for each query.
+Queries and library meet in blocks of bounded size, as in the exact search, but a library row is its list and one byte for each
+part, and a query is compared only with the rows of the lists it probes. A row's similarity to a query is the sum of the query's
+products with the codewords its bytes name; a tile looks its codewords up once and multiplies them, list by list, with the
+queries that probe the list, which in numpy is faster than a table of products for each query.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.operators.sampling import hash_number
-from plumbline.operators.search import best_of, dot, meet_in_blocks, top_matches
+from plumbline.operators.search import LIBRARY_TILE, QUERY_TILE, Best, dot, meet_in_blocks, stacked, tiles, top_matches
 
 #: At most about this many rows fit the index.
 FIT_ROWS = 16_384
@@ -75,20 +76,24 @@ class Index:
         return np.stack([nearest_of(rest[:, p], w) for p, w in enumerate(self.words)], 1).astype(np.uint8)
 
     def probe(self, x: np.ndarray, probes: int) -> np.ndarray:
-        """The lists most similar to each query, among those below its best coarse centres."""
+        """Queries x lists, whether a query probes a list: those most similar to it, among those below its best coarse centres."""
         root = self.fine.shape[1]
         tops = min(len(self.coarse), -(-2 * probes // root))
         best = np.argsort(-(x @ self.coarse.T), 1, kind="stable")[:, :tops]
-        below = np.einsum("nd,ntfd->ntf", x, self.fine[best]).reshape(len(x), -1)
-        lists = (best[:, :, None] * root + np.arange(root)).reshape(len(x), -1)
-        order = np.argsort(-below, 1, kind="stable")[:, : min(probes, lists.shape[1])]
-        return np.take_along_axis(lists, order, 1)
-
-    def decode(self, codes: np.ndarray, list_no: int) -> np.ndarray:
-        """The rows of one list as their codes name them."""
+        below = x @ self.fine.reshape(self.lists, -1).T
+        other = np.ones((len(x), len(self.coarse)), bool)
+        np.put_along_axis(other, best, False, 1)
+        below[np.repeat(other, root, 1)] = -np.inf
+        most = min(probes, tops * root)
+        asked = np.zeros((len(x), self.lists), bool)
+        np.put_along_axis(asked, np.argpartition(-below, most - 1, 1)[:, :most], True, 1)
+        return asked
+
+    def decode(self, codes: np.ndarray, lists: np.ndarray) -> np.ndarray:
+        """Rows as their lists and codes name them."""
         n_parts, _, width = self.words.shape
         rest = self.words[np.arange(n_parts), codes].reshape(len(codes), n_parts * width)
-        return rest[:, : self.coarse.shape[1]] + self.centre(np.array([list_no]))
+        return rest[:, : self.coarse.shape[1]] + self.centre(lists)
 
 
 def fit_index(library: DataFrame, root: int | None = None, width: int = 1, seed: int = 42, fit_rows: int = FIT_ROWS) -> Index | None:
@@ -134,22 +139,30 @@ def quantised_search(queries: DataFrame, library: DataFrame, k: int, share: floa
                 lists = held.value.place(x)
                 yield pd.DataFrame({"list": lists, "match_id": f["match_id"], "codes": [c.tobytes() for c in held.value.encode(x, lists)]})
 
-    def spread(frames):
-        for f in frames:
-            if len(f):
-                found = held.value.probe(np.vstack(f["vector"].to_list()), probes)
-                yield f.loc[f.index.repeat(found.shape[1])].assign(list=found.ravel())[["list", "query_id", "vector"]]
-
     coded = library.select("match_id", "vector").mapInPandas(encode, "list long, match_id long, codes binary")
-    asked = queries.select("query_id", "vector").mapInPandas(spread, "list long, query_id long, vector array<double>")
 
-    def kernel(key: tuple, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        b = b.sort_values("match_id")
+    def decoded(b: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """One tile by list: its rows, the bounds of its lists, their numbers, and the ids in their order."""
+        lists = b["l_list"].to_numpy()
         codes = np.frombuffer(b"".join(b["l_codes"]), np.uint8).reshape(len(b), -1)
-        sim = np.vstack(a["q_vector"].to_list()) @ held.value.decode(codes, int(key[0])).T
-        return best_of(sim, a["query_id"].to_numpy(), b["match_id"].to_numpy(), k)
-
-    return top_matches(meet_in_blocks(asked, coded, "vector", "codes", kernel), k)
+        names, starts = np.unique(lists, return_index=True)
+        return held.value.decode(codes, lists), np.append(starts, len(b)), names, b["match_id"].to_numpy()
+
+    def kernel(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        asked = [(stacked(t["q_vector"]), Best(t["query_id"].to_numpy(), k)) for t in tiles(a, QUERY_TILE)]
+        probed = [held.value.probe(x, probes) for x, _ in asked]
+        for t in tiles(b.sort_values(["l_list", "match_id"]), LIBRARY_TILE):
+            rows, bounds, names, ids = decoded(t)
+            by_id = np.argsort(ids, kind="stable")
+            for (x, best), mask in zip(asked, probed, strict=True):
+                sim = np.full((len(x), len(rows)), -np.inf)
+                for name, lo, hi in zip(names, bounds[:-1], bounds[1:], strict=True):
+                    who = np.flatnonzero(mask[:, name])
+                    sim[who, lo:hi] = x[who] @ rows[lo:hi].T
+                best.add(sim[:, by_id], ids[by_id])
+        return pd.concat([best.frame() for _, best in asked])
+
+    return top_matches(meet_in_blocks(queries, coded, ["vector"], ["list", "codes"], kernel), k)
 
 
 def reranked_search(queries: DataFrame, library: DataFrame, k: int, share: float = 0.85, index: Index | None = None) -> DataFrame:

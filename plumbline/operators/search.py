@@ -1,20 +1,25 @@
 """Vector search by blocks, and what the exact and the approximate search share.
 
-Queries and library meet in blocks of bounded size. Lists that are large on either side are cut
-into several blocks, so one list may hold any share of the rows. Only k rows per query leave a block.
+Queries and library meet in blocks of bounded size, every block of one with every block of the other. A row is copied once for
+each block of the other side, so blocks are as large as a task can hold; inside a task they are compared tile by tile.
+Only k rows per query leave a block.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-QUERY_BLOCK = 2048
-LIBRARY_BLOCK = 8192
+#: Rows of a block. A search over N rows writes about N * (N / QUERY_BLOCK + N / LIBRARY_BLOCK) vectors.
+QUERY_BLOCK = 16_384
+LIBRARY_BLOCK = 32_768
+#: Rows compared at once inside a block: one matrix of products in memory.
+QUERY_TILE = 1024
+LIBRARY_TILE = 8192
 
 
 def normalised(vector: Column) -> Column:
@@ -24,60 +29,102 @@ def normalised(vector: Column) -> Column:
     return F.transform(v, lambda x: x / norm)
 
 
-def _split(df: DataFrame, sizes: DataFrame, mine: str, other: str, key: str) -> DataFrame:
-    """Own sub-block by hash, one copy for every sub-block of the other side."""
-    joined = df.join(F.broadcast(sizes), "list")  # one row per list
-    return joined.withColumn(f"{mine}_sub", F.pmod(F.xxhash64(key), F.col(f"{mine}_subs"))).withColumn(
-        f"{other}_sub", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(f"{other}_subs") - 1))).drop("q_subs", "l_subs")
+def _split(df: DataFrame, sizes: Column, mine: str, other: str, key: str) -> DataFrame:
+    """Own block by hash, one copy for every block of the other side."""
+    return df.withColumn("_n", sizes).withColumn(f"{mine}_block", F.pmod(F.xxhash64(key), F.col(f"_n.{mine}_blocks"))).withColumn(
+        f"{other}_block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(f"_n.{other}_blocks") - 1))).drop("_n")
 
 
-def meet_in_blocks(queries: DataFrame, library: DataFrame, q_col: str, l_col: str, kernel: Callable[[tuple, pd.DataFrame, pd.DataFrame], pd.DataFrame]) -> DataFrame:
-    """``(query_id, match_id, similarity)`` as the kernel finds them in each block of queries and library rows of one list.
+def meet_in_blocks(queries: DataFrame, library: DataFrame, q_cols: list[str], l_cols: list[str], kernel: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]) -> DataFrame:
+    """``(query_id, match_id, similarity)`` as the kernel finds them in each block of queries and block of library rows.
 
-    The kernel gets the key (list first), the queries with ``q_<q_col>`` and the library rows with ``l_<l_col>``; neither is empty.
+    The kernel gets the queries with ``q_<column>`` and the library rows with ``l_<column>``; neither is empty.
     """
-    q_sizes = queries.groupBy("list").agg(F.ceil(F.count("*") / F.lit(QUERY_BLOCK)).cast("bigint").alias("q_subs"))
-    l_sizes = library.groupBy("list").agg(F.ceil(F.count("*") / F.lit(LIBRARY_BLOCK)).cast("bigint").alias("l_subs"))
-    sizes = q_sizes.join(l_sizes, "list")
+    blocks = lambda size: F.greatest(F.lit(1), F.ceil(F.count("*") / F.lit(size))).cast("bigint")
+    l_size = library.agg(blocks(LIBRARY_BLOCK).alias("l_blocks"))
+    both_sizes = queries.agg(blocks(QUERY_BLOCK).alias("q_blocks")).withColumn("l_blocks", l_size.scalar())
+    sizes = both_sizes.select(F.struct("q_blocks", "l_blocks")).scalar()
     # new column names, so that a table can search itself
-    q = _split(queries.select("list", "query_id", F.col(q_col).alias(f"q_{q_col}")), sizes, "q", "l", "query_id")
-    lib = _split(library.select("list", "match_id", F.col(l_col).alias(f"l_{l_col}")), sizes, "l", "q", "match_id")
+    q = _split(queries.select("query_id", *[F.col(c).alias(f"q_{c}") for c in q_cols]), sizes, "q", "l", "query_id")
+    lib = _split(library.select("match_id", *[F.col(c).alias(f"l_{c}") for c in l_cols]), sizes, "l", "q", "match_id")
 
-    def both(key: tuple, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+    def both(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if a.empty or b.empty:
             return pd.DataFrame({"query_id": pd.Series(dtype="int64"), "match_id": pd.Series(dtype="int64"), "similarity": pd.Series(dtype="float64")})
-        return kernel(key, a, b)
+        return kernel(a, b)
 
-    keys = ["list", "q_sub", "l_sub"]
+    keys = ["q_block", "l_block"]
     return q.groupBy(*keys).cogroup(lib.groupBy(*keys)).applyInPandas(both, "query_id long, match_id long, similarity double")
 
 
-def best_of(sim: np.ndarray, own: np.ndarray, ids: np.ndarray, k: int) -> pd.DataFrame:
-    """The k best library rows of each query by similarity; ``ids`` ascend, and a row with the query's own id is no match."""
-    sim[own[:, None] == ids[None, :]] = -np.inf
-    take = min(k, len(ids))
-    edge = np.partition(sim, len(ids) - take, axis=1)[:, len(ids) - take]
-    out_q, out_m, out_s = [], [], []
-    for row in range(len(own)):
-        hit = np.flatnonzero(sim[row] >= edge[row])
-        hit = hit[np.argsort(-sim[row][hit], kind="stable")][:take]
-        hit = hit[np.isfinite(sim[row][hit])]
-        out_q.append(np.full(len(hit), own[row])), out_m.append(ids[hit]), out_s.append(sim[row][hit])
-    return pd.DataFrame({"query_id": np.concatenate(out_q), "match_id": np.concatenate(out_m), "similarity": np.concatenate(out_s)})
+class Best:
+    """The k best library rows of each query so far, ties to the smaller id; a row with the query's own id is no match."""
+
+    def __init__(self, own: np.ndarray, k: int):
+        self.own, self.k = own, k
+        self.ids = np.full((len(own), k), np.iinfo(np.int64).max)
+        self.sims = np.full((len(own), k), -np.inf)
+
+    def add(self, sim: np.ndarray, ids: np.ndarray) -> None:
+        """Queries x library rows; ``ids`` ascend, ``sim`` is overwritten. Rows that are no candidates have -inf."""
+        at = np.searchsorted(ids, self.own)
+        while (same := (at < len(ids)) & (ids[np.minimum(at, len(ids) - 1)] == self.own)).any():
+            sim[same, at[same]] = -np.inf
+            at += 1
+        sim[np.isnan(sim)] = -np.inf
+        take, many = min(self.k, len(ids)), 4 * self.k * len(sim)
+        edge = self.sims[:, -1]
+        hit = sim >= edge[:, None]
+        if np.count_nonzero(hit) > many:
+            edge = np.maximum(edge, np.partition(sim, len(ids) - take, axis=1)[:, len(ids) - take])
+            hit = sim >= edge[:, None]
+            if np.count_nonzero(hit) > many:
+                # of many equal rows the first k are enough
+                tie = sim == edge[:, None]
+                hit &= ~tie | (tie.cumsum(1, dtype=np.int32) <= self.k)
+        row, col = np.nonzero(hit)
+        found = sim[row, col]
+        row, col, found = (x[found > -np.inf] for x in (row, col, found))
+        changed, row = np.unique(row, return_inverse=True)
+        rows = np.concatenate([np.repeat(np.arange(len(changed)), self.k), row])
+        sims = np.concatenate([self.sims[changed].ravel(), found])
+        all_ids = np.concatenate([self.ids[changed].ravel(), ids[col]])
+        order = np.lexsort((all_ids, -sims, rows))
+        rows = rows[order]
+        order = order[np.arange(len(rows)) - np.searchsorted(rows, rows) < self.k]  # every query has k places at least
+        self.sims[changed], self.ids[changed] = sims[order].reshape(-1, self.k), all_ids[order].reshape(-1, self.k)
+
+    def frame(self) -> pd.DataFrame:
+        kept = self.sims > -np.inf
+        return pd.DataFrame({"query_id": np.repeat(self.own, kept.sum(1)), "match_id": self.ids[kept], "similarity": self.sims[kept]})
+
+
+def stacked(vectors: pd.Series) -> np.ndarray:
+    return np.vstack(vectors.to_list())
+
+
+def tiles(frame: pd.DataFrame, size: int) -> Iterator[pd.DataFrame]:
+    return (frame.iloc[i : i + size] for i in range(0, len(frame), size))
 
 
-def grid_search(queries: DataFrame, library: DataFrame, k: int) -> DataFrame:
-    """``(query_id, match_id, similarity, rank)`` from ``(list, query_id, vector)`` and ``(list, match_id, vector)``.
+def exact_search(queries: DataFrame, library: DataFrame, k: int) -> DataFrame:
+    """``(query_id, match_id, similarity, rank)``: every ``(match_id, vector)`` is compared with every ``(query_id, vector)``.
 
     A library row with the query's own id is no match for it.
     """
 
-    def kernel(key: tuple, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+    def kernel(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         b = b.sort_values("match_id")
-        sim = np.vstack(a["q_vector"].to_list()) @ np.vstack(b["l_vector"].to_list()).T
-        return best_of(sim, a["query_id"].to_numpy(), b["match_id"].to_numpy(), k)
+        library_tiles = [(stacked(t["l_vector"]), t["match_id"].to_numpy()) for t in tiles(b, LIBRARY_TILE)]
+        out = []
+        for t in tiles(a, QUERY_TILE):
+            asked, best = stacked(t["q_vector"]), Best(t["query_id"].to_numpy(), k)
+            for rows, ids in library_tiles:
+                best.add(asked @ rows.T, ids)
+            out.append(best.frame())
+        return pd.concat(out)
 
-    return top_matches(meet_in_blocks(queries, library, "vector", "vector", kernel), k)
+    return top_matches(meet_in_blocks(queries, library, ["vector"], ["vector"], kernel), k)
 
 
 def top_matches(found: DataFrame, k: int) -> DataFrame:
@@ -85,13 +132,6 @@ def top_matches(found: DataFrame, k: int) -> DataFrame:
     return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
-def exact_search(queries: DataFrame, library: DataFrame, k: int) -> DataFrame:
-    """Every library row is compared with every query, block against block."""
-    one = F.lit(0)
-    return grid_search(
-        queries.select(one.alias("list"), "query_id", "vector"), library.select(one.alias("list"), "match_id", "vector"), k)
-
-
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 
