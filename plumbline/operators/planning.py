@@ -66,7 +66,8 @@ def with_links(df: DataFrame, links: DataFrame) -> DataFrame:
         F.array_sort(of("dependency", F.col("other"))).alias("dependencies"), F.array_sort(of("exclusion", F.col("other"))).alias("incompatible"),
         F.map_from_entries(of("synergy", F.struct("other", "factor"))).alias("synergies"))
     none = F.array().cast("array<string>")
-    joined = df.drop("dependencies", "incompatible", "synergies").join(packed, "rec_id", "left")
+    # a fix has few ids, so a join by id would put most candidates into a few tasks; the link table is small by nature
+    joined = df.drop("dependencies", "incompatible", "synergies").join(F.broadcast(packed), "rec_id", "left")
     return joined.withColumns({
         "dependencies": F.coalesce("dependencies", none), "incompatible": F.coalesce("incompatible", none),
         "synergies": F.coalesce("synergies", F.create_map().cast("map<string,double>"))}).select(*df.columns)
