@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from __spark_entry__ import queries
 from plumbline.functions import sql_names
 from plumbline.operators import carried as ca
 from plumbline.operators import collapse as cd
@@ -84,6 +85,16 @@ def test_session_stream_merges_late_rows_and_forgets(spark, tmp_path):
     assert len(want) > 60 and max(states) <= 5 * 8
 
 
+def test_session_query_sends_open_sessions(spark, tmp_path):
+    """Sessions that are open when the events end are in the result, and files out of order lose no event."""
+    minute = lambda m: START + dt.timedelta(minutes=m)
+    rows = [(0, 1, minute(0)), (1, 1, minute(20)), (2, 2, minute(600)), (3, 1, minute(605))]
+    spark.createDataFrame(rows, EVENT).coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    got = queries()["str_06_sessions_stream"](spark, str(tmp_path)).collect()
+    assert sorted((r["user_id"], r["started_at"], r["expires_at"], r["events"]) for r in got) == [
+        (1, minute(0), minute(50), 2), (1, minute(605), minute(635), 1), (2, minute(600), minute(630), 1)]
+
+
 def test_entries_expire_by_timer(spark, tmp_path):
     minute = lambda m: START + dt.timedelta(minutes=m)
     batches = [
