@@ -365,7 +365,8 @@ def udf_03_bins(spark, sf):
     sql_names.register(spark)
     long = to_long(roles.pair(spark, sf), FEATURES)
     limits = long.groupBy("col").agg(F.min("val").alias("lo"), F.max("val").alias("hi"))
-    bins = long.join(limits, "col").select("col", "lo", "hi", cd.bin_index(F.col("val"), F.col("lo"), F.col("hi"), 10).alias("bin"))
+    # one row per column; a join by column would put each of them into one task
+    bins = long.join(F.broadcast(limits), "col").select("col", "lo", "hi", cd.bin_index(F.col("val"), F.col("lo"), F.col("hi"), 10).alias("bin"))
     counts = F.array(*[F.count_if(F.col("bin") == i) for i in range(10)])
     packed = bins.groupBy("col", "lo", "hi").agg(counts.alias("counts"))
     packed.createOrReplaceTempView("packed_bins")

@@ -22,3 +22,9 @@ def test_links_come_to_the_candidates(spark, sf, no_small_sides, name):
     """A join by rec_id would put every candidate of a kind into one task."""
     plan = plan_of(queries()[name](spark, sf))
     assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan
+
+
+def test_limits_come_to_the_cells(spark, sf, no_small_sides):
+    """A join by column would put every cell of a column into one task."""
+    plan = plan_of(queries()["udf_03_expanded_bins"](spark, sf))
+    assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan
