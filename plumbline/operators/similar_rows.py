@@ -1,11 +1,11 @@
 """Near-duplicate rows: an exact set-similarity join with prefix, length and position filters.
 
 A row is a set of tokens, its filled cells and the words of its texts. Rows with equal sets are one class, so copies are
-never paired. Tokens are ordered by rarity; two sets as similar as asked for share a token among the first
-n - ceil(t n) + 1 of each (prefix), differ in size by the factor t at most (length), and have enough tokens left after the
-shared one (position). Sizes fall into bands a factor t wide, so a set only meets those of its own and the next
-smaller band; token and band are the join key, and a token that is still hot is split by adaptive execution, since both sides are
-dealt out anew for the join. Candidates are confirmed on full sets. Nothing is capped.
+never paired. Sizes fall into bands a factor t wide, so a set only meets those of its own and the next smaller band. Tokens
+are ordered by rarity. Two sets that must share s tokens share the first k of them among the first n - s + k of each, so the
+join key is a combination of k tokens from there: the larger k, the rarer a key and the more keys a set has. k follows from
+the band alone, up to 4, as long as a set has few keys. Pairs whose sizes differ by more than the factor t (length) or which
+have too few tokens left after the shared ones (position) are dropped, the others confirmed on full sets. Nothing is capped.
 
 Defined cases: rows without tokens are one class without links; null cells give no token; an empty table gives an
 empty table.
@@ -48,25 +48,63 @@ def by_rarity(sets: DataFrame) -> DataFrame:
     return cells.select("*", tag).join(counts.select("*", tag), ["token", "_tag"]).groupBy("row_id").agg(ordered.alias("tokens"))
 
 
+#: A set of the smaller side has about so many keys at most, if one token alone does not give more.
+MOST_KEYS = 64
+MOST_TOGETHER = 4
+
+
+def _together(missing: Column) -> Column:
+    """How many tokens make a key of sets that may miss so many of theirs: the most with few combinations."""
+    out = F.lit(1)
+    for k in range(2, MOST_TOGETHER + 1):
+        most = max(d for d in range(MOST_KEYS) if math.comb(d + k, k) <= MOST_KEYS)
+        out = F.when(missing <= most, k).otherwise(out)
+    return out
+
+
+def _combinations(prefix: Column, k: Column) -> Column:
+    """``(key, pos)`` of every combination of k tokens: a hash, and the place of its last token."""
+    start = F.array(F.struct(F.lit(0).alias("n"), F.lit(42).cast("bigint").alias("key"), F.lit(-1).alias("pos")))
+
+    def step(acc: Column, x: Column) -> Column:
+        longer = F.transform(F.filter(acc, lambda c: c["n"] < k), lambda c: F.struct((c["n"] + 1).alias("n"), F.xxhash64(c["key"], x["token"]).alias("key"), x["pos"].alias("pos")))
+        return F.concat(acc, longer)
+
+    placed = F.transform(prefix, lambda t, i: F.struct(t.alias("token"), i.alias("pos")))
+    return F.transform(F.filter(F.aggregate(placed, start, step), lambda c: c["n"] == k), lambda c: F.struct(c["key"].alias("key"), c["pos"].alias("pos")))
+
+
 def similar_pairs(sets: DataFrame, percent: int = 95) -> DataFrame:
     """``(a, b, shared, size)``: all pairs of sets with 100 shared >= percent * size, a < b; size is that of the union.
 
     ``sets`` holds ``(row_id, tokens)``, distinct ids, equal sets once.
     """
     ordered = by_rarity(sets).withColumn("n", F.size("tokens"))
-    share = percent / 100
-    prefix = F.col("n") - F.expr(f"CAST((n * {percent} + 99) div 100 AS INT)") + 1
-    band = F.floor(F.log("n") / -math.log(share) + 1e-9) if percent < 100 else F.col("n").cast("bigint")
-    first = ordered.select("row_id", "n", band.alias("band"), F.posexplode(F.slice("tokens", F.lit(1), prefix)).alias("pos", "token"))
-    large = first.select(F.col("row_id").alias("x"), F.col("n").alias("nx"), F.col("pos").alias("px"), "token", F.explode(F.array("band", F.col("band") - 1)).alias("band"))
-    small = first.select(F.col("row_id").alias("y"), F.col("n").alias("ny"), F.col("pos").alias("py"), "token", "band")
-    tag = F.xxhash64("token", "band")
-    met = large.withColumn("_tag", tag).join(small.withColumn("_tag", tag), ["token", "band", "_tag"])
+    scale = -math.log(percent / 100)
+    band = F.floor(F.log("n") / scale + 1e-9) if percent < 100 else F.col("n").cast("bigint")
+    # no size of a band is below its edge, none reaches the next one
+    edge = lambda b: F.greatest(F.lit(1), F.ceil(F.exp(b * scale) * (1 - 1e-8))) if percent < 100 else b
+    part = lambda x, over: F.ceil(x * percent / over).cast("int")
+    shared = lambda sizes: part(sizes, 100 + percent)
+    low, high = edge(F.col("band")), edge(F.col("band") + 1)
+    k = F.least(_together(high - shared(2 * high)), shared(2 * low)).cast("int")
+
+    def keyed(side: DataFrame, needed: Column) -> DataFrame:
+        """The keys of every set in a band, whose partner there makes it share so many tokens."""
+        cut = side.withColumn("k", k).withColumn("prefix", F.transform(F.slice("tokens", F.lit(1), F.col("n") - needed + F.col("k")), lambda t: F.xxhash64(t)))
+        return cut.select("row_id", "n", "k", "band", F.inline(_combinations(F.col("prefix"), F.col("k"))))
+
+    own = ordered.select("row_id", "n", "tokens", band.alias("band"))
+    larger = keyed(own.withColumn("band", F.explode(F.array("band", F.col("band") - 1))), shared(F.col("n") + F.greatest(low, part(F.col("n"), 100))))
+    smaller = keyed(own, shared(2 * F.col("n")))
+    large = larger.select(F.col("row_id").alias("x"), F.col("n").alias("nx"), F.col("pos").alias("px"), "k", "band", "key")
+    small = smaller.select(F.col("row_id").alias("y"), F.col("n").alias("ny"), F.col("pos").alias("py"), "band", "key")
+    met = large.join(small, ["key", "band"])
     # the larger set first, ties by id
     met = met.where((F.col("nx") > F.col("ny")) | ((F.col("nx") == F.col("ny")) & (F.col("x") > F.col("y"))))
     met = met.where(F.col("ny") * 100 >= F.col("nx") * percent)
-    # 100 s >= p (nx + ny - s) for s shared tokens
-    left = 1 + F.least(F.col("nx") - F.col("px"), F.col("ny") - F.col("py")) - 1
+    # 100 s >= p (nx + ny - s) for s shared tokens, if these are the first k of them
+    left = F.col("k") + F.least(F.col("nx") - F.col("px"), F.col("ny") - F.col("py")) - 1
     met = met.where(left * (100 + percent) >= percent * (F.col("nx") + F.col("ny")))
     pairs = met.select("x", "y").distinct()
     full = ordered.select("row_id", "tokens")
