@@ -3,6 +3,9 @@
 Queries and library meet in blocks of bounded size, every block of one with every block of the other. A row is copied once for
 each block of the other side, so blocks are as large as a task can hold; inside a task they are compared tile by tile.
 Only k rows per query leave a block.
+
+Above a threshold, one-byte codes meet first: an upper bound of every similarity names the rows that can have a match at all, and
+only these meet with whole vectors. The bound is never too low, so no match is lost.
 """
 
 from __future__ import annotations
@@ -20,13 +23,22 @@ LIBRARY_BLOCK = 32_768
 #: Rows compared at once inside a block: one matrix of products in memory.
 QUERY_TILE = 1024
 LIBRARY_TILE = 8192
+#: The same for one-byte codes, which are an eighth as long.
+CODE_QUERY_BLOCK = 32_768
+CODE_LIBRARY_BLOCK = 131_072
+CODE_QUERY_TILE = 512
+CODE_LIBRARY_TILE = 4096
+#: Share of the lengths that is added to a bound for sums in single precision; they are good to 6e-8 a term.
+ROUNDING = 1e-4
+MATCHES = {"query_id": "long", "match_id": "long", "similarity": "double"}
 
 
 def normalised(vector: Column) -> Column:
     """Unit length; the tiny constant keeps a zero vector at zero."""
     v = F.transform(vector, lambda x: x.cast("double"))
     norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x)) + 1e-10
-    return F.transform(v, lambda x: x / norm)
+    # beside every component, since a lambda would take the norm again for each of them
+    return F.zip_with(v, F.array_repeat(norm, F.size(v)), lambda x, n: x / n)
 
 
 def _split(df: DataFrame, sizes: Column, mine: str, other: str, key: str) -> DataFrame:
@@ -35,26 +47,39 @@ def _split(df: DataFrame, sizes: Column, mine: str, other: str, key: str) -> Dat
         f"{other}_block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(f"_n.{other}_blocks") - 1))).drop("_n")
 
 
-def meet_in_blocks(queries: DataFrame, library: DataFrame, q_cols: list[str], l_cols: list[str], kernel: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]) -> DataFrame:
-    """``(query_id, match_id, similarity)`` as the kernel finds them in each block of queries and block of library rows.
+def meet_in_blocks(
+    queries: DataFrame, library: DataFrame, q_cols: list[str], l_cols: list[str], kernel: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame],
+    q_size: int = QUERY_BLOCK, l_size: int = LIBRARY_BLOCK, returns: dict[str, str] = MATCHES,
+) -> DataFrame:
+    """What the kernel ``returns``, matches by default, for each block of queries and block of library rows.
 
     The kernel gets the queries with ``q_<column>`` and the library rows with ``l_<column>``; neither is empty.
     """
     blocks = lambda size: F.greatest(F.lit(1), F.ceil(F.count("*") / F.lit(size))).cast("bigint")
-    l_size = library.agg(blocks(LIBRARY_BLOCK).alias("l_blocks"))
-    both_sizes = queries.agg(blocks(QUERY_BLOCK).alias("q_blocks")).withColumn("l_blocks", l_size.scalar())
+    l_blocks = library.agg(blocks(l_size).alias("l_blocks"))
+    both_sizes = queries.agg(blocks(q_size).alias("q_blocks")).withColumn("l_blocks", l_blocks.scalar())
     sizes = both_sizes.select(F.struct("q_blocks", "l_blocks")).scalar()
     # new column names, so that a table can search itself
     q = _split(queries.select("query_id", *[F.col(c).alias(f"q_{c}") for c in q_cols]), sizes, "q", "l", "query_id")
     lib = _split(library.select("match_id", *[F.col(c).alias(f"l_{c}") for c in l_cols]), sizes, "l", "q", "match_id")
 
+    kinds = {"long": "int64", "double": "float64", "boolean": "bool"}
+
     def both(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if a.empty or b.empty:
-            return pd.DataFrame({"query_id": pd.Series(dtype="int64"), "match_id": pd.Series(dtype="int64"), "similarity": pd.Series(dtype="float64")})
+            return pd.DataFrame({name: pd.Series(dtype=kinds[kind]) for name, kind in returns.items()})
         return kernel(a, b)
 
     keys = ["q_block", "l_block"]
-    return q.groupBy(*keys).cogroup(lib.groupBy(*keys)).applyInPandas(both, "query_id long, match_id long, similarity double")
+    return q.groupBy(*keys).cogroup(lib.groupBy(*keys)).applyInPandas(both, ", ".join(f"{name} {kind}" for name, kind in returns.items()))
+
+
+def without_own(sim: np.ndarray, own: np.ndarray, ids: np.ndarray) -> None:
+    """Queries x library rows: a row with the query's own id is no match. ``ids`` ascend."""
+    at = np.searchsorted(ids, own)
+    while (same := (at < len(ids)) & (ids[np.minimum(at, len(ids) - 1)] == own)).any():
+        sim[same, at[same]] = -np.inf
+        at += 1
 
 
 class Best:
@@ -67,10 +92,7 @@ class Best:
 
     def add(self, sim: np.ndarray, ids: np.ndarray) -> None:
         """Queries x library rows; ``ids`` ascend, ``sim`` is overwritten. Rows that are no candidates have -inf."""
-        at = np.searchsorted(ids, self.own)
-        while (same := (at < len(ids)) & (ids[np.minimum(at, len(ids) - 1)] == self.own)).any():
-            sim[same, at[same]] = -np.inf
-            at += 1
+        without_own(sim, self.own, ids)
         sim[np.isnan(sim)] = -np.inf
         take, many = min(self.k, len(ids)), 4 * self.k * len(sim)
         edge = self.sims[:, -1]
@@ -127,6 +149,84 @@ def exact_search(queries: DataFrame, library: DataFrame, k: int) -> DataFrame:
     return top_matches(meet_in_blocks(queries, library, ["vector"], ["vector"], kernel), k)
 
 
+def codes(vectors: pd.Series) -> pd.DataFrame:
+    """Vectors as one byte a component and a factor, with the lengths of what that leaves out and of the vector itself.
+
+    A vector with a component that is no number meets nothing, one without end (beyond 1e15) has no code and may meet anything.
+    """
+    x = stacked(vectors).astype(float)
+    x[np.isnan(x).any(1)] = 0.0
+    endless = ~(np.abs(x).max(1, initial=0.0) < 1e15)
+    x[endless] = 0.0
+    top = np.abs(x).max(1, initial=0.0)
+    scale = (np.where(top > 1e-30, top, 1.0) / 127).astype(np.float32)
+    steps = scale[:, None].astype(float)
+    code = np.rint(x / steps).clip(-127, 127).astype(np.int8)
+    length = lambda v: np.where(endless, 1e30, np.sqrt((v * v).sum(1)))
+    return pd.DataFrame({"code": [r.tobytes() for r in code], "scale": scale, "rest": length(x - code * steps), "length": length(x)})
+
+
+def coded(df: DataFrame, key: str) -> DataFrame:
+    """The codes of ``(key, vector)``, written once since their number and their blocks are read; a null or a null component meets nothing."""
+
+    def encode(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            f = f[f["vector"].notna()].reset_index(drop=True)
+            if len(f):
+                yield pd.concat([f[[key]], codes(f["vector"])], axis=1)
+
+    return stored(df.select(key, "vector").mapInPandas(encode, f"{key} long, code binary, scale float, rest double, length double"))
+
+
+def stored(df: DataFrame) -> DataFrame:
+    from plumbline.streaming.run import shared_folder
+
+    folder = shared_folder(df.sparkSession)
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
+def factor(code: pd.Series, scale: pd.Series, first: pd.Series, second: pd.Series) -> np.ndarray:
+    """Decoded rows with two more components, so that one product gives the bound."""
+    decoded = np.frombuffer(b"".join(code), np.int8).reshape(len(code), -1) * scale.to_numpy(np.float32)[:, None]
+    return np.hstack([decoded, np.stack([first, second], 1).astype(np.float32)])
+
+
+def possible_rows(queries: DataFrame, library: DataFrame, threshold: float) -> DataFrame:
+    """``(id, asks)``: queries (``asks``) and library rows whose similarity to any row of the other side may reach the threshold.
+
+    With a = a' + e and b = b' + f, where a' and b' are what the codes hold, ab = a'b' + eb + a'f is at most a'b' + |e||b| + (|a| + |e|)|f|.
+    What leaves a block is bounded by its rows, not by its pairs.
+    """
+
+    def kernel(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        b = b.sort_values("match_id")
+        own, ids = a["query_id"].to_numpy(), b["match_id"].to_numpy()
+        lost = a["q_rest"] + ROUNDING * a["q_length"]
+        asked = factor(a["q_code"], a["q_scale"], lost, a["q_length"] + lost)
+        asks, meets = np.zeros(len(a), bool), np.zeros(len(b), bool)
+        for j in range(0, len(b), CODE_LIBRARY_TILE):
+            t = b.iloc[j : j + CODE_LIBRARY_TILE]
+            rows = factor(t["l_code"], t["l_scale"], t["l_length"], t["l_rest"]).T
+            for i in range(0, len(a), CODE_QUERY_TILE):
+                bound = asked[i : i + CODE_QUERY_TILE] @ rows
+                without_own(bound, own[i : i + CODE_QUERY_TILE], ids[j : j + len(t)])
+                near = np.flatnonzero(bound.max(1) >= threshold)
+                asks[i + near] = True
+                meets[j : j + len(t)] |= (bound[near] >= threshold).any(0)
+        return pd.DataFrame({"id": np.concatenate([own[asks], ids[meets]]), "asks": np.arange(asks.sum() + meets.sum()) < asks.sum()})
+
+    columns = ["code", "scale", "rest", "length"]
+    return meet_in_blocks(coded(queries, "query_id"), coded(library, "match_id"), columns, columns, kernel, CODE_QUERY_BLOCK, CODE_LIBRARY_BLOCK, {"id": "long", "asks": "boolean"})
+
+
+def may_match(queries: DataFrame, library: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """The rows of both sides that can have a match above zero; their ids are written once, since the sizes and both sides need them."""
+    ids = stored(possible_rows(queries, library, threshold).distinct())
+    side = lambda df, key, asks: df.join(ids.filter(asks).select(F.col("id").alias(key)), key, "left_semi")
+    return side(queries, "query_id", F.col("asks")), side(library, "match_id", ~F.col("asks"))
+
+
 def top_matches(found: DataFrame, k: int) -> DataFrame:
     w = Window.partitionBy("query_id").orderBy(F.col("similarity").desc(), "match_id")
     return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
@@ -140,6 +240,8 @@ def search(queries: DataFrame, library: DataFrame, k: int, how: str, threshold:
     """``how`` is exact, approximate or hybrid; it is the caller's choice and never follows from the size."""
     from plumbline.operators.quantised import quantised_search, reranked_search
 
+    if how == "exact" and threshold > 0:
+        queries, library = may_match(queries, library, threshold)
     run = {"exact": exact_search, "hybrid": reranked_search, "approximate": quantised_search}[how]
     return run(queries, library, k).filter(F.col("similarity") >= threshold)
 

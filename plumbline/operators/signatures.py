@@ -46,14 +46,14 @@ def alignment(matches: DataFrame, past: DataFrame, now: DataFrame) -> DataFrame:
     """Adds ``alignment``: agreement of pass and fail on common dimensions, 0.5 if there are none.
 
     ``past`` is ``(match_id, dim_name, score)``, ``now`` is ``(query_id, dim_name, score)``; a pair meets on at most eight dimensions.
+    The matches are read once, since a search stands behind them.
     """
     p = past.select("match_id", "dim_name", F.col("score").alias("past"))
-    n = now.select("query_id", "dim_name", F.col("score").alias("now"))
-    both = matches.select("query_id", "match_id").join(p, "match_id").join(n, ["query_id", "dim_name"])
+    n = now.select("query_id", "dim_name", F.col("score").alias("now"), F.lit(True).alias("met"))
+    both = matches.join(p, "match_id", "left").join(n, ["query_id", "dim_name"], "left")
     bad = lambda c: F.col(c) < FAILING
     agree = F.when(bad("past") & bad("now"), 1.0).when(~bad("past") & ~bad("now"), 0.8).otherwise(0.3)
-    scored = both.groupBy("query_id", "match_id").agg(F.avg(agree).alias("alignment"))
-    return matches.join(scored, ["query_id", "match_id"], "left").withColumn("alignment", F.coalesce("alignment", F.lit(0.5)))
+    return both.groupBy(*matches.columns).agg(F.coalesce(F.avg(F.when(F.col("met"), agree)), F.lit(0.5)).alias("alignment"))
 
 
 def confidence(similarity: Column, accuracy: Column, usage: Column, aligned: Column) -> Column:

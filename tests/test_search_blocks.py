@@ -3,9 +3,11 @@
 import tracemalloc
 
 import numpy as np
+import pandas as pd
 
 from plumbline.operators import quantised as qs
 from plumbline.operators import search as vs
+from plumbline.operators import signatures as sg
 
 
 def test_probing_keeps_no_vector_per_list():
@@ -36,3 +38,59 @@ def test_best_against_sorting():
             best.add(sim[:, list(part)].copy(), np.array(part))
         got = best.frame()
         assert list(zip(got["query_id"], got["match_id"], got["similarity"], strict=True)) == want
+
+
+def sides(spark, x, parts=4):
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, vector array<double>").repartition(parts)
+    return rows.withColumnRenamed("id", "query_id"), rows.withColumnRenamed("id", "match_id")
+
+
+def grouped_vectors(rng, n=600, dim=16):
+    """Groups of near and of equal vectors among unlike ones, of unequal lengths."""
+    x = rng.normal(size=(n, dim))
+    x[100:160] = x[100] + rng.normal(size=(60, dim)) * 0.2
+    x[200:240] = x[200]
+    return x * rng.uniform(0.1, 1.5, size=(n, 1)) / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def test_bounds_are_never_below_the_similarity():
+    """Vectors of all lengths, zero ones and those without an end; a vector that is no number meets nothing."""
+    x = grouped_vectors(np.random.default_rng(7)) * np.logspace(-12, 6, 600)[:, None]
+    x[300], x[301, 3], x[302, 3] = 0.0, np.inf, np.nan
+    c = vs.codes(pd.Series(list(x)))
+    lost = c["rest"] + vs.ROUNDING * c["length"]
+    bound = vs.factor(c["code"], c["scale"], lost, c["length"] + lost) @ vs.factor(c["code"], c["scale"], c["length"], c["rest"]).T
+    assert (bound[:301, :301] >= x[:301] @ x[:301].T).all() and (bound[303:, 303:] >= x[303:] @ x[303:].T).all()
+    assert (bound[302] == 0).all() and (bound[301, :300] > 0).all()
+
+
+def test_threshold_first_meets_codes(spark, monkeypatch):
+    """The same matches as with whole vectors everywhere, over several blocks and tiles, and few whole vectors are left to meet."""
+    for name, size in {"CODE_QUERY_BLOCK": 250, "CODE_LIBRARY_BLOCK": 400, "CODE_QUERY_TILE": 32, "CODE_LIBRARY_TILE": 50}.items():
+        monkeypatch.setattr(vs, name, size)
+    q, lib = sides(spark, grouped_vectors(np.random.default_rng(8)))
+    lib = lib.unionByName(spark.createDataFrame([(1000, None), (1001, [None] * 16), (1002, [float("nan")] * 16)], lib.schema))
+    plain = vs.exact_search(q, lib.filter("match_id < 1000"), 5).filter("similarity >= 0.7")
+    want = sorted((r["query_id"], r["match_id"], r["rank"]) for r in plain.collect())
+    got = sorted((r["query_id"], r["match_id"], r["rank"]) for r in vs.search(q, lib, 5, "exact", 0.7).collect())
+    assert got == want and len(want) > 100
+    left = vs.may_match(q, lib, 0.7)
+    assert left[0].count() < 400 and left[1].count() < 400
+    assert vs.search(q, lib.limit(0), 5, "exact", 0.7).count() == 0
+
+
+def test_alignment_reads_the_matches_once(spark):
+    """A search behind the matches would run twice."""
+    m = spark.createDataFrame([(1, 2, 0.9), (1, 3, 0.8), (4, 2, 0.7)], "query_id long, match_id long, similarity double")
+    reads = spark.sparkContext.accumulator(0)
+
+    def counted(frames):
+        for f in frames:
+            reads.add(len(f))
+            yield f
+
+    past = spark.createDataFrame([(2, "a", 50.0), (2, "b", 70.0), (3, "c", 50.0)], "match_id long, dim_name string, score double")
+    now = spark.createDataFrame([(1, "a", 60.0), (1, "b", 60.0), (4, "b", 90.0)], "query_id long, dim_name string, score double")
+    out = sg.alignment(m.mapInPandas(counted, m.schema), past, now).collect()
+    assert {(r["query_id"], r["match_id"]): round(r["alignment"], 6) for r in out} == {(1, 2): 0.65, (1, 3): 0.5, (4, 2): 0.8}
+    assert reads.value == 3
