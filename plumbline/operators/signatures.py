@@ -9,6 +9,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from plumbline.operators.search import stored
 from plumbline.operators.sequences import positions
 from plumbline.roles import DIMENSIONS
 
@@ -19,14 +20,27 @@ FAILING = 65.0
 
 
 def raw_features(scores: Column, stats: Column) -> Column:
-    """128 numbers from maps of dimension scores and statistics."""
+    """128 numbers from maps of dimension scores and statistics.
+
+    The names are read from arrays, one short expression for all of them: written out, they make a method too long for the JVM to compile.
+    """
+    names = lambda of: F.array(*[F.lit(x) for x in of])
     zeros = lambda n: F.array_repeat(F.lit(0.0), n)
-    parts = [F.array(*[F.coalesce(F.try_element_at(scores, F.lit(d)), F.lit(50.0)) / 100 for d in DIMENSIONS])]
-    for s in STATISTICS:
-        v = F.try_element_at(stats, F.lit(s))
-        parts.append(F.when(v.isNull(), zeros(8)).otherwise(F.array(v)))
-    parts.append(F.array(*[F.coalesce(F.try_element_at(stats, F.lit(s)), F.lit(0.0)) for s in ("skewness", "kurtosis")]))
-    return F.slice(F.concat(*parts, zeros(RAW_SIZE)), 1, RAW_SIZE)
+    marks = F.transform(names(DIMENSIONS), lambda d: F.coalesce(F.try_element_at(scores, d), F.lit(50.0)) / 100)
+    numbers = F.flatten(F.transform(names(STATISTICS), lambda s: F.when(F.try_element_at(stats, s).isNull(), zeros(8)).otherwise(F.array(F.try_element_at(stats, s)))))
+    shapes = F.transform(names(["skewness", "kurtosis"]), lambda s: F.coalesce(F.try_element_at(stats, s), F.lit(0.0)))
+    return F.slice(F.concat(marks, numbers, shapes, zeros(RAW_SIZE)), 1, RAW_SIZE)
+
+
+def scores_by_name(dims: DataFrame, key: str) -> DataFrame:
+    """``(key, scores)``: a map of the dimension scores per key. Numbers are added up before the shuffle; a dimension's score is its highest."""
+    one = dims.groupBy(key).agg(*[F.max(F.when(F.col("dim_name") == d, F.col("score"))).alias(d) for d in DIMENSIONS])
+    return one.select(key, F.create_map(*[x for d in DIMENSIONS for x in (F.lit(d), F.col(d))]).alias("scores"))
+
+
+def filled_slots(raw: Column) -> Column:
+    """``(slot, value)`` of the numbers that are not zero, so that no row is made of the empty slots."""
+    return F.inline(F.filter(F.transform(raw, lambda x, i: F.struct(i.alias("slot"), x.alias("value"))), lambda s: s["value"] != 0))
 
 
 def fingerprint(long: DataFrame) -> DataFrame:
@@ -36,8 +50,11 @@ def fingerprint(long: DataFrame) -> DataFrame:
 
 
 def learned_embedding(df: DataFrame, features: str, size: int = 16) -> DataFrame:
-    """Scaled principal components of the raw features, fitted on the library itself."""
-    vec = df.withColumn("_raw", array_to_vector(features))
+    """Scaled principal components of the raw features, fitted on the library itself.
+
+    Means, components and the result each read all rows, so the features are written once.
+    """
+    vec = stored(df).withColumn("_raw", array_to_vector(features))
     pipe = Pipeline(stages=[StandardScaler(withMean=True, inputCol="_raw", outputCol="_scaled"), PCA(k=size, inputCol="_scaled", outputCol="_pca")])
     return pipe.fit(vec).transform(vec).withColumn("vector", vector_to_array("_pca")).drop("_raw", "_scaled", "_pca")
 

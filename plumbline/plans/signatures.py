@@ -147,12 +147,12 @@ slots AS (SELECT validation_id, dim_no AS slot, score / 100 AS value FROM dims
 
 @query("sig_01_raw_features", with_(FEATURES_SQL) + "SELECT validation_id, CAST(slot AS BIGINT) AS slot, round(value, 7) AS value FROM slots WHERE value <> 0")
 def sig_01(spark, sf):
-    return features(spark, sf).select("validation_id", F.posexplode("raw").alias("slot", "value")).filter("value <> 0").select(
+    return features(spark, sf).select("validation_id", sg.filled_slots(F.col("raw"))).select(
         "validation_id", F.col("slot").cast("bigint").alias("slot"), F.round("value", 7).alias("value"))
 
 
 def features(spark, sf):
-    scores = roles.validation_dimensions(spark, sf).groupBy("validation_id").agg(F.map_from_entries(F.collect_list(F.struct("dim_name", "score"))).alias("scores"))
+    scores = sg.scores_by_name(roles.validation_dimensions(spark, sf), "validation_id")
     v = F.col("l_extendedprice")
     one = roles.table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("validation_id")).agg(
         F.create_map(F.lit("mean"), F.avg(v), F.lit("std"), F.stddev_pop(v), F.lit("min"), F.min(v), F.lit("max"), F.max(v)).alias("stats"))
