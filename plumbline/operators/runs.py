@@ -189,18 +189,24 @@ def capacity_ladder(df: DataFrame, features: list[str], label: str, depths: list
 
     Subsamples are disjoint hash parts, so every row trains one variant and tests the others.
     """
-    from pyspark.ml.evaluation import RegressionEvaluator
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.regression import DecisionTreeRegressor
 
     part = F.pmod(F.xxhash64(F.lit(seed), *features, label), F.lit(variants))
-    rows = VectorAssembler(inputCols=features, outputCol="features").transform(df.select(*features, label, part.alias("part")))
-    score = RegressionEvaluator(labelCol=label, metricName="rmse")
-    out = []
-    for depth in depths:  # a grid of a few models, each fit a distributed job
-        for v in range(variants):
-            model = DecisionTreeRegressor(maxDepth=depth, labelCol=label, seed=seed).fit(rows.filter(F.col("part") == v))
-            train = score.evaluate(model.transform(rows.filter(F.col("part") == v)))
-            test = score.evaluate(model.transform(rows.filter(F.col("part") != v)))
-            out.append((depth, v, model.numNodes, float(train), float(test)))
+    rows = VectorAssembler(inputCols=features, outputCol="features").transform(df.select(*features, F.col(label).alias("label"), part.alias("part")))
+    models = []
+    judged = rows
+    for v in range(variants):  # a grid of a few models, each fit a distributed job
+        # a fit reads its rows several times, so they stay on the executors until all depths are done; a lost part is computed again
+        mine = rows.filter(F.col("part") == v).select("features", "label").persist()
+        for depth in depths:
+            model = DecisionTreeRegressor(maxDepth=depth, labelCol="label", predictionCol=f"p{len(models)}", seed=seed).fit(mine)
+            models.append((depth, v, model.numNodes))
+            judged = model.transform(judged)
+        mine.unpersist()
+    # all models are judged in one scan
+    loss = lambda i, mine: F.sqrt(F.avg(F.when(mine, F.pow(F.col("label") - F.col(f"p{i}"), 2))))
+    one = judged.agg(*[loss(i, (F.col("part") == v) == F.lit(train)).alias(f"{name}{i}") for i, (_, v, _) in enumerate(models) for name, train in (("train", True), ("test", False))]).first()
+    number = lambda x: float("nan") if x is None else x
+    out = [(*m, number(one[f"train{i}"]), number(one[f"test{i}"])) for i, m in enumerate(models)]
     return df.sparkSession.createDataFrame(out, "capacity int, variant int, nodes int, train_loss double, test_loss double")
