@@ -63,9 +63,15 @@ def spectra(df: DataFrame, cols: list[str], by: str, components: int = 64, round
     """
     d = len(cols)
     thin = min(d, components)
-    # one array column: a plan of thousands of columns costs more than the rows
-    cells = F.transform(F.array(*[F.col(c).cast("double") for c in cols]), scrub)
-    clean = df.select(F.col(by).alias("g"), cells.alias("x"))
+    if thin == d:
+        # few columns come as numbers, which reach Python faster than an array a row
+        clean = df.select(F.col(by).alias("g"), *[scrub(F.col(c)).alias(f"x{i}") for i, c in enumerate(cols)])
+        matrix = lambda f: f[[f"x{i}" for i in range(d)]].to_numpy(float)
+    else:
+        # one array column: a plan of thousands of columns costs more than the rows
+        cells = F.transform(F.array(*[F.col(c).cast("double") for c in cols]), scrub)
+        clean = df.select(F.col(by).alias("g"), cells.alias("x"))
+        matrix = lambda f: np.vstack(f["x"].to_list()).astype(float)
 
     def summed(product: Callable[[str, np.ndarray], np.ndarray], rows: int, width: int) -> dict[str, np.ndarray]:
         """Per side the sum over tasks of a matrix of ``rows`` x ``width``, a product of its cells."""
@@ -74,7 +80,7 @@ def spectra(df: DataFrame, cols: list[str], by: str, components: int = 64, round
             sums: dict[str, np.ndarray] = {}
             for f in frames:
                 for g, part in f.groupby("g"):
-                    new = product(g, np.vstack(part["x"].to_list()).astype(float))
+                    new = product(g, matrix(part))
                     sums[g] = new if g not in sums else sums[g] + new
             for g, m in sums.items():
                 at = np.indices(m.shape).reshape(2, -1)
