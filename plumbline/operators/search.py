@@ -1,8 +1,8 @@
 """Vector search by blocks, and what the exact and the approximate search share.
 
-Queries and library meet in blocks of bounded size, every block of one with every block of the other. A row is copied once for
-each block of the other side, so blocks are as large as a task can hold; inside a task they are compared tile by tile.
-Only k rows per query leave a block.
+Queries and library meet in blocks of bounded size, every block of one with every block of the other. Blocks are written once and
+read for each meeting; inside a task they are compared tile by tile. Only k rows per query leave a meeting. The products of an exact
+search stay quadratic, what it shuffles and writes does not.
 
 Above a threshold, one-byte codes meet first: an upper bound of every similarity names the rows that can have a match at all, and
 only these meet with whole vectors. The bound is never too low, so no match is lost.
@@ -17,17 +17,17 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Rows of a block. A search over N rows writes about N * (N / QUERY_BLOCK + N / LIBRARY_BLOCK) vectors.
+#: Rows of a block.
 QUERY_BLOCK = 16_384
 LIBRARY_BLOCK = 32_768
 #: Rows compared at once inside a block: one matrix of products in memory.
 QUERY_TILE = 1024
 LIBRARY_TILE = 8192
-#: The same for one-byte codes, which are an eighth as long.
-CODE_QUERY_BLOCK = 32_768
-CODE_LIBRARY_BLOCK = 131_072
+#: The same for one-byte codes.
+CODE_QUERY_BLOCK = 16_384
+CODE_LIBRARY_BLOCK = 32_768
 CODE_QUERY_TILE = 512
-CODE_LIBRARY_TILE = 4096
+CODE_LIBRARY_TILE = 1024
 #: Share of the lengths that is added to a bound for sums in single precision; they are good to 6e-8 a term.
 ROUNDING = 1e-4
 MATCHES = {"query_id": "long", "match_id": "long", "similarity": "double"}
@@ -41,10 +41,25 @@ def normalised(vector: Column) -> Column:
     return F.zip_with(v, F.array_repeat(norm, F.size(v)), lambda x, n: x / n)
 
 
-def _split(df: DataFrame, sizes: Column, mine: str, other: str, key: str) -> DataFrame:
-    """Own block by hash, one copy for every block of the other side."""
-    return df.withColumn("_n", sizes).withColumn(f"{mine}_block", F.pmod(F.xxhash64(key), F.col(f"_n.{mine}_blocks"))).withColumn(
-        f"{other}_block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(f"_n.{other}_blocks") - 1))).drop("_n")
+def packed(df: DataFrame, key: str, cols: list[str], size: int, side: str) -> DataFrame:
+    """``(<side>_rows)``: blocks of about ``size`` rows by hash of the key, each one value and one file of a written table.
+
+    Every row is shuffled and written once, however many blocks there are.
+    """
+    import pyarrow as pa
+
+    n = df.agg(F.greatest(F.lit(1), F.ceil(F.count("*") / F.lit(size))).cast("bigint")).scalar()
+    # new column names, so that a table can search itself
+    rows = df.select(F.pmod(F.xxhash64(key), n).alias("_block"), key, *[F.col(c).alias(f"{side}_{c}") for c in cols])
+    name = f"{side}_rows"
+
+    def pack(block: pa.Table) -> pa.Table:
+        out = pa.BufferOutputStream()
+        with pa.ipc.new_stream(out, block.schema) as stream:
+            stream.write_table(block)
+        return pa.table({name: pa.array([out.getvalue().to_pybytes()], pa.binary())})
+
+    return stored(rows.groupBy("_block").applyInArrow(pack, f"{name} binary"), rows_of_a_file=1)
 
 
 def meet_in_blocks(
@@ -53,25 +68,20 @@ def meet_in_blocks(
 ) -> DataFrame:
     """What the kernel ``returns``, matches by default, for each block of queries and block of library rows.
 
-    The kernel gets the queries with ``q_<column>`` and the library rows with ``l_<column>``; neither is empty.
+    The kernel gets the queries with ``q_<column>`` and the library rows with ``l_<column>``; neither is empty. Written blocks are
+    read again for every meeting, so that no row is copied to a shuffle or to another file for it.
     """
-    blocks = lambda size: F.greatest(F.lit(1), F.ceil(F.count("*") / F.lit(size))).cast("bigint")
-    l_blocks = library.agg(blocks(l_size).alias("l_blocks"))
-    both_sizes = queries.agg(blocks(q_size).alias("q_blocks")).withColumn("l_blocks", l_blocks.scalar())
-    sizes = both_sizes.select(F.struct("q_blocks", "l_blocks")).scalar()
-    # new column names, so that a table can search itself
-    q = _split(queries.select("query_id", *[F.col(c).alias(f"q_{c}") for c in q_cols]), sizes, "q", "l", "query_id")
-    lib = _split(library.select("match_id", *[F.col(c).alias(f"l_{c}") for c in l_cols]), sizes, "l", "q", "match_id")
+    q, lib = packed(queries, "query_id", q_cols, q_size, "q"), packed(library, "match_id", l_cols, l_size, "l")
 
-    kinds = {"long": "int64", "double": "float64", "boolean": "bool"}
+    def meet(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import pyarrow as pa
 
-    def both(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if a.empty or b.empty:
-            return pd.DataFrame({name: pd.Series(dtype=kinds[kind]) for name, kind in returns.items()})
-        return kernel(a, b)
+        for f in frames:
+            for a, b in zip(f["q_rows"], f["l_rows"], strict=True):
+                yield kernel(*[pa.ipc.open_stream(x).read_pandas() for x in (a, b)])
 
-    keys = ["q_block", "l_block"]
-    return q.groupBy(*keys).cogroup(lib.groupBy(*keys)).applyInPandas(both, ", ".join(f"{name} {kind}" for name, kind in returns.items()))
+    # with the hint every task takes some blocks of both sides; without it a small side would be sent to all tasks
+    return q.crossJoin(lib.hint("shuffle_replicate_nl")).mapInPandas(meet, ", ".join(f"{name} {kind}" for name, kind in returns.items()))
 
 
 def without_own(sim: np.ndarray, own: np.ndarray, ids: np.ndarray) -> None:
@@ -83,10 +93,10 @@ def without_own(sim: np.ndarray, own: np.ndarray, ids: np.ndarray) -> None:
 
 
 class Best:
-    """The k best library rows of each query so far, ties to the smaller id; a row with the query's own id is no match."""
+    """The k best library rows of each query so far, ties to the smaller id; a row with the query's own id or below ``least`` is no match."""
 
-    def __init__(self, own: np.ndarray, k: int):
-        self.own, self.k = own, k
+    def __init__(self, own: np.ndarray, k: int, least: float = -np.inf):
+        self.own, self.k, self.least = own, k, least
         self.ids = np.full((len(own), k), np.iinfo(np.int64).max)
         self.sims = np.full((len(own), k), -np.inf)
 
@@ -95,7 +105,7 @@ class Best:
         without_own(sim, self.own, ids)
         sim[np.isnan(sim)] = -np.inf
         take, many = min(self.k, len(ids)), 4 * self.k * len(sim)
-        edge = self.sims[:, -1]
+        edge = np.maximum(self.sims[:, -1], self.least)
         hit = sim >= edge[:, None]
         if np.count_nonzero(hit) > many:
             edge = np.maximum(edge, np.partition(sim, len(ids) - take, axis=1)[:, len(ids) - take])
@@ -129,10 +139,19 @@ def tiles(frame: pd.DataFrame, size: int) -> Iterator[pd.DataFrame]:
     return (frame.iloc[i : i + size] for i in range(0, len(frame), size))
 
 
-def exact_search(queries: DataFrame, library: DataFrame, k: int) -> DataFrame:
+def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Rows of one side times rows of the other; equal rows have equal products wherever they stand.
+
+    At the edge of a matrix the library adds up in another order, which would decide between copies, so both sides are filled up.
+    """
+    whole = lambda x: np.vstack([x, np.zeros((-len(x) % 64, x.shape[1]))]) if len(x) % 64 else x
+    return (whole(a) @ whole(b).T)[: len(a), : len(b)]
+
+
+def exact_search(queries: DataFrame, library: DataFrame, k: int, least: float = -np.inf) -> DataFrame:
     """``(query_id, match_id, similarity, rank)``: every ``(match_id, vector)`` is compared with every ``(query_id, vector)``.
 
-    A library row with the query's own id is no match for it.
+    A library row with the query's own id or a similarity below ``least`` is no match.
     """
 
     def kernel(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
@@ -140,9 +159,9 @@ def exact_search(queries: DataFrame, library: DataFrame, k: int) -> DataFrame:
         library_tiles = [(stacked(t["l_vector"]), t["match_id"].to_numpy()) for t in tiles(b, LIBRARY_TILE)]
         out = []
         for t in tiles(a, QUERY_TILE):
-            asked, best = stacked(t["q_vector"]), Best(t["query_id"].to_numpy(), k)
+            asked, best = stacked(t["q_vector"]), Best(t["query_id"].to_numpy(), k, least)
             for rows, ids in library_tiles:
-                best.add(asked @ rows.T, ids)
+                best.add(products(asked, rows), ids)
             out.append(best.frame())
         return pd.concat(out)
 
@@ -178,11 +197,12 @@ def coded(df: DataFrame, key: str) -> DataFrame:
     return stored(df.select(key, "vector").mapInPandas(encode, f"{key} long, code binary, scale float, rest double, length double"))
 
 
-def stored(df: DataFrame) -> DataFrame:
+def stored(df: DataFrame, rows_of_a_file: int = 0) -> DataFrame:
+    """The table written and read again, with any number of rows in a file by default."""
     from plumbline.streaming.run import shared_folder
 
     folder = shared_folder(df.sparkSession)
-    df.write.parquet(folder)
+    df.write.option("maxRecordsPerFile", rows_of_a_file).parquet(folder)
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
@@ -241,7 +261,7 @@ def search(queries: DataFrame, library: DataFrame, k: int, how: str, threshold:
     from plumbline.operators.quantised import quantised_search, reranked_search
 
     if how == "exact" and threshold > 0:
-        queries, library = may_match(queries, library, threshold)
+        return exact_search(*may_match(queries, library, threshold), k, threshold)
     run = {"exact": exact_search, "hybrid": reranked_search, "approximate": quantised_search}[how]
     return run(queries, library, k).filter(F.col("similarity") >= threshold)
 
