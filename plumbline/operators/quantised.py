@@ -162,7 +162,7 @@ def quantised_search(queries: DataFrame, library: DataFrame, k: int, share: floa
                 best.add(sim[:, by_id], ids[by_id])
         return pd.concat([best.frame() for _, best in asked])
 
-    return top_matches(meet_in_blocks(queries, coded, ["vector"], ["list", "codes"], kernel), k)
+    return top_matches(meet_in_blocks(queries, coded, ["vector"], ["list", "codes"], kernel, k=k), k)
 
 
 def reranked_search(queries: DataFrame, library: DataFrame, k: int, share: float = 0.85, index: Index | None = None) -> DataFrame:

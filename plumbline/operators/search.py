@@ -1,8 +1,9 @@
 """Vector search by blocks, and what the exact and the approximate search share.
 
 Queries and library meet in blocks of bounded size, every block of one with every block of the other. Blocks are written once and
-read for each meeting; inside a task they are compared tile by tile. Only k rows per query leave a meeting. The products of an exact
-search stay quadratic, what it shuffles and writes does not.
+read for each meeting; inside a task they are compared tile by tile. A task goes through the blocks of one part of the library, of
+which there are few, and only k rows per query leave it. The products of an exact search stay quadratic, what it shuffles and writes
+does not.
 
 Above a threshold, one-byte codes meet first: an upper bound of every similarity names the rows that can have a match at all, and
 only these meet with whole vectors. The bound is never too low, so no match is lost.
@@ -23,6 +24,8 @@ LIBRARY_BLOCK = 32_768
 #: Rows compared at once inside a block: one matrix of products in memory.
 QUERY_TILE = 1024
 LIBRARY_TILE = 8192
+#: Parts of the library where the best rows are looked for: a query leaves each of them with k rows, however many blocks it has.
+LIBRARY_PARTS = 4
 #: The same for one-byte codes.
 CODE_QUERY_BLOCK = 16_384
 CODE_LIBRARY_BLOCK = 32_768
@@ -64,24 +67,35 @@ def packed(df: DataFrame, key: str, cols: list[str], size: int, side: str) -> Da
 
 def meet_in_blocks(
     queries: DataFrame, library: DataFrame, q_cols: list[str], l_cols: list[str], kernel: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame],
-    q_size: int = QUERY_BLOCK, l_size: int = LIBRARY_BLOCK, returns: dict[str, str] = MATCHES,
+    q_size: int = QUERY_BLOCK, l_size: int = LIBRARY_BLOCK, returns: dict[str, str] = MATCHES, k: int | None = None,
 ) -> DataFrame:
     """What the kernel ``returns``, matches by default, for each block of queries and block of library rows.
 
     The kernel gets the queries with ``q_<column>`` and the library rows with ``l_<column>``; neither is empty. Written blocks are
-    read again for every meeting, so that no row is copied to a shuffle or to another file for it.
+    read again for every meeting, so that no row is copied to a shuffle or to another file for it. With ``k`` the best k matches of a
+    query come out of each of ``LIBRARY_PARTS`` parts of the library instead of every meeting.
     """
     q, lib = packed(queries, "query_id", q_cols, q_size, "q"), packed(library, "match_id", l_cols, l_size, "l")
 
     def meet(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import pyarrow as pa
 
+        best: dict[int, pd.DataFrame] = {}
         for f in frames:
             for a, b in zip(f["q_rows"], f["l_rows"], strict=True):
-                yield kernel(*[pa.ipc.open_stream(x).read_pandas() for x in (a, b)])
+                asked, rows = (pa.ipc.open_stream(x).read_pandas() for x in (a, b))
+                found = kernel(asked, rows)
+                if k is None:
+                    yield found
+                    continue
+                block = asked["_block"].iloc[0]  # all rows of a query are in one block
+                best[block] = best_rows(pd.concat([best[block], found]), k) if block in best else found
+        yield from best.values()
 
-    # with the hint every task takes some blocks of both sides; without it a small side would be sent to all tasks
-    return q.crossJoin(lib.hint("shuffle_replicate_nl")).mapInPandas(meet, ", ".join(f"{name} {kind}" for name, kind in returns.items()))
+    # with the hint every task takes some blocks of both sides; without it a small side would be sent to all tasks. The library's
+    # blocks pass one by one, the task's blocks of queries, some files, are held for them.
+    parts = lib if k is None else lib.coalesce(LIBRARY_PARTS)
+    return parts.crossJoin(q.hint("shuffle_replicate_nl")).mapInPandas(meet, ", ".join(f"{name} {kind}" for name, kind in returns.items()))
 
 
 def without_own(sim: np.ndarray, own: np.ndarray, ids: np.ndarray) -> None:
@@ -131,6 +145,12 @@ class Best:
         return pd.DataFrame({"query_id": np.repeat(self.own, kept.sum(1)), "match_id": self.ids[kept], "similarity": self.sims[kept]})
 
 
+def best_rows(found: pd.DataFrame, k: int) -> pd.DataFrame:
+    """The k best matches of each query, ties to the smaller id."""
+    found = found.sort_values(["query_id", "similarity", "match_id"], ascending=[True, False, True])
+    return found[found.groupby("query_id", dropna=False).cumcount() < k]
+
+
 def stacked(vectors: pd.Series) -> np.ndarray:
     return np.vstack(vectors.to_list())
 
@@ -165,7 +185,7 @@ def exact_search(queries: DataFrame, library: DataFrame, k: int, least: float =
             out.append(best.frame())
         return pd.concat(out)
 
-    return top_matches(meet_in_blocks(queries, library, ["vector"], ["vector"], kernel), k)
+    return top_matches(meet_in_blocks(queries, library, ["vector"], ["vector"], kernel, QUERY_BLOCK, LIBRARY_BLOCK, k=k), k)
 
 
 def codes(vectors: pd.Series) -> pd.DataFrame:
