@@ -6,8 +6,9 @@ beside its list's centre is cut into short parts, each named by the nearest of 2
 
 Queries and library meet in blocks of bounded size, as in the exact search, but a library row is its list and one byte for each
 part, and a query is compared only with the rows of the lists it probes. A row's similarity to a query is the sum of the query's
-products with the codewords its bytes name; a tile looks its codewords up once and multiplies them, list by list, with the
-queries that probe the list, which in numpy is faster than a table of products for each query.
+products with the codewords its bytes name. A block stands by list and looks its codewords up once; a tile of it is multiplied with
+the queries that probe one of its lists, and what a query does not probe is left out of what it may find, which in numpy is faster
+than a product for each list or a table of products for each query.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.operators.sampling import hash_number
-from plumbline.operators.search import LIBRARY_TILE, QUERY_TILE, Best, dot, meet_in_blocks, stacked, tiles, top_matches
+from plumbline.operators.search import MATCHES, QUERY_TILE, Asked, Best, Rows, Tile, best_in_blocks, dot, stacked, stored, top_matches
 
 #: At most about this many rows fit the index.
 FIT_ROWS = 16_384
@@ -40,6 +41,10 @@ def centres_of(points: np.ndarray, k: int, rng: np.random.Generator, rounds: int
 
 
 def nearest_of(points: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """The place of each point's nearest centre; on a line it is looked up between the middles, which no distance to all centres needs."""
+    if centres.shape[1] == 1 and np.isfinite(points).all() and np.isfinite(centres).all():
+        line, first = np.unique(centres[:, 0], return_index=True)
+        return first[np.searchsorted((line[1:] + line[:-1]) / 2, points[:, 0])]
     return ((centres * centres).sum(1) - 2 * points @ centres.T).argmin(1)
 
 
@@ -123,11 +128,12 @@ def fit_index(library: DataFrame, root: int | None = None, width: int = 1, seed:
     return Index(coarse, fine, np.stack(words))
 
 
-def quantised_search(queries: DataFrame, library: DataFrame, k: int, share: float = 0.85, index: Index | None = None) -> DataFrame:
-    """``(query_id, match_id, similarity, rank)``: the k best by decoded similarity in the probed lists, a ``share`` of all."""
+def probed_rows(queries: DataFrame, library: DataFrame, k: int, share: float, index: Index | None, whole: bool) -> DataFrame:
+    """The best matches by decoded similarity in the probed lists, k from each part of the library; with ``whole`` their exact similarity as ``score``."""
     index = index or fit_index(library)
+    returns = MATCHES | ({"score": "double"} if whole else {})
     if index is None:
-        return top_matches(queries.limit(0).select("query_id", F.lit(0).cast("long").alias("match_id"), F.lit(0.0).alias("similarity")), k)
+        return queries.limit(0).select("query_id", *[F.lit(0).cast(kind).alias(name) for name, kind in list(returns.items())[1:]])
     probes = max(1, int(share * index.lists))
     # bounded by FIT_ROWS and the number of lists
     held = queries.sparkSession.sparkContext.broadcast(index)
@@ -137,38 +143,55 @@ def quantised_search(queries: DataFrame, library: DataFrame, k: int, share: floa
             if len(f):
                 x = np.vstack(f["vector"].to_list())
                 lists = held.value.place(x)
-                yield pd.DataFrame({"list": lists, "match_id": f["match_id"], "codes": [c.tobytes() for c in held.value.encode(x, lists)]})
-
-    coded = library.select("match_id", "vector").mapInPandas(encode, "list long, match_id long, codes binary")
-
-    def decoded(b: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """One tile by list: its rows, the bounds of its lists, their numbers, and the ids in their order."""
+                coded = pd.DataFrame({"list": lists, "match_id": f["match_id"], "codes": [c.tobytes() for c in held.value.encode(x, lists)]})
+                yield coded.assign(vector=f["vector"]) if whole else coded
+
+    kinds = "list long, match_id long, codes binary" + (", vector array<double>" if whole else "")
+    coded = library.select("match_id", F.col("vector").cast("array<double>")).mapInPandas(encode, kinds)
+
+    def asked(a: pd.DataFrame) -> Asked:
+        """Queries of one coarse centre stand together, since they probe the same lists."""
+        x, own = stacked(a["q_vector"]), a["query_id"].to_numpy()
+        order = np.argsort(nearest_of(x, held.value.coarse), kind="stable")
+        out = []
+        for i in range(0, len(x), QUERY_TILE):
+            part = order[i : i + QUERY_TILE]
+            out.append(Tile(x[part], Best(own[part], k, scored=whole), np.packbits(held.value.probe(x[part], probes), axis=1)))
+        return Asked(out)
+
+    def rows(b: pd.DataFrame) -> Rows:
         lists = b["l_list"].to_numpy()
         codes = np.frombuffer(b"".join(b["l_codes"]), np.uint8).reshape(len(b), -1)
-        names, starts = np.unique(lists, return_index=True)
-        return held.value.decode(codes, lists), np.append(starts, len(b)), names, b["match_id"].to_numpy()
-
-    def kernel(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        asked = [(stacked(t["q_vector"]), Best(t["query_id"].to_numpy(), k)) for t in tiles(a, QUERY_TILE)]
-        probed = [held.value.probe(x, probes) for x, _ in asked]
-        for t in tiles(b.sort_values(["l_list", "match_id"]), LIBRARY_TILE):
-            rows, bounds, names, ids = decoded(t)
-            by_id = np.argsort(ids, kind="stable")
-            for (x, best), mask in zip(asked, probed, strict=True):
-                sim = np.full((len(x), len(rows)), -np.inf)
-                for name, lo, hi in zip(names, bounds[:-1], bounds[1:], strict=True):
-                    who = np.flatnonzero(mask[:, name])
-                    sim[who, lo:hi] = x[who] @ rows[lo:hi].T
-                best.add(sim[:, by_id], ids[by_id])
-        return pd.concat([best.frame() for _, best in asked])
-
-    return top_matches(meet_in_blocks(queries, coded, ["vector"], ["list", "codes"], kernel, k=k), k)
+        return Rows(held.value.decode(codes, lists), b["match_id"].to_numpy(), lists, stacked(b["l_vector"]) if whole else None)
+
+    return best_in_blocks(queries, coded, ["list", "codes", *["vector"] * whole], asked, rows, returns, counted=library)
+
+
+def quantised_search(queries: DataFrame, library: DataFrame, k: int, share: float = 0.85, index: Index | None = None) -> DataFrame:
+    """``(query_id, match_id, similarity, rank)``: the k best by decoded similarity in the probed lists, a ``share`` of all."""
+    return top_matches(probed_rows(queries, library, k, share, index, whole=False), k)
 
 
 def reranked_search(queries: DataFrame, library: DataFrame, k: int, share: float = 0.85, index: Index | None = None) -> DataFrame:
-    """Three times k approximate candidates, scored again exactly and cut to k."""
-    near = quantised_search(queries, library, 3 * k, share, index).select("query_id", "match_id")
+    """Three times k approximate candidates, scored again exactly and cut to k.
+
+    The blocks hold the whole vectors too, so that a candidate leaves its block scored. An id that stands for several rows is scored
+    with each of them.
+    """
+    near = top_matches(probed_rows(queries, library, 3 * k, share, index, whole=True), 3 * k)
+    again_q, again_lib = repeated(queries, "query_id"), repeated(library, "match_id")
+    if again_q.isEmpty() and again_lib.isEmpty():
+        return top_matches(near.select("query_id", "match_id", F.col("score").alias("similarity")), k)
+    near = stored(near.select("query_id", "match_id", "score"))
+    marked = near.join(again_q.withColumn("_q", F.lit(True)), "query_id", "left").join(again_lib.withColumn("_l", F.lit(True)), "match_id", "left")
+    several = F.col("_q").isNotNull() | F.col("_l").isNotNull()
+    once = marked.where(~several).select("query_id", "match_id", F.col("score").alias("similarity"))
     q = queries.select("query_id", F.col("vector").alias("qv"))
     lib = library.select("match_id", F.col("vector").alias("lv"))
-    scored = near.join(q, "query_id").join(lib, "match_id").select("query_id", "match_id", dot(F.col("qv"), F.col("lv")).alias("similarity"))
-    return top_matches(scored, k)
+    more = marked.where(several).join(q, "query_id").join(lib, "match_id").select("query_id", "match_id", dot(F.col("qv"), F.col("lv")).alias("similarity"))
+    return top_matches(once.unionByName(more), k)
+
+
+def repeated(df: DataFrame, key: str) -> DataFrame:
+    """The keys of more than one row."""
+    return df.groupBy(key).agg(F.count("*").alias("_n")).where("_n > 1").select(key)
